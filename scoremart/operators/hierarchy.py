@@ -3,8 +3,8 @@
 A graph is two edge tables, ``group_child(grp, grp_pos, child, child_pos)`` and
 ``group_metric(grp, metric, weight_by_size)``.  Walks advance one level per round on a
 de-duplicated frontier, so a node is visited once per level however many paths lead to it;
-every round is written to shared storage, which keeps plans short.  The driver sees only
-whether a frontier is empty.
+every few rounds are written to shared storage, which keeps plans short.  The driver sees
+only whether a frontier is empty.
 """
 
 from __future__ import annotations
@@ -24,20 +24,34 @@ class GroupCycleError(ValueError):
     """The group definitions contain a cycle."""
 
 
-def _walk(start: DataFrame, advance, name: str) -> list[DataFrame]:
-    """Frontiers from ``start`` on until one is empty; ``advance(frontier, seen)`` gives the next."""
-    rounds: list[DataFrame] = []
-    frontier = stage(start, name)
-    while not frontier.isEmpty():
-        rounds.append(frontier)
-        if len(rounds) > MAX_DEPTH:
-            raise GroupCycleError(f"groups nested deeper than {MAX_DEPTH} levels")
-        frontier = stage(advance(frontier, rounds), name)
-    return rounds
+def _rounds(start: DataFrame, advance, n: int, depth: int = 0) -> DataFrame:
+    """``n`` rounds of a walk with their depth, unevaluated."""
+    rounds = []
+    for i in range(n):
+        rounds.append(start.withColumn("depth", F.lit(depth + i)))
+        start = advance(start)
+    return reduce(DataFrame.unionByName, rounds)
+
 
+def _walk(start: DataFrame, advance, name: str, unroll: int = 4) -> DataFrame:
+    """All nodes met from ``start`` on, with each ``depth`` at which they were met.
 
-def _union(frames: list[DataFrame], empty_like: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames) if frames else empty_like.limit(0)
+    ``advance(frontier)`` gives the next frontier.  ``unroll`` rounds are planned at a time
+    (equal exchanges are shared) and written once; the walk goes on from the last of them
+    while that is not empty.
+    """
+    chunks: list[DataFrame] = []
+    frontier, depth = start, 0
+    while True:
+        chunk = stage(_rounds(frontier, advance, unroll, depth), name)
+        chunks.append(chunk)
+        depth += unroll
+        last = chunk.filter(F.col("depth") == depth - 1)
+        if last.isEmpty():
+            return reduce(DataFrame.unionByName, chunks)
+        if depth > MAX_DEPTH:
+            raise GroupCycleError(f"groups nested deeper than {MAX_DEPTH} levels")
+        frontier = advance(last.drop("depth"))
 
 
 def group_edges(group_child: DataFrame) -> DataFrame:
@@ -47,32 +61,32 @@ def group_edges(group_child: DataFrame) -> DataFrame:
 
 
 def reachable_groups(group_child: DataFrame, roots: DataFrame) -> DataFrame:
-    """Groups reachable from ``roots(grp)``; roots that define no group are ignored."""
+    """(grp, depth) of groups reachable from ``roots(grp)``; depth is the longest way from a root.
+
+    Roots that define no group are ignored.  Computing groups by descending depth is a
+    bottom-up order, because a child lies deeper than each of its parents.  Raises on a cycle.
+    """
     edges = group_edges(group_child)
     start = group_child.select("grp").distinct().join(roots.select("grp"), "grp", "left_semi")
 
-    def advance(frontier: DataFrame, rounds: list[DataFrame]) -> DataFrame:
-        below = edges.join(frontier, "grp").select(F.col("child").alias("grp")).distinct()
-        return below.join(_union(rounds, frontier), "grp", "left_anti")
+    def advance(frontier: DataFrame) -> DataFrame:
+        return edges.join(frontier, "grp").select(F.col("child").alias("grp")).distinct()
 
-    rounds = _walk(start, advance, "reach")
-    return _union(rounds, start)
+    return _walk(start, advance, "reach").groupBy("grp").agg(F.max("depth").alias("depth"))
 
 
 def group_levels(group_child: DataFrame) -> DataFrame:
     """(grp, level): longest way down to a group without group children, which has level 0.
 
-    Computing levels in ascending order is a bottom-up order.  Raises on a cycle.
+    Raises on a cycle.
     """
     edges = group_edges(group_child)
     groups = group_child.select("grp").distinct()
 
-    def advance(frontier: DataFrame, _: list[DataFrame]) -> DataFrame:
+    def advance(frontier: DataFrame) -> DataFrame:
         return edges.join(frontier.select(F.col("grp").alias("child")), "child").select("grp").distinct()
 
-    rounds = _walk(groups, advance, "levels")
-    levelled = [r.withColumn("level", F.lit(i)) for i, r in enumerate(rounds)]
-    return _union(levelled, groups.withColumn("level", F.lit(0))).groupBy("grp").agg(F.max("level").alias("level"))
+    return _walk(groups, advance, "levels").groupBy("grp").agg(F.max("depth").alias("level"))
 
 
 def expand_suites(names: DataFrame, group_child: DataFrame, tags: DataFrame | None = None) -> DataFrame:
@@ -90,18 +104,16 @@ def expand_suites(names: DataFrame, group_child: DataFrame, tags: DataFrame | No
         edges = edges.unionByName(
             tags.select(F.col("tag").alias("node"), F.col("task").alias("pos"), F.col("task").alias("next"))
         )
-    edges = stage(edges, "edges")
     inner = edges.select("node").distinct()
     start = names.select("suite", "suite_pos", F.array().cast("array<string>").alias("path"), F.col("suite").alias("node"))
 
-    def advance(frontier: DataFrame, _: list[DataFrame]) -> DataFrame:
+    def advance(frontier: DataFrame) -> DataFrame:
         return frontier.join(edges, "node").select(
             "suite", "suite_pos", F.array_append("path", F.col("pos")).alias("path"), F.col("next").alias("node")
         )
 
-    rounds = _walk(start, advance, "expand")
-    leaves = [r.join(inner, "node", "left_anti") for r in rounds]
-    return _union(leaves, start).select("suite", "suite_pos", "path", F.col("node").alias("task"))
+    met = _walk(start, advance, "expand")
+    return met.join(inner, "node", "left_anti").select("suite", "suite_pos", "path", F.col("node").alias("task"))
 
 
 def parent_of(group_child: DataFrame) -> DataFrame:
@@ -155,26 +167,25 @@ def applicable_children(
     )
 
 
-def subtask_trees(applicable: DataFrame, levels: DataFrame) -> DataFrame:
+def subtask_trees(applicable: DataFrame, group_edges: DataFrame, depth: int) -> DataFrame:
     """(grp, metric, subtask_tree) of every aggregate that can be computed.
 
     An aggregate exists only when all applicable children have scores, so its tree follows
     from the graph alone and is built once per (grp, metric), not per score row.
+    ``group_edges`` are the applicable edges that lead to groups, ``depth`` the longest way.
     """
     own = applicable.groupBy("grp", "metric").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("child_pos", "child"))), lambda c: c["child"]).alias("kids")
     )
-    down = applicable.join(levels.select(F.col("grp").alias("child")), "child", "left_semi").select(
-        "grp", "metric", "child"
-    )
+    down = group_edges.select(F.col("grp").alias("node"), "metric", F.col("child").alias("next"))
     pairs = own.select("grp", "metric", F.col("grp").alias("node"))
 
-    def advance(frontier: DataFrame, _: list[DataFrame]) -> DataFrame:
-        edges = down.withColumnRenamed("grp", "node").withColumnRenamed("child", "next")
-        return frontier.join(edges, ["node", "metric"]).select("grp", "metric", F.col("next").alias("node")).distinct()
+    def advance(frontier: DataFrame) -> DataFrame:
+        return frontier.join(down, ["node", "metric"]).select("grp", "metric", F.col("next").alias("node")).distinct()
 
-    rounds = _walk(pairs, advance, "trees")
-    nodes = _union(rounds, pairs).distinct()
+    # The depth is known, so a flat graph needs no intermediate table.
+    met = _rounds(pairs, advance, depth + 1) if depth < 6 else _walk(pairs, advance, "trees")
+    nodes = met.select("grp", "metric", "node").distinct()
     kids = own.withColumnRenamed("grp", "node")
     return (
         nodes.join(kids, ["node", "metric"])

@@ -48,14 +48,7 @@ def is_score_key(key: Column, value: Column) -> Column:
 
 def numeric_or_null(value: Column) -> Column:
     """Numbers and booleans as double; text is null even when it looks like a number."""
-    kind = F.schema_of_variant(value)
-    special = F.try_variant_get(value, "$", "string").isin("NaN", "Infinity", "-Infinity")
-    return (
-        F.when(kind == "STRING", F.lit(None).cast("double"))
-        .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("double"))
-        .when(kind.startswith("DECIMAL") | (kind == "BIGINT") | (kind == "DOUBLE") | (kind == "FLOAT") | special,
-              F.try_variant_get(value, "$", "double"))
-    )
+    return F.when(F.schema_of_variant(value) != "STRING", F.try_variant_get(value, "$", "double"))
 
 
 def _text(value: Column, path: str = "$") -> Column:
@@ -124,16 +117,11 @@ def parse_documents(files: DataFrame) -> DataFrame:
     docs = files.select(*[c for c in files.columns if c != "content"], F.explode(F.array(parsed)).alias("d"))
     readable = F.col("d").isNotNull() & F.col("d._corrupt").isNull()
     kinds_of = lambda m: F.transform(F.map_values(m), F.schema_of_variant)
-    scores = F.flatten(
-        F.transform(
-            F.map_values("d.results"),
-            lambda m: F.transform(
-                F.filter(F.map_entries(m), lambda e: is_score_key(e["key"], e["value"]) | is_stderr(e["key"])),
-                lambda e: F.schema_of_variant(e["value"]),
-            ),
-        )
+    nested = lambda v: F.schema_of_variant(v).rlike("^(ARRAY|OBJECT)")
+    nested_metric = F.exists(
+        F.map_values("d.results"),
+        lambda m: F.exists(F.map_entries(m), lambda e: F.contains(e["key"], F.lit(",")) & nested(e["value"])),
     )
-    nested = lambda kind: kind.startswith("ARRAY") | kind.startswith("OBJECT")
     shots = F.map_values("d.n-shot")
     bad_shot = lambda v: ~F.coalesce(F.schema_of_variant(v) == "VOID", F.lit(True)) & (
         F.coalesce(F.try_variant_get(v, "$", "double") != F.try_variant_get(v, "$", "bigint"), F.lit(True))
@@ -145,7 +133,7 @@ def parse_documents(files: DataFrame) -> DataFrame:
     no = F.lit(False)
     reason = (
         F.when(~readable, F.lit("unreadable"))
-        .when(F.coalesce(F.exists(scores, nested), no), F.lit("nested metric value"))
+        .when(F.coalesce(nested_metric, no), F.lit("nested metric value"))
         .when(F.coalesce(F.exists(kinds_of("d.configs"), lambda k: ~k.startswith("OBJECT")), no), F.lit("task config is no object"))
         .when(F.coalesce(F.exists(shots, bad_shot), no), F.lit("few-shot count is no integer"))
         .when(F.coalesce(bad_time, no), F.lit("evaluation time is no number"))

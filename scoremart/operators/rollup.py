@@ -15,18 +15,10 @@ from pyspark.sql import functions as F
 from ..functions import null_safe_join
 from ..schemas import SCORE
 from ..session import stage
-from .hierarchy import (
-    applicable_children,
-    group_levels,
-    parent_of,
-    preferred_filters,
-    reachable_groups,
-    reported_metrics,
-    subtask_trees,
-)
+from .hierarchy import parent_of, preferred_filters, reachable_groups, subtask_trees
 from .merge import conform
 
-_CELL = ["model", "step", "grp", "metric"]
+_CELL = ["model", "step", "grp", "metric", "depth"]
 
 # What a child hands to its groups, besides its score.
 _CHILD = [
@@ -35,45 +27,38 @@ _CHILD = [
 ]
 
 
-def _filled(name: str) -> Column:
-    value = F.col(name)
-    return value.isNotNull() & (value != (F.lit("") if name in ("model_path", "model_display_name") else F.lit(0)))
-
-
-def _first_filled(name: str) -> Column:
-    """(position, value) of the first child with a usable value; min over structs merges."""
-    return F.min(F.when(_filled(name), F.struct("child_pos", F.col(name).alias("value")))).alias(name)
-
-
 def contributions(children: DataFrame, edges: DataFrame) -> DataFrame:
-    """Child rows matched to the groups and metrics they count for."""
+    """What each scored child adds to the cells of its groups, as one-row accumulators."""
     weight = F.when(F.coalesce("n_samples", F.lit(0)) == 0, F.lit(1)).otherwise(F.col("n_samples"))
-    return (
-        children.filter("score is not null")
-        .join(edges, ["child", "metric", "metric_filter"])
-        .withColumn("weight", weight)
-    )
-
-
-def accumulate(rows: DataFrame) -> DataFrame:
-    """Accumulator per cell from child contributions.  Combines map-side."""
-    return rows.groupBy(*_CELL).agg(
-        F.count("*").alias("n_scored"),
-        F.sum("score").alias("sum_s"),
-        F.sum(F.col("score") * F.col("weight")).alias("sum_sw"),
-        F.sum("weight").alias("sum_w"),
-        F.max("weight").alias("max_w"),
-        F.max("eval_date").alias("eval_date"),
-        F.min("language").alias("lang_lo"),
-        F.max("language").alias("lang_hi"),
-        F.min("higher_is_better").alias("hib_lo"),
-        F.max("higher_is_better").alias("hib_hi"),
-        *[_first_filled(c) for c in ("model_path", "model_display_name", "train_batch_size", "tokens_trained")],
+    # Text and number fields take the first usable child by position: the least struct.
+    first = {
+        name: F.when(F.col(name) != empty, F.struct("child_pos", F.col(name).alias("value")))
+        for name, empty in [
+            ("model_path", F.lit("")),
+            ("model_display_name", F.lit("")),
+            ("train_batch_size", F.lit(0)),
+            ("tokens_trained", F.lit(0)),
+        ]
+    }
+    matched = children.filter("score is not null").join(edges, ["child", "metric", "metric_filter"])
+    return matched.withColumn("weight", weight).select(
+        *_CELL,
+        F.lit(1).cast("bigint").alias("n_scored"),
+        F.col("score").alias("sum_s"),
+        (F.col("score") * F.col("weight")).alias("sum_sw"),
+        F.col("weight").alias("sum_w"),
+        F.col("weight").alias("max_w"),
+        "eval_date",
+        F.col("language").alias("lang_lo"),
+        F.col("language").alias("lang_hi"),
+        F.col("higher_is_better").alias("hib_lo"),
+        F.col("higher_is_better").alias("hib_hi"),
+        *[value.alias(name) for name, value in first.items()],
     )
 
 
 def combine(parts: DataFrame) -> DataFrame:
-    """Merge accumulators of the same cell."""
+    """Merge accumulators of the same cell; combines before the exchange."""
     low = ["lang_lo", "hib_lo", "model_path", "model_display_name", "train_batch_size", "tokens_trained"]
     high = ["max_w", "eval_date", "lang_hi", "hib_hi"]
     total = ["n_scored", "sum_s", "sum_sw", "sum_w"]
@@ -120,56 +105,60 @@ def finalise(cells: DataFrame, shape: DataFrame) -> DataFrame:
 
 
 class Hierarchy:
-    """The part of the group graph below the configured suites, prepared for one leaf table."""
+    """The part of the group graph below the configured suites, prepared for one leaf table.
+
+    ``edges`` has one row per (group, metric, applicable child) with the filter to read the
+    child's score under, the group's depth and whether the child is itself a group.
+    """
 
     def __init__(self, leaf: DataFrame, group_child: DataFrame, group_metric: DataFrame, suites: DataFrame):
         self.suites = suites.select(F.col("task").alias("grp")).distinct()
-        self.reachable = reachable_groups(group_child, self.suites)
-        inside = group_child.join(self.reachable, "grp", "left_semi")
-        self.levels = stage(group_levels(inside), "levels")
-        self.parents = parent_of(group_child)
-        metrics = (
-            group_metric.join(self.reachable, "grp", "left_semi")
-            .groupBy("grp", "metric")
-            .agg(F.bool_or("weight_by_size").alias("weight_by_size"))
+        self.group_child = group_child
+        reachable = reachable_groups(group_child, self.suites)
+        inside = group_child.join(reachable, "grp")
+        metrics = group_metric.groupBy("grp", "metric").agg(F.bool_or("weight_by_size").alias("weight_by_size"))
+        groups = group_child.select(F.col("grp").alias("child")).distinct().withColumn("is_group", F.lit(True))
+        filters = preferred_filters(leaf)
+        declared = group_metric.select(F.col("grp").alias("task"), "metric").distinct()
+        options = filters.join(declared.select("task").distinct(), "task", "left_anti").unionByName(
+            declared.withColumn("metric_filter", F.lit("none"))
         )
-        groups = group_child.select(F.col("grp").alias("task")).distinct()
-        observed = leaf.join(groups, "task", "left_anti")
-        self.applicable = stage(
-            applicable_children(inside, metrics, reported_metrics(observed, group_metric)), "applicable"
+        self.edges = stage(
+            inside.join(metrics, "grp")
+            .join(options.withColumnRenamed("task", "child"), ["child", "metric"])
+            .join(groups, "child", "left")
+            .select(
+                "grp", "metric", "weight_by_size", "child", "child_pos", "metric_filter", "depth",
+                F.coalesce("is_group", F.lit(False)).alias("is_group"),
+            ),
+            "edges",
         )
-        filters = preferred_filters(observed).withColumnRenamed("task", "child")
-        group_names = groups.withColumnRenamed("task", "child")
-        from_groups = self.applicable.join(group_names, "child", "left_semi").withColumn("metric_filter", F.lit("none"))
-        from_leaves = self.applicable.join(group_names, "child", "left_anti").join(filters, ["child", "metric"])
-        self.leaf_edges = stage(from_leaves, "leaf-edges")
-        self.group_edges = stage(from_groups, "group-edges")
-        self.shape = group_shape(self.applicable)
+        self.shape = group_shape(self.edges)
+        self.top = self.edges.agg(F.max("depth").alias("top")).first()["top"]
 
 
-def _rollup_cells(leaf: DataFrame, h: Hierarchy) -> tuple[DataFrame, DataFrame]:
-    """(narrow score rows of all complete groups, accumulators of all cells)."""
+def _rollup_rows(leaf: DataFrame, h: Hierarchy) -> tuple[list[DataFrame], DataFrame]:
+    """(rows of complete groups per depth, deepest first; accumulators from leaves)."""
     leaves = leaf.select(*_CHILD, F.col("task").alias("child"), "metric", "metric_filter")
-    from_leaves = stage(accumulate(contributions(leaves, h.leaf_edges)), "leaf-cells")
-    top = h.levels.agg(F.max("level").alias("top")).first()["top"]
-
+    leaf_edges = h.edges.filter("not is_group")
+    from_leaves = stage(combine(contributions(leaves, leaf_edges)), "leaf-cells")
     rows: list[DataFrame] = []
-    cells: list[DataFrame] = []
-    for level in range(0 if top is None else top + 1):
-        here = h.levels.filter(F.col("level") == level).select("grp")
-        parts = from_leaves.join(here, "grp", "left_semi")
-        if rows:
-            edges = h.group_edges.join(here, "grp", "left_semi")
-            done = reduce(DataFrame.unionByName, rows).select(
-                *_CHILD, F.col("task").alias("child"), "metric", "metric_filter"
-            )
-            parts = combine(parts.unionByName(accumulate(contributions(done, edges))))
-        cells.append(stage(parts, "cells"))
-        rows.append(stage(finalise(cells[-1], h.shape), "groups"))
-    if not rows:
-        rows = [finalise(from_leaves, h.shape)]
-        cells = [from_leaves]
-    return reduce(DataFrame.unionByName, rows), reduce(DataFrame.unionByName, cells)
+    for depth in range(-1 if h.top is None else h.top, -1, -1):
+        parts = _cells_at(depth, from_leaves, rows, h)
+        rows.append(stage(finalise(parts, h.shape), "groups"))
+    return rows, from_leaves
+
+
+def _cells_at(depth: int, from_leaves: DataFrame, rows: list[DataFrame], h: Hierarchy) -> DataFrame:
+    """Accumulators of the groups at one depth from leaves and already computed groups."""
+    here = h.edges.filter(F.col("depth") == depth)
+    parts = from_leaves.filter(F.col("depth") == depth)
+    if rows:
+        done = reduce(DataFrame.unionByName, rows).select(
+            *_CHILD, F.col("task").alias("child"), "metric", "metric_filter"
+        )
+        parts = combine(parts.unionByName(contributions(done, here.filter("is_group"))))
+    return parts
 
 
 def rollup(
@@ -180,15 +169,17 @@ def rollup(
     ``leaf`` holds one row per key; a leaf row named like a group is replaced by the group.
     """
     h = Hierarchy(leaf, group_child, group_metric, suites)
-    rows, _ = _rollup_cells(leaf, h)
-    return decorate(rows, h)
+    rows, _ = _rollup_rows(leaf, h)
+    if not rows:
+        return leaf.sparkSession.createDataFrame([], SCORE)
+    return decorate(reduce(DataFrame.unionByName, rows), h)
 
 
 def decorate(rows: DataFrame, h: Hierarchy) -> DataFrame:
     """Add what depends on the group alone: role, parent and subtask tree."""
     suites = h.suites.select(F.col("grp").alias("task"), F.lit("eval_suite").alias("_role"))
-    parents = h.parents.select(F.col("child").alias("task"), F.col("parent").alias("parent_task"))
-    trees = subtask_trees(h.applicable, h.levels).withColumnRenamed("grp", "task")
+    parents = parent_of(h.group_child).select(F.col("child").alias("task"), F.col("parent").alias("parent_task"))
+    trees = subtask_trees(h.edges, h.edges.filter("is_group"), h.top).withColumnRenamed("grp", "task")
     full = (
         rows.join(suites, "task", "left")
         .join(parents, "task", "left")
@@ -203,9 +194,11 @@ def incomplete_cells(
 ) -> DataFrame:
     """Diagnostics: cells with some but not all applicable children scored."""
     h = Hierarchy(leaf, group_child, group_metric, suites)
-    _, cells = _rollup_cells(leaf, h)
+    rows, from_leaves = _rollup_rows(leaf, h)
+    depths = range(-1 if h.top is None else h.top, -1, -1)
+    cells = [_cells_at(depth, from_leaves, rows[:i], h) for i, depth in enumerate(depths)]
     return (
-        cells.join(h.shape, ["grp", "metric"])
+        reduce(DataFrame.unionByName, cells or [from_leaves]).join(h.shape, ["grp", "metric"])
         .filter("n_scored < n_applicable")
         .select("model", "step", "grp", "metric", "n_scored", "n_applicable")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,18 +15,20 @@ RESULT_GLOB = "results_*.json"
 _BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def _path_part(path: Column, from_end: int) -> Column:
+def path_part(path: Column, from_end: int) -> Column:
     """Decoded directory name counted from the file; ``name=value`` directories give the value."""
     part = F.element_at(F.split(path, "/"), -from_end)
     return F.regexp_replace(F.url_decode(part), "^[A-Za-z_]+=", "")
 
 
-def _as_result_files(raw: DataFrame) -> DataFrame:
+def _as_result_files(raw: DataFrame, root: str) -> DataFrame:
+    """Files exactly three directories below ``root``, with the directory names as columns."""
     path = F.col("path")
-    return raw.select(
-        _path_part(path, 4).alias("model_key"),
-        _path_part(path, 3).alias("label"),
-        _path_part(path, 2).alias("dir"),
+    below = re.sub(r"^\w+://?[^/]*", "", root).rstrip("/")
+    return raw.filter(path.rlike(rf"\Q{below}\E(/[^/]+){{4}}$")).select(
+        path_part(path, 4).alias("model_key"),
+        path_part(path, 3).alias("label"),
+        path_part(path, 2).alias("dir"),
         "path",
         F.col("modificationTime").alias("mtime"),
         F.decode("content", "UTF-8").alias("content"),
@@ -38,12 +42,17 @@ def scan_result_files(spark: SparkSession, root: str, glob: str = RESULT_GLOB) -
     time alone works on the listing.
     """
     try:
-        raw = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*/*/{glob}")
+        raw = (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", True)
+            .option("pathGlobFilter", glob)
+            .load(root)
+        )
     except Exception as error:
         if not path_missing(error):
             raise
         return spark.createDataFrame([], RESULT_FILE)
-    return _as_result_files(raw)
+    return _as_result_files(raw, root)
 
 
 def stream_result_files(
@@ -54,9 +63,11 @@ def stream_result_files(
         spark.readStream.format("binaryFile")
         .schema(_BINARY_FILE)
         .option("maxFilesPerTrigger", max_files)
-        .load(f"{root.rstrip('/')}/*/*/*/{glob}")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", glob)
+        .load(root)
     )
-    return _as_result_files(raw)
+    return _as_result_files(raw, root)
 
 
 def superseded_paths(files: DataFrame) -> DataFrame:
