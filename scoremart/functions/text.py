@@ -66,13 +66,27 @@ def format_tokens(n: Column | str) -> Column:
     n = _col(n)
 
     def short(unit: str) -> Column:
-        ratio = n.cast("decimal(20,0)") / F.lit(UNITS[unit]).cast("decimal(13,0)")
-        text = F.round(ratio, 0).cast("decimal(20,0)").cast("string")
+        size = F.lit(UNITS[unit]).cast("decimal(13,0)")
+        ratio = n.cast("decimal(20,0)") / size
+        # The quotient is rounded as a double would be: where its decimal value is exactly
+        # half-way, the side on which the double lies decides.  Times 2^52 (2^42 for large
+        # quotients) the double is a whole number, so the comparison is exact.
+        bits = F.when(ratio < 1024, F.lit(2**52)).otherwise(F.lit(2**42)).cast("decimal(16,0)")
+        double = (n / UNITS[unit]) * bits.cast("double")
+        lies_below = double.cast("decimal(20,0)") * size < n.cast("decimal(19,0)") * bits
+
+        def rounded(scale: int) -> Column:
+            shifted = ratio * 10**scale
+            half_way = shifted - F.floor(shifted) == F.lit("0.5").cast("decimal(2,1)")
+            whole = F.floor(shifted) + F.when(half_way & lies_below, 0).otherwise(
+                F.when(shifted - F.floor(shifted) >= F.lit("0.5").cast("decimal(2,1)"), 1).otherwise(0)
+            )
+            return (whole / 10**scale).cast(f"decimal(20,{scale})").cast("string")
+
+        text = rounded(0)
         # Six significant digits: the more digits before the point, the fewer after it.
         for scale in range(1, 6):
-            trimmed = F.regexp_replace(
-                F.round(ratio, scale).cast(f"decimal(20,{scale})").cast("string"), r"\.?0+$", ""
-            )
+            trimmed = F.regexp_replace(rounded(scale), r"\.?0+$", "")
             text = F.when(ratio < 10 ** (6 - scale), trimmed).otherwise(text)
         return F.concat(text, F.lit(unit))
 
