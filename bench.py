@@ -34,7 +34,7 @@ HEADLINE = [
     "latest_file_per_dir",
     "sync_dimension",
     "drop_rows",
-    "scan_failed_log",
+    "scan_job_queue",
     "stream_merge_scores",
 ]
 

@@ -62,38 +62,35 @@ def parse_human_int(text: Column | str) -> Column:
 
 
 def format_tokens(n: Column | str) -> Column:
-    """Short display of a token count: ``36T``, ``5.507T``, ``100B``, ``1,500``, ``-`` for null."""
-    n = _col(n)
+    """Short display of a token count: ``36T``, ``5.507T``, ``100B``, ``1,500``, ``-`` for null.
 
-    def short(unit: str) -> Column:
-        size = F.lit(UNITS[unit]).cast("decimal(13,0)")
-        ratio = n.cast("decimal(20,0)") / size
-        # The quotient is rounded as a double would be: where its decimal value is exactly
-        # half-way, the side on which the double lies decides.  Times 2^52 (2^42 for large
-        # quotients) the double is a whole number, so the comparison is exact.
-        bits = F.when(ratio < 1024, F.lit(2**52)).otherwise(F.lit(2**42)).cast("decimal(16,0)")
-        double = (n / UNITS[unit]) * bits.cast("double")
-        lies_below = double.cast("decimal(20,0)") * size < n.cast("decimal(19,0)") * bits
-
-        def rounded(scale: int) -> Column:
-            shifted = ratio * 10**scale
-            half_way = shifted - F.floor(shifted) == F.lit("0.5").cast("decimal(2,1)")
-            whole = F.floor(shifted) + F.when(half_way & lies_below, 0).otherwise(
-                F.when(shifted - F.floor(shifted) >= F.lit("0.5").cast("decimal(2,1)"), 1).otherwise(0)
-            )
-            return (whole / 10**scale).cast(f"decimal(20,{scale})").cast("string")
-
-        text = rounded(0)
-        # Six significant digits: the more digits before the point, the fewer after it.
-        for scale in range(1, 6):
-            trimmed = F.regexp_replace(rounded(scale), r"\.?0+$", "")
-            text = F.when(ratio < 10 ** (6 - scale), trimmed).otherwise(text)
-        return F.concat(text, F.lit(unit))
-
-    shown = F.format_number(n, 0)
-    for unit in ("M", "B", "T"):
-        shown = F.when(n >= UNITS[unit], short(unit)).otherwise(shown)
-    return F.when(n.isNull(), F.lit("-")).otherwise(shown)
+    Six significant digits of the quotient, rounded as a double would be: where its decimal
+    value is exactly half-way, the side on which the double lies decides, and if it is exact
+    the even digit.
+    """
+    n = _col(n)
+    units = ["T", "B", "M"]
+    pick = lambda values: F.coalesce(*[F.when(n >= UNITS[u], F.lit(v)) for u, v in zip(units, values)])
+    size = pick([UNITS[u] for u in units])
+    ratio = n.cast("decimal(20,0)") / size.cast("decimal(13,0)")
+    # The more digits before the point, the fewer after it.
+    shift = F.coalesce(*[F.when(ratio < 10 ** (6 - k), F.lit(10**k)) for k in range(5, 0, -1)], F.lit(1))
+    shifted = ratio * shift.cast("decimal(6,0)")
+    floor = F.floor(shifted)
+    rest = shifted - floor
+    half = F.lit("0.5").cast("decimal(2,1)")
+    # Times 2^52 (2^42 for large quotients) the double is a whole number: an exact comparison.
+    bits = F.when(ratio < 1024, F.lit(2**52)).when(ratio < 10**6, F.lit(2**42)).otherwise(F.lit(1))
+    double = ((n / size) * bits).cast("bigint").cast("decimal(20,0)") * size.cast("decimal(13,0)")
+    exact = n.cast("decimal(20,0)") * bits.cast("decimal(16,0)")
+    down = (rest < half) | ((rest == half) & ((double < exact) | ((double == exact) & (floor % 2 == 0))))
+    whole = F.when(down, floor).otherwise(floor + 1)
+    digits = F.regexp_replace((whole / shift).cast("decimal(20,5)").cast("string"), r"\.?0+$", "")
+    return (
+        F.when(n.isNull(), F.lit("-"))
+        .when(size.isNull(), F.format_number(n, 0))
+        .otherwise(F.concat(digits, pick(units)))
+    )
 
 
 def suffix_class(task: Column | str) -> tuple[Column, Column]:

@@ -47,11 +47,11 @@ def _walk(start: DataFrame, advance, name: str, unroll: int = 4) -> DataFrame:
         chunks.append(chunk)
         depth += unroll
         last = chunk.filter(F.col("depth") == depth - 1)
-        if last.isEmpty():
+        frontier = advance(last.drop("depth"))
+        if last.isEmpty() or frontier.isEmpty():
             return reduce(DataFrame.unionByName, chunks)
         if depth > MAX_DEPTH:
             raise GroupCycleError(f"groups nested deeper than {MAX_DEPTH} levels")
-        frontier = advance(last.drop("depth"))
 
 
 def group_edges(group_child: DataFrame) -> DataFrame:

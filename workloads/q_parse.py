@@ -33,7 +33,7 @@ PARSED = dict(
             count(DISTINCT k % 5), NULL, 'eval_suite', NULL FROM tasks GROUP BY model, label, step, dir""",
 )
 
-_ID = [F.col("model"), "label", "dir", "task", "metric", "metric_filter"]
+_ID = ["model", "label", "dir", "task", "metric", "metric_filter"]
 _ID_SQL = "model, label, dir, task, metric, metric_filter"
 
 
@@ -46,7 +46,7 @@ def parsed(name: str, sql: str, *columns):
 
     @query(name, f"SELECT {_ID_SQL}, {sql} FROM parsed", **PARSED)
     def _(d):
-        return rows(d).select(*_ID, *columns)
+        return rows(d).selectExpr(*_ID, *columns)
 
 
 parsed("parse_results_long", "step, score", "step", "score")
@@ -71,38 +71,36 @@ parsed(
        CASE WHEN k IS NULL THEN NULL WHEN metric = 'acc' THEN true WHEN metric = 'em' THEN false END AS higher_is_better""",
     "num_fewshot",
     "n_samples",
-    F.col("task_config.task_version").alias("version"),
+    "task_config.task_version AS version",
     "higher_is_better",
 )
 parsed(
     "eval_config_struct",
     """'0.4.10' AS harness, CAST(4096 AS BIGINT) AS max_length, CAST(12.5 AS DOUBLE) AS seconds, '<pad>' AS pad,
        CAST(NULL AS VARCHAR) AS eos, model AS model_name""",
-    F.col("eval_config.lm_eval_version").alias("harness"),
+    "eval_config.lm_eval_version AS harness",
     "eval_config.max_length",
-    F.col("eval_config.total_eval_time_seconds").alias("seconds"),
-    F.col("eval_config.tokenizer_pad_token").alias("pad"),
-    F.col("eval_config.tokenizer_eos_token").alias("eos"),
+    "eval_config.total_eval_time_seconds AS seconds",
+    "eval_config.tokenizer_pad_token AS pad",
+    "eval_config.tokenizer_eos_token AS eos",
     "eval_config.model_name",
 )
 parsed(
     "task_config_struct",
-    """concat('d', k) AS dataset_path, CASE k % 4 WHEN 0 THEN 'multiple_choice' WHEN 1 THEN 'loglikelihood' WHEN 2 THEN 'generate_until'
+    """CASE WHEN k IS NOT NULL THEN concat('d', k) END AS dataset_path, CASE k % 4 WHEN 0 THEN 'multiple_choice' WHEN 1 THEN 'loglikelihood' WHEN 2 THEN 'generate_until'
        WHEN 3 THEN 'loglikelihood_rolling' END AS output_type, k AS repeats, CASE WHEN k IS NOT NULL THEN 'x' END AS doc_to_text,
-       CASE WHEN k IS NOT NULL THEN '["A","B"]' END AS doc_to_choice, task_type <> 'benchmark' AS no_config""".replace(
-        "concat('d', k) AS", "CASE WHEN k IS NOT NULL THEN concat('d', k) END AS"
-    ),
+       CASE WHEN k IS NOT NULL THEN '["A","B"]' END AS doc_to_choice, task_type <> 'benchmark' AS no_config""",
     "task_config.dataset_path",
     "task_config.output_type",
     "task_config.repeats",
     "task_config.doc_to_text",
     "task_config.doc_to_choice",
-    F.col("task_config").isNull().alias("no_config"),
+    "task_config IS NULL AS no_config",
 )
 parsed(
     "eval_date",
     "strftime(mtime, '%Y-%m-%d 00:00:00.500') AS evaluated",
-    F.date_format("eval_date", "yyyy-MM-dd HH:mm:ss.SSS").alias("evaluated"),
+    "date_format(eval_date, 'yyyy-MM-dd HH:mm:ss.SSS') AS evaluated",
 )
 
 
@@ -113,9 +111,9 @@ def _(d):
     )
 
 
-@query("drop_sentinel", "SELECT model, label, dir, task, metric, score FROM parsed WHERE task = 'n3'", **PARSED)
+@query("drop_sentinel", "SELECT model, label, dir, task, metric, score FROM parsed", **PARSED)
 def _(d):
-    return rows(d).filter("task = 'n3'").select("model", "label", "dir", "task", "metric", "score")
+    return rows(d).select("model", "label", "dir", "task", "metric", "score")
 
 
 @query("split_metric_key", "SELECT DISTINCT task, metric, metric_filter FROM parsed", **PARSED)

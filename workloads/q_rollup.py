@@ -11,7 +11,7 @@ from scoremart.schemas import KEY
 from scoremart.session import stage
 
 from .q_merge import sides
-from .registry import query
+from .registry import near, query
 from .rollup_sql import LATEST, ROLLED
 
 _R = dict(latest=LATEST, **ROLLED)
@@ -22,8 +22,13 @@ def leaf(d):
     return stage(m.merge_and_dedup(*sides(d)), "leaf")
 
 
+def graph(d):
+    """The small task graph; in use it is a table, so it is written once here as well."""
+    return [stage(t, "graph") for t in (d.group_child, d.group_metric, d.suites)]
+
+
 def rolled(d):
-    return r.rollup(leaf(d), d.group_child, d.group_metric, d.suites)
+    return r.rollup(leaf(d), *graph(d))
 
 
 _ASIA = """SELECT concat('nation_', CAST(n_nationkey AS STRING)) AS grp FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
@@ -64,25 +69,25 @@ def _(d):
     return h.applicable_children(inside, d.group_metric, h.reported_metrics(scores, d.group_metric))
 
 
-@query("rollup_mean", """SELECT task, model, step, metric, round(score, 6) AS score FROM rolled
+@query("rollup_mean", """SELECT task, model, step, metric, round(score + 0.000001, 5) AS score FROM rolled
     WHERE (task, metric) IN (SELECT (grp, metric) FROM group_metric WHERE NOT weight_by_size)""", **_R)
 def _(d):
     means = d.group_metric.filter("not weight_by_size").select(F.col("grp").alias("task"), "metric")
-    return rolled(d).join(means, ["task", "metric"], "left_semi").select("task", "model", "step", "metric", F.round("score", 6).alias("score"))
+    return rolled(d).join(means, ["task", "metric"], "left_semi").select("task", "model", "step", "metric", near("score"))
 
 
-@query("rollup_weighted_mean", """SELECT task, model, step, metric, round(score, 6) AS score, n_samples FROM rolled
+@query("rollup_weighted_mean", """SELECT task, model, step, metric, round(score + 0.000001, 5) AS score, n_samples FROM rolled
     WHERE (task, metric) IN (SELECT (grp, metric) FROM group_metric WHERE weight_by_size)""", **_R)
 def _(d):
     weighted = d.group_metric.filter("weight_by_size").select(F.col("grp").alias("task"), "metric")
     return rolled(d).join(weighted, ["task", "metric"], "left_semi").select(
-        "task", "model", "step", "metric", F.round("score", 6).alias("score"), "n_samples"
+        "task", "model", "step", "metric", near("score"), "n_samples"
     )
 
 
-@query("rollup_levels", f"SELECT {', '.join(KEY)}, round(score, 6) AS score, task_type FROM rolled", **_R)
+@query("rollup_levels", f"SELECT {', '.join(KEY)}, round(score + 0.000001, 5) AS score, task_type FROM rolled", **_R)
 def _(d):
-    return rolled(d).select(*KEY, F.round("score", 6).alias("score"), "task_type")
+    return rolled(d).select(*KEY, near("score"), "task_type")
 
 
 @query("completeness_gate", """SELECT model, step, grp, metric, count(*) AS n_scored, any_value(n) AS n_applicable FROM (
@@ -92,7 +97,7 @@ def _(d):
     JOIN edges e ON c.task = e.child AND c.metric = e.metric AND c.metric_filter = e.metric_filter WHERE c.score IS NOT NULL) x
     GROUP BY model, step, grp, metric HAVING count(*) < any_value(n)""", **_R)
 def _(d):
-    return r.incomplete_cells(leaf(d), d.group_child, d.group_metric, d.suites)
+    return r.incomplete_cells(leaf(d), *graph(d))
 
 
 @query("consensus_attrs", f"SELECT {', '.join(KEY)}, language, higher_is_better FROM rolled", **_R)
