@@ -154,6 +154,21 @@ def preferred_filters(leaf: DataFrame) -> DataFrame:
     return simple.unionByName(first)
 
 
+def filter_vocabulary(leaf: DataFrame) -> DataFrame:
+    """(task, metric, metric_filter, first): filters seen, each with its least (model, step).
+
+    Vocabularies of parts of a table can be stored and united, which :func:`choose_filters`
+    accepts, so a growing table need not be scanned again.
+    """
+    return leaf.groupBy("task", "metric", "metric_filter").agg(F.min(F.struct("model", "step")).alias("first"))
+
+
+def choose_filters(vocabulary: DataFrame) -> DataFrame:
+    """The result of :func:`preferred_filters` from stored vocabularies."""
+    order = F.struct((F.col("metric_filter") != "none").alias("other"), "first", "metric_filter")
+    return vocabulary.groupBy("task", "metric").agg(F.min_by("metric_filter", order).alias("metric_filter"))
+
+
 def applicable_children(
     group_child: DataFrame, group_metric: DataFrame, reported: DataFrame
 ) -> DataFrame:

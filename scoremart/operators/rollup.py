@@ -111,14 +111,21 @@ class Hierarchy:
     child's score under, the group's depth and whether the child is itself a group.
     """
 
-    def __init__(self, leaf: DataFrame, group_child: DataFrame, group_metric: DataFrame, suites: DataFrame):
+    def __init__(
+        self,
+        leaf: DataFrame,
+        group_child: DataFrame,
+        group_metric: DataFrame,
+        suites: DataFrame,
+        filters: DataFrame | None = None,
+    ):
         self.suites = suites.select(F.col("task").alias("grp")).distinct()
         self.group_child = group_child
         reachable = reachable_groups(group_child, self.suites)
         inside = group_child.join(reachable, "grp")
         metrics = group_metric.groupBy("grp", "metric").agg(F.bool_or("weight_by_size").alias("weight_by_size"))
         groups = group_child.select(F.col("grp").alias("child")).distinct().withColumn("is_group", F.lit(True))
-        filters = preferred_filters(leaf)
+        filters = preferred_filters(leaf) if filters is None else filters
         declared = group_metric.select(F.col("grp").alias("task"), "metric").distinct()
         options = filters.join(declared.select("task").distinct(), "task", "left_anti").unionByName(
             declared.withColumn("metric_filter", F.lit("none"))
@@ -162,13 +169,19 @@ def _cells_at(depth: int, from_leaves: DataFrame, rows: list[DataFrame], h: Hier
 
 
 def rollup(
-    leaf: DataFrame, group_child: DataFrame, group_metric: DataFrame, suites: DataFrame
+    leaf: DataFrame,
+    group_child: DataFrame,
+    group_metric: DataFrame,
+    suites: DataFrame,
+    filters: DataFrame | None = None,
 ) -> DataFrame:
     """Aggregate score rows of all groups below the suites.
 
     ``leaf`` holds one row per key; a leaf row named like a group is replaced by the group.
+    Which children can report a metric, and under which filter, is a fact of the whole table:
+    when ``leaf`` is only part of it, pass that as ``filters(task, metric, metric_filter)``.
     """
-    h = Hierarchy(leaf, group_child, group_metric, suites)
+    h = Hierarchy(leaf, group_child, group_metric, suites, filters)
     rows, _ = _rollup_rows(leaf, h)
     if not rows:
         return leaf.sparkSession.createDataFrame([], SCORE)
