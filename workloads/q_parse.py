@@ -182,7 +182,7 @@ def _(d):
 
 
 _DIRS = """SELECT model AS model_key, label, concat('batch_', CAST(k AS STRING), '_0') AS dir,
-    concat('/out/', model, '/', label, '/', CAST(k AS STRING), result_source) AS path,
+    concat('/out/', model, '/', label, '/', CAST(k AS STRING), result_source, '/', CAST(n_samples AS STRING)) AS path,
     eval_date AS mtime, CAST(NULL AS STRING) AS content FROM scores"""
 
 
