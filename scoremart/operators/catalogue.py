@@ -71,7 +71,7 @@ def resolve_checkpoints(entries: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def unmatched_patterns(entries: DataFrame, listing: DataFrame) -> DataFrame:
-    """Entries whose checkpoint pattern matches no directory; an error for the reference's user."""
+    """Entries whose checkpoint pattern matches no directory: configuration errors."""
     series = entries.filter("checkpoint_pattern is not null")
     resolved = resolve_checkpoints(series, listing).select("run_id", "config_key").distinct()
     return series.join(resolved, ["run_id", "config_key"], "left_anti").select(

@@ -32,7 +32,7 @@ def test_diff_with_itself_is_empty(spark):
     assert d.diff_summary(t, t).first().asDict() == dict(
         old_rows=2, new_rows=2, net=0, churned=0, genuine_added=0, genuine_removed=0, changed=0)
     assert d.diff_added_removed(t, t).count() == 0 and d.diff_changed_values(t, t).count() == 0
-    # As the reference counts them: a null step never matches.
+    # The other counting: a null step never matches.
     assert d.diff_summary(t, t, null_keys_equal=False).first()["churned"] == 1
 
 

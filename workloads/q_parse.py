@@ -261,13 +261,10 @@ def queue_documents(d):
     return d.queue.groupBy("run_id").agg(F.concat(F.lit('{"jobs": ['), jobs, F.lit("]}")).alias("content"))
 
 
-@query("scan_job_queue", "SELECT run_id, task_key, job_id, state, row_number() OVER (PARTITION BY run_id ORDER BY pos) AS nth FROM active")
+@query("scan_job_queue", "SELECT run_id, task_key, job_id, state FROM active")
 def _(d):
     active = src.active_jobs(src.queue_rows(queue_documents(d)), "eval")
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy("run_id").orderBy("pos"))
-    return active.select("run_id", "task_key", "job_id", "state", nth.alias("nth"))
+    return active.select("run_id", "task_key", "job_id", "state")
 
 
 # One definition file per line item; a group is defined by several files and the last one counts.
