@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scoremart.session import scratch_path
 
-from . import bpe, html_text, quality_rules, token_file, token_lengths, warc
+from . import bpe, decontaminate, html_text, quality_model, quality_rules, token_file, token_lengths, warc
 from .common import stage
 
 RANKS = vocabularies.path("byte_bpe_multi_50k.tiktoken")
@@ -38,6 +39,15 @@ def op2_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_lengths.suffix_sums(stage(token_lengths.length_histogram(lengths), "length-histogram"))
 
 
+def op3_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scores.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf_dir, "documents"), RANKS, vocabularies.PATTERN)
     return bpe.with_decoded(encoded, RANKS, digests=True)
@@ -60,6 +70,15 @@ def op10_huffman_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc_index, op2_token_lengths, op5_byte_bpe, op6_adaptive_rules, op9_tag_path_text, op10_huffman_file)
+    for f in (
+        op1_warc_index,
+        op2_token_lengths,
+        op3_latent_decontamination,
+        op4_random_indexing_quality,
+        op5_byte_bpe,
+        op6_adaptive_rules,
+        op9_tag_path_text,
+        op10_huffman_file,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}

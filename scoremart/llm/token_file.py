@@ -16,23 +16,28 @@ gives an empty file; other columns are not read.
 
 from __future__ import annotations
 
+import os
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import binaries, binary_column, parts_for, stage
+from .common import binaries, binary_column, parts_for, pieces, stage
 
 MAX_BITS = 16
 STRIDE = 256
 BLOCK_TOKENS = 1 << 19
 PART_BYTES = 64 << 20
-#: Distinct chunks whose ids a task remembers; beyond that it starts afresh.
-MEMORY = 400_000
+#: Characters of text that are tokenized together, and chunks whose ids a task remembers.
+GROUP_CHARS = 4 << 20
+MEMORY = 150_000
 
 
 class ChunkEncoder:
@@ -41,23 +46,56 @@ class ChunkEncoder:
     Right for tokenizers that drop white space before merging, so that no token, merge or normal form reaches across it.
     """
 
+    #: How the tokenizer's file cuts white-space separated text, and its mark for a word's last token.
+    WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    SUFFIX = "</w>"
+
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None], end: int) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, the end id last."""
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(self.SUFFIX)]] = True
+        self.words = regex.compile(self.WORDS).findall
+        self.known: dict[bytes, bytes] = {}
+
+    def encode_chunks(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of distinct chunks.  Latin-1 chunks are tokenized as one text, whose tokens are dealt out by the number of
+        words of each chunk; in others, normal forms may change that number, and they are tokenized one by one."""
+        text = [c.decode() for c in chunks]
+        plain = [i for i, x in enumerate(text) if max(x) < "\u0100"]
+        out = {}
+        if plain:
+            counts = np.array([len(self.words(text[i].lower())) for i in plain])
+            made = self.tokenizer.encode(" ".join(text[i] for i in plain), add_special_tokens=False).ids
+            ids = np.array(made, "<u4")
+            end = np.flatnonzero(self.last[ids]) + 1
+            if len(end) == counts.sum() and (not len(end) or end[-1] == len(ids)):
+                cut = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(counts)])]
+                for k, i in enumerate(plain):
+                    out[chunks[i]] = ids[cut[k] : cut[k + 1]].tobytes()
+        rest = [c for c in chunks if c not in out]
+        for c, made in zip(rest, self.tokenizer.encode_batch_fast([c.decode() for c in rest], add_special_tokens=False), strict=True):
+            out[c] = np.array(made.ids, "<u4").tobytes()
+        return out
+
+    def encode(self, texts: list[bytes | None], end: int) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each UTF-8 text, the end id last.
+
+        Chunks that occur again in the group are remembered for the next ones; single ones are not.
+        """
         split = [x.split() if x else [] for x in texts]
-        if len(self.known) > MEMORY:
-            self.known = {}
-        known, tail = self.known, end.to_bytes(4, "little")
-        new = list({w for words in split for w in words if w not in known})
-        for low in range(0, len(new), 20_000):
-            part = new[low : low + 20_000]
-            for chunk, made in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(made.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) + tail for words in split]
+        times = Counter(chain.from_iterable(split))
+        known, own, tail = self.known, {}, end.to_bytes(4, "little")
+        new = [w for w in times if w not in known]
+        for low in range(0, len(new), 2_000):
+            own |= self.encode_chunks(new[low : low + 2_000])
+        out = [b"".join([known[w] if w in known else own[w] for w in words]) + tail for words in split]
+        if len(known) > MEMORY // 2:
+            self.known = {w: x for w, x in known.items() if w in times}
+        self.known.update((w, x) for w, x in own.items() if times[w] > 1 and len(self.known) < MEMORY)
+        return out
 
 
 def token_ids(docs: DataFrame, tokenizer: str, end: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -66,9 +104,9 @@ def token_ids(docs: DataFrame, tokenizer: str, end: int, doc_id: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(tokenizer)
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
-                ids = encoder.encode(part.column(1).to_pylist(), end)
+            for low, high, _, _ in pieces(batch.column(1), GROUP_CHARS):
+                part = batch.slice(low, high - low)
+                ids = encoder.encode(part.column(1).cast(pa.binary()).to_pylist(), end)
                 yield pa.record_batch([part.column(0), binaries(ids)], ["doc_id", "ids"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(

@@ -9,6 +9,11 @@ import numpy as np
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_WORD = (~_SPACE).astype(np.uint8)
+#: Kinds of bytes: letters and digits 1, other visible characters 2.
+LETTERS_AND_MARKS = np.where(_SPACE, 0, 2).astype(np.uint8)
+LETTERS_AND_MARKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+LETTERS = np.where(LETTERS_AND_MARKS == 1, 1, 0).astype(np.uint8)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -42,20 +47,26 @@ def solid_bytes(data: np.ndarray) -> np.ndarray:
     return ~_SPACE[data]
 
 
-def split_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and the row of ``bounds`` (offsets of texts) it lies in."""
+def split_runs(data: np.ndarray, bounds: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each longest run of bytes of one kind other than 0 (``kinds`` has the kind of each byte), and
+    the row of ``bounds`` (offsets of texts) it lies in.  Runs never cross texts."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    solid = solid_bytes(data)
+    kind = kinds[data]
     edge = np.unique(bounds[(bounds > 0) & (bounds < len(data))])
-    first, last = solid.copy(), solid.copy()
-    first[1:] &= ~solid[:-1]
-    last[:-1] &= ~solid[1:]
-    first[edge] = solid[edge]
-    last[edge - 1] = solid[edge - 1]
-    starts = np.flatnonzero(first)
-    return starts, np.flatnonzero(last) + 1, np.searchsorted(bounds, starts, side="right") - 1
+    change = np.ones(len(data) + 1, bool)
+    change[1:-1] = kind[1:] != kind[:-1]
+    change[edge] = True
+    cut = np.flatnonzero(change)
+    full = kind[cut[:-1]] != 0
+    starts, ends = cut[:-1][full], cut[1:][full]
+    return starts, ends, np.searchsorted(bounds, starts, side="right") - 1
+
+
+def split_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each word."""
+    return split_runs(data, bounds, _WORD)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
