@@ -1,18 +1,18 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Texts become sequences of lower-case token hashes, written once.
-2. Document frequencies of hashed terms are counted over all documents.
+2. Document frequencies of the benchmark's terms are counted over all documents.
 3. The TF-IDF matrix of the benchmark passages gets a randomised SVD: tasks multiply their rows with a random projection
-   and send one partial product; power iterations sharpen the basis, whose size does not depend on the data.
-4. Every document is folded in as overlapping passages; passages with enough weight on benchmark terms are projected, and
-   benchmark passages of sufficient cosine are candidates.
+   and send one partial product; power iterations sharpen the basis, whose size does not depend on the documents.
+4. Every document is folded in as overlapping passages.  A passage is a candidate for the benchmark passages on whose
+   direction its latent vector reaches a share of theirs: their cosine, but not lowered by the passage's other words.
 5. A candidate is confirmed by the longest common subsequence of item and passage, alone or together with the item's
    answer (its last sentence), so that paraphrases with replaced, dropped or added words are found.
 
 The benchmark is the stated query set: it is searched in blocks of ``ITEMS`` items, so that what is sent to the tasks is
-bounded.  Null and empty texts match nothing, items without tokens are ignored; repeated documents and items match each;
-ties of a document and item keep the best values; an empty table gives no pairs; other columns are kept by
-``drop_contaminated`` and ignored otherwise.
+bounded.  Null and empty texts match nothing, items of fewer than ``LEAST_TOKENS`` tokens are ignored; repeated documents
+and items match each; ties of a document and item keep the best values; an empty table gives no pairs; other columns are
+kept by ``drop_contaminated`` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -23,20 +23,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import binaries, fresh_name, pieces, stage
-from .words import LETTERS, mix, split_runs, word_hashes
+from .words import LETTERS, split_runs, word_hashes
 
-TERMS = 1 << 14
-RANK, EXTRA, ROUNDS = 112, 16, 2
+RANK, EXTRA, ROUNDS = 128, 16, 2
 #: Tokens of a step and steps of a passage.
 STEP, STEPS = 16, 4
 #: Items searched at a time.
 ITEMS = 4096
-COSINE = 0.35
-LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.75, 0.5, 0.6
+#: Share of an item's latent vector that a candidate reaches.
+REACH = 0.3
+LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.75, 0.6, 0.75
 #: Least tokens of an item; shorter texts are no passages.
 LEAST_TOKENS = 5
 
@@ -58,24 +58,40 @@ def token_rows(table: DataFrame, carry: list[str], text: str = "text") -> DataFr
     return table.select(F.col(text).alias("text"), *carry).mapInArrow(run, "".join(kinds) + "tokens binary")
 
 
-def term(tokens: np.ndarray) -> np.ndarray:
-    return (tokens & np.uint32(TERMS - 1)).astype(np.int64)
+class Terms:
+    """Numbers of the known token hashes; an array look-up sorts out most others before the binary search."""
 
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.unique(hashes)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.hashes >> np.uint32(12)] = True
 
-def document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int]:
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def find(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of known tokens, and their terms."""
+        at = np.flatnonzero(self.maybe[tokens >> np.uint32(12)])
+        own = tokens[at]
+        term = np.searchsorted(self.hashes, own)
+        hit = self.hashes[np.minimum(term, len(self.hashes) - 1)] == own
+        return at[hit], term[hit]
+
+
+def document_frequencies(tokens: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
     """Documents with each term, and documents; every task sends one row per term at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(TERMS, np.int64), 0
+        total, n = np.zeros(len(terms), np.int64), 0
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                total[np.unique(term(np.frombuffer(raw, "<u4")))] += 1
+                total[np.unique(terms.find(np.frombuffer(raw, "<u4"))[1])] += 1
             n += batch.num_rows
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array([-1, *at], pa.int32()), pa.array([n, *total[at]], pa.int64())], ["term", "n"])
 
     rows = tokens.select("tokens").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(TERMS, np.int64)
+    out = np.zeros(len(terms), np.int64)
     own = rows[rows["term"] >= 0]
     out[own["term"]] = own["n"]
     return out, int(rows.loc[rows["term"] < 0, "n"].sum())
@@ -85,29 +101,32 @@ def idf_weights(df: np.ndarray, docs: int) -> np.ndarray:
     return np.log((docs + 1) / (df + 1)) + 0.1
 
 
-def tfidf(raw: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms and unit-length weights of one passage."""
-    terms, n = np.unique(term(np.frombuffer(raw, "<u4")), return_counts=True)
-    weight = n * idf[terms]
-    return terms, weight / max(np.linalg.norm(weight), 1e-12)
+def tfidf(raw: bytes, terms: Terms, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and weights of one benchmark passage."""
+    own, n = np.unique(terms.find(np.frombuffer(raw, "<u4"))[1], return_counts=True)
+    return own, n * idf[own]
 
 
-def latent_basis(items: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """``TERMS`` x rank: right singular vectors of the items' TF-IDF matrix by distributed randomised SVD."""
-    width = RANK + EXTRA
+def latent_basis(items: DataFrame, terms: Terms, idf: np.ndarray) -> np.ndarray:
+    """Terms x rank: right singular vectors of the items' TF-IDF matrix by distributed randomised SVD."""
+    width = min(RANK + EXTRA, len(terms))
+    schema = "term int, value binary"
 
     def gram_product(q: np.ndarray) -> np.ndarray:
-        """A' A q; a task sends one partial product, of rows that it has terms for."""
+        """A' A q, where A has the items of unit length as rows; a task sends one partial product."""
+
+        def rows(at: list[int], values: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(at, pa.int32()), binaries([x.tobytes() for x in values])], ["term", "value"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((TERMS, q.shape[1]), np.float64)
+            total = np.zeros((len(terms), q.shape[1]))
             for batch in batches:
                 for raw in batch.column(0).to_pylist():
-                    terms, weight = tfidf(raw, idf)
-                    total[terms] += np.outer(weight, weight @ q[terms])
+                    own, weight = tfidf(raw, terms, idf)
+                    weight = weight / np.linalg.norm(weight)
+                    total[own] += np.outer(weight, weight @ q[own])
             at = np.flatnonzero(total.any(axis=1))
-            values = [x.tobytes() for x in total[at]]
-            yield pa.record_batch([pa.array(at, pa.int32()), binaries(values)], ["term", "value"])
+            yield rows(at.tolist(), list(total[at]))
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, np.ndarray] = {}
@@ -115,15 +134,15 @@ def latent_basis(items: DataFrame, idf: np.ndarray) -> np.ndarray:
                 for t, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     value = np.frombuffer(raw, np.float64)
                     total[t] = total[t] + value if t in total else value
-            yield pa.record_batch([pa.array(list(total), pa.int32()), binaries([x.tobytes() for x in total.values()])], ["term", "value"])
+            yield rows(list(total), list(total.values()))
 
         out = np.zeros(q.shape)
-        schema = "term int, value binary"
-        for r in items.select("tokens").mapInArrow(run, schema).repartition("term").mapInArrow(add, schema).toLocalIterator():
+        parts = items.select("tokens").mapInArrow(run, schema).repartition("term").mapInArrow(add, schema)
+        for r in parts.collect():  # terms x width numbers, bounded by the block of items
             out[r["term"]] = np.frombuffer(r["value"], np.float64)
         return out
 
-    q = np.random.default_rng(5).standard_normal((TERMS, width))
+    q = np.random.default_rng(5).standard_normal((len(terms), width))
     for _ in range(ROUNDS):
         q, _ = np.linalg.qr(gram_product(q))
     values, vectors = np.linalg.eigh(q.T @ gram_product(q))
@@ -154,49 +173,49 @@ def item_answers(benchmark: DataFrame, key: str = "item_id", text: str = "text")
     return rows.where(F.octet_length("tokens") >= 4 * LEAST_TOKENS).select("item", "tokens", "answer")
 
 
-def search(tokens: DataFrame, items: list[tuple[object, bytes, int]], idf: np.ndarray, basis: np.ndarray, item_type: str) -> DataFrame:
+def search(
+    tokens: DataFrame, items: list[tuple[object, bytes, int]], terms: Terms, idf: np.ndarray, basis: np.ndarray, item_type: str
+) -> DataFrame:
     """Confirmed ``doc_id, item_id, cosine, lcs, answer`` for one block of items."""
-    index = np.zeros((len(items), basis.shape[1]), np.float32)
-    known = np.zeros(TERMS, bool)
     sequences = [np.frombuffer(raw, "<u4") for _, raw, _ in items]
+    index = np.zeros((len(items), basis.shape[1]), np.float32)
+    mass = np.zeros(len(items))
     for i, (_, raw, _) in enumerate(items):
-        terms, weight = tfidf(raw, idf)
-        known[terms] = True
-        index[i] = weight @ basis[terms]
-    size = np.linalg.norm(index, axis=1, keepdims=True)
-    index /= np.maximum(size, 1e-12)
+        own, weight = tfidf(raw, terms, idf)
+        index[i] = weight @ basis[own]
+        mass[i] = float((weight**2).sum())
+    size = np.maximum(np.linalg.norm(index, axis=1), 1e-9)
+    share = index / (size**2)[:, None]  # times a latent vector: its share of the item's
     weights = (basis * idf[:, None]).astype(np.float32)
-    # A passage with a cosine of at least COSINE to an item whose words it has in the share LCS_WITH_ANSWER weighs so much.
-    mass = np.array([float((idf[np.unique(term(s))] ** 2).sum()) for s in sequences])
-    least = LCS_WITH_ANSWER**2 * mass.min() * 0.5
-    scalar = np.where(known, idf**2, 0).astype(np.float32)
+    square = (idf**2).astype(np.float32)
+    least = REACH * mass.min()  # known terms of smaller weight cannot make up the share of any item
     answers = [max(0, min(a, len(s))) for (_, _, a), s in zip(items, sequences, strict=True)]
-    longest = max(len(s) for s in sequences)
-    span = max(STEPS, math.ceil(longest / STEP) + 1)
+    spans = [math.ceil(len(s) / STEP) for s in sequences]  # steps that an item may reach beyond a passage
     schema = f"doc_id long, item_id {item_type}, cosine double, lcs double, answer double"
 
     def candidates(own: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """Step of a passage, item and cosine."""
-        terms = term(own)
-        cut = np.arange(0, len(own), STEP)
-        mass = np.add.reduceat(scalar[terms], cut)
-        n = len(cut)
-        total = np.concatenate([[0], np.cumsum(mass)])
+        at, term = terms.find(own)
+        n = -(-len(own) // STEP)
+        total = np.concatenate([[0], np.cumsum(np.bincount(at // STEP, square[term], n))])
         first = np.arange(max(1, n - STEPS + 1))
         live = np.flatnonzero(total[np.minimum(first + STEPS, n)] - total[first] >= least)
         if not len(live):
             return
-        needed = np.unique(np.minimum((live[:, None] + np.arange(STEPS)).ravel(), n - 1))
-        steps = np.zeros((n + 1, weights.shape[1]), np.float32)
-        for s in needed.tolist():
-            steps[s] = weights[terms[s * STEP : s * STEP + STEP]].sum(axis=0)
-        for low in range(0, len(live), 256):
-            part = live[low : low + 256]
-            vectors = steps[np.minimum(part[:, None] + np.arange(STEPS), n)].sum(axis=1)
-            vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-            cosine = vectors @ index.T
-            for p, i in np.argwhere(cosine >= COSINE).tolist():
-                yield int(part[p]), i, float(cosine[p, i])
+        wanted = np.zeros(n + STEPS, bool)
+        for k in range(STEPS):
+            wanted[live + k] = True
+        keep = wanted[at // STEP]
+        at, term = at[keep], term[keep]
+        steps = np.zeros((n + STEPS, weights.shape[1]), np.float32)
+        filled, begin = np.unique(at // STEP, return_index=True)
+        steps[filled] = np.add.reduceat(weights[term], begin)
+        for low in range(0, len(live), 512):
+            part = live[low : low + 512]
+            vectors = sum(steps[part + k] for k in range(STEPS))
+            for p, i in np.argwhere(vectors @ share.T >= REACH).tolist():
+                v = vectors[p]
+                yield int(part[p]), i, float(v @ index[i] / max(np.linalg.norm(v) * size[i], 1e-9))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +229,7 @@ def search(tokens: DataFrame, items: list[tuple[object, bytes, int]], idf: np.nd
                 for step, i, cosine in sorted(candidates(own), key=lambda x: (-x[2], x[0], x[1])):
                     if i in best and best[i][1] >= LCS_ALONE:
                         continue
-                    sequence, a = sequences[i], answers[i]
+                    sequence, a, span = sequences[i], answers[i], spans[i]
                     begin = max(0, (step - span) * STEP)
                     if seen.get(i) == begin:
                         continue
@@ -218,10 +237,10 @@ def search(tokens: DataFrame, items: list[tuple[object, bytes, int]], idf: np.nd
                     region = own[begin : (step + STEPS + span) * STEP]
                     if np.isin(sequence, region).mean() < LCS_WITH_ANSWER:
                         continue
-                    share = lcs(sequence, region) / len(sequence)
+                    common = lcs(sequence, region) / len(sequence)
                     part = lcs(sequence[len(sequence) - a :], region) / a if a else 0.0
-                    if share >= LCS_ALONE or (share >= LCS_WITH_ANSWER and part >= ANSWER):
-                        best[i] = max(best.get(i, (0.0,) * 3), (cosine, share, part), key=lambda x: x[1:])
+                    if common >= LCS_ALONE or (common >= LCS_WITH_ANSWER and part >= ANSWER):
+                        best[i] = max(best.get(i, (0.0,) * 3), (cosine, common, part), key=lambda x: x[1:])
                 found += [(doc, items[i][0], *v) for i, v in best.items()]
             columns = list(zip(*found, strict=True)) if found else [[]] * 5
             names = ["doc_id", "item_id", "cosine", "lcs", "answer"]
@@ -235,34 +254,21 @@ def search(tokens: DataFrame, items: list[tuple[object, bytes, int]], idf: np.nd
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, cosine, lcs, answer``: confirmed pairs, one row each."""
     tokens = stage(token_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]), "doc-tokens")
-    items = stage(item_answers(benchmark), "item-tokens")
-    idf = idf_weights(*document_frequencies(tokens))
-    basis = latent_basis(items, idf)
+    items = stage(item_answers(benchmark).withColumn("place", F.row_number().over(Window.orderBy("item", "tokens"))), "item-tokens")
     item_type = items.schema["item"].dataType.simpleString()
-    out = None
-    block: list[tuple[object, bytes, int]] = []
-
-    def add() -> None:
-        nonlocal out
-        if block and basis.shape[1]:
-            found = search(tokens, list(block), idf, basis, item_type)
-            out = found if out is None else out.unionByName(found)
-        block.clear()
-
-    for r in items.orderBy("item", "tokens").toLocalIterator():  # the query set, block by block
-        block.append((r["item"], bytes(r["tokens"]), r["answer"]))
-        if len(block) == ITEMS:
-            add()
-    add()
-    schema = f"doc_id long, item_id {item_type}, cosine double, lcs double, answer double"
-    out = docs.sparkSession.createDataFrame([], schema) if out is None else out
+    out = docs.sparkSession.createDataFrame([], f"doc_id long, item_id {item_type}, cosine double, lcs double, answer double")
+    for low in range(0, items.count(), ITEMS):  # the query set, block by block
+        block = items.where((F.col("place") > low) & (F.col("place") <= low + ITEMS))
+        rows = [(r["item"], bytes(r["tokens"]), r["answer"]) for r in block.orderBy("place").collect()]
+        terms = Terms(np.concatenate([np.frombuffer(raw, "<u4") for _, raw, _ in rows]))
+        idf = idf_weights(*document_frequencies(tokens, terms))
+        out = out.unionByName(search(tokens, rows, terms, idf, latent_basis(block, terms, idf), item_type))
     best = F.max(F.struct("lcs", "answer", "cosine")).alias("v")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "v.cosine", "v.lcs", "v.answer")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a confirmed benchmark passage, all columns unchanged.  Null ids match nothing."""
-    leaked = stage(contaminated(docs, benchmark).select("doc_id").distinct(), "leaked-ids")
     name = fresh_name(docs, "leaked")
-    leaked = leaked.select(F.col("doc_id").alias(name))
+    leaked = stage(contaminated(docs, benchmark).select(F.col("doc_id").alias(name)).distinct(), "leaked-ids")
     return docs.join(leaked, docs["doc_id"].cast("long") == F.col(name), "left_anti")
