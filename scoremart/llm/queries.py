@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scoremart.session import scratch_path
 
-from . import bpe, decontaminate, html_text, quality_model, quality_rules, token_file, token_lengths, warc
+from . import bpe, decontaminate, html_text, jaccard_join, quality_model, quality_rules, token_file, token_lengths, warc
 from .common import stage
 
 RANKS = vocabularies.path("byte_bpe_multi_50k.tiktoken")
@@ -57,6 +57,10 @@ def op6_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op7_universe_partition_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), jaccard_join.Rule(words=4, percent=85))
+
+
 def op9_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_random_indexing_quality,
         op5_byte_bpe,
         op6_adaptive_rules,
+        op7_universe_partition_join,
         op9_tag_path_text,
         op10_huffman_file,
     )

@@ -17,8 +17,8 @@ gives an empty file; other columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -32,22 +32,27 @@ from tokenizers import Tokenizer
 from .common import binaries, binary_column, parts_for, pieces, stage
 
 MAX_BITS = 16
+#: Ids between the steps; codes of ``MAX_BITS`` bits cannot tell more apart.
+IDS = "<u2"
 STRIDE = 256
 BLOCK_TOKENS = 1 << 19
 PART_BYTES = 64 << 20
-#: Characters of text that are tokenized together, and chunks whose ids a task remembers.
-GROUP_CHARS = 4 << 20
-MEMORY = 150_000
+#: Characters of text that are tokenized together, and words whose ids a task remembers.
+GROUP_CHARS = 3 << 20
+MEMORY = 300_000
+_BLANKS = re.compile(r"[ \t\n\r\x0b\x0c]+")
 
 
-class ChunkEncoder:
-    """Encodes texts by their white-space separated chunks, each distinct chunk once.
+class WordEncoder:
+    """Encodes texts word by word, each distinct word of a group of texts once.
 
-    Right for tokenizers that drop white space before merging, so that no token, merge or normal form reaches across it.
+    For the tokenizer whose rules are stated below: it drops white space, so that no token, merge or normal form reaches
+    across it.  Text of Latin-1 characters, which lower-casing and composition leave as many as they are, is cut into
+    words here; any other white-space separated chunk is left to the tokenizer as it is.
     """
 
-    #: How the tokenizer's file cuts white-space separated text, and its mark for a word's last token.
-    WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: How the tokenizer's file cuts lower-case text, and its mark for a word's last token.
+    WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0\p{L}\p{N}]+"
     SUFFIX = "</w>"
 
     def __init__(self, path: str):
@@ -57,56 +62,70 @@ class ChunkEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith(self.SUFFIX)]] = True
-        self.words = regex.compile(self.WORDS).findall
-        self.known: dict[bytes, bytes] = {}
-
-    def encode_chunks(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of distinct chunks.  Latin-1 chunks are tokenized as one text, whose tokens are dealt out by the number of
-        words of each chunk; in others, normal forms may change that number, and they are tokenized one by one."""
-        text = [c.decode() for c in chunks]
-        plain = [i for i, x in enumerate(text) if max(x) < "\u0100"]
-        out = {}
+        self.cut = regex.compile(self.WORDS).findall
+        self.known: dict[str, bytes] = {}
+
+    def words(self, text: str) -> list[str]:
+        """Parts of a text that can be encoded by themselves."""
+        if is_latin(text):
+            return self.cut(text.lower())
+        out: list[str] = []
+        for chunk in _BLANKS.split(text):
+            if is_latin(chunk):
+                out += self.cut(chunk.lower())
+            else:
+                out.append(chunk)
+        return out
+
+    def encode_new(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of distinct words.  Latin-1 words are tokenized as one text, whose tokens are dealt out at word ends."""
+        out: dict[str, bytes] = {}
+        plain = [w for w in words if is_latin(w)]
         if plain:
-            counts = np.array([len(self.words(text[i].lower())) for i in plain])
-            made = self.tokenizer.encode(" ".join(text[i] for i in plain), add_special_tokens=False).ids
-            ids = np.array(made, "<u4")
-            end = np.flatnonzero(self.last[ids]) + 1
-            if len(end) == counts.sum() and (not len(end) or end[-1] == len(ids)):
-                cut = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(counts)])]
-                for k, i in enumerate(plain):
-                    out[chunks[i]] = ids[cut[k] : cut[k + 1]].tobytes()
-        rest = [c for c in chunks if c not in out]
-        for c, made in zip(rest, self.tokenizer.encode_batch_fast([c.decode() for c in rest], add_special_tokens=False), strict=True):
-            out[c] = np.array(made.ids, "<u4").tobytes()
+            ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, "<u4")
+            end = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(end) == len(plain) and end[-1] == len(ids):
+                raw = ids.tobytes()
+                out = {w: raw[4 * a : 4 * b] for w, a, b in zip(plain, [0, *end[:-1]], end, strict=True)}
+        rest = [w for w in words if w not in out]
+        for w, made in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            out[w] = np.array(made.ids, "<u4").tobytes()
         return out
 
-    def encode(self, texts: list[bytes | None], end: int) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each UTF-8 text, the end id last.
+    def encode(self, texts: list[str | None], end: int) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, the end id last.
 
-        Chunks that occur again in the group are remembered for the next ones; single ones are not.
+        Words are remembered for the next groups; when they are too many, only those of the last group stay.
         """
-        split = [x.split() if x else [] for x in texts]
-        times = Counter(chain.from_iterable(split))
-        known, own, tail = self.known, {}, end.to_bytes(4, "little")
-        new = [w for w in times if w not in known]
+        split = [self.words(x) if x else [] for x in texts]
+        met = set(chain.from_iterable(split))
+        if len(self.known) > MEMORY:
+            self.known = {w: x for w, x in self.known.items() if w in met}
+        known, tail = self.known, end.to_bytes(4, "little")
+        new = list(met - known.keys())
         for low in range(0, len(new), 2_000):
-            own |= self.encode_chunks(new[low : low + 2_000])
-        out = [b"".join([known[w] if w in known else own[w] for w in words]) + tail for words in split]
-        if len(known) > MEMORY // 2:
-            self.known = {w: x for w, x in known.items() if w in times}
-        self.known.update((w, x) for w, x in own.items() if times[w] > 1 and len(self.known) < MEMORY)
-        return out
+            known |= self.encode_new(new[low : low + 2_000])
+        return [b"".join(map(known.__getitem__, words)) + tail for words in split]
+
+
+def is_latin(text: str) -> bool:
+    """Whether all characters are below U+0100."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def token_ids(docs: DataFrame, tokenizer: str, end: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, ids`` with the ids as little-endian unsigned 32-bit integers."""
+    """``doc_id, ids`` with the ids as little-endian unsigned integers of 16 bits (``IDS``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer)
+        encoder = WordEncoder(tokenizer)
         for batch in batches:
             for low, high, _, _ in pieces(batch.column(1), GROUP_CHARS):
                 part = batch.slice(low, high - low)
-                ids = encoder.encode(part.column(1).cast(pa.binary()).to_pylist(), end)
+                ids = [np.frombuffer(x, "<u4").astype(IDS).tobytes() for x in encoder.encode(part.column(1).to_pylist(), end)]
                 yield pa.record_batch([part.column(0), binaries(ids)], ["doc_id", "ids"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
@@ -120,7 +139,7 @@ def id_counts(ids: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            found = np.bincount(np.frombuffer(binary_column(batch.column(0))[0].tobytes(), "<u4"))
+            found = np.bincount(np.frombuffer(binary_column(batch.column(0))[0].tobytes(), IDS))
             total = np.pad(total, (0, max(0, len(found) - len(total))))
             total[: len(found)] += found
         at = np.flatnonzero(total)
@@ -231,7 +250,7 @@ def write_token_file(ids: DataFrame, path: str) -> None:
             for p, doc, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 part = p
                 docs.append(doc)
-                parts.append(np.frombuffer(raw, "<u4").astype(np.int64))
+                parts.append(np.frombuffer(raw, IDS).astype(np.int64))
                 held += len(parts[-1])
                 if held >= BLOCK_TOKENS:
                     yield block()
