@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scoremart.session import scratch_path
 
-from . import bpe, decontaminate, html_text, jaccard_join, quality_model, quality_rules, token_file, token_lengths, warc
+from . import bpe, decontaminate, html_text, jaccard_join, quality_model, quality_rules, suffix_dedup, token_file, token_lengths, warc
 from .common import stage
 
 RANKS = vocabularies.path("byte_bpe_multi_50k.tiktoken")
@@ -61,6 +61,10 @@ def op7_universe_partition_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), jaccard_join.Rule(words=4, percent=85))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_byte_bpe,
         op6_adaptive_rules,
         op7_universe_partition_join,
+        op8_suffix_array_dedup,
         op9_tag_path_text,
         op10_huffman_file,
     )
