@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import binaries, binary_column, parts_for, pieces, stage
+from .words import split_runs, word_hashes
 
 MAX_BITS = 16
 #: Ids between the steps; codes of ``MAX_BITS`` bits cannot tell more apart.
@@ -63,6 +64,9 @@ class WordEncoder:
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith(self.SUFFIX)]] = True
         self.cut = regex.compile(self.WORDS).findall
+        #: Kinds of Latin-1 characters: white space 0, letters 1, digits (words by themselves) 2, others 3.
+        kind = {w: 1 if w.isalpha() else 2 if regex.fullmatch(r"\p{N}", w) else 3 for w in self.cut("".join(map(chr, range(256))))}
+        self.kinds = np.array([max((k for w, k in kind.items() if chr(i) in w), default=0) for i in range(256)], np.uint8)
         self.known: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
@@ -82,30 +86,57 @@ class WordEncoder:
         out: dict[str, bytes] = {}
         plain = [w for w in words if is_latin(w)]
         if plain:
-            ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, IDS)
             end = (np.flatnonzero(self.last[ids]) + 1).tolist()
             if len(end) == len(plain) and end[-1] == len(ids):
                 raw = ids.tobytes()
-                out = {w: raw[4 * a : 4 * b] for w, a, b in zip(plain, [0, *end[:-1]], end, strict=True)}
+                out = {w: raw[2 * a : 2 * b] for w, a, b in zip(plain, [0, *end[:-1]], end, strict=True)}
         rest = [w for w in words if w not in out]
         for w, made in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            out[w] = np.array(made.ids, "<u4").tobytes()
+            out[w] = np.array(made.ids, IDS).tobytes()
         return out
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, the end id last.
+        """Little-endian ids of 16 bits of each text, the end id last.
 
-        Words are remembered for the next groups; when they are too many, only those of the last group stay.
+        Words are remembered for the next groups; when they are too many, only those of the last group stay.  Latin-1
+        texts without apostrophes are cut and looked up as arrays, each distinct word of the group once.
         """
-        split = [self.words(x) if x else [] for x in texts]
+        tail = end.to_bytes(2, "little")
+        fast = [i for i, x in enumerate(texts) if x and "'" not in x and is_latin(x)]
+        slow = sorted(set(range(len(texts))) - set(fast))
+        split = [self.words(texts[i]) if texts[i] else [] for i in slow]
         met = set(chain.from_iterable(split))
+
+        raw = [texts[i].lower().encode("latin-1") for i in fast]
+        joined = b"".join(raw)
+        data, bounds = np.frombuffer(joined, np.uint8), np.cumsum([0, *map(len, raw)])
+        starts, ends, row = split_runs(data, bounds, self.kinds, single=2)
+        _, first, back = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        met_here = [joined[a:b].decode("latin-1") for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        met.update(met_here)
+
         if len(self.known) > MEMORY:
             self.known = {w: x for w, x in self.known.items() if w in met}
-        known, tail = self.known, end.to_bytes(4, "little")
+        known = self.known
         new = list(met - known.keys())
         for low in range(0, len(new), 2_000):
             known |= self.encode_new(new[low : low + 2_000])
-        return [b"".join(map(known.__getitem__, words)) + tail for words in split]
+
+        out = [b""] * len(texts)
+        for i, words in zip(slow, split, strict=True):
+            out[i] = b"".join(map(known.__getitem__, words)) + tail
+        table = [known[w] for w in met_here]
+        width = np.array([len(x) for x in table], np.int64) // 2
+        place = np.cumsum(width) - width
+        n = width[back]
+        to = np.cumsum(n)
+        index = np.arange(to[-1] if len(to) else 0) - np.repeat(to - n, n) + np.repeat(place[back], n)
+        made = np.frombuffer(b"".join(table), "<u2")[index]
+        cut = np.concatenate([[0], to])[np.searchsorted(row, np.arange(len(fast) + 1))].tolist()
+        for k, i in enumerate(fast):
+            out[i] = made[cut[k] : cut[k + 1]].tobytes() + tail
+        return out
 
 
 def is_latin(text: str) -> bool:
@@ -125,7 +156,7 @@ def token_ids(docs: DataFrame, tokenizer: str, end: int, doc_id: str = "doc_id",
         for batch in batches:
             for low, high, _, _ in pieces(batch.column(1), GROUP_CHARS):
                 part = batch.slice(low, high - low)
-                ids = [np.frombuffer(x, "<u4").astype(IDS).tobytes() for x in encoder.encode(part.column(1).to_pylist(), end)]
+                ids = encoder.encode(part.column(1).to_pylist(), end)
                 yield pa.record_batch([part.column(0), binaries(ids)], ["doc_id", "ids"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(

@@ -47,9 +47,11 @@ def solid_bytes(data: np.ndarray) -> np.ndarray:
     return ~_SPACE[data]
 
 
-def split_runs(data: np.ndarray, bounds: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def split_runs(
+    data: np.ndarray, bounds: np.ndarray, kinds: np.ndarray, single: int = -1
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each longest run of bytes of one kind other than 0 (``kinds`` has the kind of each byte), and
-    the row of ``bounds`` (offsets of texts) it lies in.  Runs never cross texts."""
+    the row of ``bounds`` (offsets of texts) it lies in.  Runs never cross texts; bytes of kind ``single`` stand alone."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
@@ -58,6 +60,9 @@ def split_runs(data: np.ndarray, bounds: np.ndarray, kinds: np.ndarray) -> tuple
     change = np.ones(len(data) + 1, bool)
     change[1:-1] = kind[1:] != kind[:-1]
     change[edge] = True
+    if single >= 0:
+        alone = np.flatnonzero(kind == single)
+        change[alone] = True
     cut = np.flatnonzero(change)
     full = kind[cut[:-1]] != 0
     starts, ends = cut[:-1][full], cut[1:][full]
