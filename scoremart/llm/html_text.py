@@ -178,11 +178,16 @@ def content_containers(blocks: list[tuple[str, str, int]]) -> set[str]:
         length, marks, _, links = paths[path]
         fused = value * (1 + marks / max(1, length)) * length / max(1, length + links)
         scores[container(path)] = scores.get(container(path), 0) + fused * (length + 1) ** 0.5
+    text, links = {}, {}
+    for path, (length, _, _, linked) in paths.items():
+        text[container(path)] = text.get(container(path), 0) + length
+        links[container(path)] = links.get(container(path), 0) + linked
+    scores = {c: s if text[c] > links[c] else 0.0 for c, s in scores.items()}
     best = max(scores.values(), default=0)
     inner = [c for c in scores if "article" in c.split("/") or "main" in c.split("/")]
     if any(scores[c] > 0 for c in inner):
         return {c for c in inner}
-    return {c for c, s in scores.items() if s >= SHARE * best}
+    return {c for c, s in scores.items() if s > 0 and s >= SHARE * best}
 
 
 def main_text(page: str | None) -> str:

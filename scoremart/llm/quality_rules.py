@@ -3,8 +3,7 @@
 Base measures are taken from the whole text.  Ratios of them feed quantile sketches, one per language and source: a
 sketch is a histogram over log-linear buckets of whole numbers, so sketches merge by adding counts, in any order and with
 the same result.  A document is rejected by the base rules, or when a ratio lies above the fence of its group; fences
-replace fixed cut-offs.  Small groups, and groups whose median is itself outside their language's fence, take the fence
-of the language's merged sketch.
+replace fixed cut-offs.  Small groups take the fence of their language's merged sketch.
 
 Null text counts as empty and fails the base rules; null languages and sources form groups of their own; equal rows get
 equal verdicts; an empty table gives an empty result; further columns are kept by ``keep_good`` and ignored otherwise.
@@ -147,7 +146,7 @@ def thresholds(measured: DataFrame, lang: str, source: str, m: str) -> DataFrame
     own = fences(own_sketch, ["lang", "source"]).alias("own")
     wide = fences(merged(own_sketch, ["lang"]), ["lang"]).alias("wide")
     same = F.col("own.lang").eqNullSafe(F.col("wide.lang")) & (F.col("own.ratio") == F.col("wide.ratio"))
-    foreign = (F.col("own.docs") < LEAST_DOCS) | (F.col("own.median") > F.col("wide.fence"))
+    foreign = F.col("own.docs") < LEAST_DOCS
     return (
         own.join(wide, same)
         .select("own.lang", "own.source", "own.ratio", F.when(foreign, F.col("wide.fence")).otherwise(F.col("own.fence")).alias("fence"))
