@@ -69,10 +69,16 @@ def is_boiler(name: str, attributes: str, inside: bool) -> bool:
     return not words.isdisjoint(_BOILER_WORD)
 
 
+def marks(attributes: str) -> str:
+    """Classes and id of an element, as they stand in its path."""
+    found = ["".join(x or "" for x in m.groups()) for m in _CLASS.finditer(attributes)] if attributes else []
+    return "".join("." + "-".join(x.replace("/", "-").split()) for x in found)
+
+
 def text_blocks(page: str) -> list[tuple[str, str, int]]:
     """Path, text and characters in links of each block outside boilerplate, in page order."""
     out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, bool]] = []  # block elements: name, boilerplate
+    stack: list[tuple[str, bool, str]] = []  # block elements: name, boilerplate, path part
     text: list[str] = []
     links = link_depth = boiler = article = 0
 
@@ -81,13 +87,13 @@ def text_blocks(page: str) -> list[tuple[str, str, int]]:
         if text:
             value = " ".join("".join(text).split())
             if value and not boiler:
-                out.append(("/".join(name for name, _ in stack), value, min(links, len(value))))
+                out.append(("/".join(part for _, _, part in stack), value, min(links, len(value))))
             text.clear()
         links = 0
 
     def pop() -> None:
         nonlocal boiler, article
-        name, own = stack.pop()
+        name, own, _ = stack.pop()
         boiler -= own
         article -= name in ("article", "main")
 
@@ -142,8 +148,9 @@ def text_blocks(page: str) -> list[tuple[str, str, int]]:
                 break
             if stack[k][0] in _SCOPE:
                 break
-        own = is_boiler(name, m.group(3) or "", article > 0)
-        stack.append((name, own))
+        attributes = m.group(3) or ""
+        own = is_boiler(name, attributes, article > 0)
+        stack.append((name, own, name if name in _LEAF else name + marks(attributes)))
         boiler += own
         article += name in ("article", "main")
     flush()
@@ -184,7 +191,7 @@ def content_containers(blocks: list[tuple[str, str, int]]) -> set[str]:
         links[container(path)] = links.get(container(path), 0) + linked
     scores = {c: s if text[c] > links[c] else 0.0 for c, s in scores.items()}
     best = max(scores.values(), default=0)
-    inner = [c for c in scores if "article" in c.split("/") or "main" in c.split("/")]
+    inner = [c for c in scores if {x.split(".")[0] for x in c.split("/")} & {"article", "main"}]
     if any(scores[c] > 0 for c in inner):
         return {c for c in inner}
     return {c for c, s in scores.items() if s > 0 and s >= SHARE * best}
