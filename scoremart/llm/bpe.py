@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,12 +26,12 @@ from .common import binaries, parts_for, stage, task_block_id, text_bytes
 from .token_lengths import rank_encoding
 
 #: Bytes of text in a block, and of text for each bucket of words.
-BLOCK_BYTES = 24 << 20
-BUCKET_BYTES = 256 << 20
+BLOCK_BYTES = 16 << 20
+BUCKET_BYTES = 64 << 20
 
 
-def squeeze(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+def squeeze(raw: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(raw)
 
 
 def loosen(raw: bytes) -> bytes:
@@ -50,33 +51,43 @@ def part_words(packed: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 + 4 * n, *end[:-1].tolist()], end.tolist(), strict=True)] if n else []
 
 
+def pack_places(places: np.ndarray) -> bytes:
+    """Small numbers, byte by byte of their 32 bits: frequent words have small places, so that most bytes are alike."""
+    return squeeze(places.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+
+
+def unpack_places(packed: bytes) -> np.ndarray:
+    return np.frombuffer(loosen(packed), np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1)
+
+
 def word_blocks(docs: DataFrame, pattern: str, buckets: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``block, doc_ids, sizes, places, words``: words of a block by bucket, and per document the places of its words
-    in the block's list (bucket after bucket)."""
-    names = ["block", "doc_ids", "sizes", "places", "words"]
+    """``block, doc_ids, sizes, places, buckets, words``: words of a block by bucket, the bucket of each word by falling
+    frequency, and per document the places of its words in that order."""
+    names = ["block", "doc_ids", "sizes", "places", "buckets", "words"]
     words_type = pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary())]))
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), words_type]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), words_type]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         find, number = regex.compile(pattern).findall, 0
         ids, sizes, places, known, held = [], [], [], {}, 0
 
         def block() -> pa.RecordBatch:
+            at = np.concatenate(places)
+            frequent = np.argsort(-np.bincount(at, minlength=len(known)), kind="stable")
+            place = np.empty(len(known), np.uint32)
+            place[frequent] = np.arange(len(known), dtype=np.uint32)
             listed = [w.encode() for w in known]
+            listed = [listed[i] for i in frequent.tolist()]
             bucket = np.array([xxhash.xxh64_intdigest(w) % buckets for w in listed], np.int64)
             order = np.argsort(bucket, kind="stable")
-            moved = np.empty(len(order), np.uint32)
-            moved[order] = np.arange(len(order), dtype=np.uint32)
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             words = [
                 {"bucket": b, "words": join_words([listed[i] for i in order[cut[b] : cut[b + 1]]])}
                 for b in range(buckets)
                 if cut[b] < cut[b + 1]
             ]
-            at = moved[np.concatenate(places)] if known else np.zeros(0, np.uint32)
-            values = [[task_block_id(number)], [ids], [sizes], [squeeze(at.astype("<u4").tobytes())], [words]]
+            packed = (pack_places(place[at]), squeeze(bucket.astype("<u4").tobytes()))
+            values = [[task_block_id(number)], [ids], [sizes], [packed[0]], [packed[1]], [words]]
             return pa.record_batch([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names)
 
         for batch in batches:
@@ -98,7 +109,9 @@ def word_blocks(docs: DataFrame, pattern: str, buckets: int, doc_id: str = "doc_
             yield block()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, "block long, doc_ids array<long>, sizes array<int>, places binary, words array<struct<bucket:int,words:binary>>"
+        run,
+        "block long, doc_ids array<long>, sizes array<int>, places binary, buckets binary,"
+        " words array<struct<bucket:int,words:binary>>",
     )
 
 
@@ -134,10 +147,12 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 table = [w for x in row["ids"] or [] for w in part_words(x["ids"])]
-                at = np.frombuffer(loosen(row["places"]), "<u4")
-                width = np.array([len(w) for w in table], np.int64) // 4
+                at = unpack_places(row["places"])
+                order = np.argsort(np.frombuffer(loosen(row["buckets"]), "<u4"), kind="stable")
+                size = np.array([len(w) for w in table], np.int64) // 4
                 flat = np.frombuffer(b"".join(table), "<u4")
-                first = np.cumsum(width) - width
+                width, first = np.empty_like(size), np.empty_like(size)
+                width[order], first[order] = size, np.cumsum(size) - size
                 end = np.cumsum(np.array(row["sizes"], np.int64))
                 low = 0
                 while low < len(end):  # documents of some 4 million words at a time
@@ -153,8 +168,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
                     yield pa.record_batch([pa.array(row["doc_ids"][low:high], pa.int64()), binaries(values)], ["doc_id", "ids"])
                     low = high
 
-    joined = blocks.select("block", "doc_ids", "sizes", "places").join(whole, "block", "left")
-    return joined.select("doc_ids", "sizes", "places", "ids").mapInArrow(run, "doc_id long, ids binary")
+    joined = blocks.select("block", "doc_ids", "sizes", "places", "buckets").join(whole, "block", "left")
+    return joined.select("doc_ids", "sizes", "places", "buckets", "ids").mapInArrow(run, "doc_id long, ids binary")
 
 
 def token_bytes(ranks: str) -> tuple[np.ndarray, np.ndarray]:
