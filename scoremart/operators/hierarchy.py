@@ -4,7 +4,7 @@ A graph is two edge tables, ``group_child(grp, grp_pos, child, child_pos)`` and
 ``group_metric(grp, metric, weight_by_size)``.  Walks advance one level per round on a
 de-duplicated frontier, so a node is visited once per level however many paths lead to it;
 every few rounds are written to shared storage, which keeps plans short.  The driver sees
-only whether a frontier is empty.
+only whether a frontier is empty, and how many links are left when it looks for cycles.
 """
 
 from __future__ import annotations
@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 
-#: More levels than this can only come from a cycle in the group definitions.
-MAX_DEPTH = 100
-
 
 class GroupCycleError(ValueError):
     """The group definitions contain a cycle."""
@@ -33,12 +30,31 @@ def _rounds(start: DataFrame, advance, n: int, depth: int = 0) -> DataFrame:
     return reduce(DataFrame.unionByName, rounds)
 
 
-def _walk(start: DataFrame, advance, name: str, unroll: int = 4) -> DataFrame:
+def require_acyclic(links: DataFrame, unroll: int = 8) -> None:
+    """Raise if ``links(node, next)`` contain a cycle.
+
+    Links to nodes that lead nowhere are peeled off, some rounds at a time; when that removes
+    nothing more, what is left lies on or above a cycle.
+    """
+    left = stage(links.select("node", "next").distinct(), "cycle")
+    n = left.count()
+    while n:
+        for _ in range(unroll):
+            left = left.join(left.select(F.col("node").alias("next")).distinct(), "next", "left_semi")
+        left = stage(left.select("node", "next"), "cycle")
+        before, n = n, left.count()
+        if n == before:
+            names = [r["node"] for r in left.select("node").distinct().limit(5).collect()]
+            raise GroupCycleError(f"groups contain themselves: on or above a cycle lie {', '.join(map(str, names))}")
+
+
+def _walk(start: DataFrame, advance, name: str, links: DataFrame, unroll: int = 4) -> DataFrame:
     """All nodes met from ``start`` on, with each ``depth`` at which they were met.
 
-    ``advance(frontier)`` gives the next frontier.  ``unroll`` rounds are planned at a time
-    (equal exchanges are shared) and written once; the walk goes on from the last of them
-    while that is not empty.
+    ``advance(frontier)`` gives the next frontier along ``links(node, next)``.  ``unroll``
+    rounds are planned at a time (equal exchanges are shared) and written once; the walk goes
+    on from the last of them while that is not empty.  Before it goes on for the first time,
+    the links are checked for cycles, so it ends.
     """
     chunks: list[DataFrame] = []
     frontier, depth = start, 0
@@ -50,8 +66,8 @@ def _walk(start: DataFrame, advance, name: str, unroll: int = 4) -> DataFrame:
         frontier = advance(last.drop("depth"))
         if last.isEmpty() or frontier.isEmpty():
             return reduce(DataFrame.unionByName, chunks)
-        if depth > MAX_DEPTH:
-            raise GroupCycleError(f"groups nested deeper than {MAX_DEPTH} levels")
+        if len(chunks) == 1:
+            require_acyclic(links)
 
 
 def group_edges(group_child: DataFrame) -> DataFrame:
@@ -60,6 +76,10 @@ def group_edges(group_child: DataFrame) -> DataFrame:
     return group_child.select("grp", "child").distinct().join(groups, "child", "left_semi").select("grp", "child")
 
 
+def _links(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("grp").alias("node"), F.col("child").alias("next"))
+
+
 def reachable_groups(group_child: DataFrame, roots: DataFrame) -> DataFrame:
     """(grp, depth) of groups reachable from ``roots(grp)``; depth is the longest way from a root.
 
@@ -72,7 +92,7 @@ def reachable_groups(group_child: DataFrame, roots: DataFrame) -> DataFrame:
     def advance(frontier: DataFrame) -> DataFrame:
         return edges.join(frontier, "grp").select(F.col("child").alias("grp")).distinct()
 
-    return _walk(start, advance, "reach").groupBy("grp").agg(F.max("depth").alias("depth"))
+    return _walk(start, advance, "reach", _links(edges)).groupBy("grp").agg(F.max("depth").alias("depth"))
 
 
 def group_levels(group_child: DataFrame) -> DataFrame:
@@ -86,7 +106,7 @@ def group_levels(group_child: DataFrame) -> DataFrame:
     def advance(frontier: DataFrame) -> DataFrame:
         return edges.join(frontier.select(F.col("grp").alias("child")), "child").select("grp").distinct()
 
-    return _walk(groups, advance, "levels").groupBy("grp").agg(F.max("depth").alias("level"))
+    return _walk(groups, advance, "levels", _links(edges)).groupBy("grp").agg(F.max("depth").alias("level"))
 
 
 def expand_suites(names: DataFrame, group_child: DataFrame, tags: DataFrame | None = None) -> DataFrame:
@@ -94,25 +114,27 @@ def expand_suites(names: DataFrame, group_child: DataFrame, tags: DataFrame | No
 
     ``names(suite, suite_pos)``; ``tags(tag, task)`` expand to their members by name.  A name
     that is neither group nor tag is its own leaf.  The result ``(suite, suite_pos, path,
-    task)`` is ordered by ``path``, the positions on the way down: an order that needs no
-    numbering of a suite's members in one place.
+    task)`` is ordered by ``path``, the places on the way down: an order that needs no
+    numbering of a suite's members in one place.  A place is the position in a group, or the
+    name of a tag's member.
     """
+    place = lambda pos, tag: F.struct(pos.cast("bigint").alias("pos"), tag.alias("tag"))
     edges = group_child.select(
-        F.col("grp").alias("node"), F.lpad(F.col("child_pos").cast("string"), 9, "0").alias("pos"), F.col("child").alias("next")
+        F.col("grp").alias("node"), place(F.col("child_pos"), F.lit("")).alias("pos"), F.col("child").alias("next")
     )
     if tags is not None:
         edges = edges.unionByName(
-            tags.select(F.col("tag").alias("node"), F.col("task").alias("pos"), F.col("task").alias("next"))
+            tags.select(F.col("tag").alias("node"), place(F.lit(0), F.col("task")).alias("pos"), F.col("task").alias("next"))
         )
     inner = edges.select("node").distinct()
-    start = names.select("suite", "suite_pos", F.array().cast("array<string>").alias("path"), F.col("suite").alias("node"))
+    start = names.select("suite", "suite_pos", F.array().cast("array<struct<pos:bigint,tag:string>>").alias("path"), F.col("suite").alias("node"))
 
     def advance(frontier: DataFrame) -> DataFrame:
         return frontier.join(edges, "node").select(
             "suite", "suite_pos", F.array_append("path", F.col("pos")).alias("path"), F.col("next").alias("node")
         )
 
-    met = _walk(start, advance, "expand")
+    met = _walk(start, advance, "expand", edges.select("node", "next"))
     return met.join(inner, "node", "left_anti").select("suite", "suite_pos", "path", F.col("node").alias("task"))
 
 
@@ -182,12 +204,13 @@ def applicable_children(
     )
 
 
-def subtask_trees(applicable: DataFrame, group_edges: DataFrame, depth: int) -> DataFrame:
+def subtask_trees(applicable: DataFrame, group_edges: DataFrame) -> DataFrame:
     """(grp, metric, subtask_tree) of every aggregate that can be computed.
 
     An aggregate exists only when all applicable children have scores, so its tree follows
     from the graph alone and is built once per (grp, metric), not per score row.
-    ``group_edges`` are the applicable edges that lead to groups, ``depth`` the longest way.
+    ``group_edges`` are the applicable edges that lead to groups.  A group's child list is one
+    value here, as it is one list in its definition.
     """
     own = applicable.groupBy("grp", "metric").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("child_pos", "child"))), lambda c: c["child"]).alias("kids")
@@ -198,8 +221,7 @@ def subtask_trees(applicable: DataFrame, group_edges: DataFrame, depth: int) ->
     def advance(frontier: DataFrame) -> DataFrame:
         return frontier.join(down, ["node", "metric"]).select("grp", "metric", F.col("next").alias("node")).distinct()
 
-    # The depth is known, so a flat graph needs no intermediate table.
-    met = _rounds(pairs, advance, depth + 1) if depth < 6 else _walk(pairs, advance, "trees")
+    met = _walk(pairs, advance, "trees", down.select("node", "next"))
     nodes = met.select("grp", "metric", "node").distinct()
     kids = own.withColumnRenamed("grp", "node")
     return (

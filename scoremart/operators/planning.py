@@ -8,7 +8,7 @@ tasks are distinct pairs, counts follow from them, and only remaining tasks are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import null_safe_join, suffix_class
@@ -204,7 +204,7 @@ def keys_to_submit(
     """Jobs neither completed nor in the queue, in manifest order.
 
     ``only(run_id, task_key)`` restricts the choice; names that are no job are an error.
-    ``limit`` is the user's cap on jobs per cycle.
+    ``limit`` is the user's cap on jobs per cycle, for each run by itself.
     """
     keys = ["run_id", "task_key"]
     if only is not None:
@@ -214,8 +214,10 @@ def keys_to_submit(
     open_jobs = manifest.join(completed, keys, "left_anti").join(active, keys, "left_anti")
     if only is not None:
         open_jobs = open_jobs.join(only, keys, "left_semi")
-    ordered = open_jobs.orderBy("run_id", "pos")
-    return ordered.limit(limit) if limit else ordered
+    if limit:
+        first = Window.partitionBy("run_id").orderBy("pos", "task_key")
+        open_jobs = open_jobs.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= limit).drop("_rn")
+    return open_jobs.orderBy("run_id", "pos")
 
 
 def submit_summary(manifest: DataFrame, completed: DataFrame, active: DataFrame) -> DataFrame:

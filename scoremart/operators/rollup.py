@@ -108,7 +108,8 @@ class Hierarchy:
     """The part of the group graph below the configured suites, prepared for one leaf table.
 
     ``edges`` has one row per (group, metric, applicable child) with the filter to read the
-    child's score under, the group's depth and whether the child is itself a group.
+    child's score under, the group's depth and whether the child is a group that declares the
+    metric.  Such a child's score is its aggregate, or its own leaf row where there is none.
     """
 
     def __init__(
@@ -124,19 +125,19 @@ class Hierarchy:
         reachable = reachable_groups(group_child, self.suites)
         inside = group_child.join(reachable, "grp")
         metrics = group_metric.groupBy("grp", "metric").agg(F.bool_or("weight_by_size").alias("weight_by_size"))
-        groups = group_child.select(F.col("grp").alias("child")).distinct().withColumn("is_group", F.lit(True))
         filters = preferred_filters(leaf) if filters is None else filters
-        declared = group_metric.select(F.col("grp").alias("task"), "metric").distinct()
-        options = filters.join(declared.select("task").distinct(), "task", "left_anti").unionByName(
-            declared.withColumn("metric_filter", F.lit("none"))
+        # What a child can report: observed metrics under their filter, and a group's own ones.
+        declared = group_metric.join(group_child.select("grp").distinct(), "grp", "left_semi")
+        declared = declared.select(F.col("grp").alias("child"), "metric").distinct().withColumn("declared", F.lit(True))
+        seen = filters.select(F.col("task").alias("child"), "metric", "metric_filter")
+        options = seen.join(declared, ["child", "metric"], "full").select(
+            "child", "metric", F.coalesce("metric_filter", F.lit("none")).alias("metric_filter"), "declared"
         )
+        from_group = F.coalesce("declared", F.lit(False)) & (F.col("metric_filter") == "none")
         self.edges = stage(
-            inside.join(metrics, "grp")
-            .join(options.withColumnRenamed("task", "child"), ["child", "metric"])
-            .join(groups, "child", "left")
-            .select(
+            inside.join(metrics, "grp").join(options, ["child", "metric"]).select(
                 "grp", "metric", "weight_by_size", "child", "child_pos", "metric_filter", "depth",
-                F.coalesce("is_group", F.lit(False)).alias("is_group"),
+                from_group.alias("is_group"),
             ),
             "edges",
         )
@@ -149,6 +150,8 @@ def _rollup_rows(leaf: DataFrame, h: Hierarchy) -> tuple[list[DataFrame], DataFr
     leaves = leaf.select(*_CHILD, F.col("task").alias("child"), "metric", "metric_filter")
     leaf_edges = h.edges.filter("not is_group")
     from_leaves = stage(combine(contributions(leaves, leaf_edges)), "leaf-cells")
+    named = leaves.join(h.edges.filter("is_group").select("child", "metric").distinct(), ["child", "metric"], "left_semi")
+    h.stand_ins = None if named.isEmpty() else stage(named, "stand-ins")
     rows: list[DataFrame] = []
     for depth in range(-1 if h.top is None else h.top, -1, -1):
         parts = _cells_at(depth, from_leaves, rows, h)
@@ -160,11 +163,19 @@ def _cells_at(depth: int, from_leaves: DataFrame, rows: list[DataFrame], h: Hier
     """Accumulators of the groups at one depth from leaves and already computed groups."""
     here = h.edges.filter(F.col("depth") == depth)
     parts = from_leaves.filter(F.col("depth") == depth)
+    sources = []
     if rows:
-        done = reduce(DataFrame.unionByName, rows).select(
-            *_CHILD, F.col("task").alias("child"), "metric", "metric_filter"
-        )
-        parts = combine(parts.unionByName(contributions(done, here.filter("is_group"))))
+        done = reduce(DataFrame.unionByName, rows)
+        sources.append(done.select(*_CHILD, F.col("task").alias("child"), "metric", "metric_filter"))
+    if h.stand_ins is not None:
+        own = h.stand_ins
+        if rows:
+            keys = ["model", "step", "child", "metric", "metric_filter"]
+            own = null_safe_join(own, sources[0].select(*keys), keys, "left_anti")
+        sources.append(own)
+    if sources:
+        children = reduce(DataFrame.unionByName, sources)
+        parts = combine(parts.unionByName(contributions(children, here.filter("is_group"))))
     return parts
 
 
@@ -177,7 +188,8 @@ def rollup(
 ) -> DataFrame:
     """Aggregate score rows of all groups below the suites.
 
-    ``leaf`` holds one row per key; a leaf row named like a group is replaced by the group.
+    ``leaf`` holds one row per key; a leaf row named like a group counts where the group has
+    no aggregate.
     Which children can report a metric, and under which filter, is a fact of the whole table:
     when ``leaf`` is only part of it, pass that as ``filters(task, metric, metric_filter)``.
     """
@@ -192,7 +204,7 @@ def decorate(rows: DataFrame, h: Hierarchy) -> DataFrame:
     """Add what depends on the group alone: role, parent and subtask tree."""
     suites = h.suites.select(F.col("grp").alias("task"), F.lit("eval_suite").alias("_role"))
     parents = parent_of(h.group_child).select(F.col("child").alias("task"), F.col("parent").alias("parent_task"))
-    trees = subtask_trees(h.edges, h.edges.filter("is_group"), h.top).withColumnRenamed("grp", "task")
+    trees = subtask_trees(h.edges, h.edges.filter("is_group")).withColumnRenamed("grp", "task")
     full = (
         rows.join(suites, "task", "left")
         .join(parents, "task", "left")

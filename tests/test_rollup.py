@@ -74,13 +74,39 @@ def test_deep_graph(spark):
 
 
 def test_cycle_is_an_error(spark):
-    graph = spark.createDataFrame([("a", 0, "b", 0), ("b", 1, "a", 0)], CHILD)
-    old, h.MAX_DEPTH = h.MAX_DEPTH, 6
-    try:
-        with pytest.raises(h.GroupCycleError):
-            h.group_levels(graph)
-    finally:
-        h.MAX_DEPTH = old
+    graph = spark.createDataFrame([("a", 0, "b", 0), ("b", 1, "c", 0), ("c", 2, "a", 0), ("top", 3, "a", 0)], CHILD)
+    with pytest.raises(h.GroupCycleError):
+        h.group_levels(graph)
+    with pytest.raises(h.GroupCycleError):
+        h.reachable_groups(graph, spark.createDataFrame([("top",)], "grp string"))
+
+
+def test_any_depth_is_valid(spark):
+    """A chain of more than a hundred groups is no cycle."""
+    graph = spark.createDataFrame([(f"g{i:03}", i, f"g{i + 1:03}", 0) for i in range(105)], CHILD)
+    levels = {r["grp"]: r["level"] for r in h.group_levels(graph).collect()}
+    assert levels == {f"g{i:03}": 104 - i for i in range(105)}
+
+
+def test_positions_of_any_size_keep_their_order(spark):
+    positions = [5, 999_999_999, 1_999_999_999, 10_000_000_000]
+    graph = spark.createDataFrame([("s", 0, f"t{p}", p) for p in positions], CHILD)
+    out = h.expand_suites(spark.createDataFrame([("s", 0)], "suite string, suite_pos long"), graph).orderBy("path").collect()
+    assert [r["task"] for r in out] == [f"t{p}" for p in positions]
+
+
+def test_name_that_is_leaf_and_group(spark):
+    """Observed and declared metrics count, and a leaf row stands in where the group has no aggregate."""
+    children = [("top", 0, "mid", 0), ("top", 0, "c", 1), ("mid", 1, "a", 0), ("mid", 1, "b", 1)]
+    metrics = [("top", "acc", False), ("mid", "acc", False)]
+    leaf = [("mid", "none", 0.5, 1), ("a", "none", 0.25, 1), ("c", "none", 1.0, 1)]
+    got = roll(spark, leaf, False, children, metrics, ("top",))
+    # b is observed nowhere and so not applicable: mid is the mean of a alone.
+    assert got["mid"]["score"] == 0.25 and got["top"]["score"] == (0.25 + 1.0) / 2
+    got = roll(spark, leaf, False, children, [("top", "acc", False)], ("top",))
+    assert "mid" not in got and got["top"]["score"] == 0.75
+    got = roll(spark, [("mid", "none", 0.5, 1), ("c", "none", 1.0, 1)], False, children, metrics, ("top",))
+    assert "mid" not in got and got["top"]["score"] == 0.75
 
 
 def test_expand_with_tags_and_duplicates(spark):
