@@ -116,6 +116,18 @@ def require_unique_keys(manifest: DataFrame) -> DataFrame:
     return manifest
 
 
+def require_valid_entries(entries: DataFrame, listing: DataFrame) -> DataFrame:
+    """The entries themselves, or an error naming a few that break a rule or whose pattern matches nothing."""
+    broken = catalogue_checks(entries).filter("severity = 'error'").select("run_id", "config_key", "rule")
+    lost = unmatched_patterns(entries, listing).select(
+        "run_id", "config_key", F.concat(F.lit("no directory matches "), "checkpoint_pattern").alias("rule")
+    )
+    found = [f"{r['run_id']}/{r['config_key']}: {r['rule']}" for r in broken.unionByName(lost).limit(5).collect()]
+    if found:
+        raise ValueError(f"invalid catalogue entries, e.g. {'; '.join(found)}")
+    return entries
+
+
 def catalogue_report(entries: DataFrame, listing: DataFrame) -> DataFrame:
     """Display table of all jobs; ``found`` tells whether the path is in the listing."""
     jobs = build_manifest(entries, listing)

@@ -49,10 +49,13 @@ def _long_entries(files: DataFrame) -> DataFrame:
     )
     is_deep = F.col("section").isin(DEEP_SECTIONS)
     no_key = F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("variant").alias("value"))
-    # An empty task object still names the task, hence the entry without a key.
+    # An empty task object still names the task, hence the entry without a key; it carries the
+    # value of a task that is no object.
+    is_object = F.coalesce(F.schema_of_variant("t.v").startswith("OBJECT"), F.lit(False))
+    plain = F.struct(F.lit(None).cast("string").alias("key"), F.col("t.v").alias("value"))
     deep = F.concat(
         F.transform(F.map_entries(as_map(F.col("t.v"))), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))),
-        F.array(no_key),
+        F.array(F.when(is_object, no_key).otherwise(plain)),
     )
     flat = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("t.v").alias("value")))
     per_key = per_task.select(
@@ -72,7 +75,8 @@ def compact_entries(files: DataFrame) -> DataFrame:
     return (
         _long_entries(files)
         .groupBy(*_CHECKPOINT, "section", "task", "key")
-        .agg(F.max_by("value", F.struct("mtime", "path")).alias("value"))
+        .agg(F.max_by(F.struct("value"), F.struct("mtime", "path")).alias("newest"))
+        .select(*_CHECKPOINT, "section", "task", "key", "newest.value")
     )
 
 
@@ -81,7 +85,8 @@ def compact_documents(entries: DataFrame) -> DataFrame:
     deep = (
         entries.filter(F.col("section").isin(DEEP_SECTIONS))
         .groupBy(*_CHECKPOINT, "section", "task")
-        .agg(F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", F.to_json("value").alias("json")))))).alias("m"))
+        .agg(F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", F.to_json("value").alias("json")))))).alias("m"),
+            F.max(F.when(F.col("key").isNull(), F.to_json("value"))).alias("plain"))
     )
     obj = lambda entries_: F.concat(
         F.lit("{"),
@@ -92,7 +97,10 @@ def compact_documents(entries: DataFrame) -> DataFrame:
         *_CHECKPOINT,
         "section",
         "task",
-        obj(F.transform(F.map_entries("m"), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("json")))).alias("json"),
+        # Keys win over a plain value: both mean that files disagree, and merging keeps the object.
+        F.when((F.size("m") == 0) & F.col("plain").isNotNull(), F.col("plain"))
+        .otherwise(obj(F.transform(F.map_entries("m"), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("json")))))
+        .alias("json"),
     )
     flat_tasks = entries.filter(F.col("section").isin(FLAT_SECTIONS)).select(
         *_CHECKPOINT, "section", "task", F.coalesce(F.to_json("value"), F.lit("null")).alias("json")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -43,9 +43,17 @@ def union_diagonal(*tables: DataFrame) -> DataFrame:
     return result
 
 
+def _hashable(field: T.StructField) -> Column:
+    """The column, or its text where its type has no hash."""
+    text = field.dataType.simpleString()
+    return F.to_json(F.col(field.name)) if "map<" in text or "variant" in text else F.col(field.name)
+
+
 def dedup_latest(rows: DataFrame, rank: str | None = None, keys: list[str] = KEY) -> DataFrame:
     """Latest row per key: latest date first, no date last, then higher ``rank``, then content.
 
+    The order ends with a hash of the whole row, so that a repeated run chooses the same row.
+
     The rank filter runs before the exchange too (window group limit), so at most one row
     per key leaves a task and a key with very many copies is no hot spot.
     """
@@ -53,6 +61,7 @@ def dedup_latest(rows: DataFrame, rank: str | None = None, keys: list[str] = KEY
     if rank:
         order.append(F.col(rank).desc())
     order += [F.col(c).desc_nulls_last() for c in ("result_source", "score", "n_samples") if c in rows.columns]
+    order.append(F.xxhash64(*[_hashable(f) for f in rows.schema.fields]))
     latest = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_rn", F.row_number().over(latest)).filter("_rn = 1").drop("_rn")
 

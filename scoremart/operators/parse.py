@@ -207,13 +207,15 @@ def parse_results_long(files: DataFrame, jobs: DataFrame | None = None) -> DataF
     """Score rows of all readable files.
 
     ``files`` has the raw-file columns.  ``jobs`` (the manifest) adds step, paths and training
-    facts per (model_key, label); files of unknown jobs are dropped.  Without it these columns
-    are taken from ``files`` when present.
+    facts per (model_key, label); files of unknown jobs are dropped.  A job that several runs
+    list gives its rows once for each of them, with that run's facts and ``run_id``.  Without
+    ``jobs`` these columns are taken from ``files`` when present.
     """
     job_columns = ["step", "model_path", "display_name", "train_batch_size", "tokens_trained"]
     if jobs is not None:
-        facts = jobs.select("model_key", "label", *job_columns)
-        files = files.drop(*job_columns).join(facts, ["model_key", "label"])
+        run = [c for c in ("run_id",) if c in jobs.columns]
+        facts = jobs.select(*run, "model_key", "label", *job_columns)
+        files = files.drop(*run, *job_columns).join(facts, ["model_key", "label"])
     for name in job_columns:
         if name not in files.columns:
             dtype = "string" if name in ("model_path", "display_name") else "bigint"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import planning as p
 from ..operators import status as s
-from ..operators.catalogue import build_manifest, require_unique_keys
+from ..operators.catalogue import build_manifest, require_unique_keys, require_valid_entries
 
 
 @dataclass
@@ -39,8 +39,10 @@ def plan_runs(
     """Catalogue, shared scores and local results to the work that is left.
 
     ``disk`` is (model_key, label, task); ``completed`` the completed log; ``active`` the
-    unfinished queue rows.
+    unfinished queue rows.  Entries that break a rule, patterns that match nothing and
+    duplicate keys are errors.
     """
+    require_valid_entries(entries, listing)
     manifest = require_unique_keys(build_manifest(entries, listing))
     covered = p.covered_in_scores(manifest, task_map, scores)
     on_disk = p.covered_on_disk(manifest, task_map, disk)
@@ -56,7 +58,7 @@ def plan_runs(
 
 
 def _positioned(manifest: DataFrame) -> DataFrame:
-    """Manifest order of a catalogue: by model, then step, as an order-preserving key."""
+    """Manifest order of a catalogue without positions: by model, then step."""
     return manifest.withColumn("pos", F.struct("model_key", "step", "label"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import MANIFEST_ENTRY
 from ..session import path_missing
-from .results import path_part
+from .results import uri_part
 
 # Queue states of a job that is not finished.
 ACTIVE_STATES = ["PENDING", "RUNNING", "CONFIGURING", "COMPLETING"]
@@ -21,7 +21,7 @@ _LINE_COLUMNS = "run_id string, line string, line_order struct<path:string,block
 
 def _run_id() -> Column:
     """Control files live in ``{runs}/{run_id}/...``; the run is the directory of the file."""
-    return path_part(F.col("_metadata.file_path"), 2)
+    return uri_part(F.col("_metadata.file_path"), 2)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

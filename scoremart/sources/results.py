@@ -16,9 +16,13 @@ _BINARY_FILE = "path string, modificationTime timestamp, length bigint, content
 
 
 def path_part(path: Column, from_end: int) -> Column:
-    """Decoded directory name counted from the file; ``name=value`` directories give the value."""
-    part = F.element_at(F.split(path, "/"), -from_end)
-    return F.regexp_replace(F.url_decode(part), "^[A-Za-z_]+=", "")
+    """Directory name of a plain path, counted from the file, as it is."""
+    return F.element_at(F.split(path, "/"), -from_end)
+
+
+def uri_part(uri: Column, from_end: int) -> Column:
+    """Directory name of a file URI, counted from the file, with percent escapes decoded."""
+    return F.url_decode(F.replace(path_part(uri, from_end), F.lit("+"), F.lit("%2B")))
 
 
 def _as_result_files(raw: DataFrame, root: str) -> DataFrame:

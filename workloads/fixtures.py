@@ -352,3 +352,8 @@ class Data:
             F.when(torn, F.substring(content, F.lit(1), F.length(content) - 5)).otherwise(content).alias("content"),
             "step",
         )
+
+
+def plain_names(files: DataFrame, *columns: str) -> DataFrame:
+    """Directory names of files that Spark wrote as ``column=value``, without the column."""
+    return files.withColumns({c: F.regexp_replace(c, f"^{c}=", "") for c in columns})

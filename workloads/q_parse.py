@@ -10,6 +10,7 @@ from scoremart.operators import parse as p
 from scoremart.session import scratch_path
 from scoremart.sources.results import latest_per_dir, scan_result_files
 
+from .fixtures import plain_names
 from .registry import query
 
 _FILE = "model, label, dir"
@@ -177,7 +178,7 @@ def write_result_files(d, root):
 def _(d):
     root = write_result_files(d, scratch_path(d.spark, "results"))
     # Spark wrote the fixture, so names end in .txt; real result files match the default pattern.
-    files = scan_result_files(d.spark, root, glob="*.txt")
+    files = plain_names(scan_result_files(d.spark, root, glob="*.txt"), "model_key", "label", "dir")
     return files.select("model_key", "label", "dir", F.rlike("content", F.lit(r"\}\s*$")).alias("whole"))
 
 
@@ -197,6 +198,13 @@ def _(d):
 # ── control files ────────────────────────────────────────────────────────────────────
 
 
+def from_files(d, documents, name):
+    """The documents written as one file per run, and read back as control files."""
+    root = scratch_path(d.spark, name)
+    documents.select("run_id", "content").repartition("run_id").write.partitionBy("run_id").text(root)
+    return plain_names(src.read_documents(d.spark, f"{root}/*/*.txt"), "run_id")
+
+
 def _documents(df, key, value):
     """One JSON object per run; a run's control data is bounded by its own configuration."""
     entries = F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.struct(F.col(key).alias("key"), value.alias("value")).alias("e")))), lambda x: x["e"]))
@@ -207,7 +215,7 @@ def _documents(df, key, value):
         row_number() OVER (PARTITION BY run_id ORDER BY pos) - 1 AS pos FROM manifest""")
 def _(d):
     entry = F.struct("model_key", "label", "step", "model_path", "display_name", "train_batch_size", "tokens_trained")
-    return src.manifest_rows(_documents(d.manifest, "task_key", entry))
+    return src.manifest_rows(from_files(d, _documents(d.manifest, "task_key", entry), "manifest"))
 
 
 def suite_documents(d):
@@ -221,21 +229,21 @@ def suite_documents(d):
 @query("scan_task_map", """SELECT run_id, suite, dense_rank() OVER (PARTITION BY run_id ORDER BY suite_pos) - 1 AS suite_pos, task,
         row_number() OVER (PARTITION BY run_id, suite ORDER BY pos) - 1 AS pos FROM task_map""")
 def _(d):
-    return src.task_map_rows(suite_documents(d))
+    return src.task_map_rows(from_files(d, suite_documents(d), "task-map"))
 
 
 @query("scan_covered", "SELECT DISTINCT run_id, concat(model, '--', label) AS task_key, task FROM scores WHERE side = 'O' AND metric = 'acc'")
 def _(d):
     pairs = d.sql("SELECT DISTINCT run_id, concat(model, '--', label) AS task_key, task FROM scores WHERE side = 'O' AND metric = 'acc'")
     lists = pairs.groupBy("run_id", "task_key").agg(F.sort_array(F.collect_set("task")).alias("tasks"))
-    return src.covered_pairs(_documents(lists.withColumn("pos", F.col("task_key")), "task_key", F.col("tasks")))
+    return src.covered_pairs(from_files(d, _documents(lists.withColumn("pos", F.col("task_key")), "task_key", F.col("tasks")), "covered"))
 
 
 @query("scan_completed_log", "SELECT run_id, task_key FROM completed")
 def _(d):
     root = scratch_path(d.spark, "completed")
     d.completed_lines.repartition("run_id").write.partitionBy("run_id").text(root)
-    return src.completed_keys(src.read_lines(d.spark, f"{root}/*/*.txt"))
+    return src.completed_keys(plain_names(src.read_lines(d.spark, f"{root}/*/*.txt"), "run_id"))
 
 
 @query("scan_failed_log", """SELECT run_id, job_key AS task_key, concat(day, ' 00:00:00') AS timestamp,
@@ -247,7 +255,7 @@ def _(d):
     root = scratch_path(d.spark, "failed")
     lines = d.failed_lines.select("run_id", "line_order", "line").repartition("run_id").sortWithinPartitions("run_id", "line_order")
     lines.select("run_id", "line").write.partitionBy("run_id").text(root)
-    return src.failed_jobs(src.read_lines(d.spark, f"{root}/*/*.txt"))
+    return src.failed_jobs(plain_names(src.read_lines(d.spark, f"{root}/*/*.txt"), "run_id"))
 
 
 def queue_documents(d):
@@ -263,7 +271,7 @@ def queue_documents(d):
 
 @query("scan_job_queue", "SELECT run_id, task_key, job_id, state FROM active")
 def _(d):
-    active = src.active_jobs(src.queue_rows(queue_documents(d)), "eval")
+    active = src.active_jobs(src.queue_rows(from_files(d, queue_documents(d), "queue")), "eval")
     return active.select("run_id", "task_key", "job_id", "state")
 
 

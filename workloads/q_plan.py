@@ -117,8 +117,12 @@ def _(d):
 
 # ── expected tasks ───────────────────────────────────────────────────────────────────
 
-_SUITE_PARTS = """SELECT c_nationkey AS n, concat('part_', l_partkey) AS task, {{'c': c_custkey, 'o': o_orderkey, 'l': l_linenumber}} AS way
-    FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey"""
+_SUITE_PARTS = """SELECT n_nationkey AS n, CASE WHEN l_partkey IS NOT NULL THEN concat('part_', l_partkey)
+        WHEN o_orderkey IS NOT NULL THEN concat('order_', o_orderkey) WHEN c_custkey IS NOT NULL THEN concat('cust_', c_custkey)
+        ELSE concat('nation_', n_nationkey) END AS task,
+        {{'c': coalesce(c_custkey, 0), 'o': coalesce(o_orderkey, 0), 'l': coalesce(l_linenumber, 0)}} AS way
+    FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey
+    LEFT JOIN lineitem ON l_orderkey = o_orderkey"""
 
 
 def suite_parts(d):
@@ -130,7 +134,7 @@ def suite_parts(d):
 
 @query("dedup_tasks_first_seen", """SELECT task, concat('nation_', arg_min(n, {'n': n, 'way': way})) AS suite FROM parts GROUP BY task""", parts=_SUITE_PARTS)
 def _(d):
-    return p.first_seen_tasks(suite_parts(d)).filter("task like 'part%'").select("task", "suite")
+    return p.first_seen_tasks(suite_parts(d)).select("task", "suite")
 
 
 @query("suite_task_counts", """SELECT run_id, suite, count(*) AS n_listed, count_if(first_pos = suite_pos) AS n_new, count_if(first_pos <> suite_pos) AS n_duplicate
@@ -271,6 +275,15 @@ def _(d):
     return p.plan_batches(remaining(d), parallel=2, batch=8)
 
 
+# The catalogue without entries that break a rule, each under its own name.
+_VALID = {
+    **_CAT,
+    "typed": "SELECT * REPLACE (CAST(NULL AS VARCHAR) AS model_key) FROM (" + _CAT["typed"] + """) t
+        WHERE (steps IS NULL OR (checkpoint_pattern IS NOT NULL AND len(steps) > 0))
+          AND NOT (tokens_is_list AND (steps IS NULL OR len(toks) <> len(steps)))""",
+}
+
+
 @query("plan_runs", """SELECT run_id, task_key, CAST(rn // eff AS INTEGER) AS batch_no, string_agg(task, ',' ORDER BY rn) AS tasks FROM (
         SELECT *, row_number() OVER (PARTITION BY run_id, task_key ORDER BY first_at) - 1 AS rn,
         CASE WHEN n <= 4 THEN 1 ELSE least(8, CAST(ceil(n / 4) AS BIGINT)) END AS eff
@@ -280,9 +293,12 @@ def _(d):
              LEFT JOIN scores s ON s.side = 'F' AND s.metric = 'f1' AND s.model = j.model_key AND s.step IS NOT DISTINCT FROM j.step AND s.task = e.task
              WHERE s.task IS NULL AND (j.run_id, j.task_key) NOT IN (SELECT (run_id, task_key) FROM completed)
                 AND (j.run_id, j.task_key) NOT IN (SELECT (run_id, task_key) FROM active)) r) c) b GROUP BY run_id, task_key, rn // eff""",
-       **_CAT, unique_jobs="SELECT * FROM (SELECT *, coalesce(model_path, '') AS p FROM jobs) j WHERE model_key NOT LIKE 'm.%'")
+       **_VALID, unique_jobs="SELECT *, coalesce(model_path, '') AS p FROM jobs")
 def _(d):
-    entries = d.entry_rows().filter("model_key is null")
+    entries = d.entry_rows().withColumn("model_key", F.lit(None).cast("string"))  # named by entry, so keys are unique
+    errors = c.catalogue_checks(entries).filter("severity = 'error'").select("run_id", "config_key")
+    lost = c.unmatched_patterns(entries, d.listing).select("run_id", "config_key")
+    entries = entries.join(errors.unionByName(lost), ["run_id", "config_key"], "left_anti")
     plan = plan_runs(entries, d.listing, d.task_map, d.shared, d.disk, d.completed, d.active, parallel=4, batch=8)
     return plan.batches
 

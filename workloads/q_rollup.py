@@ -132,14 +132,14 @@ def _(d):
 
 
 @query("expand_suites", """SELECT concat('nation_', n_nationkey) AS suite, task,
-        concat_ws('/', lpad(CAST(c_custkey AS VARCHAR), 9, '0'), lpad(CAST(o_orderkey AS VARCHAR), 9, '0'), lpad(CAST(l_linenumber AS VARCHAR), 9, '0')) AS path
+        concat_ws('/', CAST(c_custkey AS VARCHAR), CAST(o_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR)) AS path
     FROM (SELECT n_nationkey, c_custkey, o_orderkey, l_linenumber,
           CASE WHEN l_partkey IS NOT NULL THEN concat('part_', l_partkey) WHEN o_orderkey IS NOT NULL THEN concat('order_', o_orderkey)
                WHEN c_custkey IS NOT NULL THEN concat('cust_', c_custkey) ELSE concat('nation_', n_nationkey) END AS task
           FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey
           LEFT JOIN lineitem ON l_orderkey = o_orderkey) x""")
 def _(d):
-    return h.expand_suites(nation_suites(d), d.big_child).select("suite", "task", F.array_join("path", "/").alias("path"))
+    return h.expand_suites(nation_suites(d), d.big_child).select("suite", "task", F.array_join(F.transform("path", lambda p: p["pos"].cast("string")), "/").alias("path"))
 
 
 def nation_suites(d):
