@@ -41,7 +41,7 @@ def loosen(raw: bytes) -> bytes:
 def join_words(words: list[bytes]) -> bytes:
     """Sizes and bytes of words in one compressed value."""
     sizes = np.array([len(w) for w in words], "<u4").tobytes()
-    return squeeze(len(words).to_bytes(4, "little") + sizes + b"".join(words))
+    return squeeze(len(words).to_bytes(4, "little") + sizes + b"".join(words), 3)
 
 
 def part_words(packed: bytes) -> list[bytes]:

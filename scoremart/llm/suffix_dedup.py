@@ -94,7 +94,7 @@ def write_batch(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as out:
         out.write_batch(batch)
-    return squeeze(sink.getvalue().to_pybytes())
+    return squeeze(sink.getvalue().to_pybytes(), 4)
 
 
 def read_batch(raw: bytes) -> pa.RecordBatch:
@@ -103,14 +103,16 @@ def read_batch(raw: bytes) -> pa.RecordBatch:
 
 
 def pack_numbers(*arrays: np.ndarray) -> bytes:
-    return squeeze(b"".join(len(x).to_bytes(8, "little") + x.astype("<u8").tobytes() for x in arrays))
+    """Whole numbers of 64 bits, compressed byte by byte, as most of their bytes are alike."""
+    planes = [x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in arrays]
+    return squeeze(b"".join(len(x).to_bytes(8, "little") + p for x, p in zip(arrays, planes, strict=True)), 3)
 
 
 def unpack_numbers(raw: bytes) -> list[np.ndarray]:
     raw, out, at = loosen(raw), [], 0
     while at < len(raw):
         n = int.from_bytes(raw[at : at + 8], "little")
-        out.append(np.frombuffer(raw, "<u8", n, at + 8))
+        out.append(np.frombuffer(raw, np.uint8, 8 * n, at + 8).reshape(8, n).T.copy().view("<u8").reshape(n))
         at += 8 + 8 * n
     return out
 
