@@ -34,6 +34,15 @@ def test_compaction(spark):
     assert k.compact_report(safe, entries).first().asDict() == dict(model_key="m", label="l", tasks_merged=4, dirs_superseded=2)
 
 
+def test_compaction_keeps_values_that_are_no_objects(spark):
+    old = {"higher_is_better": {"t": True, "u": {"x": True}, "w": 1}, "configs": {"t": "text"}}
+    new = {"higher_is_better": {"t": False, "v": None}}
+    files = spark.createDataFrame(
+        [("m", "l", "d2", "p2", day(2), json.dumps(new)), ("m", "l", "d1", "p1", day(1), json.dumps(old))], FILES)
+    merged = json.loads(k.compact_documents(k.compact_entries(files)).first()["content"])
+    assert merged == {"higher_is_better": {"t": False, "u": {"x": True}, "v": None, "w": 1}, "configs": {"t": "text"}}
+
+
 def write_results(root, model, batch, scores, date):
     folder = root / model / "main" / batch
     folder.mkdir(parents=True)

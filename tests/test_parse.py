@@ -88,3 +88,14 @@ def test_deep_tree(spark):
     files = spark.createDataFrame([("m", "l", "d", "p", doc)], "model_key string, label string, dir string, path string, content string")
     trees = {r["task"]: r["subtask_tree"] for r in p.parse_results_long(files).filter("metric = 'm'").collect()}
     assert trees["g3"] == {"g3": ["g2"], "g2": ["g1", "a"], "g1": ["a"]} and trees["a"] is None
+
+
+def test_job_of_two_runs(spark, files):
+    """Each run gets the rows with its own facts, and keeps only its own tasks."""
+    jobs = spark.createDataFrame(
+        [("r1", "m0", "main", 1, "/a", "A", 1, 1), ("r2", "m0", "main", 1, "/b", "B", 1, 1)],
+        "run_id string, model_key string, label string, step long, model_path string, display_name string, train_batch_size long, tokens_trained long",
+    )
+    tasks = spark.createDataFrame([("r1", "deu_arc"), ("r2", "bpb")], "run_id string, task string")
+    rows = p.filter_allowed_tasks(p.parse_results_long(files, jobs), tasks).collect()
+    assert sorted((r["run_id"], r["task"], r["model_path"]) for r in rows) == [("r1", "deu_arc", "/a"), ("r2", "bpb", "/b")]

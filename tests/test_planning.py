@@ -109,6 +109,9 @@ def test_states(spark, plan):
     todo = p.keys_to_submit(manifest, empty, active).collect()
     assert [r["task_key"] for r in todo] == ["m2--main", "m3--main"]
     assert p.keys_to_submit(manifest, empty, active, limit=1).count() == 1
+    both = manifest.unionByName(manifest.withColumn("run_id", F.lit("r2")))
+    assert [(r["run_id"], r["task_key"]) for r in p.keys_to_submit(both, empty, active, limit=2).collect()] == [
+        ("r", "m2--main"), ("r", "m3--main"), ("r2", "m0--main"), ("r2", "m1--main")]
     with pytest.raises(ValueError):
         p.keys_to_submit(manifest, empty, active, only=spark.createDataFrame([("r", "zz")], "run_id string, task_key string"))
 
@@ -132,3 +135,15 @@ def test_task_order(spark):
     tasks = spark.createDataFrame([(t,) for t in ("z_rc", "a_rc", "b_code", "q_zz", "plain", "c_gen")], "task string")
     assert [r["task"] for r in p.order_tasks(tasks).collect()] == ["b_code", "c_gen", "a_rc", "z_rc", "plain", "q_zz"]
     assert p.order_tasks(tasks).filter(F.col("sort_class") == 5).count() == 2
+
+
+def test_invalid_entries_are_errors(spark):
+    entry = ("r", "e", "/w", None, "checkpoint_{step}", None, None, None, None, False, 0)
+    listing = spark.createDataFrame([("/w", "checkpoint_10")], "base string, name string")
+    assert c.require_valid_entries(spark.createDataFrame([entry], ENTRY), listing).count() == 1
+    lost = spark.createDataFrame([("r", "e", "/elsewhere", *entry[3:])], ENTRY)
+    with pytest.raises(ValueError, match="r/e: no directory matches"):
+        c.require_valid_entries(lost, listing)
+    broken = spark.createDataFrame([(*entry[:4], None, [1], *entry[6:])], ENTRY)
+    with pytest.raises(ValueError, match="steps without checkpoint_pattern"):
+        c.require_valid_entries(broken, listing)

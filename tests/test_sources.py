@@ -107,3 +107,29 @@ def test_export(spark):
     row = spark.sql("SELECT 'm' AS model, map('g', array('a','b')) AS subtask_tree, timestamp_ntz'2024-01-02 03:04:05.5' AS eval_date")
     out = src.export_form(conform(row)).first()
     assert out["subtask_tree"] == '{"g":["a","b"]}' and out["eval_date"] == "2024-01-02T03:04:05.500000+00:00"
+
+
+def test_directory_names_stay_as_they_are(spark, tmp_path):
+    """Signs that mean something in URLs, and an equals sign, are part of a name."""
+    names = ("llama+sft", "lr=0.1", "a%41b")
+    put(f"{tmp_path}/{'/'.join(names)}/results_1.json", "{}")
+    row = src.scan_result_files(spark, str(tmp_path)).first()
+    assert (row["model_key"], row["label"], row["dir"]) == names
+    put(f"{tmp_path}/runs/a+b %41=1/completed.log", "k--main\n")
+    assert src.completed_keys(src.read_lines(spark, f"{tmp_path}/runs/*/completed.log")).first()["run_id"] == "a+b %41=1"
+
+
+def test_shared_folder_is_required_off_the_local_machine(monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from scoremart import session
+
+    def fake(master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(master=master, applicationId=master))
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            session.shared_dir(fake(master))
+    assert session.shared_dir(fake("local[4]")) and session.shared_dir(fake("local"))
