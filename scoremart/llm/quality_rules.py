@@ -130,11 +130,11 @@ def fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
     running = Window.partitionBy(*group).orderBy("bucket")
     whole = Window.partitionBy(*group)
     ranked = sketches.withColumn("upto", F.sum("n").over(running)).withColumn("docs", F.sum("n").over(whole))
-    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("docs"), F.col("bucket")))
+    at = lambda percent: F.min(F.when(100 * F.col("upto") >= percent * F.col("docs"), F.col("bucket")))
     slack = F.create_map(*(F.lit(x) for pair in RATIOS.items() for x in pair))[F.col("ratio")]
     return (
         ranked.groupBy(*group)
-        .agg(F.max("docs").alias("docs"), at(0.5).alias("median"), at(0.05).alias("low"))
+        .agg(F.max("docs").alias("docs"), at(50).alias("median"), at(5).alias("low"))
         .select(*group, "docs", "median", (F.col("median") + WIDTH * (F.col("median") - F.col("low")) + slack).alias("fence"))
     )
 

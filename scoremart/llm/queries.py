@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scoremart.session import scratch_path
 
-from . import bpe, decontaminate, html_text, jaccard_join, quality_model, quality_rules, suffix_dedup, token_file, token_lengths, warc
+from . import bpe, decontaminate, html_text, jaccard_join, quality_model, quality_rules, sql, suffix_dedup, token_file, token_lengths, warc
 from .common import stage
 
 RANKS = vocabularies.path("byte_bpe_multi_50k.tiktoken")
@@ -28,7 +28,7 @@ def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_archives(pages, f"{path}/archive")
     archives = warc.read_archives(spark, f"{path}/archive")
     warc.write_index(stage(warc.index_entries(archives), "warc-entries"), f"{path}/index")
-    index = spark.read.parquet(f"{path}/index")
+    index = warc.read_index(spark, f"{path}/index")
     keys = pages.select("url").distinct().mapInArrow(warc.url_keys, "surt string")
     found = stage(warc.look_up(index, keys), "warc-found")
     return warc.resolve(stage(warc.read_records(found, archives).drop("payload"), "warc-records"))
@@ -91,4 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_huffman_file,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_adaptive_rules": sql.ADAPTIVE_RULES,
+    "op7_universe_partition_join": sql.jaccard_components(words=4, percent=85),
+}

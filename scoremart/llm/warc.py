@@ -37,6 +37,7 @@ SHARD_BYTES = 64 << 20
 BLOCK_LINES = 1000
 #: An empty gzip member, as Latin-1 text.
 SEPARATOR = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00".decode("latin-1")
+INDEX = "shard long, block long, first string, last string, n long, lines binary"
 ENTRY = "surt string, page_id long, record_type string, file string, offset long, length long"
 
 
@@ -220,10 +221,14 @@ def write_index(entries: DataFrame, path: str) -> None:
     ordered = entries.repartitionByRange(n, "surt", "page_id", "file", "offset").sortWithinPartitions("surt", "page_id", "file", "offset")
     fields = [x.split()[0] for x in ENTRY.split(", ")]
     ordered.select(*fields, F.spark_partition_id().cast("long").alias("shard")).mapInArrow(
-        run, "shard long, block long, first string, last string, n long, lines binary"
+        run, INDEX
     ).write.parquet(path)
 
 
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(INDEX).parquet(path)
+
+
 def search_block(lines: list[list], key: str) -> list[list]:
     """The lines of one unpacked block whose key is ``key``."""
     low = bisect.bisect_left(lines, key, key=lambda x: x[0])

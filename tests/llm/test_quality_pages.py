@@ -127,7 +127,7 @@ def test_warc_round_trip(spark, pages, monkeypatch):
     assert sum(gzip.decompress(bytes(r["content"])).count(b"WARC/1.1\r\nWARC-Type") for r in archives.collect() if r["content"]) == len(PAGES)
     entries = stage(warc.index_entries(archives), "test-entries")
     warc.write_index(entries, f"{path}/index")
-    index = spark.read.parquet(f"{path}/index")
+    index = warc.read_index(spark, f"{path}/index")
     hits = warc.look_up(index, spark.createDataFrame([(warc.surt("http://b.example.org/x?y=1"),), ("zz",), ("a",)], "surt string"))
     assert sorted(r["page_id"] for r in hits.collect()) == [2, 3, 7]
     found = warc.look_up(index, entries.select("surt"))
@@ -150,7 +150,7 @@ def test_warc_of_no_pages(spark, pages):
     warc.write_archives(pages.where("page_id < 0"), f"{path}/archive")
     archives = warc.read_archives(spark, f"{path}/archive")
     warc.write_index(warc.index_entries(archives), f"{path}/index")
-    index = spark.read.schema("shard long, block long, first string, last string, n long, lines binary").parquet(f"{path}/index")
+    index = warc.read_index(spark, f"{path}/index")
     found = warc.look_up(index, spark.createDataFrame([("a",)], "surt string"))
     assert found.count() == 0 and warc.read_records(found, archives).count() == 0
 
