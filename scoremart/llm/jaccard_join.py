@@ -4,9 +4,10 @@ Equal sets form one class.  For the others, sizes are cut into bands; in a band,
 segments.  Two sets of similarity t differ in at most H tokens, so that segments whose allowances add up to more than H
 must contain one that differs by less than its allowance: segments of allowance 1 are matched on their subset of tokens,
 those of allowance 2 also on each subset without one token.  Numbers and allowances of segments are chosen for each band
-by the cost of signatures and of wrong matches at the band's number of documents.  Empty segments would match every
-document; spare allowance lets a set stay silent about some empty segments, and only sets with more of them than the
-spare allowance covers emit them.
+by the cost of signatures and of wrong matches at the band's number of documents.  Segments are more than needed by a
+spare allowance, half of which each set may give away: it stays silent about its empty segments, and then about those
+whose signatures most other sets have, so that words that very many documents share bring no pairs together.  Only a
+set with more empty segments than its allowance covers emits them, and then it gives nothing away.
 
 A set of size s emits the signatures of its own band and of each lower band that holds sizes of at least t * s.
 Documents that share a signature are linked by stars around the most frequent set; exact checks on the texts turn
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +36,11 @@ from .common import binary_column, fresh_name, pieces, stage
 from .links import components
 from .words import chain, lower_ascii, mix, split_words, word_hashes
 
+#: Sets of a signature up to which pairs of different components are rows, and sets of a block of a larger family.
+FEW = 24
+BLOCK = 400
+
+
 @dataclass(frozen=True)
 class Rule:
     """Shingles of ``words`` words; sets link at ``percent`` / 100 or more."""
@@ -76,14 +83,15 @@ def allocate(low: int, high: int, percent: int, docs: int) -> Band:
     need = most_difference(biggest + biggest * 100 // percent, percent) + 1
     best, price = Band(low, high, need, 0, 0), math.inf
     spares = {0, 2, 4, 6, 8, 12, *(2 * math.ceil(need * share / 200) for share in range(5, 65, 5))}
-    for spare in sorted(spares):
+    # Some spare is for frequent words, whatever the empty segments need.
+    for spare in sorted(x for x in spares if x >= need // 8):
         units = need + spare
         for twos in sorted({0, 1, 2, 3, units // 8, units // 4, units // 2, (units + 1) // 2}):
             ones = max(0, units - 2 * twos)
             load = low / (ones + 2 * twos)
             signatures = ones + twos * (2 + 2 * load)
             empty = ones * math.exp(-load) + twos * math.exp(-2 * load)
-            loud = above(empty, spare // 2 // (2 if twos else 1))
+            loud = above(empty, spare // 2 // (2 if twos else 1))  # at the sizes of least allowance
             cost = signatures + loud * (1 + docs * loud)
             if cost < price:
                 best, price = Band(low, high, ones, twos, spare), cost
@@ -141,8 +149,15 @@ def set_sizes(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key long")
 
 
-def signatures(tokens: np.ndarray, number: int, band: Band) -> np.ndarray:
-    """Signatures of one set in one band."""
+def allowance(size: int, own: bool, band: Band, percent: int) -> int:
+    """What a set of ``size`` may give away in a band: half of what the segments allow beyond the differences that a
+    linked set can have there.  ``own``: the band holds ``size``; else it holds the smaller set."""
+    other = size * 100 // percent if own else band.high - 1
+    return max(0, (band.ones + 2 * band.twos - most_difference(size + other, percent) - 1) // 2)
+
+
+def signatures(tokens: np.ndarray, number: int, band: Band, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Signatures of one set in one band, the segment of each, and what the set may still give away."""
     scattered = mix(tokens + np.uint64(0x51ED2701 * (number + 1)))
     place = (scattered % np.uint64(band.ones + 2 * band.twos)).astype(np.int64)
     place = np.where(place < band.ones, place, band.ones + (place - band.ones) // 2)
@@ -152,12 +167,15 @@ def signatures(tokens: np.ndarray, number: int, band: Band) -> np.ndarray:
     count = np.bincount(place, minlength=band.segments)
     salt = mix(np.arange(band.segments, dtype=np.uint64) + np.uint64((number + 1) << 32))
     empty = count == 0
-    units = int(empty[: band.ones].sum() + 2 * empty[band.ones :].sum())
-    out = [mix(sums + salt)[~empty]] if units <= band.spare // 2 else [mix(sums + salt)]
+    left = allowance(len(tokens), band.low <= len(tokens) < band.high, band, percent)
+    left -= int(empty[: band.ones].sum() + 2 * empty[band.ones :].sum())
+    at = np.flatnonzero(~empty) if left >= 0 else np.arange(band.segments)
+    made, segment = [mix(sums + salt)[at]], [at]
     if band.twos:
         wide = place >= band.ones
-        out.append(mix(sums[place[wide]] - value[wide] + salt[place[wide]]))
-    return np.unique(np.concatenate(out))
+        made.append(mix(sums[place[wide]] - value[wide] + salt[place[wide]]))
+        segment.append(place[wide])
+    return np.concatenate(made), np.concatenate(segment), max(0, left)
 
 
 def bands_of(size: int, bands: list[Band], percent: int) -> list[int]:
@@ -167,14 +185,16 @@ def bands_of(size: int, bands: list[Band], percent: int) -> list[int]:
 
 
 def signature_rows(docs: DataFrame, rule: Rule, bands: list[Band]) -> DataFrame:
-    """``signature, key``: each set's signatures once per task."""
+    """``signature, key, slot``: each set's signatures once per task.  The slot names band, segment and what may be given
+    away, in 16, 24 and 24 bits."""
     lows = np.array([b.low for b in bands])
+    names = ["signature", "key", "slot"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[int] = set()
             for _, _, data, bounds in pieces(batch.column(0)):
-                made, keys = [], []
+                made, keys, slots = [], [], []
                 for tokens in shingle_sets(data, bounds, rule.words):
                     if not len(bands) or len(tokens) < lows[0]:
                         continue
@@ -183,45 +203,69 @@ def signature_rows(docs: DataFrame, rule: Rule, bands: list[Band]) -> DataFrame:
                         continue
                     seen.add(key)
                     for i in bands_of(len(tokens), bands, rule.percent):
-                        made.append(signatures(tokens, i, bands[i]).view(np.int64))
-                        keys.append(np.full(len(made[-1]), key, np.int64))
+                        found, segment, left = signatures(tokens, i, bands[i], rule.percent)
+                        made.append(found.view(np.int64))
+                        keys.append(np.full(len(found), key, np.int64))
+                        slots.append((i << 48) + (segment << 24) + left)
                 if made:
-                    yield pa.record_batch([pa.array(np.concatenate(made)), pa.array(np.concatenate(keys))], ["signature", "key"])
+                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in (made, keys, slots)], names)
 
-    return docs.select("text").mapInArrow(run, "signature long, key long")
+    return docs.select("text").mapInArrow(run, "signature long, key long, slot long")
 
 
 def shared_signatures(rows: DataFrame) -> DataFrame:
-    """``signature, key`` of the signatures that different sets share.  Rows arrive sorted and are passed through one by
-    one, so that a signature of very many sets needs no memory."""
+    """``signature, key, slot`` of the signatures that different sets share.  Rows arrive sorted and are passed through one
+    by one, so that a signature of very many sets needs no memory."""
+    names = ["signature", "key", "slot"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, int] | None = None  # the last row, not yet known to be shared
+        held: tuple[int, ...] | None = None  # the last row, not yet known to be shared
         shared = False
         for batch in batches:
-            s, k = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False), np.int64) for i in (0, 1))
+            columns = [np.asarray(batch.column(i).to_numpy(zero_copy_only=False), np.int64) for i in range(3)]
             if held is not None:
-                s, k = np.concatenate([[held[0]], s]), np.concatenate([[held[1]], k])
+                columns = [np.concatenate([[h], c]) for h, c in zip(held, columns, strict=True)]
+            s, k = columns[:2]
             if not len(s):
                 continue
             first = np.ones(len(s), bool)
             first[1:] = (s[1:] != s[:-1]) | (k[1:] != k[:-1])
-            s, k = s[first], k[first]
+            columns = [c[first] for c in columns]
+            s = columns[0]
             left = np.zeros(len(s), bool)
             left[1:] = s[1:] == s[:-1]
             left[0] = held is not None and shared
             right = np.zeros(len(s), bool)
             right[:-1] = s[1:] == s[:-1]
             keep = left | right
-            held, shared = (int(s[-1]), int(k[-1])), bool(keep[-1])
+            held, shared = tuple(int(c[-1]) for c in columns), bool(keep[-1])
             keep[-1] = False
             if keep.any():
-                yield pa.record_batch([pa.array(s[keep]), pa.array(k[keep])], ["signature", "key"])
+                yield pa.record_batch([pa.array(c[keep]) for c in columns], names)
         if held is not None and shared:
-            yield pa.record_batch([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], ["signature", "key"])
+            yield pa.record_batch([pa.array([x], pa.int64()) for x in held], names)
 
     dealt = rows.repartition("signature").sortWithinPartitions("signature", "key")
-    return dealt.select("signature", "key").mapInArrow(run, "signature long, key long")
+    return dealt.select(*names).mapInArrow(run, "signature long, key long, slot long")
+
+
+def without_frequent(shared: DataFrame, bands: list[Band]) -> DataFrame:
+    """``signature, key`` without the segments that sets give away: those whose signatures most sets have."""
+    twos = F.coalesce(F.element_at(F.array(*(F.lit(b.ones) for b in bands)), F.col("band") + 1), F.lit(0)) if bands else F.lit(0)
+    often = shared.groupBy("signature").agg(F.count("*").alias("sets"))
+    rows = shared.join(often, "signature").select(
+        "signature",
+        "key",
+        "sets",
+        F.shiftright("slot", 48).cast("int").alias("band"),
+        F.shiftright("slot", 24).bitwiseAND(F.lit((1 << 24) - 1)).alias("segment"),
+        F.col("slot").bitwiseAND(F.lit((1 << 24) - 1)).alias("left"),
+    )
+    segments = rows.groupBy("key", "band", "segment").agg(F.max("sets").alias("sets"), F.max("left").alias("left"))
+    units = F.when(F.col("segment") < twos, 1).otherwise(2)
+    spent = F.sum(units).over(Window.partitionBy("key", "band").orderBy(F.col("sets").desc(), "segment"))  # one set's segments
+    kept = segments.withColumn("spent", spent).where(F.col("spent") > F.col("left")).select("key", "band", "segment")
+    return rows.join(kept, ["key", "band", "segment"], "left_semi").select("signature", "key")
 
 
 def class_texts(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
@@ -278,7 +322,10 @@ def linked_classes(docs: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
     per_band = {r[0]: r[1] for r in classes.groupBy(number.alias("band")).count().collect()}  # some dozens of bands
     bands = [allocate(lo, hi, rule.percent, per_band.get(i, 0)) for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
 
-    shared = stage(shared_signatures(signature_rows(docs, rule, bands)), "jaccard-signatures")
+    met = stage(shared_signatures(signature_rows(docs, rule, bands)), "jaccard-signatures")
+    shared = without_frequent(met, bands)
+    groups = shared.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature")
+    shared = stage(shared.join(groups, "signature", "left_semi"), "jaccard-shared")
     members = stage(classes.join(shared.select("key").distinct(), "key"), "jaccard-members")
     texts = stage(class_texts(docs, members.select("node", "key"), rule), "jaccard-texts")
 
@@ -301,19 +348,76 @@ def linked_classes(docs: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
     )
     now = by_key(components(ends(links), "x", "y"))
     placed = stage(shared.join(now, "key"), "jaccard-placed")
-    parts = placed.select("signature", "component").distinct()
-    mixed = parts.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature")
-    parts = parts.join(mixed, "signature")
-    left = parts.select("signature", F.col("component").alias("p"))
-    right = parts.select("signature", F.col("component").alias("q"))
-    apart = left.join(right, "signature").where("p < q")
-    side = lambda c, k: placed.select("signature", F.col("component").alias(c), F.col("key").alias(k))
-    cross = apart.join(side("p", "x"), ["signature", "p"]).join(side("q", "y"), ["signature", "q"])
+    sizes_of = placed.groupBy("signature").agg(
+        F.count("*").alias("sets"), (F.min("component") != F.max("component")).alias("mixed")
+    )
+    mixed = stage(placed.join(sizes_of.where("mixed"), "signature").drop("mixed"), "jaccard-mixed")
+    few = mixed.where(F.col("sets") <= FEW)
+    left = few.select("signature", F.col("component").alias("p"), F.col("key").alias("x"))
+    right = few.select("signature", F.col("component").alias("q"), F.col("key").alias("y"))
+    cross = left.join(right, "signature").where("p < q")
     cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = verified(cross.join(stars, ["a", "b"], "left_anti"), texts, rule)
+    more = more.unionByName(family_links(mixed.where(F.col("sets") > FEW), texts, rule))
     return stage(by_key(components(ends(links.unionByName(more)), "x", "y")), "jaccard-components")
 
 
+def family_links(rows: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """``a, b``: links between sets of different components that share a signature with many others.
+
+    Sets that such signatures connect form families.  A family is cut into blocks of some ``BLOCK`` sets; every two
+    blocks meet in one task, which counts common tokens as products of incidence matrices and passes on only links that
+    join components, at most one for each set.  Pairs never become rows.
+    """
+    centre = rows.groupBy("signature").agg(F.min("key").alias("centre"))
+    spokes = rows.join(centre, "signature").where("key <> centre").select("key", "centre").distinct()
+    family = components(spokes, "key", "centre").select(F.col("node").alias("key"), F.col("component").alias("family"))
+    blocks = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = rows.select("key", "component").distinct().join(family, "key").join(blocks, "family")
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    met = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select(
+        "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", F.col("component").alias("part")
+    )
+
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        data, bounds = binary_column(pa.array(group["text"], pa.string()))
+        sets = shingle_sets(data, bounds, rule.words)
+        size = np.array([len(x) for x in sets])
+        row = np.repeat(np.arange(len(sets)), size)
+        _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        often = count >= 2  # a token of one set is common to none
+        number = np.cumsum(often) - 1
+        use = often[column]
+        row, column = row[use], number[column[use]]
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        for low in range(0, int(often.sum()), 4096):
+            here = (column >= low) & (column < low + 4096)
+            part = np.zeros((len(sets), 4096), np.float32)
+            part[row[here], column[here] - low] = 1
+            common += part @ part.T
+        linked = 100 * common.astype(np.int64) >= rule.percent * (size[:, None] + size[None, :] - common.astype(np.int64))
+        component = group["part"].to_numpy()
+        linked &= component[:, None] < component[None, :]
+        root = {c: c for c in component.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                c = root[c]
+            return c
+
+        keys, out = group["key"].tolist(), []
+        for x, y in np.argwhere(linked).tolist():
+            p, q = find(int(component[x])), find(int(component[y]))
+            if p != q:
+                root[p] = q
+                out.append((keys[x], keys[y]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    joined = met.join(texts.select("key", "text"), "key")
+    return joined.groupBy("family", "i", "j").applyInPandas(solve, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
     sizes = stage(set_sizes(docs, rule), "jaccard-sizes")
