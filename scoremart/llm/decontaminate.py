@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 from .common import binaries, fresh_name, pieces, stage
 from .words import LETTERS, split_runs, word_hashes
 
-RANK, EXTRA, ROUNDS = 128, 16, 2
-#: Tokens of a step and steps of a passage.
-STEP, STEPS = 16, 4
+RANK, EXTRA, ROUNDS = 96, 16, 2
+#: Tokens of a step, steps of a passage, and steps from one passage to the next.
+STEP, STEPS, STRIDE = 16, 4, 2
 #: Items searched at a time.
 ITEMS = 4096
 #: Share of an item's latent vector that a candidate reaches.
-REACH = 0.3
+REACH = 0.4
 LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.75, 0.6, 0.75
 #: Least tokens of an item; shorter texts are no passages.
 LEAST_TOKENS = 5
@@ -198,8 +198,8 @@ def search(
         at, term = terms.find(own)
         n = -(-len(own) // STEP)
         total = np.concatenate([[0], np.cumsum(np.bincount(at // STEP, square[term], n))])
-        first = np.arange(max(1, n - STEPS + 1))
-        live = np.flatnonzero(total[np.minimum(first + STEPS, n)] - total[first] >= least)
+        first = np.append(np.arange(0, max(0, n - STEPS), STRIDE), max(0, n - STEPS))
+        live = first[total[np.minimum(first + STEPS, n)] - total[first] >= least]
         if not len(live):
             return
         wanted = np.zeros(n + STEPS, bool)
