@@ -51,13 +51,38 @@ def part_words(packed: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 + 4 * n, *end[:-1].tolist()], end.tolist(), strict=True)] if n else []
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1)
+
+
 def pack_places(places: np.ndarray) -> bytes:
-    """Small numbers, byte by byte of their 32 bits: frequent words have small places, so that most bytes are alike."""
-    return squeeze(places.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+    """Places, of which frequent words have small ones: one byte each, and byte by byte what goes beyond 254."""
+    short = np.minimum(places, 255).astype(np.uint8)
+    return squeeze(len(short).to_bytes(8, "little") + short.tobytes() + planes(places[places >= 255] - 255), 3)
 
 
 def unpack_places(packed: bytes) -> np.ndarray:
-    return np.frombuffer(loosen(packed), np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1)
+    raw = loosen(packed)
+    n = int.from_bytes(raw[:8], "little")
+    out = np.frombuffer(raw, np.uint8, n, 8).astype(np.uint32)
+    out[out == 255] += from_planes(raw[8 + n :])
+    return out
+
+
+def pack_ids(words: list[bytes], kind: np.dtype) -> bytes:
+    """Number and ids of the tokens of each word, byte by byte."""
+    size = np.array([len(w) for w in words], np.uint32) // kind.itemsize
+    return squeeze(len(size).to_bytes(8, "little") + planes(size) + planes(np.frombuffer(b"".join(words), kind)), 3)
+
+
+def unpack_ids(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = loosen(packed)
+    n = int.from_bytes(raw[:8], "little")
+    return from_planes(raw[8 : 8 + 4 * n]), from_planes(raw[8 + 4 * n :])
 
 
 def word_blocks(docs: DataFrame, pattern: str, buckets: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -120,6 +145,7 @@ def encode_words(words: DataFrame, ranks: str, pattern: str, buckets: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, known, bucket = rank_encoding(ranks, pattern), {}, None
+        kind = np.dtype(np.uint16 if encoding.max_token_value < 1 << 16 else np.uint32)
         for batch in batches:
             for b, own, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if own != bucket:
@@ -127,8 +153,8 @@ def encode_words(words: DataFrame, ranks: str, pattern: str, buckets: int) -> Da
                 found = part_words(packed)
                 for w in found:
                     if w not in known:
-                        known[w] = np.array(encoding.encode_ordinary(w.decode()), "<u4").tobytes()
-                value = join_words([known[w] for w in found])
+                        known[w] = np.array(encoding.encode_ordinary(w.decode()), kind).tobytes()
+                value = pack_ids([known[w] for w in found], kind)
                 yield pa.record_batch([pa.array([b], pa.int64()), pa.array([own], pa.int32()), binaries([value])], ["block", "bucket", "ids"])
 
     dealt = words.repartition(buckets, "bucket").sortWithinPartitions("bucket")
@@ -146,11 +172,11 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                table = [w for x in row["ids"] or [] for w in part_words(x["ids"])]
+                table = [unpack_ids(x["ids"]) for x in row["ids"] or []] or [(np.zeros(0, np.uint32),) * 2]
                 at = unpack_places(row["places"])
                 order = np.argsort(np.frombuffer(loosen(row["buckets"]), "<u4"), kind="stable")
-                size = np.array([len(w) for w in table], np.int64) // 4
-                flat = np.frombuffer(b"".join(table), "<u4")
+                size = np.concatenate([x for x, _ in table]).astype(np.int64)
+                flat = np.concatenate([x for _, x in table]).astype("<u4")
                 width, first = np.empty_like(size), np.empty_like(size)
                 width[order], first[order] = size, np.cumsum(size) - size
                 end = np.cumsum(np.array(row["sizes"], np.int64))
