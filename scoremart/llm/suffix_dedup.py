@@ -37,7 +37,9 @@ LENGTH, GRAM = 50, 24
 REACH = LENGTH - GRAM + 1
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 96 << 20
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 8 << 20
+#: Bytes of text whose anchors are computed at a time.
+ANCHOR_BYTES = 1 << 19
 #: Runs with one anchor beyond which they are dealt by window.
 HOT_RUNS = 4096
 ONE, SHARED, HOT = 0, 1, 2
@@ -87,7 +89,7 @@ class Runs:
 
 def block_runs(text: pa.Array, has_id: np.ndarray) -> list[Runs]:
     """Runs of the rows that have an id."""
-    return [Runs(low, data, bounds, has_id) for low, _, data, bounds in pieces(text)]
+    return [Runs(low, data, bounds, has_id) for low, _, data, bounds in pieces(text, ANCHOR_BYTES)]
 
 
 def write_batch(batch: pa.RecordBatch) -> bytes:
