@@ -27,7 +27,7 @@ from .token_lengths import rank_encoding
 
 #: Bytes of text in a block, and of text for each bucket of words.
 BLOCK_BYTES = 16 << 20
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 32 << 20
 
 
 def squeeze(raw: bytes, level: int = 1) -> bytes:
@@ -41,7 +41,7 @@ def loosen(raw: bytes) -> bytes:
 def join_words(words: list[bytes]) -> bytes:
     """Sizes and bytes of words in one compressed value."""
     sizes = np.array([len(w) for w in words], "<u4").tobytes()
-    return squeeze(len(words).to_bytes(4, "little") + sizes + b"".join(words), 3)
+    return squeeze(len(words).to_bytes(4, "little") + sizes + b"".join(words), 6)
 
 
 def part_words(packed: bytes) -> list[bytes]:
@@ -62,7 +62,7 @@ def from_planes(raw: bytes) -> np.ndarray:
 def pack_places(places: np.ndarray) -> bytes:
     """Places, of which frequent words have small ones: one byte each, and byte by byte what goes beyond 254."""
     short = np.minimum(places, 255).astype(np.uint8)
-    return squeeze(len(short).to_bytes(8, "little") + short.tobytes() + planes(places[places >= 255] - 255), 3)
+    return squeeze(len(short).to_bytes(8, "little") + short.tobytes() + planes(places[places >= 255] - 255), 6)
 
 
 def unpack_places(packed: bytes) -> np.ndarray:
@@ -76,7 +76,7 @@ def unpack_places(packed: bytes) -> np.ndarray:
 def pack_ids(words: list[bytes], kind: np.dtype) -> bytes:
     """Number and ids of the tokens of each word, byte by byte."""
     size = np.array([len(w) for w in words], np.uint32) // kind.itemsize
-    return squeeze(len(size).to_bytes(8, "little") + planes(size) + planes(np.frombuffer(b"".join(words), kind)), 3)
+    return squeeze(len(size).to_bytes(8, "little") + planes(size) + planes(np.frombuffer(b"".join(words), kind)), 6)
 
 
 def unpack_ids(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +171,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):  # a row is a block: one at a time
+                row = {k: batch.column(k)[i].as_py() for k in batch.schema.names}
                 table = [unpack_ids(x["ids"]) for x in row["ids"] or []] or [(np.zeros(0, np.uint32),) * 2]
                 at = unpack_places(row["places"])
                 order = np.argsort(np.frombuffer(loosen(row["buckets"]), "<u4"), kind="stable")
@@ -181,9 +182,9 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
                 width[order], first[order] = size, np.cumsum(size) - size
                 end = np.cumsum(np.array(row["sizes"], np.int64))
                 low = 0
-                while low < len(end):  # documents of some 4 million words at a time
+                while low < len(end):  # documents of some 260,000 words at a time
                     begin = int(end[low - 1]) if low else 0
-                    high = max(low + 1, int(np.searchsorted(end, begin + (1 << 20))))
+                    high = max(low + 1, int(np.searchsorted(end, begin + (1 << 18))))
                     own = at[begin : end[high - 1]]
                     n = width[own]
                     to = np.cumsum(n)
