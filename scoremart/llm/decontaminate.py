@@ -2,15 +2,19 @@
 
 1. Texts become sequences of lower-case token hashes, written once.
 2. Document frequencies of the benchmark's terms are counted over all documents.
-3. The TF-IDF matrix of the benchmark passages gets a randomised SVD: tasks multiply their rows with a random projection
-   and send one partial product; power iterations sharpen the basis, whose size does not depend on the documents.
-4. Every document is folded in as overlapping passages.  A passage is a candidate for the benchmark passages on whose
-   direction its latent vector reaches a share of theirs: their cosine, but not lowered by the passage's other words.
-5. A candidate is confirmed by the longest common subsequence of item and passage, alone or together with the item's
-   answer (its last sentence), so that paraphrases with replaced, dropped or added words are found.
-
-The benchmark is the stated query set: it is searched in blocks of ``ITEMS`` items, so that what is sent to the tasks is
-bounded.  Null and empty texts match nothing, items of fewer than ``LEAST_TOKENS`` tokens are ignored; repeated documents
+3. Items are cut into pieces of at most ``PIECE`` tokens.  The TF-IDF matrix of the pieces gets a randomised SVD: tasks
+   multiply their rows with a random projection and send one partial product; power iterations sharpen the basis, whose
+   size does not depend on the documents.  It spans all pieces that are searched together, so no direction is lost.
+4. Every document is folded in as overlapping passages.  A passage is a candidate for a piece if its latent vector,
+   projected on the piece's, is as long as the confirmation rule can need, and if it holds as many of the piece's tokens.
+5. A candidate is confirmed by the longest common subsequence of the whole item and the text around the passage, alone or
+   together with the item's answer (its last sentence), so that paraphrases with replaced, dropped or added words are found.
+
+Where the subsequence is a share of the item, it is as large a share of one of its pieces at least.  A passage holds that
+piece whole while its tokens lie within ``STEP * (STEPS - 1) + 1`` tokens; copies spread wider than that may be missed.
+
+The benchmark is the stated query set: its terms are counted in blocks of ``ITEMS`` items and it is searched in blocks of
+``RANK`` pieces, so that what is sent to the tasks is bounded.  Null and empty texts match nothing, items of fewer than ``LEAST_TOKENS`` tokens are ignored; repeated documents
 and items match each; ties of a document and item keep the best values; an empty table gives no pairs; other columns are
 kept by ``drop_contaminated`` and ignored otherwise.
 """
@@ -29,13 +33,16 @@ from pyspark.sql import functions as F
 from .common import binaries, fresh_name, pieces, stage
 from .words import LETTERS, split_runs, word_hashes
 
-RANK, EXTRA, ROUNDS = 96, 16, 2
-#: Tokens of a step, steps of a passage, and steps from one passage to the next.
-STEP, STEPS, STRIDE = 16, 4, 2
-#: Items searched at a time.
+#: Pieces searched together, which is the rank of their basis at most.
+RANK, EXTRA, ROUNDS = 512, 16, 2
+#: Tokens of a step, and steps of a passage; a passage starts at every step.
+STEP, STEPS = 16, 4
+#: Most tokens of a piece: a passage holds it whole wherever it stands, with 17 tokens between its own.
+PIECE = 32
+#: Passages projected at a time.
+PASSAGES = 256
+#: Items whose terms are counted at a time.
 ITEMS = 4096
-#: Share of an item's latent vector that a candidate reaches.
-REACH = 0.4
 LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.75, 0.6, 0.75
 #: Least tokens of an item; shorter texts are no passages.
 LEAST_TOKENS = 5
@@ -102,18 +109,18 @@ def idf_weights(df: np.ndarray, docs: int) -> np.ndarray:
 
 
 def tfidf(raw: bytes, terms: Terms, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Terms and weights of one benchmark passage."""
+    """Terms and weights of one piece."""
     own, n = np.unique(terms.find(np.frombuffer(raw, "<u4"))[1], return_counts=True)
     return own, n * idf[own]
 
 
-def latent_basis(items: DataFrame, terms: Terms, idf: np.ndarray) -> np.ndarray:
-    """Terms x rank: right singular vectors of the items' TF-IDF matrix by distributed randomised SVD."""
+def latent_basis(cut: DataFrame, terms: Terms, idf: np.ndarray) -> np.ndarray:
+    """Terms x rank: right singular vectors of the pieces' TF-IDF matrix by distributed randomised SVD."""
     width = min(RANK + EXTRA, len(terms))
     schema = "term int, value binary"
 
     def gram_product(q: np.ndarray) -> np.ndarray:
-        """A' A q, where A has the items of unit length as rows; a task sends one partial product."""
+        """A' A q, where A has the pieces of unit length as rows; a task sends one partial product."""
 
         def rows(at: list[int], values: list[np.ndarray]) -> pa.RecordBatch:
             return pa.record_batch([pa.array(at, pa.int32()), binaries([x.tobytes() for x in values])], ["term", "value"])
@@ -137,8 +144,8 @@ def latent_basis(items: DataFrame, terms: Terms, idf: np.ndarray) -> np.ndarray:
             yield rows(list(total), list(total.values()))
 
         out = np.zeros(q.shape)
-        parts = items.select("tokens").mapInArrow(run, schema).repartition("term").mapInArrow(add, schema)
-        for r in parts.collect():  # terms x width numbers, bounded by the block of items
+        parts = cut.select("tokens").mapInArrow(run, schema).repartition("term").mapInArrow(add, schema)
+        for r in parts.collect():  # terms x width numbers, bounded by the block of pieces
             out[r["term"]] = np.frombuffer(r["value"], np.float64)
         return out
 
@@ -173,49 +180,77 @@ def item_answers(benchmark: DataFrame, key: str = "item_id", text: str = "text")
     return rows.where(F.octet_length("tokens") >= 4 * LEAST_TOKENS).select("item", "tokens", "answer")
 
 
+def cut_items(items: list[tuple[object, bytes, int]]) -> list[tuple[int, np.ndarray]]:
+    """Item and tokens of each piece: parts of nearly equal length."""
+    out = []
+    for i, (_, raw, _) in enumerate(items):
+        own = np.frombuffer(raw, "<u4")
+        out += [(i, part) for part in np.array_split(own, math.ceil(len(own) / PIECE))]
+    return out
+
+
 def search(
-    tokens: DataFrame, items: list[tuple[object, bytes, int]], terms: Terms, idf: np.ndarray, basis: np.ndarray, item_type: str
+    tokens: DataFrame,
+    items: list[tuple[object, bytes, int]],
+    cut: list[tuple[int, np.ndarray]],
+    terms: Terms,
+    idf: np.ndarray,
+    basis: np.ndarray,
+    item_type: str,
 ) -> DataFrame:
-    """Confirmed ``doc_id, item_id, cosine, lcs, answer`` for one block of items."""
-    sequences = [np.frombuffer(raw, "<u4") for _, raw, _ in items]
-    index = np.zeros((len(items), basis.shape[1]), np.float32)
-    mass = np.zeros(len(items))
-    for i, (_, raw, _) in enumerate(items):
-        own, weight = tfidf(raw, terms, idf)
-        index[i] = weight @ basis[own]
-        mass[i] = float((weight**2).sum())
+    """Confirmed ``doc_id, item_id, cosine, lcs, answer`` for one block of pieces."""
+    own_items = {i: np.frombuffer(items[i][1], "<u4") for i, _ in cut}
+    answers = {i: max(0, min(items[i][2], len(s))) for i, s in own_items.items()}
+    spans = {i: math.ceil(len(s) / STEP) for i, s in own_items.items()}  # steps that an item may reach beyond a passage
+    names = {i: items[i][0] for i in own_items}
+    owner = [i for i, _ in cut]
+    index = np.zeros((len(cut), basis.shape[1]), np.float32)
+    piece_terms = np.full((len(cut), PIECE), len(terms), np.int64)  # one more than the last term: never present
+    least, need = np.zeros(len(cut), np.float32), np.zeros(len(cut), np.int64)
+    for j, (_, part) in enumerate(cut):
+        own, weight = tfidf(part.tobytes(), terms, idf)
+        index[j] = weight @ basis[own]
+        term = terms.find(part)[1]
+        piece_terms[j, : len(term)] = term
+        need[j] = math.ceil(LCS_WITH_ANSWER * len(part) - 1e-9)
+        # The lightest tokens that can make up the least subsequence; a hundredth for rounding of the basis.
+        least[j] = 0.99 * np.sort(idf[term] ** 2)[: need[j]].sum()
     size = np.maximum(np.linalg.norm(index, axis=1), 1e-9)
-    share = index / (size**2)[:, None]  # times a latent vector: its share of the item's
     weights = (basis * idf[:, None]).astype(np.float32)
-    square = (idf**2).astype(np.float32)
-    least = REACH * mass.min()  # known terms of smaller weight cannot make up the share of any item
-    answers = [max(0, min(a, len(s))) for (_, _, a), s in zip(items, sequences, strict=True)]
-    spans = [math.ceil(len(s) / STEP) for s in sequences]  # steps that an item may reach beyond a passage
+    onto = weights @ index.T  # what one token of each term adds to the product of a passage and each piece
     schema = f"doc_id long, item_id {item_type}, cosine double, lcs double, answer double"
 
     def candidates(own: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """Step of a passage, item and cosine."""
         at, term = terms.find(own)
-        n = -(-len(own) // STEP)
-        total = np.concatenate([[0], np.cumsum(np.bincount(at // STEP, square[term], n))])
-        first = np.append(np.arange(0, max(0, n - STEPS), STRIDE), max(0, n - STEPS))
-        live = first[total[np.minimum(first + STEPS, n)] - total[first] >= least]
-        if not len(live):
-            return
-        wanted = np.zeros(n + STEPS, bool)
-        for k in range(STEPS):
-            wanted[live + k] = True
-        keep = wanted[at // STEP]
-        at, term = at[keep], term[keep]
-        steps = np.zeros((n + STEPS, weights.shape[1]), np.float32)
-        filled, begin = np.unique(at // STEP, return_index=True)
-        steps[filled] = np.add.reduceat(weights[term], begin)
-        for low in range(0, len(live), 512):
-            part = live[low : low + 512]
-            vectors = sum(steps[part + k] for k in range(STEPS))
-            for p, i in np.argwhere(vectors @ share.T >= REACH).tolist():
-                v = vectors[p]
-                yield int(part[p]), i, float(v @ index[i] / max(np.linalg.norm(v) * size[i], 1e-9))
+        step = at // STEP
+        last = max(0, -(-len(own) // STEP) - STEPS)
+        for low in range(0, last + 1, PASSAGES):
+            many = min(PASSAGES, last + 1 - low)
+            a, b = np.searchsorted(step, [low, low + many + STEPS - 1])
+            if a == b:
+                continue
+            s, t = step[a:b] - low, term[a:b]
+            begin = np.flatnonzero(np.diff(s, prepend=-1))
+            steps = np.zeros((many + STEPS - 1, len(cut)), np.float32)
+            steps[s[begin]] = np.add.reduceat(onto[t], begin)
+            product = steps[:many].copy()
+            for k in range(1, STEPS):
+                product += steps[k : k + many]
+            passage, piece = np.nonzero(product >= least)
+            if not len(passage):
+                continue
+            present = np.zeros((many, len(terms) + 1), bool)
+            for k in range(STEPS):
+                inside = (s >= k) & (s < many + k)
+                present[s[inside] - k, t[inside]] = True
+            keep = present[passage[:, None], piece_terms[piece]].sum(axis=1) >= need[piece]
+            length: dict[int, float] = {}
+            for p, j in zip(passage[keep].tolist(), piece[keep].tolist(), strict=True):
+                if p not in length:
+                    c, d = np.searchsorted(s, [p, p + STEPS])
+                    length[p] = max(float(np.linalg.norm(weights[t[c:d]].sum(axis=0))), 1e-9)
+                yield low + p, owner[j], float(product[p, j] / (length[p] * size[j]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,26 +260,25 @@ def search(
                 if not len(own):
                     continue
                 best: dict[int, tuple] = {}
-                seen: dict[int, int] = {}
+                seen: set[tuple[int, int]] = set()
                 for step, i, cosine in sorted(candidates(own), key=lambda x: (-x[2], x[0], x[1])):
                     if i in best and best[i][1] >= LCS_ALONE:
                         continue
-                    sequence, a, span = sequences[i], answers[i], spans[i]
-                    begin = max(0, (step - span) * STEP)
-                    if seen.get(i) == begin:
+                    sequence, a, span = own_items[i], answers[i], spans[i]
+                    if (i, step) in seen:  # found by another piece
                         continue
-                    seen[i] = begin
-                    region = own[begin : (step + STEPS + span) * STEP]
+                    seen.add((i, step))
+                    region = own[max(0, (step - span) * STEP) : (step + STEPS + span) * STEP]
                     if np.isin(sequence, region).mean() < LCS_WITH_ANSWER:
                         continue
                     common = lcs(sequence, region) / len(sequence)
                     part = lcs(sequence[len(sequence) - a :], region) / a if a else 0.0
                     if common >= LCS_ALONE or (common >= LCS_WITH_ANSWER and part >= ANSWER):
                         best[i] = max(best.get(i, (0.0,) * 3), (cosine, common, part), key=lambda x: x[1:])
-                found += [(doc, items[i][0], *v) for i, v in best.items()]
+                found += [(doc, names[i], *v) for i, v in best.items()]
             columns = list(zip(*found, strict=True)) if found else [[]] * 5
-            names = ["doc_id", "item_id", "cosine", "lcs", "answer"]
-            yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
+            columns = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.record_batch(columns, ["doc_id", "item_id", "cosine", "lcs", "answer"])
 
     item_kind = pa.int32() if item_type == "int" else pa.int64() if item_type == "bigint" else pa.string()
     kinds = [pa.int64(), item_kind, pa.float64(), pa.float64(), pa.float64()]
@@ -262,7 +296,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         rows = [(r["item"], bytes(r["tokens"]), r["answer"]) for r in block.orderBy("place").collect()]
         terms = Terms(np.concatenate([np.frombuffer(raw, "<u4") for _, raw, _ in rows]))
         idf = idf_weights(*document_frequencies(tokens, terms))
-        out = out.unionByName(search(tokens, rows, terms, idf, latent_basis(block, terms, idf), item_type))
+        cut = cut_items(rows)
+        for first in range(0, len(cut), RANK):
+            part = cut[first : first + RANK]
+            own = Terms(np.concatenate([x for _, x in part]))
+            weight = idf[terms.find(own.hashes)[1]]
+            table = docs.sparkSession.createDataFrame([(x.tobytes(),) for _, x in part], "tokens binary")
+            out = out.unionByName(search(tokens, rows, part, own, weight, latent_basis(table, own, weight), item_type))
     best = F.max(F.struct("lcs", "answer", "cosine")).alias("v")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "v.cosine", "v.lcs", "v.answer")
 

@@ -235,3 +235,25 @@ def test_decontamination_finds_copies_and_paraphrases(spark, odd_docs, no_docs):
     none = benchmark.where("item_id < 0")
     assert decontaminate.contaminated(docs, none).count() == 0 and decontaminate.contaminated(no_docs, benchmark).count() == 0
     assert decontaminate.drop_contaminated(docs, none).count() == docs.count()
+
+
+def decoys(rng, items):
+    """Texts around the copies, and texts of the same words in another order."""
+    words = [w for _, x in items for w in x.split()]
+    return [(3000 + k, " ".join(rng.choice(words) for _ in range(300))) for k in range(20)]
+
+
+def test_decontamination_finds_long_items(spark):
+    rng = random.Random(12)
+    items = [(k, prose(rng, n, 3000)) for k, n in enumerate((70, 130, 200, 320, 500, 1000))]
+    rows, want = decoys(rng, items), set()
+    for k, text in items:
+        words = text.split()
+        replaced = [w if j % 5 != 4 else f"other{rng.randrange(10**6)}" for j, w in enumerate(words)]
+        added = [x for j, w in enumerate(words) for x in ([w, f"more{rng.randrange(10**6)}"] if j % 6 == 5 else [w])]
+        for d, own in enumerate((words, replaced, added)):
+            rows.append((10 * k + d, prose(rng, 50 + 7 * d) + " " + " ".join(own) + " " + prose(rng, 90)))
+            want.add((10 * k + d, k))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contaminated(table(spark, rows), benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want
