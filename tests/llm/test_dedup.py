@@ -257,3 +257,21 @@ def test_decontamination_finds_long_items(spark):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     found = decontaminate.contaminated(table(spark, rows), benchmark).collect()
     assert {(r["doc_id"], r["item_id"]) for r in found} == want
+
+
+@pytest.mark.parametrize("rank", [512, 7])
+def test_decontamination_finds_items_without_their_rare_words(spark, monkeypatch, rank):
+    """What the confirmation accepts stays a candidate, however little weight is left and in however many blocks it is searched."""
+    monkeypatch.setattr(decontaminate, "RANK", rank)
+    rng = random.Random(13)
+    common = [f"c{i}" for i in range(150)]
+    items = [(k, " ".join(f"rare{k}x{j}" if j % 4 == 1 else rng.choice(common) for j in range(n))) for k, n in enumerate([24, 32, 44, 60, 100] * 2)]
+    filler = [(1000 + k, " ".join(rng.choice(common) for _ in range(300))) for k in range(60)]
+    rows, want = [], set()
+    for k, text in items:
+        own = " ".join(w if not w.startswith("rare") else f"new{rng.randrange(10**6)}" for w in text.split())
+        rows.append((k, " ".join(rng.choice(common) for _ in range(37 + k)) + " " + own + " " + prose(rng, 60)))
+        want.add((k, k))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contaminated(table(spark, rows + filler), benchmark).collect()
+    assert want <= {(r["doc_id"], r["item_id"]) for r in found}
