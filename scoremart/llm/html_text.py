@@ -2,8 +2,9 @@
 
 Each text block of a page has the path of open block elements from the root to it.  Per path, text length, punctuation
 and link text are summed; the text-to-node ratio is smoothed over paths that follow each other on the page, fused with
-the punctuation ratio, and summed over the container of the path.  Containers whose fused score reaches a fraction of
-the best one are content, and all their blocks are kept in page order.  Elements that are no running text by their
+the punctuation ratio; paths inside ``article`` and ``main`` count more, headings as much as the text that follows them.
+A container scores as its best path, whatever its length.  Containers whose score reaches a fraction of the best one are
+content, and all their blocks are kept in page order.  Elements that are no running text by their
 name or class (menus, forms, notices, adverts, comments, ...) have no content paths.
 
 Null or empty html and pages without content give the empty string; repeated rows give equal texts; unclosed elements
@@ -53,6 +54,9 @@ _SCOPE = set("article section div table ul ol dl main body html blockquote nav a
 _LEAF = set("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption summary address tr tbody thead tfoot table ul ol dl figure".split())
 #: Share of the best container's score that content needs.
 SHARE = 0.3
+#: How much more a path inside an article or main element counts.
+INSIDE = 2
+_HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 def is_boiler(name: str, attributes: str, inside: bool) -> bool:
@@ -158,8 +162,11 @@ def text_blocks(page: str) -> list[tuple[str, str, int]]:
 
 
 def container(path: str) -> str:
-    """The path without the elements that only hold a paragraph or table cell."""
+    """The path down to its article or main element, or else without the elements that only hold a paragraph or cell."""
     parts = path.split("/")
+    for k, part in enumerate(parts):
+        if part.split(".")[0] in ("article", "main"):
+            return "/".join(parts[: k + 1])
     while parts and parts[-1] in _LEAF:
         parts.pop()
     return "/".join(parts)
@@ -180,20 +187,25 @@ def content_containers(blocks: list[tuple[str, str, int]]) -> set[str]:
         (ratio[max(0, i - 1)] + 2 * ratio[i] + ratio[min(len(order) - 1, i + 1)]) / 4 if container(order[max(0, i - 1)]) == container(order[i]) else ratio[i]
         for i in range(len(order))
     ]
-    scores: dict[str, float] = {}
+    ratios: list[float] = []
     for path, value in zip(order, smooth, strict=True):
         length, marks, _, links = paths[path]
-        fused = value * (1 + marks / max(1, length)) * length / max(1, length + links)
-        scores[container(path)] = scores.get(container(path), 0) + fused * (length + 1) ** 0.5
+        inside = container(path).split("/")[-1].split(".")[0] in ("article", "main")
+        ratios.append(value * (1 + marks / max(1, length)) * length / max(1, length + links) * (INSIDE if inside else 1))
+    scores: dict[str, float] = {}
+    following = 0.0  # best ratio up to the next heading
+    for path, value in zip(reversed(order), reversed(ratios), strict=True):
+        if path.split("/")[-1] in _HEADING:
+            value, following = max(value, following), 0.0
+        else:
+            following = max(value, following)
+        scores[container(path)] = max(scores.get(container(path), 0), value)
     text, links = {}, {}
     for path, (length, _, _, linked) in paths.items():
         text[container(path)] = text.get(container(path), 0) + length
         links[container(path)] = links.get(container(path), 0) + linked
     scores = {c: s if text[c] > links[c] else 0.0 for c, s in scores.items()}
     best = max(scores.values(), default=0)
-    inner = [c for c in scores if {x.split(".")[0] for x in c.split("/")} & {"article", "main"}]
-    if any(scores[c] > 0 for c in inner):
-        return {c for c in inner}
     return {c for c, s in scores.items() if s > 0 and s >= SHARE * best}
 
 

@@ -176,6 +176,26 @@ def test_page_text():
     assert html_text.main_text("just text < here") == "just text < here"
 
 
+def test_page_text_beside_article_cards():
+    """Teaser cards do not push out the main text of a plain element."""
+    sentence = "The council met on Monday, and it agreed on the plan, after long talks. "
+    cards = "".join(f"<article><h3><a href=/{i}>Story {i}</a></h3><p>Teaser, number {i}, in a few words.</p></article>" for i in range(4))
+    page = f"<body><div id=story><p>{sentence * 3}</p><p>{sentence * 4}</p></div><div class=cards>{cards}</div></body>"
+    assert html_text.main_text(page).startswith(f"{(sentence * 3).strip()}\n\n{(sentence * 4).strip()}")
+    inside = f"<body><article><div class=by><p>By A.</p></div><div class=text><p>{sentence * 3}</p></div></article><div><p>All rights, reserved.</p></div></body>"
+    assert html_text.main_text(inside) == f"By A.\n\n{(sentence * 3).strip()}"
+
+
+@pytest.mark.parametrize("paragraphs", [2, 40])
+def test_page_text_with_heading_and_lead_in_own_containers(paragraphs):
+    """What is content does not depend on how long another container is."""
+    sentence = "The council met on Monday, and it agreed on the plan, after long talks. "
+    story = "".join(f"<p>{sentence * 3}</p>" for _ in range(paragraphs))
+    page = f"<body><div class=top><h1>Plan agreed</h1></div><div class=lead><p>{sentence * 2}</p></div><div class=story>{story}</div><div class=end>Printed here</div></body>"
+    want = ["Plan agreed", (sentence * 2).strip(), *[(sentence * 3).strip()] * paragraphs]
+    assert html_text.main_text(page) == "\n\n".join(want)
+
+
 def test_extract_text_table(spark, pages):
     found = html_text.extract_text(pages).collect()
     got = sorted(((r["page_id"], r["url"], r["text"], r["n_chars"]) for r in found), key=repr)
