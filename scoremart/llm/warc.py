@@ -10,7 +10,8 @@ Index: one line per capture, ``reversed-host key, page id, type, file, offset, l
 look-up finds the shard among the shard bounds, binary-searches the shard's directory, unpacks only the blocks that can
 hold the key, binary-searches their lines, and reads the named byte range of the archive.
 
-A null html is an empty payload.  A null url has the key "" and no target URI.  A null page id is always a response and
+A null html is an empty payload.  A null url has the key "" and no target URI.  A url with line breaks or outer
+white space has them escaped or stripped in its target URI and key, and is kept as it is in a header of its own.  A null page id is always a response and
 never referred to.  Rows equal in page id and payload are of the same type.  An empty table writes no record and gives empty results.  Other columns are not read.
 """
 
@@ -41,12 +42,19 @@ INDEX = "shard long, block long, first string, last string, n long, lines binary
 ENTRY = "surt string, page_id long, record_type string, file string, offset long, length long"
 
 
+def header_url(url: str) -> str:
+    """A URL as it stands in a header: on one line, without outer white space."""
+    return url.strip().replace("\r", "%0D").replace("\n", "%0A")
+
+
 def surt(url: str | None) -> str:
-    """Sort key of a URL: host labels reversed, then port, path and query; scheme, user and fragment do not count."""
+    """Sort key of a URL: host labels reversed, then port, path and query; scheme, user and fragment do not count.  Taken
+    from the URL's form in a header, so that the index and a look-up have the same key."""
+    url = header_url(url or "")
     if not url:
         return ""
     try:
-        parts = urlsplit(url.strip())
+        parts = urlsplit(url)
         host, port = (parts.hostname or "").rstrip("."), parts.port
     except ValueError:
         return url
@@ -98,7 +106,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         f"X-Page-Id: {json.dumps(page_id)}",
     ]
     if url is not None:
-        lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+        lines.append("WARC-Target-URI: " + header_url(url))
+        if header_url(url) != url:
+            lines.append("X-Page-Url: " + json.dumps(url))
     if revisit:
         lines += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
@@ -284,7 +294,8 @@ def read_records(entries: DataFrame, archives: DataFrame) -> DataFrame:
                 if own != stated:
                     raise ValueError(f"record at {at} does not have the payload of its digest")
                 size = len(payload) if response else None
-                out.append((json.loads(h["x-page-id"]), h.get("warc-target-uri"), h["warc-type"], refers, size, own, payload if response else None))
+                url = json.loads(h["x-page-url"]) if "x-page-url" in h else h.get("warc-target-uri")
+                out.append((json.loads(h["x-page-id"]), url, h["warc-type"], refers, size, own, payload if response else None))
         frame = pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")], dtype=object)
         return frame.astype({k: "Int64" for k in ("page_id", "refers_to", "payload_bytes")})
 

@@ -145,6 +145,14 @@ def test_warc_round_trip(spark, pages, monkeypatch):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_warc_finds_urls_with_line_breaks_and_outer_spaces(spark, tmp_path):
+    urls = ["http://a.example/x\ny", "\thttp://a.example/z\r\n", "/rel/path ", " ", "\n", "", None, " /p\rq", "\xa0http://é.example/\x85", "http://a.example/x%0Ay"]
+    rows = [(i, u, f"<p>{i}</p>") for i, u in enumerate(urls)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = queries.op1_warc_index(spark, f"file://{tmp_path}").collect()
+    assert sorted((r["page_id"], r["url"]) for r in found) == [(i, u) for i, u, _ in rows]
+
+
 def test_warc_of_no_pages(spark, pages):
     path = scratch_path(spark, "test-warc")
     warc.write_archives(pages.where("page_id < 0"), f"{path}/archive")
