@@ -75,3 +75,35 @@ links AS (
 reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
 SELECT words.doc_id, coalesce(any_value(n), 0) AS n_shingles, least(words.doc_id, coalesce(min(reach.b), words.doc_id)) AS component_id
 FROM words LEFT JOIN sizes ON sizes.doc_id = words.doc_id LEFT JOIN reach ON reach.a = words.doc_id GROUP BY words.doc_id"""
+
+
+FILTER_AUDIT = """
+WITH words AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+    SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+        + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 4 ELSE 0 END
+        + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+        + CASE WHEN words.doc_id > min(words.doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask
+    FROM words LEFT JOIN marks ON words.doc_id = marks.doc_id),
+masks AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, mask),
+bits AS (SELECT unnest(range(5)) AS b),
+orders AS (
+    SELECT [a.b, b.b, c.b, d.b, e.b] AS o FROM bits a, bits b, bits c, bits d, bits e
+    WHERE len(list_distinct([a.b, b.b, c.b, d.b, e.b])) = 5),
+steps AS (
+    SELECT list_aggregate(list_transform(o, lambda x: substr('ABCDE', x + 1, 1)), 'string_agg', '') AS filter_order, s AS step,
+        (1 << o[s]) AS bit, CAST(list_sum(list_transform(o[1 : s], lambda x: 1 << x)) AS BIGINT) AS upto
+    FROM (SELECT o, unnest(range(1, 6)) AS s FROM orders) x),
+counted AS (
+    SELECT part, filter_order, step, bit,
+        sum(CASE WHEN mask & upto = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & upto = bit THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN mask & bit > 0 AND mask & upto <> bit THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN mask & upto = bit THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & upto = bit THEN toxic ELSE 0 END) AS toxic_lost
+    FROM masks, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+    CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+    CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM counted"""
