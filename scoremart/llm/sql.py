@@ -107,3 +107,53 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
     CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
     CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
 FROM counted"""
+
+
+def merkle(levels: int) -> str:
+    """Leaves, nodes and proofs of all trees, level by level; ``levels`` must suffice for the largest tree."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    byte = "list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    crc = f"list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: ord(d)::BIGINT)), lambda a, b: xor(a >> 8, {byte.replace('[x,', '[xor(a, b) & 255,')}))"
+
+    def trees(name: str, start: str) -> str:
+        """Nodes per level, then the siblings of each first-level node on all levels."""
+        parts = [f"{name}_0 AS (SELECT tree, pos, n, node FROM {start})"]
+        for k in range(levels):
+            parts.append(
+                f"{name}_{k + 1} AS (SELECT tree, pos // 3 AS pos, any_value((n + 2) // 3) AS n, "
+                f"CASE WHEN any_value(n) > 1 THEN sha256(string_agg(node, '' ORDER BY pos)) ELSE any_value(node) END AS node "
+                f"FROM {name}_{k} GROUP BY tree, pos // 3)"
+            )
+            parts.append(
+                f"{name}_near_{k} AS (SELECT a.tree, a.pos, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, "
+                f"coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r FROM {name}_{k} a "
+                f"JOIN {name}_{k} b ON a.tree = b.tree AND a.pos // 3 = b.pos // 3 GROUP BY a.tree, a.pos)"
+            )
+        joins = " ".join(
+            f"JOIN {name}_near_{k} s{k} ON s{k}.tree = x.tree AND s{k}.pos = x.pos // {3**k}" for k in range(levels)
+        )
+        steps = ", ".join(f"{{'l': s{k}.l, 'r': s{k}.r, 'on': x.n > {3**k}}}" for k in range(levels))
+        parts.append(
+            f"{name} AS (SELECT x.*, top.node AS root, list_filter([{steps}], lambda s: s['on']) AS steps FROM {start} x {joins} "
+            f"JOIN {name}_{levels} top ON top.tree = x.tree AND top.pos = 0)"
+        )
+        return ",\n".join(parts)
+
+    folded = "list_reduce(list_prepend({'l': '', 'r': '', 'x': actual}, list_transform(steps, lambda s: {'l': s['l'], 'r': s['r'], 'x': ''})), lambda a, s: {'l': '', 'r': '', 'x': sha256(s['l'] || a['x'] || s['r'])})['x']"
+    return f"""
+WITH marked AS (SELECT *, coalesce(xor({crc}, 4294967295) % 2 = 0, false) AS cut FROM documents),
+changed AS (SELECT *, CASE WHEN cut THEN replace(text, chr(10), '') ELSE text END AS kept FROM marked),
+rows AS (SELECT coalesce('s' || source, '') AS tree, doc_id, {leaf("text")} AS node, {leaf("kept")} AS actual FROM changed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, node) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM rows),
+{trees("sources", "placed")},
+subroots AS (SELECT '' AS tree, tree AS of, any_value(root) AS node, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM sources GROUP BY tree),
+{trees("whole", "subroots")},
+proven AS (SELECT doc_id, sources.node AS leaf, actual, sources.root AS subroot, whole.root AS root, list_concat(sources.steps, whole.steps) AS steps
+    FROM sources JOIN whole ON whole.of = sources.tree)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(list_aggregate(list_transform(steps, lambda s: s['l'] || s['r']), 'string_agg', ''), '')) AS proof_sha256,
+    {folded} AS folded_root, {folded} = root AS verified
+FROM proven"""
+
+
+MERKLE = merkle(levels=14)

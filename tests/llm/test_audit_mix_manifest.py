@@ -6,7 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 from itertools import permutations
 
-from scoremart.llm import filter_audit
+from scoremart.llm import filter_audit, merkle
 
 from .conftest import DOCS
 
@@ -81,3 +81,81 @@ def test_fields_hold_large_counts(spark):
     first = {r["filter_order"]: r for r in filter_audit.unpacked(filter_audit.added(filter_audit.packed(counts))).collect() if r["step"] == 1}
     assert first["ABCDE"]["removed"] == 2 * many + 1 and first["BACDE"]["removed"] == many + 1
     assert first["BACDE"]["good_lost"] == many and first["ABCDE"]["toxic_lost"] == many
+
+
+# ── Merkle manifest ──────────────────────────────────────────────────────────────────
+
+
+def sha(*inputs):
+    return hashlib.sha256("".join(inputs).encode()).hexdigest()
+
+
+def plain_leaf(d):
+    return sha(*("-" if d[k] is None else f"{len(str(d[k]).encode())}:{d[k]}" for k in ("doc_id", "source", "lang", "n_chars", "text")))
+
+
+def plain_tree(nodes):
+    """Root, and for each node its siblings on every level."""
+    ways, held = [[] for _ in nodes], [[i] for i in range(len(nodes))]
+    while len(nodes) > 1:
+        parents, below = [], []
+        for at in range(0, len(nodes), 3):
+            run = nodes[at : at + 3]
+            for k in range(len(run)):
+                for i in held[at + k]:
+                    ways[i].append((run[:k], run[k + 1 :]))
+            parents.append(sha(*run))
+            below.append([i for x in held[at : at + 3] for i in x])
+        nodes, held = parents, below
+    return nodes[0], ways
+
+
+def plain_manifest(docs):
+    sources = defaultdict(list)
+    for d in docs:
+        sources[d["source"]].append((d["doc_id"] is not None, d["doc_id"] or 0, plain_leaf(d), d))
+    names = sorted(sources, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {}
+    for name in names:
+        rows = sorted(sources[name], key=lambda r: r[:3])
+        trees[name] = (rows, *plain_tree([r[2] for r in rows]))
+    root, tops = plain_tree([trees[name][1] for name in names])
+    found = []
+    for name, top in zip(names, tops, strict=True):
+        rows, subroot, ways = trees[name]
+        for (_, _, leaf, d), way in zip(rows, ways, strict=True):
+            node = leaf
+            if d["doc_id"] is not None and zlib.crc32(str(d["doc_id"]).encode()) % 2 == 0 and d["text"] is not None:
+                node = plain_leaf({**d, "text": d["text"].replace("\n", "")})
+            steps = way + top
+            for left, right in steps:
+                node = sha(*left, node, *right)
+            proof = sha(*(x for left, right in steps for x in left + right))
+            found.append((d["doc_id"], leaf, subroot, root, proof, node, node == root))
+    return sorted(found, key=repr)
+
+
+def manifest_rows(docs):
+    return sorted((tuple(r) for r in merkle.verified(merkle.manifest(docs)).collect()), key=repr)
+
+
+def test_manifest(spark, odd_docs, no_docs, monkeypatch):
+    want = plain_manifest(rows_of(odd_docs))
+    assert any(r[6] for r in want) and not all(r[6] for r in want)
+    assert manifest_rows(odd_docs) == want
+    # Trees of more than one chunk, placed over several ranges.
+    monkeypatch.setattr(merkle, "LEVELS", 1)
+    monkeypatch.setattr(merkle, "PLACED", 7)
+    assert manifest_rows(odd_docs) == want
+    assert manifest_rows(no_docs) == []
+    one = odd_docs.where("doc_id = 100")
+    (row,) = manifest_rows(one)
+    assert row[1] == row[2] == row[3] and row[4] == sha("")
+
+
+def test_manifest_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "LEVELS", 2)
+    for sizes in ((1, 2, 3), (4, 9, 10), (27, 28, 30), (83,)):
+        rows = [(i, f"t\n{i}", "en", "" if s == 1 else f"s{s}", None) for s, n in enumerate(sizes) for i in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        assert manifest_rows(docs) == plain_manifest(rows_of(docs))
