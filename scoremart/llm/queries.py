@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scoremart.session import scratch_path
 
-from . import bpe, decontaminate, filter_audit, html_text, jaccard_join, merkle, quality_model, quality_rules, sql, suffix_dedup, token_file, token_lengths, warc
+from . import bpe, decontaminate, filter_audit, html_text, jaccard_join, merkle, mixing, quality_model, quality_rules, sql, suffix_dedup, token_file, token_lengths, warc
 from .common import stage
 
 RANKS = vocabularies.path("byte_bpe_multi_50k.tiktoken")
@@ -76,6 +76,10 @@ def op10_huffman_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_token_file(spark, path, digest=True)
 
 
+def op11_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(*mixing.mix_sources(table(spark, sf_dir, "documents")))
+
+
 def op12_merkle_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(merkle.manifest(table(spark, sf_dir, "documents")))
 
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_array_dedup,
         op9_tag_path_text,
         op10_huffman_file,
+        op11_block_mix,
         op12_merkle_windows,
         op13_filter_audit,
     )

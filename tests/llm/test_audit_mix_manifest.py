@@ -1,14 +1,17 @@
 """Filter audit, block mix and Merkle manifest against plain Python."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 from itertools import permutations
 
-from scoremart.llm import filter_audit, merkle
+import numpy as np
+import pytest
+from scoremart.llm import filter_audit, merkle, mixing
 
-from .conftest import DOCS
+from .conftest import DOCS, prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -159,3 +162,120 @@ def test_manifest_of_any_size(spark, monkeypatch):
         rows = [(i, f"t\n{i}", "en", "" if s == 1 else f"s{s}", None) for s, n in enumerate(sizes) for i in range(n)]
         docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
         assert manifest_rows(docs) == plain_manifest(rows_of(docs))
+
+
+# ── block mix ────────────────────────────────────────────────────────────────────────
+
+
+def plain_targets(sizes):
+    """The level at which sources, each up to twice its size, take 150 % of all words together."""
+    weights = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
+    low, high = 0.0, 10.0 * sum(sizes) + 1
+    for _ in range(300):
+        level = (low + high) / 2
+        total = sum(min(2 * n, level * w) for n, w in zip(sizes, weights, strict=True))
+        low, high = (level, high) if total < 1.5 * sum(sizes) else (low, level)
+    return [min(2 * n, low * w) for n, w in zip(sizes, weights, strict=True)]
+
+
+def test_targets():
+    rng = random.Random(3)
+    for n in (1, 2, 3, 7, 40):
+        for _ in range(20):
+            sizes = [rng.choice([0, 1, 10, 1000, 10**9]) * rng.randrange(1, 50) for _ in range(n)]
+            assert mixing.targets(np.array(sizes, np.int64)) == pytest.approx(plain_targets(sizes), rel=1e-9, abs=1e-6)
+    assert len(mixing.targets(np.zeros(0, np.int64))) == 0
+
+
+def test_permutations_and_slots(monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 10)
+    for n in (1, 2, 3, 64, 65, 1000):
+        for turn in (0, 1):
+            there = mixing.permuted(np.arange(n), n, 3, turn)
+            assert sorted(there) == list(range(n)) and (mixing.inverse(there, n, 3, turn) == np.arange(n)).all()
+    assert (mixing.permuted(np.arange(1000), 1000, 3, 0) != mixing.permuted(np.arange(1000), 1000, 3, 1)).any()
+    for words in (1, 9, 10, 11, 47, 200):
+        blocks = -(-words // 10)
+        block_words = [min(10, words - 10 * b) for b in range(blocks)]
+        for take in range(2 * words + 1):
+            n, last = mixing.slots_for(1, words, take)
+            order = [b for turn in (0, 1, 2) for b in mixing.permuted(np.arange(blocks), blocks, 1, turn)]
+            given = [block_words[b] for b in order[:n]]
+            assert not n or 0 < last and sum(given[:-1]) + min(last, given[-1]) == take
+            assert n or not take
+
+
+def mix_docs(spark, seed=4):
+    rng = random.Random(seed)
+    rows = [(i, prose(rng, rng.choice([0, 1, 5, 40, 200])), rng.choice(["a", "a", "a", "b", "c", "", None])) for i in range(150)]
+    rows += [(500, None, "a"), (501, " ", "only empty"), (None, "x y z", "b"), (None, None, None), (7, "again and again", "b")]
+    rows += [(900, "same row here", "c")] * 40 + [(901, prose(rng, 3000), "d")]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string"), rows
+
+
+def test_mix(spark, monkeypatch):
+    for name, value in (("BLOCK_WORDS", 16), ("SHARD_SLOTS", 8), ("BUCKET_DOCS", 20)):
+        monkeypatch.setattr(mixing, name, value)
+    docs, rows = mix_docs(spark)
+    size = lambda text: len(WORD.findall(text or ""))
+    sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, (s or "").encode()))
+    sizes = [sum(size(t) for _, t, s in rows if s == name) for name in sources]
+    targets = dict(zip(sources, mixing.targets(np.array(sizes, np.int64)), strict=True))
+    numbered, pieces = mixing.mix_sources(docs)
+    pieces = pieces.cache()
+    found = [r.asDict() for r in mixing.taken_words(numbered, pieces).collect()]
+    key = lambda r: (str(r[0]), *r[1:])
+    want = [(i, size(t), sizes[sources.index(s)], targets[s]) for i, t, s in rows]
+    assert sorted(((r["doc_id"], r["size"], r["source_size"], r["target"]) for r in found), key=key) == sorted(want, key=key)
+    assert all(0 <= r["taken"] <= 2 * r["size"] for r in found)
+    # Every slot by brute force: blocks cut from the pieces in order, taken as the permutations say.
+    held = pieces.select("number", "block", "at", "doc_id", "content", "copy", "first", "words").distinct().collect()
+    blocks = defaultdict(dict)
+    for r in held:
+        for k in range(r["words"]):
+            place = (r["block"] * 16 + r["at"] + k)
+            assert place not in blocks[r["number"]]
+            blocks[r["number"]][place] = (r["doc_id"], r["content"], r["copy"], r["first"] + k)
+    taken = Counter()
+    for number, name in enumerate(sources):
+        n, words = sizes[number], blocks[number]
+        assert sorted(words) == list(range(n)) and len(set(words.values())) == n
+        goal, count, turn = int(targets[name] + 0.5), -(-n // 16), 0
+        while goal:
+            for b in mixing.permuted(np.arange(count), count, number, turn):
+                for place in range(b * 16, min(n, b * 16 + 16, b * 16 + goal)):
+                    taken[(number, *words[place])] += 1
+                    goal -= 1
+            turn += 1
+    given = Counter()
+    for r in pieces.where("given > 0").collect():
+        for k in range(r["given"]):
+            given[(r["number"], r["doc_id"], r["content"], r["copy"], r["first"] + k)] += 1
+    assert given == taken
+    # Shards hold no more slots than they may, and sources come mixed.
+    slots = pieces.where("shard is not null").select("shard", "slot", "number").distinct().collect()
+    shards = Counter(r["shard"] for r in slots)
+    assert max(shards.values()) <= 8 * len(sources) and sum(len({r["number"] for r in slots if r["shard"] == s}) > 1 for s in shards) > len(shards) / 2
+    # Texts, word for word.
+    texts = defaultdict(list)
+    for i, t, _ in rows:
+        texts[i].append(WORD.findall(t or ""))
+    total = 0
+    for r in mixing.mixed_texts(docs, pieces).collect():
+        words = WORD.findall(r["text"])
+        total += len(words)
+        assert len(words) == r["words"] and any(" ".join(words) in " ".join(x) for x in texts[r["doc_id"]])
+    assert total == sum(int(t + 0.5) for t in targets.values())
+    # The same rows dealt out otherwise.
+    other = [r.asDict() for r in mixing.taken_words(*mixing.mix_sources(docs.repartition(7))).collect()]
+    assert sorted(map(repr, found)) == sorted(map(repr, other))
+
+
+def test_mix_of_odd_tables(spark, odd_docs, no_docs):
+    assert mixing.taken_words(*mixing.mix_sources(no_docs)).count() == 0
+    empty = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
+    assert sorted(tuple(r) for r in mixing.taken_words(*mixing.mix_sources(empty)).collect()) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
+    found = mixing.taken_words(*mixing.mix_sources(odd_docs))
+    assert found.columns == ["doc_id", "size", "source_size", "target", "taken"]
+    rows = found.collect()
+    assert len(rows) == odd_docs.count() and abs(sum(r["taken"] for r in rows) - 1.5 * sum(r["size"] for r in rows)) <= 3
