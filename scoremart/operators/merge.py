@@ -43,8 +43,14 @@ def union_diagonal(*tables: DataFrame) -> DataFrame:
     return result
 
 
+def row_hash(rows: DataFrame) -> Column:
+    """A hash of whole rows; maps, which have none, count as their sorted entries."""
+    return F.xxhash64(*[_hashable(f) for f in rows.schema.fields])
+
+
 def _hashable(field: T.StructField) -> Column:
-    """The column, or its text where its type has no hash."""
+    if isinstance(field.dataType, T.MapType):
+        return F.sort_array(F.map_entries(field.name))
     text = field.dataType.simpleString()
     return F.to_json(F.col(field.name)) if "map<" in text or "variant" in text else F.col(field.name)
 
@@ -52,7 +58,7 @@ def _hashable(field: T.StructField) -> Column:
 def dedup_latest(rows: DataFrame, rank: str | None = None, keys: list[str] = KEY) -> DataFrame:
     """Latest row per key: latest date first, no date last, then higher ``rank``, then content.
 
-    The order ends with a hash of the whole row, so that a repeated run chooses the same row.
+    The order ends with a hash of the remaining columns, so that a repeated run chooses the same row.
 
     The rank filter runs before the exchange too (window group limit), so at most one row
     per key leaves a task and a key with very many copies is no hot spot.
@@ -60,8 +66,9 @@ def dedup_latest(rows: DataFrame, rank: str | None = None, keys: list[str] = KEY
     order = [F.col("eval_date").desc_nulls_last()]
     if rank:
         order.append(F.col(rank).desc())
-    order += [F.col(c).desc_nulls_last() for c in ("result_source", "score", "n_samples") if c in rows.columns]
-    order.append(F.xxhash64(*[_hashable(f) for f in rows.schema.fields]))
+    named = [c for c in ("result_source", "score", "n_samples") if c in rows.columns]
+    order += [F.col(c).desc_nulls_last() for c in named]
+    order.append(row_hash(rows.drop("eval_date", *named, *keys)))
     latest = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_rn", F.row_number().over(latest)).filter("_rn = 1").drop("_rn")
 

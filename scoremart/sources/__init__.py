@@ -11,16 +11,12 @@ from .control import (
 )
 from .groups import parse_group_defs, read_group_defs
 from .results import latest_per_dir, scan_result_files, stream_result_files
-from .tables import (
-    export_form,
-    publish_view,
-    read_current,
-    read_scores,
-    write_scores,
-    write_version,
-)
+from .score_table import ScoreTable, TableChange
+from .tables import export_form, publish_view, read_scores, write_scores
 
 __all__ = [
+    "ScoreTable",
+    "TableChange",
     "active_jobs",
     "completed_keys",
     "covered_pairs",
@@ -31,7 +27,6 @@ __all__ = [
     "parse_group_defs",
     "publish_view",
     "queue_rows",
-    "read_current",
     "read_documents",
     "read_group_defs",
     "read_lines",
@@ -40,5 +35,4 @@ __all__ = [
     "stream_result_files",
     "task_map_rows",
     "write_scores",
-    "write_version",
 ]

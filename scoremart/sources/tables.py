@@ -1,4 +1,4 @@
-"""The score table on storage: versioned Parquet directories and the exchange form."""
+"""Score rows as plain Parquet, as a view, and in the exchange form."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ from ..functions import iso_utc
 from ..schemas import KEY, SCORE
 from ..session import path_missing
 
-_VERSIONS = "version bigint, path string"
-
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
     """Score rows below ``path``; a missing path is an empty table."""
@@ -32,43 +30,6 @@ def write_scores(scores: DataFrame, path: str) -> None:
     scores.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
 
 
-def _versions(spark: SparkSession, root: str) -> DataFrame:
-    try:
-        return spark.read.schema(_VERSIONS).parquet(f"{root}/versions")
-    except Exception as error:
-        if not path_missing(error):
-            raise
-        return spark.createDataFrame([], _VERSIONS)
-
-
-def _latest(spark: SparkSession, root: str):
-    return _versions(spark, root).agg(F.max_by(F.struct("version", "path"), "version").alias("v")).first()["v"]
-
-
-def write_version(scores: DataFrame, root: str) -> int:
-    """Write a new version next to the current one, then make it current.
-
-    The data is complete before the one-row version record appears, so readers never see a
-    partial version, and the version being read is never overwritten.
-    """
-    spark = scores.sparkSession
-    root = root.rstrip("/")
-    latest = _latest(spark, root)
-    version = 0 if latest is None else latest["version"] + 1
-    path = f"{root}/data/v={version:08d}"
-    write_scores(scores, path)
-    spark.createDataFrame([(version, path)], _VERSIONS).coalesce(1).write.mode("append").parquet(f"{root}/versions")
-    return version
-
-
-def read_current(spark: SparkSession, root: str) -> DataFrame:
-    """The current version of a versioned score table; empty before the first write."""
-    latest = _latest(spark, root.rstrip("/"))
-    if latest is None:
-        return spark.createDataFrame([], SCORE)
-    return spark.read.schema(SCORE).parquet(latest["path"])
-
-
 def publish_view(scores: DataFrame, name: str = "scores") -> None:
     """Register the score table for ad-hoc SQL."""
     scores.createOrReplaceTempView(name)

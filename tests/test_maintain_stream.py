@@ -4,9 +4,9 @@ from datetime import datetime
 from scoremart.operators import maintain as k
 from scoremart.operators.merge import conform, merge_and_dedup
 from scoremart.operators.parse import parse_results_long
-from scoremart.plans.collect import collect_run
+from scoremart.plans.collect import assemble_into, collect_run
 from scoremart.schemas import KEY
-from scoremart.sources import read_current, scan_result_files, stream_result_files
+from scoremart.sources import ScoreTable, scan_result_files, stream_result_files
 from scoremart.streaming import ScoreStream, completion_index, parse_stream
 
 FILES = "model_key string, label string, dir string, path string, mtime timestamp, content string"
@@ -89,6 +89,30 @@ def test_micro_batches_equal_batch(spark, tmp_path):
     assert spark.read.parquet(out).count() == 4
 
 
+def test_collect_leaves_other_models_files_alone(spark, tmp_path):
+    """Only buckets of the run's models, and of groups that have become suites, get new files."""
+    scores = conform(spark.createDataFrame(
+        [(f"m{i}", t, float(i), kind) for i in range(30) for t, kind in (("a", "benchmark"), ("b", "benchmark"), ("h", "task_group"))]
+        + [("m7", "g", 99.0, "task_group"), ("m8", "g", 99.0, "task_group")],
+        "model string, task string, score double, task_type string").selectExpr("*", "'acc' AS metric", "'none' AS metric_filter"))
+    table = ScoreTable(spark, str(tmp_path / "table"))
+    table.lay_out(16, 2)
+    table.rewrite(scores)
+    local = conform(spark.createDataFrame([("m7", "a", 20.0, day(1))], "model string, task string, score double, eval_date timestamp").selectExpr(
+        "*", "'acc' AS metric", "'none' AS metric_filter", "'benchmark' AS task_type"))
+    models = spark.createDataFrame([("m7",)], "model string")
+    child, metric, suites = graph(spark)
+    change = assemble_into(table, local, models, child, metric, suites.unionByName(spark.createDataFrame([("x",)], "task string")))
+    found = {(r["model"], r["task"]): (r["score"], r["task_type"]) for r in table.read().collect()}
+    assert found[("m7", "g")] == ((20.0 + 7.0) / 2, "eval_suite") and found[("m7", "h")] == (7.0, "task_group")
+    # Another model's group that is a suite now is reclassified, its score kept.
+    assert found[("m8", "g")] == (99.0, "eval_suite") and len(found) == 92
+    own = set(table.buckets_of_models(spark.createDataFrame([("m7",), ("m8",)], "model string")))
+    assert set(change.buckets) <= own and 0 < len(change.buckets) < 32
+    assert change.diff.first().asDict() == dict(old_rows=92, new_rows=92, net=0, churned=0, genuine_added=0, genuine_removed=0, changed=2)
+    assert assemble_into(table, local, models, child, metric, suites).buckets == []
+
+
 def test_collect(spark, tmp_path):
     root = tmp_path / "results"
     write_results(root, "m0", "b0", {"a": 1.0, "b": 2.0, "extra": 7.0}, 200)
@@ -106,4 +130,4 @@ def test_collect(spark, tmp_path):
     again = collect_run(scan_result_files(spark, str(root)), manifest, task_map, *graph(spark), table)
     assert again.diff.first()["net"] == 0 and again.diff.first()["changed"] == 0
     empty = collect_run(scan_result_files(spark, str(tmp_path / "none")), manifest, task_map, *graph(spark), table)
-    assert empty.scores.count() == 3 and read_current(spark, table).select(*KEY).count() == 3
+    assert empty.scores.count() == 3 and ScoreTable(spark, table).read().select(*KEY).count() == 3

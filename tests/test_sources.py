@@ -88,19 +88,69 @@ def test_group_definitions(spark, tmp_path):
     assert [tuple(r) for r in metric.select("grp", "metric", "aggregation", "weight_by_size").collect()] == [("first", "f1", "max", False)]
 
 
-def test_versions(spark, tmp_path):
+def score_rows(spark, rows):
     from scoremart.operators.merge import conform
 
-    root = f"{tmp_path}/table"
-    assert src.read_current(spark, root).count() == 0
-    one = conform(spark.createDataFrame([("m", None, "t", "acc", "none", 1.0)], "model string, step long, task string, metric string, metric_filter string, score double"))
-    assert src.write_version(one, root) == 0
-    # The version being read is never overwritten.
-    assert src.write_version(src.read_current(spark, root).unionByName(one), root) == 1
-    assert src.read_current(spark, root).count() == 2
+    return conform(spark.createDataFrame(rows, "model string, step long, task string, score double, day int").selectExpr(
+        "model", "step", "task", "'acc' AS metric", "'none' AS metric_filter", "score", "'benchmark' AS task_type",
+        "cast(date_add(date'2024-01-01', day) as timestamp_ntz) AS eval_date", "map('g', array(task)) AS subtask_tree"))
+
+
+def bucket_files(root):
+    import os
+
+    found = {}
+    for folder, _, names in os.walk(f"{root}/data"):
+        if "bucket=" in folder:
+            found[int(folder.rsplit("=", 1)[1])] = sorted(n for n in names if n.endswith(".parquet"))
+    return found
+
+
+def test_merge_writes_only_buckets_that_change(spark, tmp_path):
+    from scoremart.sources import ScoreTable
+
+    table = ScoreTable(spark, f"{tmp_path}/table")
+    assert table.read().count() == 0
+    table.lay_out(4, 2)
+    rows = [(f"m{i % 23}", None if i % 2 else i, f"t{i % 13}", float(i), i % 5) for i in range(400)]
+    assert table.merge(score_rows(spark, rows)).buckets == list(range(8))
+    held, files = {tuple(r) for r in table.read().select("model", "step", "task", "score").collect()}, bucket_files(tmp_path / "table")
+    change = table.merge(score_rows(spark, [("m3", 1000, "t5", 7.0, 1), ("m3", 2000, "t5", 8.0, 1)]))
+    assert len(change.buckets) == 1
+    diff = change.diff.first()
+    assert (diff["old_rows"], diff["new_rows"], diff["genuine_added"], diff["changed"]) == (len(held), len(held) + 2, 2, 0)
+    after = bucket_files(tmp_path / "table")
+    assert {b for b in files if files[b] != after[b]} == set(change.buckets)
+    assert {tuple(r) for r in table.read().select("model", "step", "task", "score").collect()} == held | {
+        ("m3", 1000, "t5", 7.0), ("m3", 2000, "t5", 8.0)}
+    # The same rows again, and older ones, change nothing and write nothing.
+    assert table.merge(score_rows(spark, [("m3", 1000, "t5", 7.0, 1), ("m3", 2000, "t5", 9.0, 0)])).buckets == []
+    assert bucket_files(tmp_path / "table") == after
+    # A model is read from its own directories only.
+    few = table.buckets_of_models(spark.createDataFrame([("m3",)], "model string"))
+    assert len(few) == 2 and {r["model"] for r in table.read(few).collect()} >= {"m3"}
+    # A bucket that loses its last row is emptied.
+    rest = table.read().filter("model <> 'm3'")
+    gone = table.rewrite(rest)
+    assert gone.diff.first()["genuine_removed"] > 0 and table.read().filter("model = 'm3'").isEmpty()
+    table.rewrite(rest.limit(0))
+    assert table.read().count() == 0 and ScoreTable(spark, f"{tmp_path}/table").layout == (4, 2)
     assert src.read_scores(spark, f"{tmp_path}/missing").count() == 0
 
 
+def test_layout(spark, tmp_path):
+    import pytest
+    from scoremart.sources import ScoreTable
+
+    table = ScoreTable(spark, f"{tmp_path}/table")
+    assert table.rewrite(score_rows(spark, [("m", 1, "t", 1.0, 1)])).buckets and table.layout == (4, 4)
+    for size in (0, 1 << 20):
+        with pytest.raises(ValueError):
+            ScoreTable(spark, f"{tmp_path}/other").lay_out(size)
+    with pytest.raises(ValueError):
+        table.lay_out(2)
+
+
 def test_export(spark):
     from scoremart.operators.merge import conform
 

@@ -9,8 +9,9 @@ from scoremart.operators import maintain as k
 from scoremart.operators import merge as m
 from scoremart.schemas import KEY
 from scoremart.session import scratch_path, stage
+from scoremart.sources import ScoreTable
 from scoremart.sources import tables as t
-from scoremart.plans.collect import assemble_scores, push_merge
+from scoremart.plans.collect import assemble_into, push_merge
 
 from .registry import near, query
 from .rollup_sql import LATEST, ROLLED
@@ -118,15 +119,17 @@ def _(d):
 def _(d):
     # Local results come from the run's own models only, as result discovery follows the manifest.
     local = m.restrict_models(sides(d)[1], run_models(d))
-    full = assemble_scores(shared_table(d), local, run_models(d), *(stage(g, "graph") for g in (d.group_child, d.group_metric, d.suites)))
-    return full.select(*KEY, near("score"), "task_type")
+    table = ScoreTable(d.spark, scratch_path(d.spark, "shared"))
+    table.rewrite(shared_table(d))
+    assemble_into(table, local, run_models(d), *(stage(g, "graph") for g in (d.group_child, d.group_metric, d.suites)))
+    return table.read().select(*KEY, near("score"), "task_type")
 
 
 @query("push_merge", f"SELECT {OUT_SQL} FROM latest", latest=LATEST)
 def _(d):
     root = scratch_path(d.spark, "shared")
     old, new = sides(d)
-    t.write_version(m.dedup_latest(m.conform(old)), root)
+    ScoreTable(d.spark, root).rewrite(m.dedup_latest(m.conform(old)))
     return push_merge(root, new).selectExpr(*OUT)
 
 
@@ -209,11 +212,10 @@ def _(d):
 
 @query("write_scores", f"SELECT {OUT_SQL} FROM latest", latest=LATEST)
 def _(d):
-    root = scratch_path(d.spark, "versions")
-    old, new = versions(d)
-    t.write_version(old, root)
-    t.write_version(m.merge_and_dedup(t.read_current(d.spark, root), new), root)
-    return t.read_current(d.spark, root).selectExpr(*OUT)
+    table = ScoreTable(d.spark, scratch_path(d.spark, "table"))
+    for side in sides(d):
+        table.merge(side)
+    return table.read().selectExpr(*OUT)
 
 
 @query("scores_sql_view", """SELECT model, metric, count(*) AS n, sum(score) AS total, max(n_samples) AS most FROM latest
