@@ -1,16 +1,14 @@
 """The task-group graph: reachability, levels, leaf expansion, subtask trees.
 
 A graph is two edge tables, ``group_child(grp, grp_pos, child, child_pos)`` and
-``group_metric(grp, metric, weight_by_size)``.  Walks advance one level per round on a
-de-duplicated frontier, so a node is visited once per level however many paths lead to it;
-every few rounds are written to shared storage, which keeps plans short.  The driver sees
-only whether a frontier is empty, and how many links are left when it looks for cycles.
+``group_metric(grp, metric, weight_by_size)``.  Walks double their steps: links of 1, 2, 4, ... steps are written one after
+the other until there are none, and every walk is made of some of them, so a chain of a thousand groups takes ten rounds.
+The driver sees only whether links of so many steps exist; when they are longer than there are groups, some group
+contains itself.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,53 +19,50 @@ class GroupCycleError(ValueError):
     """The group definitions contain a cycle."""
 
 
-def _rounds(start: DataFrame, advance, n: int, depth: int = 0) -> DataFrame:
-    """``n`` rounds of a walk with their depth, unevaluated."""
-    rounds = []
-    for i in range(n):
-        rounds.append(start.withColumn("depth", F.lit(depth + i)))
-        start = advance(start)
-    return reduce(DataFrame.unionByName, rounds)
-
+def _powers(links: DataFrame, keys: tuple[str, ...] = ()) -> list[DataFrame]:
+    """``links(node, next)`` of 1, 2, 4, ... steps, as long as there are any; ``keys`` are equal along a walk.
 
-def require_acyclic(links: DataFrame, unroll: int = 8) -> None:
-    """Raise if ``links(node, next)`` contain a cycle.
-
-    Links to nodes that lead nowhere are peeled off, some rounds at a time; when that removes
-    nothing more, what is left lies on or above a cycle.
+    Raises if the links contain a cycle.
     """
-    left = stage(links.select("node", "next").distinct(), "cycle")
-    n = left.count()
-    while n:
-        for _ in range(unroll):
-            left = left.join(left.select(F.col("node").alias("next")).distinct(), "next", "left_semi")
-        left = stage(left.select("node", "next"), "cycle")
-        before, n = n, left.count()
-        if n == before:
-            names = [r["node"] for r in left.select("node").distinct().limit(5).collect()]
-            raise GroupCycleError(f"groups contain themselves: on or above a cycle lie {', '.join(map(str, names))}")
-
-
-def _walk(start: DataFrame, advance, name: str, links: DataFrame, unroll: int = 4) -> DataFrame:
-    """All nodes met from ``start`` on, with each ``depth`` at which they were met.
-
-    ``advance(frontier)`` gives the next frontier along ``links(node, next)``.  ``unroll``
-    rounds are planned at a time (equal exchanges are shared) and written once; the walk goes
-    on from the last of them while that is not empty.  Before it goes on for the first time,
-    the links are checked for cycles, so it ends.
+    step = stage(links.select(*keys, "node", "next").distinct(), "links")
+    powers, most = [], None
+    while not step.isEmpty():
+        powers.append(step)
+        if len(powers) > 2:
+            most = most or powers[0].select("node").distinct().count()
+            if 2 ** (len(powers) - 1) > most:
+                names = [r["node"] for r in step.select("node").distinct().limit(5).collect()]
+                raise GroupCycleError(f"groups contain themselves: on or above a cycle lie {', '.join(map(str, names))}")
+        second = step.select(*keys, F.col("node").alias("next"), F.col("next").alias("last"))
+        step = stage(step.join(second, [*keys, "next"]).select(*keys, "node", F.col("last").alias("next")).distinct(), "links")
+    return powers
+
+
+def _longest(start: DataFrame, powers: list[DataFrame], back: bool = False) -> DataFrame:
+    """(node, depth) of all nodes on walks from ``start(node)``, with the most steps; ``back`` walks against the links.
+
+    Steps are taken by falling powers of two.  Of the ways to a node the longest is enough, whatever follows.
     """
-    chunks: list[DataFrame] = []
-    frontier, depth = start, 0
-    while True:
-        chunk = stage(_rounds(frontier, advance, unroll, depth), name)
-        chunks.append(chunk)
-        depth += unroll
-        last = chunk.filter(F.col("depth") == depth - 1)
-        frontier = advance(last.drop("depth"))
-        if last.isEmpty() or frontier.isEmpty():
-            return reduce(DataFrame.unionByName, chunks)
-        if len(chunks) == 1:
-            require_acyclic(links)
+    ends = ("next", "node") if back else ("node", "next")
+    held = start.select("node", F.lit(0).alias("depth")).distinct()
+    for k, links in reversed(list(enumerate(powers))):
+        jumps = links.select(F.col(ends[0]).alias("node"), F.col(ends[1]).alias("to"))
+        both = F.array(F.struct("node", "depth"), F.struct(F.col("to").alias("node"), (F.col("depth") + 2**k).alias("depth")))
+        held = held.join(jumps, "node", "left").select(F.inline(both)).filter("node is not null")
+        held = held.groupBy("node").agg(F.max("depth").alias("depth"))
+    return held
+
+
+def _met(start: DataFrame, powers: list[DataFrame], keys: tuple[str, ...]) -> DataFrame:
+    """``start`` (with ``keys`` and ``node``) once for each node on walks from its node, as ``node``."""
+    held = start
+    for links in reversed(powers):
+        jumps = links.select(*keys, "node", F.col("next").alias("to"))
+        joined = held.join(jumps, [*keys, "node"], "left")
+        others = [c for c in start.columns if c != "node"]
+        nodes = F.array("node", "to")
+        held = joined.select(*others, F.explode(nodes).alias("node")).filter("node is not null").distinct()
+    return held.select(*start.columns)
 
 
 def group_edges(group_child: DataFrame) -> DataFrame:
@@ -76,8 +71,8 @@ def group_edges(group_child: DataFrame) -> DataFrame:
     return group_child.select("grp", "child").distinct().join(groups, "child", "left_semi").select("grp", "child")
 
 
-def _links(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("grp").alias("node"), F.col("child").alias("next"))
+def _group_links(group_child: DataFrame) -> DataFrame:
+    return group_edges(group_child).select(F.col("grp").alias("node"), F.col("child").alias("next"))
 
 
 def reachable_groups(group_child: DataFrame, roots: DataFrame) -> DataFrame:
@@ -86,13 +81,9 @@ def reachable_groups(group_child: DataFrame, roots: DataFrame) -> DataFrame:
     Roots that define no group are ignored.  Computing groups by descending depth is a
     bottom-up order, because a child lies deeper than each of its parents.  Raises on a cycle.
     """
-    edges = group_edges(group_child)
-    start = group_child.select("grp").distinct().join(roots.select("grp"), "grp", "left_semi")
-
-    def advance(frontier: DataFrame) -> DataFrame:
-        return edges.join(frontier, "grp").select(F.col("child").alias("grp")).distinct()
-
-    return _walk(start, advance, "reach", _links(edges)).groupBy("grp").agg(F.max("depth").alias("depth"))
+    start = group_child.select("grp").distinct().join(roots.select("grp").distinct(), "grp", "left_semi")
+    found = _longest(start.withColumnRenamed("grp", "node"), _powers(_group_links(group_child)))
+    return found.withColumnRenamed("node", "grp")
 
 
 def group_levels(group_child: DataFrame) -> DataFrame:
@@ -100,13 +91,9 @@ def group_levels(group_child: DataFrame) -> DataFrame:
 
     Raises on a cycle.
     """
-    edges = group_edges(group_child)
-    groups = group_child.select("grp").distinct()
-
-    def advance(frontier: DataFrame) -> DataFrame:
-        return edges.join(frontier.select(F.col("grp").alias("child")), "child").select("grp").distinct()
-
-    return _walk(groups, advance, "levels", _links(edges)).groupBy("grp").agg(F.max("depth").alias("level"))
+    groups = group_child.select(F.col("grp").alias("node")).distinct()
+    found = _longest(groups, _powers(_group_links(group_child)), back=True)
+    return found.select(F.col("node").alias("grp"), F.col("depth").alias("level"))
 
 
 def expand_suites(names: DataFrame, group_child: DataFrame, tags: DataFrame | None = None) -> DataFrame:
@@ -117,6 +104,9 @@ def expand_suites(names: DataFrame, group_child: DataFrame, tags: DataFrame | No
     task)`` is ordered by ``path``, the places on the way down: an order that needs no
     numbering of a suite's members in one place.  A place is the position in a group, or the
     name of a tag's member.
+
+    Every round joins the ways found so far with themselves, which doubles them; a way that has come to a leaf is done.
+    Raises on a cycle.
     """
     place = lambda pos, tag: F.struct(pos.cast("bigint").alias("pos"), tag.alias("tag"))
     edges = group_child.select(
@@ -126,16 +116,24 @@ def expand_suites(names: DataFrame, group_child: DataFrame, tags: DataFrame | No
         edges = edges.unionByName(
             tags.select(F.col("tag").alias("node"), place(F.lit(0), F.col("task")).alias("pos"), F.col("task").alias("next"))
         )
-    inner = edges.select("node").distinct()
-    start = names.select("suite", "suite_pos", F.array().cast("array<struct<pos:bigint,tag:string>>").alias("path"), F.col("suite").alias("node"))
-
-    def advance(frontier: DataFrame) -> DataFrame:
-        return frontier.join(edges, "node").select(
-            "suite", "suite_pos", F.array_append("path", F.col("pos")).alias("path"), F.col("next").alias("node")
+    inner = edges.select(F.col("node").alias("next")).distinct().withColumn("goes_on", F.lit(True))
+    links = edges.select("node", "next").join(inner.select("next"), "next", "left_semi")
+    powers = _powers(links)
+    met = _met(names.select(F.col("suite").alias("node")).distinct(), powers, ())
+    ways = edges.join(met, "node", "left_semi").join(inner, "next", "left").select(
+        "node", F.array("pos").alias("path"), "next", F.coalesce("goes_on", F.lit(False)).alias("goes_on")
+    )
+    for _ in powers:
+        ways = stage(ways, "ways")
+        onward = ways.select(F.col("node").alias("next"), F.col("path").alias("rest"), F.col("next").alias("last"), F.col("goes_on").alias("still"))
+        longer = ways.filter("goes_on").join(onward, "next").select(
+            "node", F.concat("path", "rest").alias("path"), F.col("last").alias("next"), F.col("still").alias("goes_on")
         )
-
-    met = _walk(start, advance, "expand", edges.select("node", "next"))
-    return met.join(inner, "node", "left_anti").select("suite", "suite_pos", "path", F.col("node").alias("task"))
+        ways = ways.filter("not goes_on").unionByName(longer)
+    found = ways.select(F.col("node").alias("suite"), "path", F.col("next").alias("task"))
+    own = F.array().cast(edges.select(F.array("pos").alias("p")).schema["p"].dataType)
+    joined = names.select("suite", "suite_pos").join(found, "suite", "left")
+    return joined.select("suite", "suite_pos", F.coalesce("path", own).alias("path"), F.coalesce("task", "suite").alias("task"))
 
 
 def parent_of(group_child: DataFrame) -> DataFrame:
@@ -217,12 +215,7 @@ def subtask_trees(applicable: DataFrame, group_edges: DataFrame) -> DataFrame:
     )
     down = group_edges.select(F.col("grp").alias("node"), "metric", F.col("child").alias("next"))
     pairs = own.select("grp", "metric", F.col("grp").alias("node"))
-
-    def advance(frontier: DataFrame) -> DataFrame:
-        return frontier.join(down, ["node", "metric"]).select("grp", "metric", F.col("next").alias("node")).distinct()
-
-    met = _walk(pairs, advance, "trees", down.select("node", "next"))
-    nodes = met.select("grp", "metric", "node").distinct()
+    nodes = _met(pairs, _powers(down, ("metric",)), ("metric",))
     kids = own.withColumnRenamed("grp", "node")
     return (
         nodes.join(kids, ["node", "metric"])

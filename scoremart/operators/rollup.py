@@ -145,18 +145,18 @@ class Hierarchy:
         self.top = self.edges.agg(F.max("depth").alias("top")).first()["top"]
 
 
-def _rollup_rows(leaf: DataFrame, h: Hierarchy) -> tuple[list[DataFrame], DataFrame]:
-    """(rows of complete groups per depth, deepest first; accumulators from leaves)."""
+def all_cells(leaf: DataFrame, h: Hierarchy) -> list[DataFrame]:
+    """Accumulators of every group cell, written, one table per depth, deepest first."""
     leaves = leaf.select(*_CHILD, F.col("task").alias("child"), "metric", "metric_filter")
     leaf_edges = h.edges.filter("not is_group")
     from_leaves = stage(combine(contributions(leaves, leaf_edges)), "leaf-cells")
     named = leaves.join(h.edges.filter("is_group").select("child", "metric").distinct(), ["child", "metric"], "left_semi")
     h.stand_ins = None if named.isEmpty() else stage(named, "stand-ins")
-    rows: list[DataFrame] = []
+    cells: list[DataFrame] = []
     for depth in range(-1 if h.top is None else h.top, -1, -1):
-        parts = _cells_at(depth, from_leaves, rows, h)
-        rows.append(stage(finalise(parts, h.shape), "groups"))
-    return rows, from_leaves
+        rows = [finalise(c, h.shape) for c in cells]
+        cells.append(stage(_cells_at(depth, from_leaves, rows, h), "cells"))
+    return cells
 
 
 def _cells_at(depth: int, from_leaves: DataFrame, rows: list[DataFrame], h: Hierarchy) -> DataFrame:
@@ -194,7 +194,7 @@ def rollup(
     when ``leaf`` is only part of it, pass that as ``filters(task, metric, metric_filter)``.
     """
     h = Hierarchy(leaf, group_child, group_metric, suites, filters)
-    rows, _ = _rollup_rows(leaf, h)
+    rows = [finalise(cells, h.shape) for cells in all_cells(leaf, h)]
     if not rows:
         return leaf.sparkSession.createDataFrame([], SCORE)
     return decorate(reduce(DataFrame.unionByName, rows), h)
@@ -219,11 +219,11 @@ def incomplete_cells(
 ) -> DataFrame:
     """Diagnostics: cells with some but not all applicable children scored."""
     h = Hierarchy(leaf, group_child, group_metric, suites)
-    rows, from_leaves = _rollup_rows(leaf, h)
-    depths = range(-1 if h.top is None else h.top, -1, -1)
-    cells = [_cells_at(depth, from_leaves, rows[:i], h) for i, depth in enumerate(depths)]
+    cells = all_cells(leaf, h)
+    empty = "model string, step bigint, grp string, metric string, n_scored bigint"
+    found = reduce(DataFrame.unionByName, cells) if cells else leaf.sparkSession.createDataFrame([], empty)
     return (
-        reduce(DataFrame.unionByName, cells or [from_leaves]).join(h.shape, ["grp", "metric"])
+        found.join(h.shape, ["grp", "metric"])
         .filter("n_scored < n_applicable")
         .select("model", "step", "grp", "metric", "n_scored", "n_applicable")
     )

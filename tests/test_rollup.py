@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,11 +84,48 @@ def test_cycle_is_an_error(spark):
         h.reachable_groups(graph, spark.createDataFrame([("top",)], "grp string"))
 
 
-def test_any_depth_is_valid(spark):
-    """A chain of more than a hundred groups is no cycle."""
-    graph = spark.createDataFrame([(f"g{i:03}", i, f"g{i + 1:03}", 0) for i in range(105)], CHILD)
+def test_long_chains_take_few_rounds(spark):
+    begin = time.monotonic()
+    chain = [(f"g{i:04}", i, f"g{i + 1:04}", 0) for i in range(1000)]
+    graph = spark.createDataFrame(chain, CHILD)
     levels = {r["grp"]: r["level"] for r in h.group_levels(graph).collect()}
-    assert levels == {f"g{i:03}": 104 - i for i in range(105)}
+    assert levels == {f"g{i:04}": 999 - i for i in range(1000)}
+    with pytest.raises(h.GroupCycleError, match="g0"):
+        h.group_levels(spark.createDataFrame([*chain, ("g0999", 999, "g0500", 0)], CHILD))
+    leaf = h.expand_suites(spark.createDataFrame([("g0000", 0), ("g0998", 1)], "suite string, suite_pos int"), graph).collect()
+    assert [(r["suite"], len(r["path"]), r["task"]) for r in sorted(leaf)] == [("g0000", 1000, "g1000"), ("g0998", 2, "g1000")]
+    assert time.monotonic() - begin < 90
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_walks_equal_a_plain_search(spark, seed):
+    rng = random.Random(seed)
+    edges = {(a, b) for a in range(14) for b in rng.sample(range(a + 1, 20), min(3, 19 - a)) if rng.random() < 0.7}
+    kids = {a: sorted(b for x, b in edges if x == a) for a, _ in edges}
+
+    def ways(node, path=()):
+        return [w for i, b in enumerate(kids[node]) for w in ways(b, (*path, i))] if node in kids else [(path, node)]
+
+    def depths(root):
+        found, at, d = {}, {root}, 0
+        while at:
+            found.update(dict.fromkeys(at & kids.keys(), d))
+            at, d = {b for a in at for b in kids.get(a, [])}, d + 1
+        return found
+
+    graph = spark.createDataFrame([(f"g{a}", a, f"g{b}", kids[a].index(b)) for a, b in edges], CHILD)
+    roots = [a for a in (0, 3, 7) if a in kids]
+    want = {}
+    for r in roots:
+        for node, d in depths(r).items():
+            want[f"g{node}"] = max(d, want.get(f"g{node}", 0))
+    start = spark.createDataFrame([(f"g{r}",) for r in roots], "grp string")
+    assert {r["grp"]: r["depth"] for r in h.reachable_groups(graph, start).collect()} == want
+    level = lambda a: max((1 + level(b) for b in kids[a] if b in kids), default=0)
+    assert {r["grp"]: r["level"] for r in h.group_levels(graph).collect()} == {f"g{a}": level(a) for a in kids}
+    names = spark.createDataFrame([(f"g{r}", i) for i, r in enumerate([*roots, 19])], "suite string, suite_pos int")
+    found = sorted((r["suite"], tuple(p["pos"] for p in r["path"]), r["task"]) for r in h.expand_suites(names, graph).collect())
+    assert found == sorted((f"g{r}", path, f"g{leaf}") for r in [*roots, 19] for path, leaf in ways(r))
 
 
 def test_positions_of_any_size_keep_their_order(spark):

@@ -146,3 +146,30 @@ def nation_suites(d):
     return d.nation.select(
         F.concat(F.lit("nation_"), F.col("n_nationkey").cast("string")).alias("suite"), F.col("n_nationkey").cast("bigint").alias("suite_pos")
     )
+
+
+# One model has scored all parts, the other only some: its groups are mostly incomplete.
+_PART_SCORES = """SELECT concat('m', CAST(v AS STRING)) AS model, CAST(NULL AS BIGINT) AS step, concat('part_', CAST(p_partkey AS STRING)) AS task,
+    'acc' AS metric, 'none' AS metric_filter, CAST(p_size + 100 * v AS DOUBLE) AS score
+    FROM (SELECT p_partkey, p_size, 0 AS v FROM {part} UNION ALL SELECT p_partkey, p_size, 1 FROM {part} WHERE p_size < 35) p"""
+
+
+def _above(children: str, level: str) -> str:
+    """Means of groups all of whose applicable children have a score."""
+    return f"""SELECT c.model, b.grp AS task, sum(c.score) / count(*) AS score FROM big_child b JOIN {children} c ON b.child = c.task
+        WHERE b.grp LIKE '{level}%' GROUP BY c.model, b.grp
+        HAVING count(*) = (SELECT count(*) FROM applicable_big a WHERE a.grp = b.grp)"""
+
+
+@query("rollup_large_graph", """SELECT model, task, round(score + 0.000001, 5) AS score, task_type FROM (
+    SELECT *, 'task_group' AS task_type FROM big_0 UNION ALL SELECT *, 'task_group' FROM big_1 UNION ALL SELECT *, 'eval_suite' FROM big_2) u""",
+       part_scores=_PART_SCORES,
+       applicable_big="""SELECT grp FROM big_child WHERE child IN (SELECT grp FROM big_child) OR child IN (SELECT task FROM part_scores)""",
+       big_0=_above("part_scores", "order_"), big_1=_above("big_0", "cust_"), big_2=_above("big_1", "nation_"))
+def _(d):
+    leaf = m.conform(d.sql(_PART_SCORES).withColumn("task_type", F.lit("benchmark")))
+    child = stage(d.big_child, "graph")
+    groups = child.select("grp").distinct()
+    metric = stage(groups.select("grp", F.lit("acc").alias("metric"), F.lit(False).alias("weight_by_size")), "graph")
+    suites = groups.filter("grp like 'nation%'").select(F.col("grp").alias("task"))
+    return r.rollup(leaf, child, metric, suites).select("model", "task", near("score"), "task_type")
