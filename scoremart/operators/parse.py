@@ -7,11 +7,15 @@ a document yields its rows where it was read.
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean_display_name, detect_language
 from ..schemas import RESULT_DOC, SCORE
+from .lenient import counts_as_nothing, is_nested, kind, number, plain_text, rejects, truth_value, whole_number
 
 # Evaluation output type -> task formulation.
 FORMULATIONS = {
@@ -109,36 +113,100 @@ def derive_training_meta(rows: DataFrame) -> DataFrame:
 # ── documents ────────────────────────────────────────────────────────────────────────
 
 
+#: Fields of a document that must be text or missing.
+_TEXTS = (
+    "lm_eval_version", "git_hash", "transformers_version", "model_name", "model_source", "chat_template", "chat_template_sha",
+    "system_instruction", "system_instruction_sha",
+)
+_TOKENS = ("tokenizer_pad_token", "tokenizer_eos_token", "tokenizer_bos_token")
+
+
+def _first(value: Column) -> Column:
+    """The first member of a list, null for anything else."""
+    return F.try_variant_get(value, "$[0]", "variant")
+
+
+def _field(config: Column, name: str) -> Column:
+    return F.try_variant_get(config, f"$.{name}", "variant")
+
+
+def _first_reason(checks: dict[str, Column]) -> Column:
+    return F.coalesce(*[F.when(bad, F.lit(reason)) for reason, bad in checks.items()])
+
+
+def _any_rejected(rule, values: list[Column]) -> Column:
+    return reduce(operator.or_, [rejects(rule, v) for v in values])
+
+
+def reject_reason(d: Column) -> Column:
+    """Why a readable document is skipped whole, null if it is not: a value that its field has no place for.
+
+    Task facts count only for tasks that have results, metric facts only for metrics that become rows.  One pass over
+    tasks and metrics serves all rules.
+    """
+
+    def of_task(entry: Column) -> Column:
+        task, metrics = entry["key"], entry["value"]
+        config, alias, directions = d["configs"][task], metrics["alias"], d["higher_is_better"][task]
+
+        def of_metric(m: Column) -> Column:
+            stderr = metrics[F.concat(metric_name(m["key"]), F.lit("_stderr,"), F.split(m["key"], ",", 2)[1])]
+            return _first_reason({
+                "nested metric value": is_nested(m["value"]) | is_nested(stderr),
+                "direction is no truth value": rejects(truth_value, directions[metric_name(m["key"])]),
+            })
+
+        rows = F.filter(F.map_entries(metrics), lambda m: is_score_key(m["key"], m["value"]))
+        facts = _first_reason({
+            "few-shot count is no integer": rejects(whole_number, d["n-shot"][task]),
+            "sample count is no integer": rejects(whole_number, _field(d["n-samples"][task], "effective")),
+            "direction is no truth value": F.coalesce(F.map_contains_key(d["higher_is_better"], task), F.lit(False)) & directions.isNull(),
+        })
+        listed = F.coalesce(F.map_contains_key(d["configs"], task), F.lit(False))
+        of_config = _first_reason({
+            "task config is no object": ~F.coalesce(kind(config).startswith("OBJECT"), F.lit(False)),
+            "task config field is no text": _any_rejected(plain_text, [_field(config, n) for n in ("dataset_path", "output_type", "dataset_name")]),
+            "repeats is no integer": rejects(whole_number, _field(config, "repeats")),
+            "decontamination flag is no truth value": rejects(truth_value, _field(config, "should_decontaminate")),
+            "task hash is no text": rejects(plain_text, d["task_hashes"][task]) & ~counts_as_nothing(config),
+        })
+        return F.coalesce(
+            F.when(listed, of_config),
+            F.when(rejects(plain_text, alias), F.when(~counts_as_nothing(alias), F.lit("alias is no text"))),
+            _first_in(F.transform(rows, lambda m: F.coalesce(of_metric(m), facts))),
+        )
+
+    of_document = _first_reason({
+        "text field is no text": _any_rejected(plain_text, [d[n] for n in _TEXTS]),
+        "length or token id is no integer": _any_rejected(whole_number, [d["max_length"], d["eot_token_id"]]),
+        "evaluation time is no number": rejects(number, d["total_evaluation_time_seconds"]),
+        "token is no text": _any_rejected(plain_text, [_first(d[n]) for n in _TOKENS]),
+    })
+    return F.coalesce(of_document, _first_in(F.transform(F.map_entries(d["results"]), of_task)))
+
+
+def _first_in(reasons: Column) -> Column:
+    return F.get(F.filter(reasons, lambda r: r.isNotNull()), F.lit(0))
+
+
 def parse_documents(files: DataFrame) -> DataFrame:
-    """Add the typed document ``d`` and ``bad``, the reason to reject the whole file, if any."""
+    """Add the typed document ``d`` and ``bad``, the reason to reject the whole file, if any.
+
+    A file must hold one JSON object and nothing else.  The JSON reader stops at the end of the first value, so files are
+    also read as members of a list, which has one member only if nothing follows.
+    """
     parsed = F.from_json("content", RESULT_DOC, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    listed = F.from_json(F.concat(F.lit("["), "content", F.lit("]")), "array<string>")
     # The one-element explode keeps the optimizer from repeating the JSON parse in every
     # expression that uses the document.
-    docs = files.select(*[c for c in files.columns if c != "content"], F.explode(F.array(parsed)).alias("d"))
-    readable = F.col("d").isNotNull() & F.col("d._corrupt").isNull()
-    kinds_of = lambda m: F.transform(F.map_values(m), F.schema_of_variant)
-    nested = lambda v: F.schema_of_variant(v).rlike("^(ARRAY|OBJECT)")
-    nested_metric = F.exists(
-        F.map_values("d.results"),
-        lambda m: F.exists(F.map_entries(m), lambda e: F.contains(e["key"], F.lit(",")) & nested(e["value"])),
-    )
-    shots = F.map_values("d.n-shot")
-    bad_shot = lambda v: ~F.coalesce(F.schema_of_variant(v) == "VOID", F.lit(True)) & (
-        F.coalesce(F.try_variant_get(v, "$", "double") != F.try_variant_get(v, "$", "bigint"), F.lit(True))
-    )
-    bad_time = (
-        F.coalesce(F.schema_of_variant("d.total_evaluation_time_seconds") != "VOID", F.lit(False))
-        & F.try_variant_get("d.total_evaluation_time_seconds", "$", "double").isNull()
-    )
-    no = F.lit(False)
-    reason = (
-        F.when(~readable, F.lit("unreadable"))
-        .when(F.coalesce(nested_metric, no), F.lit("nested metric value"))
-        .when(F.coalesce(F.exists(kinds_of("d.configs"), lambda k: ~k.startswith("OBJECT")), no), F.lit("task config is no object"))
-        .when(F.coalesce(F.exists(shots, bad_shot), no), F.lit("few-shot count is no integer"))
-        .when(F.coalesce(bad_time, no), F.lit("evaluation time is no number"))
+    docs = files.select(
+        *[c for c in files.columns if c != "content"], F.explode(F.array(F.struct(parsed.alias("d"), F.size(listed).alias("n")))).alias("read")
     )
-    return docs.withColumn("bad", reason)
+    docs = docs.select("*", "read.d", (F.col("read.n") == 1).alias("_single")).drop("read")
+    readable = F.col("d").isNotNull() & F.col("d._corrupt").isNull() & F.coalesce("_single", F.lit(False))
+    reason = F.when(~readable, F.lit("unreadable")).otherwise(reject_reason(F.col("d")))
+    # Evaluated once per document, like the parse.
+    return docs.withColumn("bad", F.explode(F.array(reason))).drop("_single")
 
 
 def quarantine(files: DataFrame) -> DataFrame:
@@ -148,47 +216,36 @@ def quarantine(files: DataFrame) -> DataFrame:
 
 
 def _eval_config(d: Column) -> Column:
-    first = lambda name: F.try_variant_get(d[name], "$[0]", "string")
+    text = lambda name: plain_text(d[name]).alias(name)
+    token = lambda name: plain_text(_first(d[name])).alias(name)
+    whole = lambda name: whole_number(d[name]).alias(name)
     return F.struct(
-        d["lm_eval_version"].alias("lm_eval_version"),
-        d["git_hash"].alias("git_hash"),
-        d["transformers_version"].alias("transformers_version"),
-        d["model_name"].alias("model_name"),
-        d["model_source"].alias("model_source"),
-        d["max_length"].alias("max_length"),
-        F.try_variant_get(d["total_evaluation_time_seconds"], "$", "double").alias("total_eval_time_seconds"),
-        first("tokenizer_pad_token").alias("tokenizer_pad_token"),
-        first("tokenizer_eos_token").alias("tokenizer_eos_token"),
-        first("tokenizer_bos_token").alias("tokenizer_bos_token"),
-        d["eot_token_id"].alias("eot_token_id"),
-        d["chat_template"].alias("chat_template"),
-        d["chat_template_sha"].alias("chat_template_sha"),
-        d["system_instruction"].alias("system_instruction"),
-        d["system_instruction_sha"].alias("system_instruction_sha"),
+        *[text(n) for n in ("lm_eval_version", "git_hash", "transformers_version", "model_name", "model_source")],
+        whole("max_length"),
+        number(d["total_evaluation_time_seconds"]).alias("total_eval_time_seconds"),
+        *[token(n) for n in _TOKENS],
+        whole("eot_token_id"),
+        *[text(n) for n in ("chat_template", "chat_template_sha", "system_instruction", "system_instruction_sha")],
     )
 
 
-def _as_text(config: Column, field: str) -> Column:
+def _as_text(config: Column, name: str) -> Column:
     """Text as it is, anything else as JSON, null stays null."""
-    value = F.try_variant_get(config, f"$.{field}", "variant")
-    kind = F.schema_of_variant(value)
-    return F.when(kind == "STRING", _text(value)).when(kind != "VOID", F.to_json(value))
+    value = _field(config, name)
+    return F.when(kind(value) == "STRING", _text(value)).when(kind(value) != "VOID", F.to_json(value))
 
 
 def _task_config(config: Column, version: Column, task_hash: Column) -> Column:
+    text = lambda name: plain_text(_field(config, name)).alias(name)
     built = F.struct(
         version.alias("task_version"),
-        task_hash.alias("task_hash"),
-        _text(config, "$.dataset_path").alias("dataset_path"),
-        _text(config, "$.output_type").alias("output_type"),
-        _text(config, "$.dataset_name").alias("dataset_name"),
-        F.try_variant_get(config, "$.repeats", "bigint").alias("repeats"),
-        _as_text(config, "doc_to_text").alias("doc_to_text"),
-        _as_text(config, "doc_to_target").alias("doc_to_target"),
-        _as_text(config, "doc_to_choice").alias("doc_to_choice"),
-        _as_text(config, "generation_kwargs").alias("generation_kwargs"),
-        F.try_variant_get(config, "$.should_decontaminate", "boolean").alias("should_decontaminate"),
+        plain_text(task_hash).alias("task_hash"),
+        *[text(n) for n in ("dataset_path", "output_type", "dataset_name")],
+        whole_number(_field(config, "repeats")).alias("repeats"),
+        *[_as_text(config, n).alias(n) for n in ("doc_to_text", "doc_to_target", "doc_to_choice", "generation_kwargs")],
+        truth_value(_field(config, "should_decontaminate")).alias("should_decontaminate"),
     )
+    # Configs of accepted documents are objects.
     present = F.size(F.map_keys(F.try_variant_get(config, "$", "map<string,variant>"))) > 0
     return F.when(config.isNotNull() & F.coalesce(present, F.lit(False)), built)
 
@@ -204,7 +261,12 @@ def eval_timestamp(date: Column) -> Column:
 
 
 def parse_results_long(files: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
-    """Score rows of all readable files.
+    """Score rows of all files that are not rejected; see :func:`parse_with_verdicts`."""
+    return parse_with_verdicts(files, jobs).filter("reason is null").drop("reason")
+
+
+def parse_with_verdicts(files: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
+    """Score rows of all files, and for each rejected file one row with its ``reason`` and no task, from one parse.
 
     ``files`` has the raw-file columns.  ``jobs`` (the manifest) adds step, paths and training
     facts per (model_key, label); files of unknown jobs are dropped.  A job that several runs
@@ -222,7 +284,7 @@ def parse_results_long(files: DataFrame, jobs: DataFrame | None = None) -> DataF
             files = files.withColumn(name, F.lit(None).cast(dtype))
 
     d = F.col("d")
-    good = parse_documents(files).filter("bad is null")
+    good = parse_documents(files)
     no_map = lambda kind: F.create_map().cast(kind)
     groups = F.coalesce(d["group_subtasks"], no_map("map<string,array<string>>"))
     base = good.select(
@@ -231,6 +293,7 @@ def parse_results_long(files: DataFrame, jobs: DataFrame | None = None) -> DataF
         "path",
         *job_columns,
         "d",
+        "bad",
         groups.alias("groups"),
         F.transform_values("d.results", lambda _, metrics: _reported_names(metrics)).alias("reported"),
         # Later groups override earlier ones, so the last parent in document order wins.
@@ -255,10 +318,10 @@ def parse_results_long(files: DataFrame, jobs: DataFrame | None = None) -> DataF
             clean_display_name(
                 F.when(F.map_contains_key(metrics, "alias"), _text(metrics["alias"])).otherwise(task), task
             ).alias("task_display_name"),
-            F.try_variant_get(d["n-shot"][task], "$", "bigint").alias("num_fewshot"),
+            whole_number(d["n-shot"][task]).alias("num_fewshot"),
             formulation(_text(config, "$.output_type"), names).alias("task_formulation"),
             detect_language(task).alias("language"),
-            F.try_variant_get(d["n-samples"][task], "$.effective", "bigint").alias("n_samples"),
+            whole_number(_field(d["n-samples"][task], "effective")).alias("n_samples"),
             _task_config(config, d["versions"][task], d["task_hashes"][task]).alias("task_config"),
             F.transform(
                 kept,
@@ -269,7 +332,7 @@ def parse_results_long(files: DataFrame, jobs: DataFrame | None = None) -> DataF
                     numeric_or_null(
                         metrics[F.concat(metric_name(m["key"]), F.lit("_stderr,"), F.split(m["key"], ",", 2)[1])]
                     ).alias("score_stderr"),
-                    d["higher_is_better"][task][metric_name(m["key"])].alias("higher_is_better"),
+                    truth_value(d["higher_is_better"][task][metric_name(m["key"])]).alias("higher_is_better"),
                     F.when(
                         is_group, subtask_tree(F.col("groups"), F.col("reported"), task, metric_name(m["key"]))
                     ).alias("subtask_tree"),
@@ -290,7 +353,8 @@ def parse_results_long(files: DataFrame, jobs: DataFrame | None = None) -> DataF
         F.col("path").alias("result_source"),
         eval_timestamp(d["date"]).alias("eval_date"),
         _eval_config(d).alias("eval_config"),
-        F.explode(F.transform(F.map_entries("d.results"), one_task)).alias("t"),
+        F.col("bad").alias("reason"),
+        F.explode(_or_one_null(F.col("bad"), F.transform(F.map_entries("d.results"), one_task))).alias("t"),
     )
     per_metric = per_task.select(
         *[c for c in per_task.columns if c != "t"],
@@ -298,10 +362,22 @@ def parse_results_long(files: DataFrame, jobs: DataFrame | None = None) -> DataF
             "task", "task_type", "parent_task", "task_display_name", "num_fewshot", "task_formulation",
             "language", "n_samples", "task_config",
         )],
-        F.explode("t.metrics").alias("m"),
+        F.explode(_or_one_null(F.col("reason"), F.col("t.metrics"))).alias("m"),
     )
     rows = per_metric.select(*[c for c in per_metric.columns if c != "m"], "m.*")
-    return derive_training_meta(rows).select(*file_columns, *SCORE.fieldNames())
+    return derive_training_meta(rows).select(*file_columns, *SCORE.fieldNames(), "reason")
+
+
+def _or_one_null(bad: Column, members: Column) -> Column:
+    """``members``, or one null for a rejected file."""
+    return F.when(bad.isNull(), members).otherwise(F.array(F.lit(None)))
+
+
+def rejected_files(verdicts: DataFrame) -> DataFrame:
+    """(model_key, label, dir, path, reason), each rejected file once, from :func:`parse_with_verdicts`."""
+    names = [c for c in ("label", "dir") if c in verdicts.columns]
+    bad = verdicts.filter("reason is not null")
+    return bad.select(F.col("model").alias("model_key"), *names, F.col("result_source").alias("path"), "reason").distinct()
 
 
 def filter_allowed_tasks(rows: DataFrame, task_map: DataFrame) -> DataFrame:

@@ -100,22 +100,23 @@ RESULT_FILE = T.StructType(
 )
 
 #: Typed view of a result document.  Task and metric names are data, so they are map
-#: keys; values keep their JSON type as variants because "0.5" and 0.5 differ.
+#: keys; values keep their JSON type as variants because "0.5" and 0.5 differ, and because
+#: each field has its own rule for other types (operators/lenient.py).
 RESULT_DOC = """
     results map<string, map<string, variant>>,
     configs map<string, variant>,
     group_subtasks map<string, array<string>>,
-    higher_is_better map<string, map<string, boolean>>,
+    higher_is_better map<string, map<string, variant>>,
     `n-shot` map<string, variant>,
     `n-samples` map<string, variant>,
     versions map<string, string>,
-    task_hashes map<string, string>,
+    task_hashes map<string, variant>,
     date variant,
-    lm_eval_version string, git_hash string, transformers_version string,
-    model_name string, model_source string, max_length bigint,
+    lm_eval_version variant, git_hash variant, transformers_version variant,
+    model_name variant, model_source variant, max_length variant,
     total_evaluation_time_seconds variant,
     tokenizer_pad_token variant, tokenizer_eos_token variant, tokenizer_bos_token variant,
-    eot_token_id bigint, chat_template string, chat_template_sha string,
-    system_instruction string, system_instruction_sha string,
+    eot_token_id variant, chat_template variant, chat_template_sha variant,
+    system_instruction variant, system_instruction_sha variant,
     _corrupt string
 """

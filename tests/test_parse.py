@@ -1,3 +1,4 @@
+import json
 import math
 
 import pytest
@@ -78,8 +79,68 @@ def test_jobs_give_step_and_training_facts(spark, files):
 
 
 def test_one_parse_of_the_document(files):
-    plan = p.parse_results_long(files)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("from_json(") == 1 and "Exchange" not in plan
+    """The document is read once, and once more as a list member to see whether anything follows it."""
+    plan = p.parse_with_verdicts(files)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") == 2 and "Exchange" not in plan
+    verdicts = p.parse_with_verdicts(files)
+    assert {(r["path"], r["reason"]) for r in p.rejected_files(verdicts).collect()} == {
+        (r["path"], r["reason"]) for r in p.quarantine(files).collect()}
+    assert verdicts.filter("reason is null").count() == 10
+
+
+def document(**changes):
+    doc = {"results": {"a": {"acc,none": 1, "acc_stderr,none": 0.5, "alias": "a"}}, "configs": {"a": {"output_type": "generate_until"}},
+           "higher_is_better": {"a": {"acc": True}}, "n-shot": {"a": 1}, "n-samples": {"a": {"effective": 9}}, "task_hashes": {"a": "h"}}
+    for path, value in changes.items():
+        at, *keys = path.split("__")
+        place = doc
+        for key in [at, *keys][:-1]:
+            place = place.setdefault(key, {})
+        place[[at, *keys][-1]] = value
+    return json.dumps(doc)
+
+
+REJECTED = [
+    (document() + " tail", "unreadable"), (document() + "{}", "unreadable"), (document()[:-1], "unreadable"), ("", "unreadable"), ("null", "unreadable"),
+    (document(git_hash=5), "text field is no text"), (document(chat_template={"a": "b"}), "text field is no text"),
+    (document(max_length="4k"), "length or token id is no integer"), (document(eot_token_id=1.5), "length or token id is no integer"),
+    (document(total_evaluation_time_seconds="soon"), "evaluation time is no number"), (document(tokenizer_eos_token=[7]), "token is no text"),
+    (document(results={"a": {"acc,none": {"x": 1}}}), "nested metric value"), (document(results={"a": {"acc,none": 1, "acc_stderr,none": []}}), "nested metric value"),
+    (document(configs={"a": "text"}), "task config is no object"), (document(configs={"a": None}), "task config is no object"),
+    (document(configs__a__dataset_path=3), "task config field is no text"), (document(configs__a__repeats="many"), "repeats is no integer"),
+    (document(configs__a__should_decontaminate="perhaps"), "decontamination flag is no truth value"), (document(task_hashes={"a": 4}), "task hash is no text"),
+    (document(results={"a": {"acc,none": 1, "alias": 5}}), "alias is no text"), (document(**{"n-shot": {"a": 1.5}}), "few-shot count is no integer"),
+    (document(**{"n-samples": {"a": {"effective": 3.5}}}), "sample count is no integer"), (document(higher_is_better={"a": {"acc": "perhaps"}}), "direction is no truth value"),
+    (document(higher_is_better={"a": None}), "direction is no truth value"),
+]
+ACCEPTED = [
+    (document(max_length="4096", eot_token_id="1_0.0"), "eval_config.max_length = 4096 and eval_config.eot_token_id = 10"),
+    (document(max_length=2.0), "eval_config.max_length = 2"), (document(max_length=True), "eval_config.max_length = 1"),
+    (document(max_length=2**40), f"eval_config.max_length = {2**40}"),
+    (document(total_evaluation_time_seconds=" 1e3 "), "eval_config.total_eval_time_seconds = 1000"),
+    (document(tokenizer_pad_token="x", tokenizer_bos_token=[], tokenizer_eos_token=[None]), "eval_config.tokenizer_pad_token is null"),
+    (document(configs__a__repeats="3", configs__a__should_decontaminate="YES"), "task_config.repeats = 3 and task_config.should_decontaminate"),
+    (document(configs__a__should_decontaminate=0.0), "not task_config.should_decontaminate"),
+    (document(configs={}), "task_config is null and task_type = 'task_group'"), (document(configs={"a": {}}), "task_config is null and task_type = 'benchmark'"),
+    (document(**{"n-samples": {"a": 7}}), "n_samples is null"), (document(**{"n-samples": {"a": {"effective": "8"}}, "n-shot": {"a": False}}), "n_samples = 8 and num_fewshot = 0"),
+    (document(higher_is_better={"a": {"acc": "off", "other": "perhaps"}}), "not higher_is_better"),
+    # Facts of tasks without results, and of metrics that are no rows, are not looked at.
+    (document(**{"n-shot": {"a": 1, "b": 1.5}}, configs__b=5), "score = 1"), (document(results={"a": {"acc,none": 1, "8192,none": -1, "len": []}}), "score = 1"),
+    (document(results={"a": {"acc,none": True, "acc_stderr,none": "N/A", "alias": None}}), "score = 1 and score_stderr is null and task_display_name = 'a'"),
+    ("  " + document() + " \n", "score = 1"),
+]
+
+
+def test_rules_of_every_field(spark):
+    cases = REJECTED + ACCEPTED
+    rows = [("m", "l", "d", str(i), text) for i, (text, _) in enumerate(cases)]
+    files = spark.createDataFrame(rows, "model_key string, label string, dir string, path string, content string")
+    verdicts = p.parse_with_verdicts(files).cache()
+    found = {r["path"]: r["reason"] for r in p.rejected_files(verdicts).collect()}
+    assert found == {str(i): reason for i, (_, reason) in enumerate(REJECTED)}
+    for i, (text, condition) in enumerate(ACCEPTED, len(REJECTED)):
+        mine = verdicts.filter(f"result_source = '{i}'")
+        assert mine.count() == 1 == mine.filter(condition).count(), (text, condition)
 
 
 def test_deep_tree(spark):
