@@ -298,7 +298,7 @@ class Data:
             *file_keys, "k", "n", "eval_date", "n_rows", "task",
             F.concat(
                 q(F.col("task")), F.lit(': {"alias": '),
-                F.when(F.col("k") % 5 == 0, F.lit('""')).otherwise(F.concat(F.lit('" - '), "task", F.lit('"'))),
+                F.when(F.col("k") % 5 == 0, F.lit('""')).when(F.col("k") % 5 == 1, F.concat(F.lit('" - The - '), "task", F.lit(' - "'))).otherwise(F.concat(F.lit('" - '), "task", F.lit('"'))),
                 F.lit(', "sample_len": 10, '),
                 F.when(F.col("k") == 3, F.lit('"4096,none": -1, "delta,none": -1, ')).otherwise(F.lit("")),
                 F.when(F.col("k") == 9, F.lit('"bits_per_byte,none": 0.5, ')).otherwise(F.lit("")),

@@ -65,7 +65,7 @@ parsed(
     "CASE WHEN task LIKE 'deu%' THEN 'deu' WHEN task LIKE 'fin%' THEN 'fin' ELSE 'eng' END AS language",
     "language",
 )
-parsed("display_name", "task AS task_display_name", "task_display_name")
+parsed("display_name", "CASE k % 5 WHEN 1 THEN concat('The - ', task) ELSE task END AS task_display_name", "task_display_name")
 parsed(
     "task_attribute_lookup",
     """k AS num_fewshot, n AS n_samples, CASE WHEN k IS NOT NULL THEN '1.0' END AS version,
@@ -78,25 +78,33 @@ parsed(
 parsed(
     "eval_config_struct",
     """'0.4.10' AS harness, CAST(4096 AS BIGINT) AS max_length, CAST(12.5 AS DOUBLE) AS seconds, '<pad>' AS pad,
-       CAST(NULL AS VARCHAR) AS eos, model AS model_name""",
+       CAST(NULL AS VARCHAR) AS eos, CAST(NULL AS VARCHAR) AS bos, CAST(NULL AS BIGINT) AS eot, model AS model_name, true AS others_null""",
     "eval_config.lm_eval_version AS harness",
     "eval_config.max_length",
     "eval_config.total_eval_time_seconds AS seconds",
     "eval_config.tokenizer_pad_token AS pad",
     "eval_config.tokenizer_eos_token AS eos",
+    "eval_config.tokenizer_bos_token AS bos",
+    "eval_config.eot_token_id AS eot",
     "eval_config.model_name",
+    """coalesce(eval_config.git_hash, eval_config.transformers_version, eval_config.model_source, eval_config.chat_template,
+       eval_config.chat_template_sha, eval_config.system_instruction, eval_config.system_instruction_sha) IS NULL AS others_null""",
 )
 parsed(
     "task_config_struct",
     """CASE WHEN k IS NOT NULL THEN concat('d', k) END AS dataset_path, CASE k % 4 WHEN 0 THEN 'multiple_choice' WHEN 1 THEN 'loglikelihood' WHEN 2 THEN 'generate_until'
        WHEN 3 THEN 'loglikelihood_rolling' END AS output_type, k AS repeats, CASE WHEN k IS NOT NULL THEN 'x' END AS doc_to_text,
-       CASE WHEN k IS NOT NULL THEN '["A","B"]' END AS doc_to_choice, task_type <> 'benchmark' AS no_config""",
+       CASE WHEN k IS NOT NULL THEN '["A","B"]' END AS doc_to_choice, task_type <> 'benchmark' AS no_config,
+       CASE WHEN k IS NOT NULL THEN '1.0' END AS task_version, true AS others_null""",
     "task_config.dataset_path",
     "task_config.output_type",
     "task_config.repeats",
     "task_config.doc_to_text",
     "task_config.doc_to_choice",
     "task_config IS NULL AS no_config",
+    "task_config.task_version",
+    """coalesce(task_config.task_hash, task_config.dataset_name, task_config.doc_to_target, task_config.generation_kwargs,
+       CAST(task_config.should_decontaminate AS STRING)) IS NULL AS others_null""",
 )
 parsed(
     "eval_date",
@@ -145,14 +153,49 @@ def _(d):
     return p.derive_training_meta(d.scores).select("model", "step", "result_source", "train_batch_size", "tokens_trained")
 
 
-@query("parse_quarantine", "SELECT model AS model_key, label, dir, 'unreadable' AS reason FROM file_rows GROUP BY model, label, dir HAVING count(*) % 7 = 0")
+# What is done to the documents of each seventeenth model, and why the file is rejected then; the last one is accepted.
+_WORLD = '{"alias": "world", "acc,none": '
+DAMAGE = [
+    ("}", "}", None),
+    ('"n-shot": {', '"n-shot": {"world": 1.5, ', "few-shot count is no integer"),
+    ('"lm_eval_version": "0.4.10"', '"lm_eval_version": 0.4', "text field is no text"),
+    ('"max_length": 4096', '"max_length": "4k"', "length or token id is no integer"),
+    ('"total_evaluation_time_seconds": "12.5"', '"total_evaluation_time_seconds": "soon"', "evaluation time is no number"),
+    ('"tokenizer_pad_token": ["<pad>", 0]', '"tokenizer_pad_token": [7]', "token is no text"),
+    (_WORLD, '{"alias": "world", "x,none": [1], "acc,none": ', "nested metric value"),
+    ('"configs": {', '"configs": {"world": "text", ', "task config is no object"),
+    ('{"output_type": ', '{"dataset_name": 5, "output_type": ', "task config field is no text"),
+    ('"repeats": ', '"repeats": "many", "others": ', "repeats is no integer"),
+    ('"doc_to_text": "x"', '"doc_to_text": "x", "should_decontaminate": "perhaps"', "decontamination flag is no truth value"),
+    (_WORLD, '{"alias": 5, "acc,none": ', "alias is no text"),
+    ('"n-samples": {', '"n-samples": {"world": {"effective": 3.5}, ', "sample count is no integer"),
+    ('"higher_is_better": {', '"higher_is_better": {"world": {"acc": "perhaps"}, ', "direction is no truth value"),
+    ('"tokenizer_eos_token": "</s>"', '"tokenizer_eos_token": ["</s>"], "chat_template": {}', "text field is no text"),
+    ('"task_hashes": {}', '"task_hashes": {}} {', "unreadable"),
+    ('"max_length": 4096', '"max_length": " 4_096.0 ", "eot_token_id": true', None),
+]
+_REASONS = " ".join(f"WHEN {i} THEN '{reason}'" for i, (_, _, reason) in enumerate(DAMAGE) if reason)
+
+
+def damaged(d):
+    number = F.substring("model_key", 2, 20).cast("bigint") % len(DAMAGE)
+    content = F.col("content")
+    for i, (old, new, _) in enumerate(DAMAGE):
+        content = F.when(number == i, F.replace("content", F.lit(old), F.lit(new))).otherwise(content)
+    return d.documents().withColumn("content", content)
+
+
+@query("parse_quarantine", f"""SELECT * FROM (SELECT model AS model_key, label, dir, CASE WHEN count(*) % 7 = 0 THEN 'unreadable' ELSE
+        CASE CAST(substring(model, 2) AS BIGINT) % {len(DAMAGE)} {_REASONS} END END AS reason FROM file_rows GROUP BY model, label, dir) f WHERE reason IS NOT NULL""")
 def _(d):
-    return p.quarantine(d.documents()).select("model_key", "label", "dir", "reason")
+    return p.rejected_files(p.parse_with_verdicts(damaged(d))).select("model_key", "label", "dir", "reason")
 
 
-@query("filter_allowed_tasks", f"SELECT {_ID_SQL}, score FROM parsed WHERE task IN (SELECT task FROM task_map)", **PARSED)
+@query("filter_allowed_tasks", f"""SELECT m.run_id, {', '.join('p.' + c.strip() for c in _ID_SQL.split(','))}, p.score FROM parsed p
+        JOIN manifest m ON p.model = m.model_key AND p.label = m.label JOIN (SELECT DISTINCT run_id, task FROM task_map) t
+        ON t.run_id = m.run_id AND t.task = p.task""", **PARSED)
 def _(d):
-    return p.filter_allowed_tasks(rows(d), d.task_map).select(*_ID, "score")
+    return p.filter_allowed_tasks(rows(d, d.manifest), d.task_map).select("run_id", *_ID, "score")
 
 
 @query("row_defaults", f"""SELECT {', '.join('p.' + c.strip() for c in _ID_SQL.split(','))}, p.step, p.step IS NOT NULL AS is_checkpoint,
