@@ -254,11 +254,15 @@ def _documents(df, key, value):
     return df.groupBy("run_id").agg(F.to_json(entries).alias("content"))
 
 
+def manifest_documents(d):
+    entry = F.struct("model_key", "label", "step", "model_path", "display_name", "train_batch_size", "tokens_trained")
+    return _documents(d.manifest, "task_key", entry)
+
+
 @query("scan_manifest", """SELECT run_id, task_key, model_key, label, step, model_path, display_name, train_batch_size, tokens_trained,
         row_number() OVER (PARTITION BY run_id ORDER BY pos) - 1 AS pos FROM manifest""")
 def _(d):
-    entry = F.struct("model_key", "label", "step", "model_path", "display_name", "train_batch_size", "tokens_trained")
-    return src.manifest_rows(from_files(d, _documents(d.manifest, "task_key", entry), "manifest"))
+    return src.manifest_rows(from_files(d, manifest_documents(d), "manifest"))
 
 
 def suite_documents(d):
@@ -282,23 +286,31 @@ def _(d):
     return src.covered_pairs(from_files(d, _documents(lists.withColumn("pos", F.col("task_key")), "task_key", F.col("tasks")), "covered"))
 
 
-@query("scan_completed_log", "SELECT run_id, task_key FROM completed")
-def _(d):
+def completed_from_files(d):
     root = scratch_path(d.spark, "completed")
     d.completed_lines.repartition("run_id").write.partitionBy("run_id").text(root)
     return src.completed_keys(plain_names(src.read_lines(d.spark, f"{root}/*/*.txt"), "run_id"))
 
 
+@query("scan_completed_log", "SELECT run_id, task_key FROM completed")
+def _(d):
+    return completed_from_files(d)
+
+
+def failed_from_files(d):
+    root = scratch_path(d.spark, "failed")
+    lines = d.failed_lines.select("run_id", "line_order", "line").repartition("run_id").sortWithinPartitions("run_id", "line_order")
+    lines.select("run_id", "line").write.partitionBy("run_id").text(root)
+    return src.failed_jobs(plain_names(src.read_lines(d.spark, f"{root}/*/*.txt"), "run_id"))
+
+
 @query("scan_failed_log", """SELECT run_id, job_key AS task_key, concat(day, ' 00:00:00') AS timestamp,
         CASE o_orderstatus WHEN 'P' THEN 'eval_failures' WHEN 'O' THEN 'health_check_failed' ELSE 'manual_cancellation' END AS reason,
         CAST(o_orderkey AS VARCHAR) AS job_id, CASE WHEN o_orderpriority = '2-HIGH' THEN 'some info' ELSE '' END AS info
         FROM (SELECT * FROM failed_lines WHERE o_orderpriority <> '4-NOT SPECIFIED') f
         QUALIFY row_number() OVER (PARTITION BY run_id, job_key ORDER BY line_order DESC) = 1""")
 def _(d):
-    root = scratch_path(d.spark, "failed")
-    lines = d.failed_lines.select("run_id", "line_order", "line").repartition("run_id").sortWithinPartitions("run_id", "line_order")
-    lines.select("run_id", "line").write.partitionBy("run_id").text(root)
-    return src.failed_jobs(plain_names(src.read_lines(d.spark, f"{root}/*/*.txt"), "run_id"))
+    return failed_from_files(d)
 
 
 def queue_documents(d):
@@ -312,10 +324,13 @@ def queue_documents(d):
     return d.queue.groupBy("run_id").agg(F.concat(F.lit('{"jobs": ['), jobs, F.lit("]}")).alias("content"))
 
 
+def active_from_files(d):
+    return src.active_jobs(src.queue_rows(from_files(d, queue_documents(d), "queue")), "eval")
+
+
 @query("scan_job_queue", "SELECT run_id, task_key, job_id, state FROM active")
 def _(d):
-    active = src.active_jobs(src.queue_rows(from_files(d, queue_documents(d), "queue")), "eval")
-    return active.select("run_id", "task_key", "job_id", "state")
+    return active_from_files(d).select("run_id", "task_key", "job_id", "state")
 
 
 # One definition file per line item; a group is defined by several files and the last one counts.

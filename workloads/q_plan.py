@@ -318,7 +318,7 @@ def _(d):
     return s.unique_progress(job_cover(d))
 
 
-_STATUS = dict(
+STATUS = dict(
     **_COVER,
     last_queue="SELECT * FROM active QUALIFY row_number() OVER (PARTITION BY run_id, task_key ORDER BY pos DESC) = 1",
     last_fail="""SELECT run_id, job_key, o_orderstatus FROM failed_lines WHERE o_orderpriority <> '4-NOT SPECIFIED'
@@ -342,13 +342,13 @@ def states(d):
     return s.job_states(job_cover(d), d.completed, d.active, failed(d))
 
 
-@query("job_state", "SELECT run_id, task_key, state FROM states", **_STATUS)
+@query("job_state", "SELECT run_id, task_key, state FROM states", **STATUS)
 def _(d):
     return states(d).select("run_id", "task_key", "state")
 
 
 @query("job_info", """SELECT run_id, task_key, CASE WHEN q_state IS NOT NULL THEN concat(job_id, ' ', q_state) WHEN state = 'failed' THEN
-        CASE o_orderstatus WHEN 'P' THEN 'eval_failures' WHEN 'O' THEN 'health_check_failed' ELSE 'manual_cancellation' END ELSE '' END AS info FROM states""", **_STATUS)
+        CASE o_orderstatus WHEN 'P' THEN 'eval_failures' WHEN 'O' THEN 'health_check_failed' ELSE 'manual_cancellation' END ELSE '' END AS info FROM states""", **STATUS)
 def _(d):
     return states(d).select("run_id", "task_key", "info")
 
@@ -357,7 +357,7 @@ def _(d):
         CAST(sum(n_expected - n_disk - n_shared_only) AS BIGINT) AS tasks_remaining,
         round(100.0 * sum(n_disk + n_shared_only) / sum(n_expected), 4) AS pct, count_if(state = 'completed') AS completed, count_if(state = 'running') AS running,
         count_if(state = 'pending') AS pending, count_if(state = 'failed') AS failed, count_if(state = 'not_started') AS not_started
-        FROM states GROUP BY run_id""", **_STATUS)
+        FROM states GROUP BY run_id""", **STATUS)
 def _(d):
     return s.status_rollup(states(d)).withColumn("pct", F.round("pct", 4))
 
@@ -367,6 +367,6 @@ def _(d):
     return s.active_jobs_of_run(d.manifest, d.active).select("run_id", "task_key", "job_id", "state", "pos")
 
 
-@query("latest_job_per_key", "SELECT run_id, task_key, job_id, state FROM last_queue", **_STATUS)
+@query("latest_job_per_key", "SELECT run_id, task_key, job_id, state FROM last_queue", **STATUS)
 def _(d):
     return s.latest_job_per_key(d.active)
