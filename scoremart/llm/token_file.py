@@ -10,7 +10,7 @@ File format, a Parquet table with a row per block, ordered by (part, block): ``p
 array<long>, sizes array<int>, checkpoints binary (little-endian unsigned 32-bit bit offsets), bits binary (most
 significant bit first, padded by 8 zero bytes)``; beside it ``codes``: ``id int, length int``.
 
-Null and empty texts give only the end id; repeated rows are written each; null document ids come first; an empty table
+A literal special token in a text gets its id, as by the library.  Null and empty texts give only the end id; repeated rows are written each; null document ids come first; an empty table
 gives an empty file; other columns are not read.
 """
 
@@ -59,7 +59,7 @@ class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith(self.SUFFIX)]] = True
@@ -100,11 +100,13 @@ class WordEncoder:
         """Little-endian ids of 16 bits of each text, the end id last.
 
         Words are remembered for the next groups; when they are too many, only those of the last group stay.  Latin-1
-        texts without apostrophes are cut and looked up as arrays, each distinct word of the group once.
+        texts without apostrophes are cut and looked up as arrays, each distinct word of the group once.  Texts that hold
+        a special token are left to the tokenizer whole.
         """
         tail = end.to_bytes(2, "little")
-        fast = [i for i, x in enumerate(texts) if x and "'" not in x and is_latin(x)]
-        slow = sorted(set(range(len(texts))) - set(fast))
+        marked = {i for i, x in enumerate(texts) if x and any(t in x for t in self.special)}
+        fast = [i for i, x in enumerate(texts) if x and i not in marked and "'" not in x and is_latin(x)]
+        slow = sorted(set(range(len(texts))) - set(fast) - marked)
         split = [self.words(texts[i]) if texts[i] else [] for i in slow]
         met = set(chain.from_iterable(split))
 
@@ -124,6 +126,8 @@ class WordEncoder:
             known |= self.encode_new(new[low : low + 2_000])
 
         out = [b""] * len(texts)
+        for i in sorted(marked):
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, IDS).tobytes() + tail
         for i, words in zip(slow, split, strict=True):
             out[i] = b"".join(map(known.__getitem__, words)) + tail
         table = [known[w] for w in met_here]

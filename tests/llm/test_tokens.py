@@ -59,15 +59,16 @@ def test_bpe_round_trip(spark, odd_docs, no_docs, encoding, monkeypatch):
     assert bpe.encode(no_docs, queries.RANKS, vocabularies.PATTERN).count() == 0
 
 
-def test_word_encoder_equals_the_library():
+def test_word_encoder_equals_the_library(monkeypatch):
     library = Tokenizer.from_file(queries.WORD_TOKENIZER)
-    library.encode_special_tokens = True
     rng = random.Random(2)
     letters = "áâçµªº²¼\x1c\x1dabcABCéÉß' .,!12½\xa0\x85İΣσ́中٠​\t\n<|endoftext|>'s'LL&\U0001f600"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    texts[7::50] = [x[:9] + rng.choice(["<|endoftext|>", " <|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|> é's"]) + x[9:] for x in texts[7::50]]
+    monkeypatch.setattr(token_file, "MEMORY", 200)
     encoder = token_file.WordEncoder(queries.WORD_TOKENIZER)
-    for low in (0, 1500):
-        for text, ids in zip(texts[low : low + 1500], encoder.encode(texts[low : low + 1500], END), strict=True):
+    for low in range(0, 3000, 500):
+        for text, ids in zip(texts[low : low + 500], encoder.encode(texts[low : low + 500], END), strict=True):
             assert np.frombuffer(ids, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids + [END], repr(text)
 
 
@@ -85,7 +86,6 @@ def test_code_lengths_are_optimal_and_limited():
 def test_token_file_round_trip(spark, odd_docs, no_docs, monkeypatch):
     monkeypatch.setattr(token_file, "BLOCK_TOKENS", 700)
     library = Tokenizer.from_file(queries.WORD_TOKENIZER)
-    library.encode_special_tokens = True
     path = scratch_path(spark, "test-tokens")
     token_file.write_token_file(token_file.staged_ids(odd_docs, queries.WORD_TOKENIZER, END), path)
     found = token_file.read_token_file(spark, path).orderBy("start").collect()
