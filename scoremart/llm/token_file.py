@@ -68,6 +68,9 @@ class WordEncoder:
         kind = {w: 1 if w.isalpha() else 2 if regex.fullmatch(r"\p{N}", w) else 3 for w in self.cut("".join(map(chr, range(256))))}
         self.kinds = np.array([max((k for w, k in kind.items() if chr(i) in w), default=0) for i in range(256)], np.uint8)
         self.known: dict[str, bytes] = {}
+        #: Latin-1 words by ascending hash: where the ids of each begin, and how many it has.
+        self.hashes, self.flat = np.zeros(0, np.uint64), np.zeros(0, IDS)
+        self.first, self.width = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def words(self, text: str) -> list[str]:
         """Parts of a text that can be encoded by themselves."""
@@ -81,21 +84,53 @@ class WordEncoder:
                 out.append(chunk)
         return out
 
+    def encode_plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of Latin-1 words one after the other, and how many each has.  The words are tokenized as one text, whose
+        tokens are dealt out at word ends."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, IDS)
+        end = np.flatnonzero(self.last[ids]) + 1
+        if len(end) == len(words) and end[-1] == len(ids):
+            return ids, np.diff(end, prepend=0)
+        made = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(made)), IDS), np.array([len(x) for x in made], np.int64)
+
     def encode_new(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of distinct words.  Latin-1 words are tokenized as one text, whose tokens are dealt out at word ends."""
+        """Ids of distinct words."""
         out: dict[str, bytes] = {}
         plain = [w for w in words if is_latin(w)]
         if plain:
-            ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, IDS)
-            end = (np.flatnonzero(self.last[ids]) + 1).tolist()
-            if len(end) == len(plain) and end[-1] == len(ids):
-                raw = ids.tobytes()
-                out = {w: raw[2 * a : 2 * b] for w, a, b in zip(plain, [0, *end[:-1]], end, strict=True)}
+            ids, width = self.encode_plain(plain)
+            raw, end = ids.tobytes(), np.cumsum(width).tolist()
+            out = {w: raw[2 * a : 2 * b] for w, a, b in zip(plain, [0, *end[:-1]], end, strict=True)}
         rest = [w for w in words if w not in out]
         for w, made in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             out[w] = np.array(made.ids, IDS).tobytes()
         return out
 
+    def places(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, joined: bytes) -> np.ndarray:
+        """The row in the table of each of the distinct words of a group; words that are new to it are added.  When they
+        are too many, only those of the group stay."""
+        at = np.searchsorted(self.hashes, hashes)
+        old = np.zeros(len(hashes), bool)
+        inside = at < len(self.hashes)
+        old[inside] = self.hashes[at[inside]] == hashes[inside]
+        if len(self.hashes) > MEMORY:
+            keep = at[old]
+            self.hashes, self.flat = self.hashes[keep], gather(self.flat, self.first[keep], self.width[keep])
+            self.width = self.width[keep]
+            self.first = np.cumsum(self.width) - self.width
+        fresh = np.flatnonzero(~old)
+        words = [joined[a:b].decode("latin-1") for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)]
+        made = [self.encode_plain(words[low : low + 2_000]) for low in range(0, len(words), 2_000)]
+        if made:
+            width = np.concatenate([w for _, w in made])
+            first = len(self.flat) + np.cumsum(width) - width
+            self.flat = np.concatenate([self.flat, *(ids for ids, _ in made)])
+            order = np.argsort(np.concatenate([self.hashes, hashes[fresh]]), kind="stable")
+            self.hashes = np.concatenate([self.hashes, hashes[fresh]])[order]
+            self.first, self.width = np.concatenate([self.first, first])[order], np.concatenate([self.width, width])[order]
+        return np.searchsorted(self.hashes, hashes)
+
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         """Little-endian ids of 16 bits of each text, the end id last.
 
@@ -104,45 +139,43 @@ class WordEncoder:
         a special token are left to the tokenizer whole.
         """
         tail = end.to_bytes(2, "little")
+        out = [b""] * len(texts)
         marked = {i for i, x in enumerate(texts) if x and any(t in x for t in self.special)}
+        for i in sorted(marked):
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, IDS).tobytes() + tail
         fast = [i for i, x in enumerate(texts) if x and i not in marked and "'" not in x and is_latin(x)]
         slow = sorted(set(range(len(texts))) - set(fast) - marked)
         split = [self.words(texts[i]) if texts[i] else [] for i in slow]
         met = set(chain.from_iterable(split))
-
-        raw = [texts[i].lower().encode("latin-1") for i in fast]
-        joined = b"".join(raw)
-        data, bounds = np.frombuffer(joined, np.uint8), np.cumsum([0, *map(len, raw)])
-        starts, ends, row = split_runs(data, bounds, self.kinds, single=2)
-        _, first, back = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        met_here = [joined[a:b].decode("latin-1") for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        met.update(met_here)
-
         if len(self.known) > MEMORY:
             self.known = {w: x for w, x in self.known.items() if w in met}
         known = self.known
         new = list(met - known.keys())
         for low in range(0, len(new), 2_000):
             known |= self.encode_new(new[low : low + 2_000])
-
-        out = [b""] * len(texts)
-        for i in sorted(marked):
-            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, IDS).tobytes() + tail
         for i, words in zip(slow, split, strict=True):
             out[i] = b"".join(map(known.__getitem__, words)) + tail
-        table = [known[w] for w in met_here]
-        width = np.array([len(x) for x in table], np.int64) // 2
-        place = np.cumsum(width) - width
-        n = width[back]
-        to = np.cumsum(n)
-        index = np.arange(to[-1] if len(to) else 0) - np.repeat(to - n, n) + np.repeat(place[back], n)
-        made = np.frombuffer(b"".join(table), "<u2")[index]
-        cut = np.concatenate([[0], to])[np.searchsorted(row, np.arange(len(fast) + 1))].tolist()
+
+        raw = [texts[i].lower().encode("latin-1") for i in fast]
+        joined = b"".join(raw)
+        data, bounds = np.frombuffer(joined, np.uint8), np.cumsum([0, *map(len, raw)])
+        starts, ends, row = split_runs(data, bounds, self.kinds, single=2)
+        hashes, one, back = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        own = self.places(hashes, starts[one], ends[one], joined)[back]
+        made = gather(self.flat, self.first[own], self.width[own])
+        to = np.concatenate([[0], np.cumsum(self.width[own])])
+        cut = to[np.searchsorted(row, np.arange(len(fast) + 1))].tolist()
         for k, i in enumerate(fast):
             out[i] = made[cut[k] : cut[k + 1]].tobytes() + tail
         return out
 
 
+def gather(flat: np.ndarray, first: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The slices of ``flat`` that begin at ``first``, one after the other."""
+    to = np.cumsum(width)
+    return flat[np.arange(to[-1] if len(to) else 0) - np.repeat(to - width - first, width)]
+
+
 def is_latin(text: str) -> bool:
     """Whether all characters are below U+0100."""
     try:
