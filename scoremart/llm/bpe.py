@@ -40,14 +40,14 @@ def loosen(raw: bytes) -> bytes:
 
 def join_words(words: list[bytes]) -> bytes:
     """Sizes and bytes of words in one compressed value."""
-    sizes = np.array([len(w) for w in words], "<u4").tobytes()
+    sizes = planes(np.array([len(w) for w in words], "<u4"))
     return squeeze(len(words).to_bytes(4, "little") + sizes + b"".join(words), 6)
 
 
 def part_words(packed: bytes) -> list[bytes]:
     raw = loosen(packed)
     n = int.from_bytes(raw[:4], "little")
-    end = np.cumsum(np.frombuffer(raw, "<u4", n, 4)) + 4 + 4 * n
+    end = np.cumsum(from_planes(raw[4 : 4 + 4 * n])) + 4 + 4 * n
     return [raw[a:b] for a, b in zip([4 + 4 * n, *end[:-1].tolist()], end.tolist(), strict=True)] if n else []
 
 
@@ -60,16 +60,17 @@ def from_planes(raw: bytes) -> np.ndarray:
 
 
 def pack_places(places: np.ndarray) -> bytes:
-    """Places, of which frequent words have small ones: one byte each, and byte by byte what goes beyond 254."""
-    short = np.minimum(places, 255).astype(np.uint8)
-    return squeeze(len(short).to_bytes(8, "little") + short.tobytes() + planes(places[places >= 255] - 255), 6)
+    """Places, of which frequent words have small ones: two bytes each, so that repeated phrases are found, and byte by
+    byte what goes beyond 65534."""
+    short = np.minimum(places, 65535).astype("<u2")
+    return squeeze(len(short).to_bytes(8, "little") + short.tobytes() + planes(places[places >= 65535] - 65535), 6)
 
 
 def unpack_places(packed: bytes) -> np.ndarray:
     raw = loosen(packed)
     n = int.from_bytes(raw[:8], "little")
-    out = np.frombuffer(raw, np.uint8, n, 8).astype(np.uint32)
-    out[out == 255] += from_planes(raw[8 + n :])
+    out = np.frombuffer(raw, "<u2", n, 8).astype(np.uint32)
+    out[out == 65535] += from_planes(raw[8 + 2 * n :])
     return out
 
 
