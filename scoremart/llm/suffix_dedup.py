@@ -127,13 +127,13 @@ def block_anchors(runs: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> tu
     """Distinct anchors of a block by (bucket, anchor), their numbers of runs, and whether several documents have them."""
     anchor = np.concatenate([a for a, _ in runs]) if runs else np.zeros(0, np.uint64)
     doc = np.concatenate([d for _, d in runs]) if runs else np.zeros(0, np.int64)
-    order = np.lexsort((doc, anchor))
+    order = np.argsort(anchor, kind="stable")
     anchor, doc = anchor[order], doc[order]
     first = np.ones(len(anchor), bool)
     first[1:] = anchor[1:] != anchor[:-1]
     at = np.flatnonzero(first)
     count = np.diff(np.append(at, len(anchor)))
-    several = doc[at] != doc[at + count - 1] if len(at) else np.zeros(0, bool)
+    several = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at) if len(at) else np.zeros(0, bool)
     order = np.lexsort((anchor[at], bucket_of(anchor[at], buckets)))
     return anchor[at][order], count[order], several[order]
 
@@ -216,35 +216,34 @@ def cut_runs(blocks: DataFrame, buckets: int, shards: int) -> DataFrame:
                 ids = part.column(1)
                 doc = ids.fill_null(0).to_numpy(zero_copy_only=False)
                 found = block_runs(part.column(0), np.asarray(ids.is_valid()))
-                anchor, _, _ = block_anchors([(x.anchor, doc[x.row]) for x in found], buckets)
-                code = np.frombuffer(b"".join(loosen(x["codes"]) for x in row["codes"] or []), np.uint8)
-                order = np.argsort(anchor, kind="stable")
-                known, code = anchor[order], code[order]
-                contents: dict[int, dict[bytes, int]] = {}
-                places: dict[int, list[tuple[int, ...]]] = {}
-
-                def add(shard: int, content: bytes, line: int, start: int, n: int) -> None:
-                    own = contents.setdefault(shard, {})
-                    number = own.setdefault(content, len(own))
-                    places.setdefault(shard, []).append((number, line, start, n, int(doc[line])))
-
-                for x in found:
-                    kind = code[np.searchsorted(known, x.anchor)]
-                    raw = x.data.tobytes()
-                    use = np.flatnonzero(kind == SHARED)
-                    shard = (mix(x.anchor[use]) % np.uint64(shards)).astype(np.int64)
-                    columns = (shard, x.row[use], x.place[use], x.start[use], x.count[use])
-                    for s, line, a, start, n in zip(*(c.tolist() for c in columns), strict=True):
-                        add(s, raw[a : a + n + LENGTH - 1], line, start, n)
-                    use = np.flatnonzero(kind == HOT)
-                    columns = (x.row[use], x.place[use], x.start[use], x.count[use])
-                    for line, a, start, n in zip(*(c.tolist() for c in columns), strict=True):
-                        for d in range(n):
-                            window = raw[a + d : a + d + LENGTH]
-                            add(xxhash.xxh64_intdigest(window) % shards, window, line, start + d, 1)
-                for shard, own in contents.items():
-                    numbers = pack_numbers(*(np.array(x, np.int64).astype(np.uint64) for x in zip(*places[shard], strict=True)))
-                    values = [pa.array([shard], pa.int32()), pa.array([row["block"]], pa.int64()), binaries([join_words(list(own))]), binaries([numbers])]
+                line, start, n, anchor = (np.concatenate([getattr(x, k) for x in found]) for k in ("row", "start", "count", "anchor"))
+                data = b"".join(x.data.tobytes() for x in found)
+                begin = np.cumsum([0, *(len(x.data) for x in found)])
+                place = np.concatenate([x.place + low for x, low in zip(found, begin[:-1].tolist(), strict=True)])
+                known, back = np.unique(anchor, return_inverse=True)
+                code = np.zeros(len(known), np.uint8)  # codes come in the order the block sent its anchors in
+                sent = np.frombuffer(b"".join(loosen(x["codes"]) for x in row["codes"] or []), np.uint8)
+                code[np.argsort(bucket_of(known, buckets), kind="stable")] = sent
+                kind = code[back]
+                use, hot = np.flatnonzero(kind == SHARED), np.flatnonzero(kind == HOT)
+                # Runs of frequent anchors become single windows.
+                each = n[hot]
+                step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                hot = np.repeat(hot, each)
+                windows = (xxhash.xxh64_intdigest(data[a : a + LENGTH]) % shards for a in (place[hot] + step).tolist())
+                shard = np.concatenate([(mix(anchor[use]) % np.uint64(shards)).astype(np.int64), np.fromiter(windows, np.int64, len(hot))])
+                place, start = (np.concatenate([x[use], x[hot] + step]) for x in (place, start))
+                line, n = np.concatenate([line[use], line[hot]]), np.concatenate([n[use], np.ones(len(hot), np.int64)])
+                order = np.argsort(shard, kind="stable")
+                cut = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
+                for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    own = order[x:y]
+                    ends = (place[own] + n[own] + LENGTH - 1).tolist()
+                    contents: dict[bytes, int] = {}
+                    number = [contents.setdefault(data[a:b], len(contents)) for a, b in zip(place[own].tolist(), ends, strict=True)]
+                    columns = (np.array(number, np.int64), line[own], start[own], n[own], doc[line[own]])
+                    numbers = pack_numbers(*(c.astype(np.int64).astype(np.uint64) for c in columns))
+                    values = [pa.array([shard[own[0]]], pa.int32()), pa.array([row["block"]], pa.int64()), binaries([join_words(list(contents))]), binaries([numbers])]
                     yield pa.record_batch(values, names)
 
     return blocks.select("block", "rows", "codes").mapInArrow(run, "shard int, block long, contents binary, places binary")
