@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from scoremart.session import scratch_path
 
 #: Bytes of text that numpy code works on at a time; a longer document is taken alone.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 
 
 def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

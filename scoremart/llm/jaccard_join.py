@@ -269,18 +269,23 @@ def without_frequent(shared: DataFrame, bands: list[Band]) -> DataFrame:
 
 
 def class_texts(docs: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """``node, key, text``: one text for each set of ``wanted`` (``node, key``)."""
+    """``node, key, text``: one text for each set of ``wanted`` (``node, key``).  Rows that share an id arrive in order, so
+    that texts are exchanged once; where a very frequent id is split over tasks, each may give its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             for low, high, data, bounds in pieces(batch.column(2)):
-                part = batch.slice(low, high - low)
-                keys = [set_key(x) for x in shingle_sets(data, bounds, rule.words)]
-                yield part.filter(pa.array([a == b for a, b in zip(keys, part.column(1).to_pylist(), strict=True)], pa.bool_()))
+                part, keep = batch.slice(low, high - low), []
+                own = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+                for pair, tokens in zip(own, shingle_sets(data, bounds, rule.words), strict=True):
+                    keep.append(pair != last and set_key(tokens) == pair[1])
+                    last = pair if keep[-1] else last
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     own = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    found = own.join(wanted, "node").select("node", "key", "text").mapInArrow(run, "node long, key long, text string")
-    return found.dropDuplicates(["node", "key"])
+    found = own.join(wanted, "node").select("node", "key", "text").sortWithinPartitions("node", "key")
+    return found.mapInArrow(run, "node long, key long, text string")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
@@ -288,12 +293,12 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 400):
-                part = batch.slice(low, 400)
-                left, right = part.column(0).to_pylist(), part.column(1).to_pylist()
+            for low, high, data, bounds in pieces(batch.column(3)):
+                part = batch.slice(low, high - low)
+                left = part.column(0).to_pylist()
                 new = [i for i, x in enumerate(left) if i == 0 or x != left[i - 1]]
                 first = shingle_sets(*binary_column(part.column(2).take(pa.array(new))), rule.words)
-                second = shingle_sets(*binary_column(part.column(3)), rule.words)
+                second = shingle_sets(data, bounds, rule.words)
                 keep, at = [], -1
                 for i in range(len(left)):
                     at += at + 1 < len(new) and new[at + 1] == i
