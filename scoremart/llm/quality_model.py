@@ -209,9 +209,9 @@ def score(vectors: DataFrame, network: Network) -> DataFrame:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """``doc_id, held_out, score`` of every document."""
+    """``doc_id, held_out, score`` of every document; a null id has no fold: it is not held out, nor learnt from."""
     vectors = stage(pooled(docs, word_vectors(context_sums(docs))), "quality-vectors")
     network = train(*training_rows(vectors, labels, label))
     held = fresh_name(vectors, "fold")
     out = score(vectors, network).withColumn(held, fold("doc_id"))
-    return out.select("doc_id", (F.col(held) == 0).alias("held_out"), "score")
+    return out.select("doc_id", F.coalesce(F.col(held) == 0, F.lit(False)).alias("held_out"), "score")

@@ -3,7 +3,10 @@
 Base measures are taken from the whole text.  Ratios of them feed quantile sketches, one per language and source: a
 sketch is a histogram over log-linear buckets of whole numbers, so sketches merge by adding counts, in any order and with
 the same result.  A document is rejected by the base rules, or when a ratio lies above the fence of its group; fences
-replace fixed cut-offs.  Small groups take the fence of their language's merged sketch.
+replace fixed cut-offs.  A group's sketch is merged with its language's, which counts as much as ``PRIOR`` documents:
+the larger a group, the more it decides itself, without a size at which the rule changes.  Centre and spread are taken
+at and below the lower quartile, where junk does not reach while it is less than three quarters of a group, and no
+fence lies above ``REACH`` times its language's.
 
 Null text counts as empty and fails the base rules; null languages and sources form groups of their own; equal rows get
 equal verdicts; an empty table gives an empty result; further columns are kept by ``keep_good`` and ignored otherwise.
@@ -24,10 +27,11 @@ from .words import chain, mix, solid_bytes, split_words, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long"
-#: Ratio in hundredths of a percent, and how far above the median a document may always be.
+#: Ratio in hundredths of a percent, and how far above the lower quartile a document may always be.
 RATIOS = {"symbols": 1500, "dup_lines": 3000, "repeats": 4000, "upper": 2500}
-#: Documents that a group's own sketch needs, and the width of the fence in spreads.
-LEAST_DOCS, WIDTH = 200, 6
+#: Documents that the language's sketch counts for in each group, the width of the fence in spreads, and the most that
+#: a group's fence may be of its language's.
+PRIOR, WIDTH, REACH = 50, 6, 4
 
 
 def measure(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
@@ -121,11 +125,21 @@ def merged(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return sketches.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, ratio, docs, median, fence``.  The spread is taken below the median, where junk does not reach.
+def blended(own: DataFrame, wide: DataFrame) -> DataFrame:
+    """``lang, source, ratio, bucket, n``: each group's sketch merged with its language's in the weight of ``PRIOR``
+    documents.  Counts are multiplied by the language's documents, so that weights stay whole numbers."""
+    exact = lambda c: F.col(c).cast("decimal(18,0)")
+    docs = wide.groupBy(F.col("lang").alias("of"), F.col("ratio").alias("r")).agg(F.sum("n").alias("docs"))
+    scaled = own.join(docs, F.col("lang").eqNullSafe(F.col("of")) & (F.col("ratio") == F.col("r")))
+    scaled = scaled.select("lang", "source", "ratio", "bucket", (exact("n") * exact("docs")).alias("n"))
+    groups = own.select("lang", "source").distinct()
+    prior = groups.join(wide.withColumnRenamed("lang", "of"), F.col("lang").eqNullSafe(F.col("of")))
+    prior = prior.select("lang", "source", "ratio", "bucket", (exact("n") * F.lit(PRIOR)).alias("n"))
+    return merged(scaled.unionByName(prior), ["lang", "source"])
+
 
-    A group has at most some 350 buckets for each ratio, whatever its number of documents.
-    """
+def fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, ratio, quartile, fence``.  A group has at most some 350 buckets for each ratio, whatever its documents."""
     group = [*keys, "ratio"]
     running = Window.partitionBy(*group).orderBy("bucket")
     whole = Window.partitionBy(*group)
@@ -134,8 +148,8 @@ def fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
     slack = F.create_map(*(F.lit(x) for pair in RATIOS.items() for x in pair))[F.col("ratio")]
     return (
         ranked.groupBy(*group)
-        .agg(F.max("docs").alias("docs"), at(50).alias("median"), at(5).alias("low"))
-        .select(*group, "docs", "median", (F.col("median") + WIDTH * (F.col("median") - F.col("low")) + slack).alias("fence"))
+        .agg(at(25).alias("quartile"), at(5).alias("low"))
+        .select(*group, "quartile", (F.col("quartile") + WIDTH * (F.col("quartile") - F.col("low")) + slack).alias("fence"))
     )
 
 
@@ -143,13 +157,13 @@ def thresholds(measured: DataFrame, lang: str, source: str, m: str) -> DataFrame
     """``lang, source, limits``: one map from ratio to fence for each group that occurs."""
     own_sketch = sketch(measured.select(F.col(lang).alias("lang"), F.col(source).alias("source"), m), ["lang", "source"], m)
     own_sketch = stage(own_sketch, "quality-sketch")
-    own = fences(own_sketch, ["lang", "source"]).alias("own")
-    wide = fences(merged(own_sketch, ["lang"]), ["lang"]).alias("wide")
+    wide_sketch = merged(own_sketch, ["lang"])
+    own = fences(blended(own_sketch, wide_sketch), ["lang", "source"]).alias("own")
+    wide = fences(wide_sketch, ["lang"]).alias("wide")
     same = F.col("own.lang").eqNullSafe(F.col("wide.lang")) & (F.col("own.ratio") == F.col("wide.ratio"))
-    foreign = F.col("own.docs") < LEAST_DOCS
     return (
         own.join(wide, same)
-        .select("own.lang", "own.source", "own.ratio", F.when(foreign, F.col("wide.fence")).otherwise(F.col("own.fence")).alias("fence"))
+        .select("own.lang", "own.source", "own.ratio", F.least(F.col("own.fence"), REACH * F.col("wide.fence")).alias("fence"))
         .groupBy("lang", "source")
         .agg(F.map_from_entries(F.collect_list(F.struct("ratio", "fence"))).alias("limits"))
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import LEAST_DOCS, RATIOS, WIDTH
+from .quality_rules import PRIOR, RATIOS, REACH, WIDTH
 
 _SPREADS = "\n    UNION ALL ".join(
     f"SELECT r, lang, source, '{name}' AS ratio, CASE WHEN {below} > 0 THEN 10000 * {above} // {below} ELSE 0 END AS v FROM base"
@@ -16,12 +16,12 @@ _SPREADS = "\n    UNION ALL ".join(
 _SLACK = " ".join(f"WHEN '{name}' THEN {slack}" for name, slack in RATIOS.items())
 
 
-def _fences(keys: str) -> str:
-    """Median and fence of each group of bucket counts."""
-    return f"""SELECT {keys}, ratio, max(docs) AS docs,
-        min(bucket) FILTER (100 * upto >= 50 * docs) AS median, min(bucket) FILTER (100 * upto >= 5 * docs) AS low
-    FROM (SELECT *, sum(n) OVER (PARTITION BY {keys}, ratio ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}, ratio) AS docs
-          FROM (SELECT {keys}, ratio, bucket, sum(n) AS n FROM sketch GROUP BY ALL) g) c GROUP BY ALL"""
+def _fences(keys: str, counts: str) -> str:
+    """Fence of each group of bucket counts."""
+    return f"""SELECT {keys}, ratio, quartile + {WIDTH} * (quartile - low) + CASE ratio {_SLACK} END AS fence
+    FROM (SELECT {keys}, ratio, min(bucket) FILTER (100 * upto >= 25 * docs) AS quartile, min(bucket) FILTER (100 * upto >= 5 * docs) AS low
+        FROM (SELECT *, sum(n) OVER (PARTITION BY {keys}, ratio ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}, ratio) AS docs
+              FROM {counts}) c GROUP BY ALL) q"""
 
 
 ADAPTIVE_RULES = f"""
@@ -43,16 +43,23 @@ sketch AS (
     SELECT ratios.lang, ratios.source, ratio, v // width * width AS bucket, count(*) AS n
     FROM (SELECT *, CAST(pow(2, greatest(length(bin(v)) - 6, 0)) AS BIGINT) AS width FROM ratios) ratios
     JOIN judged USING (r) WHERE NOT base_failed GROUP BY ALL),
-own AS ({_fences("lang, source")}),
-wide AS ({_fences("lang")}),
+language AS (SELECT lang, ratio, bucket, sum(n) AS n FROM sketch GROUP BY ALL),
+sizes AS (SELECT lang, ratio, sum(n) AS docs FROM language GROUP BY ALL),
+blend AS (
+    SELECT lang, source, ratio, bucket, sum(n) AS n FROM (
+        SELECT s.lang, s.source, s.ratio, s.bucket, s.n * d.docs AS n
+        FROM sketch s JOIN sizes d ON s.lang IS NOT DISTINCT FROM d.lang AND s.ratio = d.ratio
+        UNION ALL SELECT g.lang, g.source, l.ratio, l.bucket, {PRIOR} * l.n
+        FROM (SELECT DISTINCT lang, source FROM sketch) g JOIN language l ON g.lang IS NOT DISTINCT FROM l.lang) x GROUP BY ALL),
+own AS ({_fences("lang, source", "blend")}),
+wide AS ({_fences("lang", "language")}),
 fence AS (
-    SELECT own.lang, own.source, own.ratio, CASE WHEN own.docs < {LEAST_DOCS} THEN wide.median ELSE own.median END AS median,
-        CASE WHEN own.docs < {LEAST_DOCS} THEN wide.low ELSE own.low END AS low, CASE own.ratio {_SLACK} END AS slack
+    SELECT own.lang, own.source, own.ratio, least(own.fence, {REACH} * wide.fence) AS fence
     FROM own JOIN wide ON own.lang IS NOT DISTINCT FROM wide.lang AND own.ratio = wide.ratio),
 above AS (
     SELECT DISTINCT r FROM ratios JOIN fence ON ratios.lang IS NOT DISTINCT FROM fence.lang
         AND ratios.source IS NOT DISTINCT FROM fence.source AND ratios.ratio = fence.ratio
-    WHERE v > median + {WIDTH} * (median - low) + slack)
+    WHERE v > fence)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND r NOT IN (SELECT r FROM above) AS kept
 FROM judged"""

@@ -76,6 +76,31 @@ def test_sketches_merge_and_fences_follow_groups(spark):
     assert values.where("b > id or id - b > id / 32").count() == 0
 
 
+@pytest.mark.parametrize("size", [150, 250, 2500])
+@pytest.mark.parametrize("junk", [0.51, 0.55, 0.7])
+def test_sources_of_mostly_junk_keep_their_fence(spark, size, junk):
+    """What is rejected does not depend on how large a source is, nor on whether junk is its larger part."""
+    rng = np.random.default_rng(1)
+
+    def text(share):
+        return " ".join(f"w{i}" + ("##" if rng.random() < share else "") for i in range(60))
+
+    rows = [(i, text(0.6 if i < junk * size else 0.0), "en", "hot") for i in range(size)]
+    rows += [(10_000 + i, text(0.0), "en", f"s{i % 3}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"] for r in quality_rules.keep_good(docs).select("doc_id").collect()}
+    assert kept == {r[0] for r in rows if "#" not in r[1]}
+
+
+def test_fence_is_bounded_by_the_language(spark):
+    """Nearly all of a source is junk: its own quartile and spread would let it through."""
+    rows = [(i, " ".join(f"w{j}###" if i % 20 else f"w{j}" for j in range(60)), "en", "hot") for i in range(600)]
+    rows += [(10_000 + i, " ".join(f"w{j}" for j in range(60)), "en", "web") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"] for r in quality_rules.keep_good(docs).select("doc_id").collect()}
+    assert kept == {r[0] for r in rows if "#" not in r[1]}
+
+
 def test_quality_model_learns_held_out_rows(spark, no_docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -96,6 +121,7 @@ def test_quality_model_odd_rows(spark, odd_docs):
     labels = spark.createDataFrame([(100, 1, 3), (99, None, 3), (None, 1, 3)], "doc_id long, quality int, vector int")
     rows = quality_model.quality_scores(odd_docs, labels).collect()
     assert len(rows) == len(odd_texts()) and all(0 <= r["score"] <= 1 for r in rows)
+    assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
     rows = quality_model.quality_scores(odd_docs, labels.where("doc_id < 0")).collect()
     assert all(r["score"] == pytest.approx(0.5) for r in rows)
 
