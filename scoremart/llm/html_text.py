@@ -1,13 +1,15 @@
 """Main text of web pages by tag-path ratios.
 
 Each text block of a page has the path of open block elements from the root to it.  Per path, text length, punctuation
-and link text are summed; the text-to-node ratio is smoothed over paths that follow each other on the page, fused with
-the punctuation ratio; paths inside ``article`` and ``main`` count more, headings as much as the text that follows them.
-A container scores as its best path, whatever its length.  Containers whose score reaches a fraction of the best one are
-content, and all their blocks are kept in page order.  Elements that are no running text by their
-name or class (menus, forms, notices, adverts, comments, ...) have no content paths.
-
-Null or empty html and pages without content give the empty string; repeated rows give equal texts; unclosed elements
+and link text are summed.  The text-to-node ratio is smoothed over the paths that stand near each other in a container
+(an article, a main element, or the elements around paragraphs and cells), and fused with the path's punctuation, its
+share of text outside links, and weights: paths inside ``article`` and ``main`` count more, paths below an element whose
+class or id only mentions a word of boilerplate count less, headings count as much as the text that follows them.  Paths
+whose fused ratio reaches a fraction of the best one are content; their blocks are kept in page order.  So a list of links
+inside an article goes, while short items beside its paragraphs stay.  Elements whose name or whole class says that they
+are no running text (menus, forms, notices, adverts, comments, ...) have no content paths.
+
+Null or empty html and pages without content give the empty string; null page ids and urls are carried as they are; repeated rows give equal texts; unclosed elements
 are closed by their parents; broken tags count as text; an empty table gives an empty result; other columns are not read.
 """
 
@@ -23,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)(?:>|\Z)",
     re.S,
 )
-_CLASS = re.compile(r"\b(?:class|id|role|itemtype|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_CLASS = re.compile(r"(?<![\w-])(?:class|id|role|itemtype|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"[a-z]+|\d+")
 #: Element names of the HTML standard by their role here.
@@ -44,6 +46,13 @@ _BOILER_WORD = set(
     " promoted promotion related recommended reply replies responses search share sharing sidebar sidebars signup skip social sponsor"
     " sponsored subscribe subscription tags toolbar widget alert paywall discussion complementary contentinfo disclaimer".split()
 )
+#: Words that also name parts of an article; inside one they only lower the weight.
+_UNSURE_WORD = set("alert comment dialog discussion disclaimer header notice recommended related reply search share social tags".split())
+#: Words that leave the meaning of the word beside them as it is.
+_NEUTRAL_WORD = set(
+    "area bar block bottom box button buttons container content fixed inner item items left links list main mobile outer page panel"
+    " primary right secondary section site sticky top wrap wrapper".split()
+)
 _CLOSES_P = set(
     "address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hr li main menu nav ol p pre section summary table ul".split()
@@ -52,25 +61,37 @@ _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 #: Elements at which the search for an open sibling or paragraph ends.
 _SCOPE = set("article section div table ul ol dl main body html blockquote nav aside header footer form tbody thead tfoot figure details".split())
 _LEAF = set("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption summary address tr tbody thead tfoot table ul ol dl figure".split())
-#: Share of the best container's score that content needs.
+#: Share of the best path's fused ratio that content needs.
 SHARE = 0.3
-#: How much more a path inside an article or main element counts.
-INSIDE = 2
+#: What a path keeps of the ratio of the one before or after it in its container.
+SMOOTHING = 0.9
+#: How much more a path inside an article or main element counts, and how much less one below a doubtful class or id.
+INSIDE, DOUBT = 2, 0.5
 _HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
-def is_boiler(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is no running text by its name, class, id or role; a header inside an article is."""
+def doubt(name: str, attributes: str, inside: bool) -> float:
+    """Weight of an element: 0 if it is no running text by its name or a whole class, id or role, ``DOUBT`` if one of
+    these only mentions such a word, else 1.  A header inside an article is text."""
     if name in _BOILER_TAG and not (name == "header" and inside):
-        return True
+        return 0
     if not attributes:
-        return False
+        return 1
     if _HIDDEN.search(attributes):
-        return True
+        return 0
     if name in ("body", "html", "article", "main"):
-        return False
-    words = {w for m in _CLASS.finditer(attributes) for w in _WORD.findall("".join(x or "" for x in m.groups()).lower())}
-    return not words.isdisjoint(_BOILER_WORD)
+        return 1
+    weight = 1.0
+    for m in _CLASS.finditer(attributes):
+        for token in "".join(x or "" for x in m.groups()).lower().split():
+            words = {w for w in _WORD.findall(token) if not w.isdigit()}
+            named = words & _BOILER_WORD
+            if not named:
+                continue
+            if words <= _BOILER_WORD | _NEUTRAL_WORD and not (inside and named <= _UNSURE_WORD):
+                return 0
+            weight = DOUBT
+    return weight
 
 
 def marks(attributes: str) -> str:
@@ -79,10 +100,10 @@ def marks(attributes: str) -> str:
     return "".join("." + "-".join(x.replace("/", "-").split()) for x in found)
 
 
-def text_blocks(page: str) -> list[tuple[str, str, int]]:
-    """Path, text and characters in links of each block outside boilerplate, in page order."""
-    out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, bool, str]] = []  # block elements: name, boilerplate, path part
+def text_blocks(page: str) -> list[tuple[str, str, int, float]]:
+    """Path, text, characters in links and weight of each block outside boilerplate, in page order."""
+    out: list[tuple[str, str, int, float]] = []
+    stack: list[tuple[str, float, str]] = []  # block elements: name, weight, path part
     text: list[str] = []
     links = link_depth = boiler = article = 0
 
@@ -91,14 +112,15 @@ def text_blocks(page: str) -> list[tuple[str, str, int]]:
         if text:
             value = " ".join("".join(text).split())
             if value and not boiler:
-                out.append(("/".join(part for _, _, part in stack), value, min(links, len(value))))
+                path = "/".join(part for _, _, part in stack)
+                out.append((path, value, min(links, len(value)), min((w for _, w, _ in stack), default=1)))
             text.clear()
         links = 0
 
     def pop() -> None:
         nonlocal boiler, article
         name, own, _ = stack.pop()
-        boiler -= own
+        boiler -= not own
         article -= name in ("article", "main")
 
     at, end = 0, len(page)
@@ -153,9 +175,9 @@ def text_blocks(page: str) -> list[tuple[str, str, int]]:
             if stack[k][0] in _SCOPE:
                 break
         attributes = m.group(3) or ""
-        own = is_boiler(name, attributes, article > 0)
+        own = doubt(name, attributes, article > 0)
         stack.append((name, own, name if name in _LEAF else name + marks(attributes)))
-        boiler += own
+        boiler += not own
         article += name in ("article", "main")
     flush()
     return out
@@ -172,48 +194,49 @@ def container(path: str) -> str:
     return "/".join(parts)
 
 
-def content_containers(blocks: list[tuple[str, str, int]]) -> set[str]:
-    """Containers selected by the fused and smoothed ratios of their tag paths."""
-    paths: dict[str, list[int]] = {}
-    for path, text, links in blocks:
-        sums = paths.setdefault(path, [0, 0, 0, 0])
+def smoothed(ratios: list[float], places: list[str]) -> list[float]:
+    """Each ratio, or what it keeps of its neighbours' in the same container, whichever is larger."""
+    out = list(ratios)
+    for order in (range(1, len(out)), range(len(out) - 2, -1, -1)):
+        for i in order:
+            beside = i - order.step
+            if places[beside] == places[i]:
+                out[i] = max(out[i], SMOOTHING * out[beside])
+    return out
+
+
+def path_ratios(blocks: list[tuple[str, str, int, float]]) -> dict[str, float]:
+    """The fused ratio of each tag path."""
+    paths: dict[str, list[float]] = {}  # text outside links, punctuation, blocks, text in links, weight
+    for path, text, links, weight in blocks:
+        sums = paths.setdefault(path, [0, 0, 0, 0, 1.0])
         sums[0] += len(text) - links
         sums[1] += sum(unicodedata.category(c)[0] == "P" for c in text)
         sums[2] += 1
         sums[3] += links
-    order = list(paths)
-    ratio = [paths[p][0] / paths[p][2] for p in order]
-    smooth = [
-        (ratio[max(0, i - 1)] + 2 * ratio[i] + ratio[min(len(order) - 1, i + 1)]) / 4 if container(order[max(0, i - 1)]) == container(order[i]) else ratio[i]
-        for i in range(len(order))
-    ]
-    ratios: list[float] = []
-    for path, value in zip(order, smooth, strict=True):
-        length, marks, _, links = paths[path]
-        inside = container(path).split("/")[-1].split(".")[0] in ("article", "main")
-        ratios.append(value * (1 + marks / max(1, length)) * length / max(1, length + links) * (INSIDE if inside else 1))
-    scores: dict[str, float] = {}
+        sums[4] = min(sums[4], weight)
+    places = [container(p) for p in paths]
+    smooth = smoothed([x[0] / x[2] for x in paths.values()], places)
+    out: dict[str, float] = {}
     following = 0.0  # best ratio up to the next heading
-    for path, value in zip(reversed(order), reversed(ratios), strict=True):
+    for path, place, value in zip(reversed(paths), reversed(places), reversed(smooth), strict=True):
+        length, points, _, links, weight = paths[path]
+        inside = place.split("/")[-1].split(".")[0] in ("article", "main")
+        value *= (1 + points / max(1, length)) * length / max(1, length + links) * weight * (INSIDE if inside else 1)
         if path.split("/")[-1] in _HEADING:
             value, following = max(value, following), 0.0
         else:
             following = max(value, following)
-        scores[container(path)] = max(scores.get(container(path), 0), value)
-    text, links = {}, {}
-    for path, (length, _, _, linked) in paths.items():
-        text[container(path)] = text.get(container(path), 0) + length
-        links[container(path)] = links.get(container(path), 0) + linked
-    scores = {c: s if text[c] > links[c] else 0.0 for c, s in scores.items()}
-    best = max(scores.values(), default=0)
-    return {c for c, s in scores.items() if s > 0 and s >= SHARE * best}
+        out[path] = value
+    return out
 
 
 def main_text(page: str | None) -> str:
-    """Blocks of the content containers, joined by two line feeds."""
+    """Blocks of the content paths, joined by two line feeds."""
     blocks = text_blocks(page) if page else []
-    kept = content_containers(blocks) if blocks else set()
-    return "\n\n".join(text for path, text, _ in blocks if container(path) in kept)
+    ratios = path_ratios(blocks)
+    best = max(ratios.values(), default=0)
+    return "\n\n".join(text for path, text, _, _ in blocks if ratios[path] > 0 and ratios[path] >= SHARE * best)
 
 
 def extract_text(pages: DataFrame, page: str = "html", carry: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -6,8 +6,10 @@ import gzip
 import hashlib
 import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from scoremart.llm import html_text, quality_model, quality_rules, queries, warc
@@ -230,6 +232,73 @@ def test_page_text_with_heading_and_lead_in_own_containers(paragraphs):
     assert html_text.main_text(page) == "\n\n".join(want)
 
 
+SENTENCE = "The council met on Monday, and it agreed on the plan, after long talks."
+
+
+def teaser_page():
+    links = "".join(f"<li><a href=/{i}>Another story, number {i}</a></li>" for i in range(5))
+    return f"<body><main><h1>Plan agreed</h1><p>{SENTENCE}</p><ul>{links}</ul><p>{SENTENCE}</p></main><div class=end><p>Printed, here.</p></div></body>"
+
+
+def test_paths_are_selected_by_their_ratios(monkeypatch):
+    """Link lists inside an article go, short items stay; without the ratios the links come back."""
+    want = f"Plan agreed\n\n{SENTENCE}\n\n{SENTENCE}"
+    assert html_text.main_text(teaser_page()) == want
+    items = "".join(f"<li>Item {i}</li>" for i in range(5)) + "<li>See <a href=/x>this</a></li>"
+    table = "<table><tr><th>a</th><td>1</td></tr></table>"
+    page = f"<body><article><p>{SENTENCE}</p><ul>{items}</ul>{table}<p>{SENTENCE}</p></article></body>"
+    assert html_text.main_text(page).split("\n\n") == [SENTENCE, *(f"Item {i}" for i in range(5)), "See this", "a", "1", SENTENCE]
+    monkeypatch.setattr(html_text, "path_ratios", lambda blocks: dict.fromkeys((b[0] for b in blocks), 1.0))
+    constant = html_text.main_text(teaser_page())
+    assert constant != want and "Another story" in constant and "Printed" in constant
+
+
+@pytest.mark.parametrize(
+    "element", ['section id="search-methods"', 'div class="tags-explained"', 'div class="alert"', 'div data-id="search-12"', 'div class="share of-market"']
+)
+def test_article_parts_that_mention_boilerplate_stay(element):
+    page = f"<!--><body><article><p>{SENTENCE}</p><{element}><p>{SENTENCE * 2}</p></{element.split()[0]}><div class='ad box'><p>{SENTENCE}</p></div></article></body>"
+    assert html_text.main_text(page) == f"{SENTENCE}\n\n{SENTENCE * 2}"
+
+
+class ArticleBlocks(HTMLParser):
+    """Blocks of the article of a well-formed page of the given table, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.text, self.inside, self.skip = [], "", 0, 0
+
+    def cut(self):
+        if self.text.split():
+            self.blocks.append(" ".join(self.text.split()))
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.text += " "
+        elif tag not in ("a", "b"):
+            self.cut()
+            self.inside += tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag not in ("a", "b"):
+            self.cut()
+            self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.text += data
+
+
+def test_given_pages_by_another_parser():
+    rows = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    for row in rows:
+        parser = ArticleBlocks()
+        parser.feed(row["html"] or "")
+        parser.close()
+        assert html_text.main_text(row["html"]) == "\n\n".join(parser.blocks), row["page_id"]
+
+
 def test_extract_text_table(spark, pages):
     found = html_text.extract_text(pages).collect()
     got = sorted(((r["page_id"], r["url"], r["text"], r["n_chars"]) for r in found), key=repr)
@@ -240,4 +309,4 @@ def test_extract_text_table(spark, pages):
 
 def test_every_operator_is_registered():
     numbers = {int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
