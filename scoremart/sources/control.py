@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import MANIFEST_ENTRY
 from ..session import path_missing
-from .results import uri_part
+from .results import path_part, uri_part
 
 # Queue states of a job that is not finished.
 ACTIVE_STATES = ["PENDING", "RUNNING", "CONFIGURING", "COMPLETING"]
@@ -27,12 +27,13 @@ def _run_id() -> Column:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(run_id, content) of whole JSON control files; a missing file is an empty table."""
     try:
-        raw = spark.read.option("wholetext", True).text(path)
+        raw = spark.read.format("binaryFile").load(path)
     except Exception as error:
         if not path_missing(error):
             raise
         return spark.createDataFrame([], _DOC_COLUMNS)
-    return raw.select(_run_id().alias("run_id"), F.col("value").alias("content"))
+    # The binary source opens a small file several times faster than the text source.
+    return raw.select(path_part(F.col("path"), 2).alias("run_id"), F.col("content").cast("string").alias("content"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

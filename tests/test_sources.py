@@ -1,7 +1,12 @@
+import glob
 import json
 import os
 
+from pyspark.sql import functions as F
+
 from scoremart import sources as src
+from workloads.fixtures import lay_out_files
+from workloads.q_parse import from_files
 
 
 def put(path, text, mtime=None):
@@ -183,3 +188,32 @@ def test_shared_folder_is_required_off_the_local_machine(monkeypatch):
         with pytest.raises(ValueError):
             session.shared_dir(fake(master))
     assert session.shared_dir(fake("local[4]")) and session.shared_dir(fake("local"))
+
+
+def _laid_out(root):
+    found = {}
+    for path in glob.glob(f"{root}/*/*/*.txt"):
+        with open(path, encoding="utf-8") as f:
+            found.setdefault(os.path.relpath(os.path.dirname(path), root), []).append(f.read())
+    return {k: sorted("".join(v).splitlines()) for k, v in found.items()}
+
+
+def test_files_are_laid_out_like_a_partitioned_write(spark, tmp_path):
+    rows = [("a", "x", "1"), ("a", "x", "ü2"), ("a", None, None), (None, "", "4"), ("p:q/r=%", "[s]", '{"k": 5}'), ("a", "x", "6")]
+    df = spark.createDataFrame(rows, "m string, l string, content string").repartition(3, "m")
+    lay_out_files(df, f"{tmp_path}/own", "content", "m", "l")
+    df.write.partitionBy("m", "l").text(f"{tmp_path}/spark")
+    assert _laid_out(f"{tmp_path}/own") == _laid_out(f"{tmp_path}/spark") and len(_laid_out(f"{tmp_path}/own")) == 4
+    assert not glob.glob(f"{tmp_path}/own/*/*/.*")
+
+
+def test_small_files_are_laid_out_by_several_tasks(spark):
+    class Made:
+        def __init__(self):
+            self.spark = spark
+
+    documents = spark.createDataFrame([(f"r{i}", f'{{"t{i}": ["x"]}}') for i in range(40)], "run_id string, content string")
+    read = from_files(Made(), documents, "many")
+    assert sorted(read.collect()) == sorted(documents.withColumn("content", F.concat("content", F.lit("\n"))).collect())
+    tasks = {os.path.basename(p)[:10] for p in read.inputFiles()}
+    assert len(tasks) > 1

@@ -8,8 +8,13 @@ nations and regions are the small task graph, and customers, orders and lines a
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Iterator
+from urllib.parse import unquote, urlsplit
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -354,6 +359,70 @@ class Data:
         )
 
 
+_NOT_IN_NAMES = re.compile(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
+
+
+def folder(column: str, value: str | None) -> str:
+    """The directory that Spark's partitioned writer gives a value."""
+    if value is None or value == "":
+        return f"{column}=__HIVE_DEFAULT_PARTITION__"
+    return f"{column}={_NOT_IN_NAMES.sub(lambda m: f'%{ord(m[0]):02X}', value)}"
+
+
+def local_path(spark, path: str) -> str | None:
+    """The path on a disk that all tasks share, or null if another file system holds it."""
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS")
+    parts = urlsplit(path)
+    if (parts.scheme or urlsplit(default).scheme) != "file":
+        return None
+    return unquote(parts.path) if parts.scheme else path
+
+
+def lay_out_files(rows: DataFrame, root: str, line: str, *columns: str) -> None:
+    """Lay text out in one file per task and value of ``columns``, with a directory per column, as a partitioned write does.
+
+    On a local disk the tasks write plain files, as the programs do whose files these stand for: Hadoop's local file system
+    starts four processes for each file, which takes most of the time where files are small.  Rows of a file are written in
+    their order; a task's files are complete before they get their names, so a task may run again.
+    """
+    rows = rows.select(*columns, line)
+    base = local_path(rows.sparkSession, root)
+    if base is None:
+        rows.write.partitionBy(*columns).text(root)
+        return
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        name, own, made, n = f"part-{task.partitionId():05d}", f".{task.taskAttemptId()}", {}, 0
+        for batch in batches:
+            # Neighbouring rows of a file share one opening of it.
+            held, texts = None, []
+            for *values, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                place = tuple(values)
+                if place != held:
+                    _append(base, columns, held, texts, name + own, made)
+                    held, texts = place, []
+                texts.append("" if text is None else text)
+            _append(base, columns, held, texts, name + own, made)
+            n += batch.num_rows
+        for path in made.values():
+            os.replace(f"{path}/.{name}{own}", f"{path}/{name}.txt")
+        yield pa.record_batch([pa.array([n], pa.int64())], ["n"])
+
+    os.makedirs(base)
+    rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
+def _append(base: str, columns: tuple[str, ...], values: tuple | None, texts: list[str], name: str, made: dict) -> None:
+    if not texts:
+        return
+    if values not in made:
+        made[values] = os.path.join(base, *map(folder, columns, values))
+        os.makedirs(made[values], exist_ok=True)
+    with open(f"{made[values]}/.{name}", "a", encoding="utf-8", newline="") as f:
+        f.writelines(f"{text}\n" for text in texts)
+
+
 def plain_names(files: DataFrame, *columns: str) -> DataFrame:
     """Directory names of files that Spark wrote as ``column=value``, without the column."""
     return files.withColumns({c: F.regexp_replace(c, f"^{c}=", "") for c in columns})

@@ -10,7 +10,7 @@ from scoremart.operators import parse as p
 from scoremart.session import scratch_path
 from scoremart.sources.results import latest_per_dir, scan_result_files
 
-from .fixtures import plain_names
+from .fixtures import lay_out_files, plain_names
 from .registry import query
 
 _FILE = "model, label, dir"
@@ -241,10 +241,15 @@ def _(d):
 # ── control files ────────────────────────────────────────────────────────────────────
 
 
+def _file_tasks(d):
+    """Tasks that lay out files: a number of their own, since the many files of a run's control data hold few bytes."""
+    return int(d.spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def from_files(d, documents, name):
     """The documents written as one file per run, and read back as control files."""
     root = scratch_path(d.spark, name)
-    documents.select("run_id", "content").repartition("run_id").write.partitionBy("run_id").text(root)
+    lay_out_files(documents.select("run_id", "content").repartition(_file_tasks(d), "run_id"), root, "content", "run_id")
     return plain_names(src.read_documents(d.spark, f"{root}/*/*.txt"), "run_id")
 
 
@@ -288,7 +293,7 @@ def _(d):
 
 def completed_from_files(d):
     root = scratch_path(d.spark, "completed")
-    d.completed_lines.repartition("run_id").write.partitionBy("run_id").text(root)
+    lay_out_files(d.completed_lines.repartition(_file_tasks(d), "run_id"), root, "line", "run_id")
     return src.completed_keys(plain_names(src.read_lines(d.spark, f"{root}/*/*.txt"), "run_id"))
 
 
@@ -299,8 +304,8 @@ def _(d):
 
 def failed_from_files(d):
     root = scratch_path(d.spark, "failed")
-    lines = d.failed_lines.select("run_id", "line_order", "line").repartition("run_id").sortWithinPartitions("run_id", "line_order")
-    lines.select("run_id", "line").write.partitionBy("run_id").text(root)
+    lines = d.failed_lines.select("run_id", "line_order", "line").repartition(_file_tasks(d), "run_id").sortWithinPartitions("run_id", "line_order")
+    lay_out_files(lines, root, "line", "run_id")
     return src.failed_jobs(plain_names(src.read_lines(d.spark, f"{root}/*/*.txt"), "run_id"))
 
 
