@@ -13,6 +13,7 @@ from scoremart.schemas import KEY
 from scoremart.sources import ScoreTable, scan_result_files, stream_result_files
 from scoremart.streaming import ScoreStream, completion_index, parse_stream
 from scoremart.streaming.incremental import runs_to_merge
+from workloads.q_stream import BATCHES, landed_documents, landed_scores, run_to_table, score_stream
 
 FILES = "model_key string, label string, dir string, path string, mtime timestamp, content string"
 
@@ -195,3 +196,39 @@ def test_collect(spark, tmp_path):
     assert again.diff.first()["net"] == 0 and again.diff.first()["changed"] == 0
     empty = collect_run(scan_result_files(spark, str(tmp_path / "none")), manifest, task_map, *graph(spark), table)
     assert empty.scores.count() == 3 and ScoreTable(spark, table).read().select(*KEY).count() == 3
+
+
+class Made:
+    """Derived tables of a query, given as they are."""
+
+    def __init__(self, spark, **tables):
+        self.spark = spark
+        self.__dict__.update(tables)
+
+
+def test_landed_documents_come_in_few_batches(spark):
+    text = F.concat(F.lit('{"results": {"t'), F.col("id").cast("string"), F.lit('": {}}}'))
+    docs = spark.range(0, 60, 1, 20).select(F.lit("m").alias("model_key"), F.lit("l").alias("label"), text.alias("content"), F.lit(1).alias("step"))
+    stream = landed_documents(Made(spark, documents=lambda: docs))
+    seen = []
+    stream.writeStream.foreachBatch(lambda rows, i: seen.append(rows.count())).trigger(availableNow=True).start().awaitTermination()
+    assert 1 < len(seen) <= BATCHES and sum(seen) == 60
+    assert run_to_table(Made(spark), completion_index(stream), "index").count() == 60
+
+
+def test_landed_scores_lie_in_many_files_and_ties_in_one(spark):
+    rows = spark.range(400).select(
+        F.concat(F.lit("m"), (F.col("id") % 40).cast("string")).alias("model"), F.lit("t").alias("task"), F.lit("acc").alias("metric"),
+        F.lit("none").alias("metric_filter"), F.col("id").cast("double").alias("score"), F.lit("2024-01-01").cast("timestamp_ntz").alias("eval_date"))
+    d = Made(spark, scores=rows, lineitem=spark.range(1_000_000))
+    stream = landed_scores(d)
+    batches = []
+    stream.writeStream.foreachBatch(
+        lambda b, i: batches.append({(r["model"], r["n"]) for r in b.groupBy("model").agg(F.count("*").alias("n")).collect()})
+    ).trigger(availableNow=True).start().awaitTermination()
+    assert len(batches) == 2 and all(n == 10 for b in batches for _, n in b)
+    tasks = stream.select(F.input_file_name().alias("f")).writeStream.format("memory").queryName("landed_files").trigger(availableNow=True).start()
+    tasks.awaitTermination()
+    assert spark.table("landed_files").distinct().count() > 2
+    assert score_stream(Made(spark, lineitem=spark.range(40_000_000))).base.layout[0] == 16
+    assert score_stream(d).base.layout[0] == 4
