@@ -160,3 +160,15 @@ def test_job_of_two_runs(spark, files):
     tasks = spark.createDataFrame([("r1", "deu_arc"), ("r2", "bpb")], "run_id string, task string")
     rows = p.filter_allowed_tasks(p.parse_results_long(files, jobs), tasks).collect()
     assert sorted((r["run_id"], r["task"], r["model_path"]) for r in rows) == [("r1", "deu_arc", "/a"), ("r2", "bpb", "/b")]
+
+
+def test_facts_that_are_not_used_are_not_computed(spark):
+    good = json.dumps({"results": {"t": {"acc,none": 1}}, "configs": {"t": {"doc_to_text": "x"}}})
+    rows = [("m", "l", "d", "p1", None, good), ("m", "l", "d", "p2", None, "{")]
+    files = spark.createDataFrame(rows, "model_key string, label string, dir string, path string, mtime timestamp, content string")
+    parsed = p.parse_with_verdicts(files)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "doc_to_text" in plan(parsed.select("task_config")) and "doc_to_text" not in plan(parsed.select("language"))
+    bad = parsed.filter("reason is not null").first().asDict()
+    facts = ["task", "task_type", "parent_task", "task_display_name", "language", "n_samples", "task_config", "metric", "score", "subtask_tree"]
+    assert [bad[c] for c in facts] == [None] * len(facts) and bad["reason"] == "unreadable" and bad["result_source"] == "p2"
