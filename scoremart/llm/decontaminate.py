@@ -3,10 +3,11 @@
 1. Texts become sequences of lower-case token hashes, written once.
 2. Document frequencies of the benchmark's terms are counted over all documents.
 3. Items are cut into pieces of at most ``PIECE`` tokens.  The TF-IDF matrix of the pieces gets a randomised SVD: tasks
-   multiply their rows with a random projection and send one partial product; power iterations sharpen the basis, whose
-   size does not depend on the documents.  It spans all pieces that are searched together, so no direction is lost.
-4. Every document is folded in as overlapping passages.  A passage is a candidate for a piece if its latent vector,
-   projected on the piece's, is as long as the confirmation rule can need, and if it holds as many of the piece's tokens.
+   multiply their rows with a random projection and send one partial product; power iterations sharpen the basis of
+   ``DIMENSIONS`` directions, fewer than the pieces, whose size does not depend on the documents.
+4. Every document is folded in as overlapping passages.  A passage is a candidate for a piece if the product of their
+   latent vectors is as large as the confirmation rule can need, and if it holds as many of the piece's tokens.  What
+   the basis leaves out lowers that product by no more than a bound that each token adds to, so no copy is lost by it.
 5. A candidate is confirmed by the longest common subsequence of the whole item and the text around the passage, alone or
    together with the item's answer (its last sentence), so that paraphrases with replaced, dropped or added words are found.
 
@@ -30,17 +31,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binaries, fresh_name, pieces, stage
+from .common import binaries, fresh_name, one_thread_each, pieces, stage
 from .words import LETTERS, split_runs, word_hashes
 
-#: Pieces searched together, which is the rank of their basis at most.
-RANK, EXTRA, ROUNDS = 512, 16, 2
+#: Pieces searched together, and directions of their basis.
+RANK, DIMENSIONS, EXTRA, ROUNDS = 512, 128, 16, 2
 #: Tokens of a step, and steps of a passage; a passage starts at every step.
 STEP, STEPS = 16, 4
 #: Most tokens of a piece: a passage holds it whole wherever it stands, with 17 tokens between its own.
 PIECE = 32
 #: Passages projected at a time.
-PASSAGES = 256
+PASSAGES = 512
 #: Items whose terms are counted at a time.
 ITEMS = 4096
 LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.75, 0.6, 0.75
@@ -91,8 +92,10 @@ def document_frequencies(tokens: DataFrame, terms: Terms) -> tuple[np.ndarray, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(len(terms), np.int64), 0
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                total[np.unique(terms.find(np.frombuffer(raw, "<u4"))[1])] += 1
+            for _, _, data, bounds in pieces(batch.column(0)):
+                at, term = terms.find(data.view("<u4"))
+                row = np.searchsorted(bounds, 4 * at, side="right") - 1
+                total += np.bincount(np.unique(row * len(terms) + term) % len(terms), minlength=len(terms))
             n += batch.num_rows
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array([-1, *at], pa.int32()), pa.array([n, *total[at]], pa.int64())], ["term", "n"])
@@ -115,8 +118,8 @@ def tfidf(raw: bytes, terms: Terms, idf: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def latent_basis(cut: DataFrame, terms: Terms, idf: np.ndarray) -> np.ndarray:
-    """Terms x rank: right singular vectors of the pieces' TF-IDF matrix by distributed randomised SVD."""
-    width = min(RANK + EXTRA, len(terms))
+    """Terms x ``DIMENSIONS``: right singular vectors of the pieces' TF-IDF matrix by distributed randomised SVD."""
+    width = min(DIMENSIONS + EXTRA, len(terms))
     schema = "term int, value binary"
 
     def gram_product(q: np.ndarray) -> np.ndarray:
@@ -153,7 +156,7 @@ def latent_basis(cut: DataFrame, terms: Terms, idf: np.ndarray) -> np.ndarray:
     for _ in range(ROUNDS):
         q, _ = np.linalg.qr(gram_product(q))
     values, vectors = np.linalg.eigh(q.T @ gram_product(q))
-    keep = np.argsort(-values)[:RANK]
+    keep = np.argsort(-values)[:DIMENSIONS]
     return (q @ vectors[:, keep[values[keep] > 1e-9]]).astype(np.float32)
 
 
@@ -207,37 +210,59 @@ def search(
     index = np.zeros((len(cut), basis.shape[1]), np.float32)
     piece_terms = np.full((len(cut), PIECE), len(terms), np.int64)  # one more than the last term: never present
     least, need = np.zeros(len(cut), np.float32), np.zeros(len(cut), np.int64)
+    below = np.zeros(len(terms))
     for j, (_, part) in enumerate(cut):
         own, weight = tfidf(part.tobytes(), terms, idf)
         index[j] = weight @ basis[own]
+        adds = (basis @ index[j]) * idf  # what one token of each term adds to the product of a passage and the piece
+        below = np.maximum(below, -adds)
         term = terms.find(part)[1]
         piece_terms[j, : len(term)] = term
         need[j] = math.ceil(LCS_WITH_ANSWER * len(part) - 1e-9)
-        # The lightest tokens that can make up the least subsequence; a hundredth for rounding of the basis.
-        least[j] = 0.99 * np.sort(idf[term] ** 2)[: need[j]].sum()
+        # The tokens that add least and can make up the least subsequence, where a term that the piece repeats may stand
+        # once; a hundredth for rounding.
+        _, back, count = np.unique(term, return_inverse=True, return_counts=True)
+        least[j] = 0.99 * np.sort(np.maximum(adds[term], 0) / count[back])[: need[j]].sum()
     size = np.maximum(np.linalg.norm(index, axis=1), 1e-9)
-    weights = (basis * idf[:, None]).astype(np.float32)
-    onto = weights @ index.T  # what one token of each term adds to the product of a passage and each piece
+    # The last column is the most that a token may lower a product with any piece.
+    weights = np.column_stack([basis * idf[:, None], 1.01 * below]).astype(np.float32)
     schema = f"doc_id long, item_id {item_type}, cosine double, lcs double, answer double"
 
-    def candidates(own: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """Step of a passage, item and cosine."""
-        at, term = terms.find(own)
-        step = at // STEP
-        last = max(0, -(-len(own) // STEP) - STEPS)
-        for low in range(0, last + 1, PASSAGES):
-            many = min(PASSAGES, last + 1 - low)
+    def candidates(tokens: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
+        """Document, negative cosine, step of a passage, item.  Documents are laid out by whole steps one after the other."""
+        ends, steps = np.cumsum(sizes), np.maximum(-(-sizes // STEP), STEPS)
+        base = np.cumsum(steps) - steps
+        at, term = terms.find(tokens)
+        doc = np.searchsorted(ends, at, side="right")
+        step = base[doc] + (at - (ends - sizes)[doc]) // STEP
+        of = np.repeat(np.arange(len(sizes)), steps)
+        whole = np.arange(len(of)) + STEPS <= (base + steps)[of]  # a passage that starts here ends in its document
+        for low in range(0, len(of), PASSAGES):
+            many = min(PASSAGES, len(of) - low)
             a, b = np.searchsorted(step, [low, low + many + STEPS - 1])
             if a == b:
                 continue
             s, t = step[a:b] - low, term[a:b]
             begin = np.flatnonzero(np.diff(s, prepend=-1))
-            steps = np.zeros((many + STEPS - 1, len(cut)), np.float32)
-            steps[s[begin]] = np.add.reduceat(onto[t], begin)
-            product = steps[:many].copy()
+            folded = np.zeros((many + STEPS - 1, weights.shape[1]), np.float32)
+            folded[s[begin]] = np.add.reduceat(weights[t], begin)
+            sums = folded[:many].copy()
             for k in range(1, STEPS):
-                product += steps[k : k + many]
-            passage, piece = np.nonzero(product >= least)
+                sums += folded[k : k + many]
+            product = sums[:, :-1] @ index.T
+            near = (product >= least - sums[:, -1:]) & whole[low : low + many, None]
+            # Which documents hold as many of a piece's tokens, then which of their passages.
+            owners = of[low : low + many] - of[low]
+            cuts = np.flatnonzero(np.diff(owners, prepend=-1))
+            own_doc = doc[a:b] - of[low]
+            inside = own_doc < len(cuts)
+            held = np.zeros((len(terms) + 1, len(cuts)), np.uint8)
+            held[t[inside], own_doc[inside]] = 1
+            enough = held.take(piece_terms.T, axis=0).sum(axis=0, dtype=np.uint8) >= need[:, None]
+            hold = np.logical_or.reduceat(near, cuts, axis=0) & enough.T
+            rows = np.flatnonzero(hold.any(axis=1)[owners])
+            passage, piece = np.nonzero(near[rows] & hold[owners[rows]])
+            passage = rows[passage]
             if not len(passage):
                 continue
             present = np.zeros((many, len(terms) + 1), bool)
@@ -245,37 +270,32 @@ def search(
                 inside = (s >= k) & (s < many + k)
                 present[s[inside] - k, t[inside]] = True
             keep = present[passage[:, None], piece_terms[piece]].sum(axis=1) >= need[piece]
-            length: dict[int, float] = {}
             for p, j in zip(passage[keep].tolist(), piece[keep].tolist(), strict=True):
-                if p not in length:
-                    c, d = np.searchsorted(s, [p, p + STEPS])
-                    length[p] = max(float(np.linalg.norm(weights[t[c:d]].sum(axis=0))), 1e-9)
-                yield low + p, owner[j], float(product[p, j] / (length[p] * size[j]))
+                length = max(float(np.linalg.norm(sums[p, :-1])), 1e-9)
+                own = int(of[low + p])
+                yield own, -float(product[p, j] / (length * size[j])), int(low + p - base[own]), owner[j]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple] = []
-            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(raw, "<u4")
-                if not len(own):
-                    continue
-                best: dict[int, tuple] = {}
-                seen: set[tuple[int, int]] = set()
-                for step, i, cosine in sorted(candidates(own), key=lambda x: (-x[2], x[0], x[1])):
-                    if i in best and best[i][1] >= LCS_ALONE:
+            ids = batch.column(0).to_pylist()
+            for low, _, data, bounds in pieces(batch.column(1)):
+                tokens, cuts = data.view("<u4"), bounds // 4
+                best: dict[tuple[int, int], tuple] = {}
+                seen: set[tuple[int, int, int]] = set()
+                for doc, cosine, step, i in sorted(candidates(tokens, np.diff(cuts))):
+                    if best.get((doc, i), (0.0,) * 3)[1] >= LCS_ALONE or (doc, step, i) in seen:  # found by another piece
                         continue
-                    sequence, a, span = own_items[i], answers[i], spans[i]
-                    if (i, step) in seen:  # found by another piece
-                        continue
-                    seen.add((i, step))
+                    seen.add((doc, step, i))
+                    own, sequence, a, span = tokens[cuts[doc] : cuts[doc + 1]], own_items[i], answers[i], spans[i]
                     region = own[max(0, (step - span) * STEP) : (step + STEPS + span) * STEP]
                     if np.isin(sequence, region).mean() < LCS_WITH_ANSWER:
                         continue
                     common = lcs(sequence, region) / len(sequence)
                     part = lcs(sequence[len(sequence) - a :], region) / a if a else 0.0
                     if common >= LCS_ALONE or (common >= LCS_WITH_ANSWER and part >= ANSWER):
-                        best[i] = max(best.get(i, (0.0,) * 3), (cosine, common, part), key=lambda x: x[1:])
-                found += [(doc, names[i], *v) for i, v in best.items()]
+                        best[doc, i] = max(best.get((doc, i), (0.0,) * 3), (-cosine, common, part), key=lambda x: x[1:])
+                found += [(ids[low + doc], names[i], *v) for (doc, i), v in best.items()]
             columns = list(zip(*found, strict=True)) if found else [[]] * 5
             columns = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.record_batch(columns, ["doc_id", "item_id", "cosine", "lcs", "answer"])
@@ -287,6 +307,7 @@ def search(
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, cosine, lcs, answer``: confirmed pairs, one row each."""
+    one_thread_each(docs.sparkSession)
     tokens = stage(token_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]), "doc-tokens")
     items = stage(item_answers(benchmark).withColumn("place", F.row_number().over(Window.orderBy("item", "tokens"))), "item-tokens")
     item_type = items.schema["item"].dataType.simpleString()

@@ -275,3 +275,20 @@ def test_decontamination_finds_items_without_their_rare_words(spark, monkeypatch
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     found = decontaminate.contaminated(table(spark, rows + filler), benchmark).collect()
     assert want <= {(r["doc_id"], r["item_id"]) for r in found}
+
+
+def test_decontamination_searches_in_fewer_directions_than_pieces(spark, monkeypatch):
+    """The basis decides the cosines; whatever it leaves out, no pair is lost."""
+    rng = random.Random(14)
+    words = [f"w{i}" for i in range(60)]
+    items = [(k, " ".join(rng.choice(words) if j % 3 else f"own{k}x{j}" for j in range(24 + k))) for k in range(24)]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(20 + 3 * k)) + " " + x + " " + x[:40] + " " + prose(rng, 70)) for k, x in items]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {}
+    for directions in (3, 10, 500):
+        monkeypatch.setattr(decontaminate, "DIMENSIONS", directions)
+        result = decontaminate.contaminated(table(spark, rows + odd_texts()), benchmark).collect()
+        found[directions] = {(r["doc_id"], r["item_id"]): (r["lcs"], r["answer"], round(r["cosine"], 4)) for r in result}
+    want = {(k, k) for k, _ in items}
+    assert want <= set(found[500]) and all({p: v[:2] for p, v in f.items()} == {p: v[:2] for p, v in found[500].items()} for f in found.values())
+    assert any(found[3][p][2] != found[10][p][2] for p in want) and any(found[10][p][2] != found[500][p][2] for p in want)
