@@ -105,8 +105,9 @@ def expand_suites(names: DataFrame, group_child: DataFrame, tags: DataFrame | No
     numbering of a suite's members in one place.  A place is the position in a group, or the
     name of a tag's member.
 
-    Every round joins the ways found so far with themselves, which doubles them; a way that has come to a leaf is done.
-    Raises on a cycle.
+    Ways among groups are joined with themselves, which doubles them, and are walked from the requested names by falling
+    powers of two, so that each way is met once; tasks are joined only to the ways that have been walked.  Raises on a
+    cycle.
     """
     place = lambda pos, tag: F.struct(pos.cast("bigint").alias("pos"), tag.alias("tag"))
     edges = group_child.select(
@@ -117,23 +118,34 @@ def expand_suites(names: DataFrame, group_child: DataFrame, tags: DataFrame | No
             tags.select(F.col("tag").alias("node"), place(F.lit(0), F.col("task")).alias("pos"), F.col("task").alias("next"))
         )
     inner = edges.select(F.col("node").alias("next")).distinct().withColumn("goes_on", F.lit(True))
-    links = edges.select("node", "next").join(inner.select("next"), "next", "left_semi")
-    powers = _powers(links)
+    edges = stage(edges.join(inner, "next", "left").withColumn("goes_on", F.coalesce("goes_on", F.lit(False))), "edges")
+    onward = edges.filter("goes_on")
+    powers = _powers(onward.select("node", "next"))
     met = _met(names.select(F.col("suite").alias("node")).distinct(), powers, ())
-    ways = edges.join(met, "node", "left_semi").join(inner, "next", "left").select(
-        "node", F.array("pos").alias("path"), "next", F.coalesce("goes_on", F.lit(False)).alias("goes_on")
-    )
-    for _ in powers:
-        ways = stage(ways, "ways")
-        onward = ways.select(F.col("node").alias("next"), F.col("path").alias("rest"), F.col("next").alias("last"), F.col("goes_on").alias("still"))
-        longer = ways.filter("goes_on").join(onward, "next").select(
-            "node", F.concat("path", "rest").alias("path"), F.col("last").alias("next"), F.col("still").alias("goes_on")
-        )
-        ways = ways.filter("not goes_on").unionByName(longer)
-    found = ways.select(F.col("node").alias("suite"), "path", F.col("next").alias("task"))
+    way = onward.select("node", F.array("pos").alias("path"), "next")
+    ways = []
+    for k in range(len(powers)):
+        if k:
+            rest = way.select(F.col("node").alias("next"), F.col("path").alias("rest"), F.col("next").alias("last"))
+            way = way.join(rest, "next").select("node", F.concat("path", "rest").alias("path"), F.col("last").alias("next"))
+        else:
+            way = way.join(met, "node", "left_semi")
+        if len(powers) > 1:
+            way = stage(way, "ways")
+        ways.append(way)
     own = F.array().cast(edges.select(F.array("pos").alias("p")).schema["p"].dataType)
-    joined = names.select("suite", "suite_pos").join(found, "suite", "left")
-    return joined.select("suite", "suite_pos", F.coalesce("path", own).alias("path"), F.coalesce("task", "suite").alias("task"))
+    groups = inner.select(F.col("next").alias("suite"))
+    held = names.select("suite", "suite_pos", F.col("suite").alias("node"), own.alias("path"))
+    for way in reversed(ways):
+        jumps = way.select("node", F.col("path").alias("rest"), "next")
+        held = stage(held, "held")
+        held = held.unionByName(
+            held.join(jumps, "node").select("suite", "suite_pos", F.col("next").alias("node"), F.concat("path", "rest").alias("path"))
+        )
+    ends = edges.filter("not goes_on").select("node", "pos", F.col("next").alias("task"))
+    found = held.join(ends, "node").select("suite", "suite_pos", F.array_append("path", F.col("pos")).alias("path"), F.coalesce("task", "suite").alias("task"))
+    alone = names.join(groups, "suite", "left_anti").select("suite", "suite_pos", own.alias("path"), F.col("suite").alias("task"))
+    return found.unionByName(alone)
 
 
 def parent_of(group_child: DataFrame) -> DataFrame:

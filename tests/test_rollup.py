@@ -163,3 +163,16 @@ def test_leaf_scores_are_combined_before_the_exchange(spark):
     rows = leaf(spark, [("a", "none", 1.0, 1)]).withColumnRenamed("task", "child")
     plan = r.combine(r.contributions(rows, edges))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("partial_sum") >= 1
+
+
+def test_expand_suites_walks_groups_before_tasks(spark, monkeypatch):
+    """Tasks are joined only to ways that have been walked: no staged table holds them once for each group above."""
+    rows = [("s", 0, "c", 0), ("s", 0, "t0", 1), ("c", 1, "o", 0)] + [("o", 2, f"t{i}", i) for i in range(500)] + [("o", 2, None, 500)]
+    graph = spark.createDataFrame(rows, "grp string, grp_pos long, child string, child_pos long")
+    names = spark.createDataFrame([("s", 0), ("s", 0), ("lone", 1), (None, 2)], "suite string, suite_pos long")
+    staged, stage = [], h.stage
+    monkeypatch.setattr(h, "stage", lambda df, name: staged.append(stage(df, name)) or staged[-1])
+    found = [(r["suite"], tuple(p["pos"] for p in r["path"]), r["task"]) for r in h.expand_suites(names, graph).collect()]
+    one = [("s", (1,), "t0"), ("s", (0, 0, 500), "s")] + [("s", (0, 0, i), f"t{i}") for i in range(500)]
+    assert sorted(found, key=repr) == sorted(one + one + [("lone", (), "lone"), (None, (), None)], key=repr)
+    assert sum(table.count() for table in staged) < 600
