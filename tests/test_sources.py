@@ -93,6 +93,37 @@ def test_group_definitions(spark, tmp_path):
     assert [tuple(r) for r in metric.select("grp", "metric", "aggregation", "weight_by_size").collect()] == [("first", "f1", "max", False)]
 
 
+def test_documents_are_read_as_by_the_safe_loader():
+    import yaml
+
+    from scoremart.sources.groups import read_document
+
+    def outcome(load, text):
+        try:
+            return json.dumps(load(text), default=str)
+        except (yaml.YAMLError, ValueError, TypeError) as e:
+            return type(e)
+
+    values = ["word", "yes", "Off", "~", "", "7", "-08", "0x1F", "1_000", "190:20", "1.5", ".5", "-.inf", "1e3", "2024-01-31", "2024-13-45",
+              "'7'", '"a\\tb"', "!!str 7", "!!int '7'", "!!set {a, b}", "!!map x", "!!binary aGk=", "!own x", "&a [1, 2]", "*a", "&r [*r]", "=", "<<",
+              "[a, {k: v, 2: w}, -]", "{a: 1, a: 2}", "{<<: {a: 1}, b: 2}", "{[a]: b}", "|\n  text\n  more", "a b # c", "a: b", "[a", "\ufeff", "\x01"]
+    for value in values:
+        for text in (f"{value}", f"k: {value}", f"{value}: k", f"- {value}\n- x", f"k:\n  - {value}\n  - j: {value}", f"k: {value}\n---\nl: 1"):
+            assert outcome(read_document, text) == outcome(yaml.safe_load, text), text
+
+
+def test_definitions_are_parsed_once_and_for_what_a_table_holds(spark):
+    docs = [("a", "group: g\ntask: [x, {task: y}, 7, [z]]\naggregate_metric_list: [{metric: acc}]"), ("b", "group: h\ntask: one"),
+            ("c", "group: i\ntask: {a: b}"), ("d", "task: [x]"), ("e", "group: g\ntask: [w]\naggregate_metric_list: 7"), ("f", "group: [")]
+    child, metric = src.parse_group_defs(spark.createDataFrame(docs, "path string, content string"))
+    assert [tuple(r) for r in child.collect()] == [("g", "a", "w", 0)] and metric.isEmpty()
+    first = src.parse_group_defs(spark.createDataFrame(docs[:4], "path string, content string"))
+    assert sorted(tuple(r) for r in first[0].collect()) == [("g", "a", "x", 0), ("g", "a", "y", 1)]
+    assert [tuple(r) for r in first[1].select("grp", "metric", "metric_pos", "aggregation", "weight_by_size").collect()] == [("g", "acc", 0, "mean", False)]
+    plan = child._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and "weight_by_size" not in plan
+
+
 def score_rows(spark, rows):
     from scoremart.operators.merge import conform
 

@@ -351,7 +351,8 @@ def group_tables(d):
         F.lit("group: "), "grp", F.lit("\ntask: ["), "first_child", F.lit(", {task: "), "second_child", F.lit("}, 7]\naggregate_metric_list:\n"),
         F.lit("  - {metric: acc, weight_by_size: "), F.col("weighted").cast("string"), F.lit("}\n  - {aggregation: mean}\n"),
     )
-    n_parts = d.spark.sparkContext.defaultParallelism
+    # A task parses and sorts a bounded number of files, whatever the cluster.
+    n_parts = max(d.spark.sparkContext.defaultParallelism, d.lineitem.count() // 100_000)
     return src.parse_group_defs(d.sql(_DEFS).select("path", yaml.alias("content")).repartition(n_parts))
 
 
