@@ -66,9 +66,9 @@ def _met(start: DataFrame, powers: list[DataFrame], keys: tuple[str, ...]) -> Da
 
 
 def group_edges(group_child: DataFrame) -> DataFrame:
-    """Edges between groups, one per (grp, child)."""
+    """Edges between groups, one per (grp, child).  Most edges lead to tasks, so those are left out first."""
     groups = group_child.select(F.col("grp").alias("child")).distinct()
-    return group_child.select("grp", "child").distinct().join(groups, "child", "left_semi").select("grp", "child")
+    return group_child.select("grp", "child").join(groups, "child", "left_semi").select("grp", "child").distinct()
 
 
 def _group_links(group_child: DataFrame) -> DataFrame:

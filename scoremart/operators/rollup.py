@@ -140,22 +140,27 @@ class Hierarchy:
                 from_group.alias("is_group"),
             ),
             "edges",
+            by="is_group",  # edges to groups are few and read for every depth
         )
-        self.shape = group_shape(self.edges)
+        self.shape = stage(group_shape(self.edges), "shape")
         self.top = self.edges.agg(F.max("depth").alias("top")).first()["top"]
 
 
 def all_cells(leaf: DataFrame, h: Hierarchy) -> list[DataFrame]:
-    """Accumulators of every group cell, written, one table per depth, deepest first."""
+    """Accumulators of every group cell, written, one table per depth, deepest first.
+
+    ``h.rows`` are the score rows of the complete ones, written once for all depths above and for the result.
+    """
     leaves = leaf.select(*_CHILD, F.col("task").alias("child"), "metric", "metric_filter")
     leaf_edges = h.edges.filter("not is_group")
     from_leaves = stage(combine(contributions(leaves, leaf_edges)), "leaf-cells")
     named = leaves.join(h.edges.filter("is_group").select("child", "metric").distinct(), ["child", "metric"], "left_semi")
     h.stand_ins = None if named.isEmpty() else stage(named, "stand-ins")
     cells: list[DataFrame] = []
+    h.rows = []
     for depth in range(-1 if h.top is None else h.top, -1, -1):
-        rows = [finalise(c, h.shape) for c in cells]
-        cells.append(stage(_cells_at(depth, from_leaves, rows, h), "cells"))
+        cells.append(stage(_cells_at(depth, from_leaves, h.rows, h), "cells"))
+        h.rows.append(stage(finalise(cells[-1], h.shape), "rows"))
     return cells
 
 
@@ -194,10 +199,9 @@ def rollup(
     when ``leaf`` is only part of it, pass that as ``filters(task, metric, metric_filter)``.
     """
     h = Hierarchy(leaf, group_child, group_metric, suites, filters)
-    rows = [finalise(cells, h.shape) for cells in all_cells(leaf, h)]
-    if not rows:
+    if not all_cells(leaf, h):
         return leaf.sparkSession.createDataFrame([], SCORE)
-    return decorate(reduce(DataFrame.unionByName, rows), h)
+    return decorate(reduce(DataFrame.unionByName, h.rows), h)
 
 
 def decorate(rows: DataFrame, h: Hierarchy) -> DataFrame:

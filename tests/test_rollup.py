@@ -176,3 +176,20 @@ def test_expand_suites_walks_groups_before_tasks(spark, monkeypatch):
     one = [("s", (1,), "t0"), ("s", (0, 0, 500), "s")] + [("s", (0, 0, i), f"t{i}") for i in range(500)]
     assert sorted(found, key=repr) == sorted(one + one + [("lone", (), "lone"), (None, (), None)], key=repr)
     assert sum(table.count() for table in staged) < 600
+
+
+def test_shape_and_rows_are_written_once(spark):
+    child = spark.createDataFrame(
+        [("top", 0, "mid", 0), ("top", 0, "b", 1), ("mid", 1, "a", 0), ("mid", 1, "b", 1), ("top", 0, "mid", 2)], CHILD)
+    metric = spark.createDataFrame([("top", "acc", False), ("mid", "acc", False)], METRIC)
+    leaf = conform(spark.createDataFrame([("m", "a", 1.0), ("m", "b", 3.0), ("n", "a", 1.0)], "model string, task string, score double").selectExpr(
+        "*", "'acc' as metric", "'none' as metric_filter"))
+    tree = r.Hierarchy(leaf, child, metric, spark.createDataFrame([("top",)], "task string"))
+    cells = r.all_cells(leaf, tree)
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (tree.shape, *tree.rows)]
+    assert len(cells) == len(tree.rows) == 2 and not any("Aggregate" in x or "Join" in x for x in plans)
+    found = {(x["model"], x["task"]): x["score"] for rows in tree.rows for x in rows.collect()}
+    assert found == {("m", "mid"): 2.0, ("m", "top"): (2.0 + 2.0 + 3.0) / 3}
+    # Edges to tasks, most of all edges, are left out before the rest is made distinct.
+    plan = h.group_edges(child)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("LeftSemi")
