@@ -20,10 +20,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scoremart.llm import bpe, decontaminate, jaccard_join, quality_rules, queries, suffix_dedup
-from scoremart.llm.common import stage
+from scoremart.llm.common import one_thread_each, stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    # As benchmark_passages asks for: executors keep idle Python workers of each environment, so all stages have one.
+    one_thread_each(spark)
     return quality_rules.keep_good(docs)
 
 

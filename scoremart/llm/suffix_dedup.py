@@ -7,8 +7,8 @@ window alone.  Equal windows of any documents thus meet where their anchor is se
 2. Buckets of anchors find those that two documents have; a block gets two bits back for each anchor that it sent.
 3. Blocks cut the runs of windows with such an anchor, once per block and content, and send them to the anchor's shard.
    Anchors of very many runs are cut into single windows, sent by their content, so that no shard gets them all.
-4. A shard sorts the suffixes of its distinct runs by induced sorting; permuted common prefixes tell equal windows; each
-   window belongs to the least document id of its class and is covered in all others.
+4. A shard sorts the suffixes of its distinct runs by induced sorting, some parts of its anchors at a time; permuted
+   common prefixes tell equal windows; each window belongs to the least document id of its class and is covered in all others.
 5. Blocks collect the covered windows of their documents and cut the bytes under them.
 
 Null text is empty.  A row with a null id is left as it is and covers nothing; rows that share an id are one document and
@@ -38,6 +38,10 @@ REACH = LENGTH - GRAM + 1
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 96 << 20
 SHARD_BYTES = 8 << 20
+#: Parts of a shard by anchor, or by content where the anchor is frequent; equal windows are in the same one.
+PARTS = 64
+#: Bytes of a shard's distinct runs whose suffixes are sorted at a time, in whole parts; sorting takes some 50 times as much.
+SORT_BYTES = 1 << 20
 #: Bytes of text whose anchors are computed at a time.
 ANCHOR_BYTES = 1 << 19
 #: Runs with one anchor beyond which they are dealt by window.
@@ -168,7 +172,7 @@ def blocks_of(rows: DataFrame, buckets: int) -> DataFrame:
 
 def shared_anchors(sent: DataFrame, buckets: int) -> DataFrame:
     """``block, bucket, codes, runs``: for each anchor that a block sent, whether documents share it; ``runs`` counts the
-    runs of those.  A task holds one bucket at a time."""
+    runs of those, a frequent anchor's by windows.  A task holds one bucket at a time."""
     names = ["block", "bucket", "codes", "runs"]
 
     def solve(rows: list[tuple[int, bytes]], bucket: int) -> pa.RecordBatch:
@@ -182,7 +186,8 @@ def shared_anchors(sent: DataFrame, buckets: int) -> DataFrame:
         code = np.where(shared, np.where(runs > HOT_RUNS, HOT, SHARED), ONE).astype(np.uint8)[back]
         cut = np.cumsum([0, *size])
         values = [[b for b, _ in rows], [bucket] * len(rows), [squeeze(code[x:y].tobytes()) for x, y in zip(cut[:-1], cut[1:], strict=True)]]
-        wanted = [int((count[x:y] * (code[x:y] > 0)).sum()) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        count *= np.array([0, 1, REACH // 2])[code]
+        wanted = [int(count[x:y].sum()) for x, y in zip(cut[:-1], cut[1:], strict=True)]
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64()]
         return pa.record_batch([pa.array(v, k) for v, k in zip([*values, wanted], kinds, strict=True)], names)
 
@@ -205,7 +210,7 @@ def shared_anchors(sent: DataFrame, buckets: int) -> DataFrame:
 
 def cut_runs(blocks: DataFrame, buckets: int, shards: int) -> DataFrame:
     """``shard, block, contents, places``: distinct contents of a block for a shard, and for each occurrence its content,
-    row, start, number of windows and document id."""
+    row, start, number of windows, document id and part of the shard."""
     names = ["shard", "block", "contents", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,8 +235,9 @@ def cut_runs(blocks: DataFrame, buckets: int, shards: int) -> DataFrame:
                 each = n[hot]
                 step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
                 hot = np.repeat(hot, each)
-                windows = (xxhash.xxh64_intdigest(data[a : a + LENGTH]) % shards for a in (place[hot] + step).tolist())
-                shard = np.concatenate([(mix(anchor[use]) % np.uint64(shards)).astype(np.int64), np.fromiter(windows, np.int64, len(hot))])
+                windows = (xxhash.xxh64_intdigest(data[a : a + LENGTH]) for a in (place[hot] + step).tolist())
+                deal, shard = np.divmod(np.concatenate([mix(anchor[use]), np.fromiter(windows, np.uint64, len(hot))]), np.uint64(shards))
+                shard, group = shard.astype(np.int64), (deal % np.uint64(PARTS)).astype(np.int64)
                 place, start = (np.concatenate([x[use], x[hot] + step]) for x in (place, start))
                 line, n = np.concatenate([line[use], line[hot]]), np.concatenate([n[use], np.ones(len(hot), np.int64)])
                 order = np.argsort(shard, kind="stable")
@@ -241,7 +247,7 @@ def cut_runs(blocks: DataFrame, buckets: int, shards: int) -> DataFrame:
                     ends = (place[own] + n[own] + LENGTH - 1).tolist()
                     contents: dict[bytes, int] = {}
                     number = [contents.setdefault(data[a:b], len(contents)) for a, b in zip(place[own].tolist(), ends, strict=True)]
-                    columns = (np.array(number, np.int64), line[own], start[own], n[own], doc[line[own]])
+                    columns = (np.array(number, np.int64), line[own], start[own], n[own], doc[line[own]], group[own])
                     numbers = pack_numbers(*(c.astype(np.int64).astype(np.uint64) for c in columns))
                     values = [pa.array([shard[own[0]]], pa.int32()), pa.array([row["block"]], pa.int64()), binaries([join_words(list(contents))]), binaries([numbers])]
                     yield pa.record_batch(values, names)
@@ -270,21 +276,35 @@ def covered_windows(contents: list[bytes], owner: np.ndarray) -> list[np.ndarray
     return np.split(covered[at], np.cumsum(windows)[:-1])
 
 
+def covered_in_pieces(contents: list[bytes], owner: np.ndarray, part: np.ndarray) -> list[np.ndarray]:
+    """``covered_windows`` of a shard, whose parts have no window in common: some parts at a time."""
+    size = np.bincount(part, [len(x) for x in contents], PARTS)
+    piece = ((np.cumsum(size) - size) // SORT_BYTES)[part]
+    order = np.argsort(piece, kind="stable")
+    covered: list[np.ndarray] = [np.zeros(0, bool)] * len(contents)
+    for own in np.split(order, np.flatnonzero(np.diff(piece[order])) + 1):
+        for k, found in zip(own.tolist(), covered_windows([contents[k] for k in own.tolist()], owner[own]), strict=True):
+            covered[k] = found
+    return covered
+
+
 def solve_shard(rows: list[tuple[int, bytes, bytes]]) -> list[tuple[int, bytes]]:
     """Covered windows ``row, start, windows`` of each block that sent runs to a shard."""
     number: dict[bytes, int] = {}
     parts = []
     for block, packed, places in rows:
         own = np.array([number.setdefault(x, len(number)) for x in part_words(packed)], np.int64)
-        content, line, start, n, doc = (x.astype(np.int64) for x in unpack_numbers(places))
-        parts.append((block, own[content], line, start, n, doc))
-    content, doc = (np.concatenate([p[i] for p in parts]) for i in (1, 5))
+        content, line, start, n, doc, group = (x.astype(np.int64) for x in unpack_numbers(places))
+        parts.append((block, own[content], line, start, n, doc, group))
+    content, doc, group = (np.concatenate([p[i] for p in parts]) for i in (1, 5, 6))
     owner = np.full(len(number), np.iinfo(np.int64).max)
     np.minimum.at(owner, content, doc)
-    covered = covered_windows(list(number), owner)
+    part = np.zeros(len(number), np.int64)
+    part[content] = group
+    covered = covered_in_pieces(list(number), owner, part)
     partial = np.array([x.any() for x in covered])
     out = []
-    for block, own, line, start, n, doc in parts:
+    for block, own, line, start, n, doc, _ in parts:
         whole = doc > owner[own]
         found = [(line[whole], start[whole], n[whole])]
         for k in np.flatnonzero(~whole & partial[own]).tolist():

@@ -188,6 +188,63 @@ def test_removed_bytes_equal_all_pairs(spark, odd_docs, no_docs, monkeypatch, ho
     assert suffix_dedup.removal_digests(no_docs).count() == 0
 
 
+class Rows:
+    """Batches that functions for Spark's tasks are run on at once."""
+
+    def __init__(self, *batches):
+        self.batches = batches
+
+    def select(self, *names):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return list(run(iter(self.batches)))
+
+
+def test_a_shard_is_sorted_in_pieces():
+    """Memory of a shard: some times its bytes, not some 50 times; the same windows as by brute force."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    size, share = 2 << 20, 100_000
+    old = rng.randbytes(size).hex().encode()[:size]
+    new = rng.randbytes(size).hex().encode()[: size - share] + old[1000 : 1000 + share]
+    part = pa.record_batch([pa.array([old, new, old]), pa.array([1, 2, 3])], ["text", "doc_id"])
+    known = len(np.unique(np.concatenate([r.anchor for r in suffix_dedup.block_runs(part.column(0), np.ones(3, bool))])))
+    codes = [{"codes": suffix_dedup.squeeze(bytes([suffix_dedup.SHARED]) * known)}]
+    blocks = Rows(pa.record_batch([pa.array([0]), pa.array([suffix_dedup.write_batch(part)]), pa.array([codes])], ["block", "rows", "codes"]))
+    (sent,) = suffix_dedup.cut_runs(blocks, 1, 1)
+    row = tuple(sent.column(i)[0].as_py() for i in (1, 2, 3))
+    contents = len(b"".join(suffix_dedup.part_words(row[1])))
+    tracemalloc.start()
+    found = suffix_dedup.solve_shard([row])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert contents > 8 << 20 and peak < 30 * contents
+    (_, spans), covered = found[0], [set(), set(), set()]
+    for line, start, n in zip(*(x.tolist() for x in suffix_dedup.unpack_numbers(spans)), strict=True):
+        covered[line].update(range(start, start + n))
+    assert covered == [set(), set(range(size - share, size - 49)), set(range(size - 49))]
+
+
+def test_frequent_anchors_count_by_windows(monkeypatch):
+    """Their runs are sent as single windows, which shards must have room for."""
+    import pyarrow as pa
+
+    def runs(hot):
+        monkeypatch.setattr(suffix_dedup, "HOT_RUNS", hot)
+        packed = suffix_dedup.pack_numbers(*(np.array([x], np.uint64) for x in (7, 60, 1)))
+        sent = Rows(pa.record_batch([pa.array([0]), pa.array([0]), pa.array([packed])], ["block", "bucket", "packed"]))
+        sent.repartition = lambda *a: sent
+        sent.sortWithinPartitions = lambda *a: sent
+        return suffix_dedup.shared_anchors(sent, 1)[0].column(3).to_pylist()
+
+    assert runs(60) == [60]
+    assert runs(59) == [60 * (suffix_dedup.REACH // 2)]
+
+
 def test_cut_texts_keep_whole_characters(spark, odd_docs, no_docs):
     found = suffix_dedup.without_repeats(odd_docs)
     assert found.columns == odd_docs.columns
