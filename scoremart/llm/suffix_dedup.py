@@ -37,6 +37,8 @@ LENGTH, GRAM = 50, 24
 REACH = LENGTH - GRAM + 1
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 96 << 20
+#: Anchors of a bucket that are compared at a time.
+BUCKET_ANCHORS = 1 << 19
 SHARD_BYTES = 8 << 20
 #: Parts of a shard by anchor, or by content where the anchor is frequent; equal windows are in the same one.
 PARTS = 64
@@ -170,24 +172,37 @@ def blocks_of(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.mapInArrow(run, "block long, rows binary, anchors array<struct<bucket:int,packed:binary>>")
 
 
+def sent_anchors(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's anchors of a bucket in order, their numbers of runs, and whether several documents have them."""
+    step, count, several = unpack_numbers(packed)
+    return np.cumsum(step, dtype=np.uint64), count.astype(np.uint32), several > 0
+
+
 def shared_anchors(sent: DataFrame, buckets: int) -> DataFrame:
     """``block, bucket, codes, runs``: for each anchor that a block sent, whether documents share it; ``runs`` counts the
     runs of those, a frequent anchor's by windows.  A task holds one bucket at a time."""
     names = ["block", "bucket", "codes", "runs"]
 
     def solve(rows: list[tuple[int, bytes]], bucket: int) -> pa.RecordBatch:
-        parts = [unpack_numbers(x) for _, x in rows]
-        size = [len(p[0]) for p in parts]
-        anchor = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-        _, back = np.unique(anchor, return_inverse=True)
-        count = np.concatenate([p[1] for p in parts]).astype(np.int64)
-        runs = np.bincount(back, count)
-        shared = (np.bincount(back) > 1) | (np.bincount(back, np.concatenate([p[2] for p in parts]).astype(np.int64)) > 0)
-        code = np.where(shared, np.where(runs > HOT_RUNS, HOT, SHARED), ONE).astype(np.uint8)[back]
-        cut = np.cumsum([0, *size])
-        values = [[b for b, _ in rows], [bucket] * len(rows), [squeeze(code[x:y].tobytes()) for x, y in zip(cut[:-1], cut[1:], strict=True)]]
-        count *= np.array([0, 1, REACH // 2])[code]
-        wanted = [int(count[x:y].sum()) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        parts = [sent_anchors(x) for _, x in rows]
+        codes, wanted = [np.zeros(len(p[0]), np.uint8) for p in parts], [0] * len(rows)
+        largest = max((p[0] for p in parts), key=len)
+        steps = sum(map(len, codes)) // BUCKET_ANCHORS + 1
+        edge = largest[np.arange(1, steps) * len(largest) // steps]
+        cuts = [[0, *np.searchsorted(p[0], edge).tolist(), len(p[0])] for p in parts]
+        for k in range(steps):  # a range of anchors at a time
+            own = [slice(c[k], c[k + 1]) for c in cuts]
+            anchor, count, several = (np.concatenate([p[i][x] for p, x in zip(parts, own, strict=True)]) for i in range(3))
+            _, back = np.unique(anchor, return_inverse=True)
+            runs = np.bincount(back, count)
+            shared = (np.bincount(back) > 1) | (np.bincount(back, several) > 0)
+            code = np.where(shared, np.where(runs > HOT_RUNS, HOT, SHARED), ONE).astype(np.uint8)[back]
+            count = count * np.array([0, 1, REACH // 2])[code]
+            end = np.cumsum([0, *(x.stop - x.start for x in own)])
+            for i, (x, low, high) in enumerate(zip(own, end[:-1], end[1:], strict=True)):
+                codes[i][x] = code[low:high]
+                wanted[i] += int(count[low:high].sum())
+        values = [[b for b, _ in rows], [bucket] * len(rows), [squeeze(x.tobytes()) for x in codes]]
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64()]
         return pa.record_batch([pa.array(v, k) for v, k in zip([*values, wanted], kinds, strict=True)], names)
 

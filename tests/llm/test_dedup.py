@@ -245,6 +245,36 @@ def test_frequent_anchors_count_by_windows(monkeypatch):
     assert runs(59) == [60 * (suffix_dedup.REACH // 2)]
 
 
+def test_a_bucket_is_compared_in_ranges_of_anchors():
+    """Memory of a bucket: some 30 bytes for each anchor, not some 80; the same codes as one by one."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    blocks = [np.unique(rng.integers(1, 3_000_000, 600_000).astype(np.uint64)) for _ in range(6)]
+    some = [rng.integers(0, 9, len(x)).astype(np.uint64) for x in blocks]
+    packed = [suffix_dedup.pack_numbers(np.diff(x, prepend=np.uint64(0)), n * 1000 + 1, n == 8) for x, n in zip(blocks, some, strict=True)]
+    sent = Rows(pa.record_batch([pa.array(range(6)), pa.array([0] * 6), pa.array(packed)], ["block", "bucket", "packed"]))
+    sent.repartition = lambda *a: sent
+    sent.sortWithinPartitions = lambda *a: sent
+    tracemalloc.start()
+    found = suffix_dedup.shared_anchors(sent, 1)[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 * sum(map(len, blocks))
+    runs, times, several = np.zeros(3_000_000, np.int64), np.zeros(3_000_000, np.int64), np.zeros(3_000_000, bool)
+    for x, n in zip(blocks, some, strict=True):
+        at = x.astype(np.int64)
+        runs[at] += n.astype(np.int64) * 1000 + 1
+        times[at] += 1
+        several[at] |= n == 8
+    want = np.where((times > 1) | several, np.where(runs > suffix_dedup.HOT_RUNS, 2, 1), 0)
+    for i, x in enumerate(blocks):
+        codes = np.frombuffer(suffix_dedup.loosen(found.column(2)[i].as_py()), np.uint8)
+        assert (codes == want[x.astype(np.int64)]).all()
+
+
 def test_cut_texts_keep_whole_characters(spark, odd_docs, no_docs):
     found = suffix_dedup.without_repeats(odd_docs)
     assert found.columns == odd_docs.columns
