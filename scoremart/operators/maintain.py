@@ -27,27 +27,34 @@ def safe_files(files: DataFrame, active_job_ids: DataFrame) -> DataFrame:
     return files.withColumn("_job", job).join(ids, "_job", "left_anti").select(*files.columns)
 
 
-def _long_entries(files: DataFrame) -> DataFrame:
-    """Documents as (model_key, label, mtime, path, section, task, key, value)."""
+def _task_entries(files: DataFrame) -> DataFrame:
+    """Documents as (model_key, label, mtime, path, task, entries): all sections of a task, and all file-level fields, in one row."""
     parsed = F.from_json("content", "map<string,variant>")
     docs = files.select(*_CHECKPOINT, "mtime", "path", F.explode(F.array(parsed)).alias("d")).filter("d is not null")
-    top = docs.select(*_CHECKPOINT, "mtime", "path", F.explode("d").alias("section", "v"))
-    sections = DEEP_SECTIONS + FLAT_SECTIONS
     empty = F.create_map().cast("map<string,variant>")
     as_map = lambda v: F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"), empty)
-    per_task = top.select(
-        *_CHECKPOINT,
-        "mtime",
-        "path",
-        "section",
-        F.explode(
-            F.when(
-                F.col("section").isin(sections),
-                F.transform(F.map_entries(as_map(F.col("v"))), lambda e: F.struct(e["key"].alias("task"), e["value"].alias("v"))),
-            ).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("task"), F.col("v").alias("v"))))
-        ).alias("t"),
-    )
-    is_deep = F.col("section").isin(DEEP_SECTIONS)
+    per_task = lambda e: e["key"].isin(DEEP_SECTIONS + FLAT_SECTIONS)
+    sections = F.transform(F.filter(F.map_entries("d"), per_task), lambda e: F.struct(e["key"].alias("section"), as_map(e["value"]).alias("tasks")))
+    fields = F.transform(F.filter(F.map_entries("d"), lambda e: ~per_task(e)), lambda e: F.struct(e["key"].alias("section"), e["value"].alias("v")))
+    # Evaluated once per document, like the parse.
+    split = docs.select(*_CHECKPOINT, "mtime", "path", F.explode(F.array(F.struct(sections.alias("sections"), fields.alias("fields")))).alias("d"))
+    names = F.array_distinct(F.flatten(F.transform("d.sections", lambda s: F.map_keys(s["tasks"]))))
+    tasks = split.select("*", F.explode(F.concat(names, F.array(F.lit(None).cast("string")))).alias("task"))
+    of_task = F.transform(
+        F.filter("d.sections", lambda s: F.map_contains_key(s["tasks"], F.col("task"))),
+        lambda s: F.struct(s["section"].alias("section"), s["tasks"][F.col("task")].alias("v")),
+    )
+    return tasks.select(*_CHECKPOINT, "mtime", "path", "task", F.when(F.col("task").isNull(), F.col("d.fields")).otherwise(of_task).alias("entries"))
+
+
+def _long_entries(files: DataFrame) -> DataFrame:
+    """Documents as (model_key, label, mtime, path, section, task, key, value), with a checkpoint's rows of a task in one place."""
+    # Tasks meet before their keys become rows: names, time and path are exchanged once per task, not with every key.
+    gathered = _task_entries(files).repartition(*_CHECKPOINT, "task")
+    per_task = gathered.select(*_CHECKPOINT, "mtime", "path", "task", F.explode("entries").alias("t"))
+    empty = F.create_map().cast("map<string,variant>")
+    as_map = lambda v: F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"), empty)
+    is_deep = F.col("t.section").isin(DEEP_SECTIONS)
     no_key = F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("variant").alias("value"))
     # An empty task object still names the task, hence the entry without a key; it carries the
     # value of a task that is no object.
@@ -59,7 +66,7 @@ def _long_entries(files: DataFrame) -> DataFrame:
     )
     flat = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("t.v").alias("value")))
     per_key = per_task.select(
-        *_CHECKPOINT, "mtime", "path", "section", "t.task", F.explode(F.when(is_deep, deep).otherwise(flat)).alias("k")
+        *_CHECKPOINT, "mtime", "path", "t.section", "task", F.explode(F.when(is_deep, deep).otherwise(flat)).alias("k")
     )
     sentinel = (F.col("section") == "results") & F.coalesce(is_sentinel(F.col("k.key"), F.col("k.value")), F.lit(False))
     return per_key.filter(~sentinel).select(*_CHECKPOINT, "mtime", "path", "section", "task", "k.key", "k.value")
@@ -69,8 +76,8 @@ def compact_entries(files: DataFrame) -> DataFrame:
     """One value per (model_key, label, section, task, key): that of the newest file.
 
     File-level fields have neither task nor key.  Sentinels never take part, so an older
-    real value stays.  Combines map-side, so a checkpoint with very many files is no hot
-    spot.  This long form is the compacted table.
+    real value stays.  A checkpoint's files meet per task, so one with very many files is
+    spread over its tasks.  This long form is the compacted table.
     """
     return (
         _long_entries(files)
@@ -81,43 +88,32 @@ def compact_entries(files: DataFrame) -> DataFrame:
 
 
 def compact_documents(entries: DataFrame) -> DataFrame:
-    """(model_key, label, content): the compacted entries as one JSON document per checkpoint."""
-    deep = (
-        entries.filter(F.col("section").isin(DEEP_SECTIONS))
-        .groupBy(*_CHECKPOINT, "section", "task")
-        .agg(F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", F.to_json("value").alias("json")))))).alias("m"),
-            F.max(F.when(F.col("key").isNull(), F.to_json("value"))).alias("plain"))
-    )
+    """(model_key, label, content): the compacted entries as one JSON document per checkpoint.
+
+    Each task's texts are put together where its entries are, and exchanged once, by checkpoint.
+    """
     obj = lambda entries_: F.concat(
         F.lit("{"),
         F.array_join(F.transform(entries_, lambda e: F.concat(_quoted(e["name"]), F.lit(": "), e["json"])), ", "),
         F.lit("}"),
     )
-    deep_tasks = deep.select(
-        *_CHECKPOINT,
-        "section",
-        "task",
-        # Keys win over a plain value: both mean that files disagree, and merging keeps the object.
-        F.when((F.size("m") == 0) & F.col("plain").isNotNull(), F.col("plain"))
-        .otherwise(obj(F.transform(F.map_entries("m"), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("json")))))
-        .alias("json"),
-    )
-    flat_tasks = entries.filter(F.col("section").isin(FLAT_SECTIONS)).select(
-        *_CHECKPOINT, "section", "task", F.coalesce(F.to_json("value"), F.lit("null")).alias("json")
+    merged = entries.groupBy(*_CHECKPOINT, "section", "task").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", F.to_json("value").alias("json")))))).alias("m"),
+        F.max(F.when(F.col("key").isNull(), F.to_json("value"))).alias("plain"),
     )
-    sections = (
-        deep_tasks.unionByName(flat_tasks)
-        .groupBy(*_CHECKPOINT, "section")
-        .agg(obj(F.sort_array(F.collect_list(F.struct(F.col("task").alias("name"), "json")))).alias("json"))
+    # Keys win over a plain value: both mean that files disagree, and merging keeps the object.
+    deep = F.when((F.size("m") == 0) & F.col("plain").isNotNull(), F.col("plain")).otherwise(
+        obj(F.transform(F.map_entries("m"), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("json"))))
     )
-    fields = entries.filter(~F.col("section").isin(DEEP_SECTIONS + FLAT_SECTIONS)).select(
-        *_CHECKPOINT, "section", F.coalesce(F.to_json("value"), F.lit("null")).alias("json")
-    )
-    return (
-        sections.unionByName(fields)
-        .groupBy(*_CHECKPOINT)
-        .agg(obj(F.sort_array(F.collect_list(F.struct(F.col("section").alias("name"), "json")))).alias("content"))
+    json = F.when(F.col("section").isin(DEEP_SECTIONS), deep).otherwise(F.coalesce("plain", F.lit("null")))
+    per_task = merged.groupBy(*_CHECKPOINT, "task").agg(F.collect_list(F.struct("section", json.alias("json"))).alias("sections"))
+    gathered = per_task.repartition(*_CHECKPOINT).select(*_CHECKPOINT, "task", F.explode("sections").alias("s"))
+    sections = gathered.groupBy(*_CHECKPOINT, "s.section").agg(
+        F.sort_array(F.collect_list(F.when(F.col("task").isNotNull(), F.struct(F.col("task").alias("name"), "s.json")))).alias("tasks"),
+        F.max(F.when(F.col("task").isNull(), F.col("s.json"))).alias("field"),
     )
+    named = F.struct(F.col("section").alias("name"), F.coalesce("field", obj(F.col("tasks"))).alias("json"))
+    return sections.groupBy(*_CHECKPOINT).agg(obj(F.sort_array(F.collect_list(named))).alias("content"))
 
 
 def _quoted(name: Column) -> Column:

@@ -49,6 +49,28 @@ def test_compaction_keeps_values_that_are_no_objects(spark):
     assert merged == {"higher_is_better": {"t": False, "u": {"x": True}, "v": None, "w": 1}, "configs": {"t": "text"}}
 
 
+def test_compaction_exchanges_tasks_not_keys(spark):
+    """Any files of a checkpoint give what merging them one after the other gives; two exchanges, none with a row for each key."""
+    rng = random.Random(7)
+    files, expected = [], {}
+    for i in range(40):
+        doc = {
+            "results": {f"t{rng.randrange(6)}": {f"{m},none": rng.randrange(9) for m in rng.sample(["acc", "f1", "em", "512"], 2)} for _ in range(3)},
+            "higher_is_better": {f"t{rng.randrange(6)}": {"acc": rng.random() < 0.5}}, "n-shot": {f"t{rng.randrange(8)}": i}, "versions": {}, "date": i}
+        files.append((f"m{i % 2}", None if i % 4 < 2 else "l", "d", f"p{i:02d}", day(1 + i // 4), json.dumps(doc)))
+        merged = expected.setdefault(files[-1][:2], {"results": {}, "higher_is_better": {}, "n-shot": {}})
+        for section in ("results", "higher_is_better"):
+            for task, keys in doc[section].items():
+                merged[section].setdefault(task, {}).update(keys)
+        merged["n-shot"].update(doc["n-shot"])
+        merged["date"] = i
+    rng.shuffle(files)
+    documents = k.compact_documents(k.compact_entries(spark.createDataFrame(files, FILES)))
+    exchanges = [line for line in documents._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hash" in line]
+    assert {(r["model_key"], r["label"]): json.loads(r["content"]) for r in documents.collect()} == expected
+    assert len(exchanges) == 2 and not any("section#" in line for line in exchanges)
+
+
 def write_results(root, model, batch, scores, date):
     folder = root / model / "main" / batch
     folder.mkdir(parents=True)

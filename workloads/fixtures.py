@@ -281,11 +281,13 @@ class Data:
             F.lit('"'), "metric", F.lit(","), "metric_filter", F.lit('": '), num("score"),
             F.lit(', "'), "metric", F.lit("_stderr,"), "metric_filter", F.lit('": '), num("score_stderr"),
         )
-        # One exchange with a fixed number of partitions serves both aggregations; the
+        # One exchange of scores with a fixed number of partitions serves all aggregations; the
         # documents stay spread out, since parsing costs far more than their size suggests.
         n_parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        scores = self.scores.repartition(n_parts, "model", "label", "step", "side")
+        file_rows = self.spark.sql(FILE_ROWS.replace("FROM scores", "FROM {scores}"), scores=scores)
         tasks = (
-            self.file_rows.repartition(n_parts, *file_keys).withColumn("metric_json", metric)
+            file_rows.withColumn("metric_json", metric)
             .groupBy(*file_keys, "task", "k")
             .agg(
                 F.array_join(F.sort_array(F.collect_list("metric_json")), ", ").alias("metrics"),
