@@ -10,7 +10,7 @@ from .control import (
     task_map_rows,
 )
 from .groups import parse_group_defs, read_group_defs
-from .results import latest_per_dir, scan_result_files, stream_result_files
+from .results import latest_per_dir, scan_result_files, stage_result_files, stream_result_files
 from .score_table import ScoreTable, TableChange
 from .tables import export_form, publish_view, read_scores, write_scores
 
@@ -32,6 +32,7 @@ __all__ = [
     "read_lines",
     "read_scores",
     "scan_result_files",
+    "stage_result_files",
     "stream_result_files",
     "task_map_rows",
     "write_scores",

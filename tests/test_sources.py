@@ -33,6 +33,46 @@ def test_result_files_and_latest(spark, tmp_path):
     assert src.scan_result_files(spark, root + "/nowhere").count() == 0
 
 
+def test_result_files_are_listed_some_models_at_a_time(spark, tmp_path):
+    names = ["m 0", "m[1]", "m{a,b}", "m,2", "_m", "_k=1", ".m", "m*", "m%20x", "m\\3"]
+    for name in names:
+        for d in ("b0", "b1"):
+            put(f"{tmp_path}/{name}/main/{d}/results_1.json", f'{{"{d}": 1}}', 100)
+    put(f"{tmp_path}/m 0/main/results_9.json", "{}")
+    put(f"{tmp_path}/m 0/main/b0/other.json", "{}")
+    put(f"{tmp_path}/results_9.json", "{}")
+    os.makedirs(f"{tmp_path}/nothing/in it")
+    settings = {name: spark.conf.get(name) for name in (
+        "spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.files.openCostInBytes", "spark.sql.hive.filesourcePartitionFileCacheSize")}
+    files = src.stage_result_files(spark, str(tmp_path), models_at_once=3)
+    found = sorted(map(tuple, files.collect()))
+    assert found == sorted(map(tuple, src.scan_result_files(spark, str(tmp_path)).collect())) and len(found) == 16
+    # No listing of result files stays with the table, and settings are as before.
+    assert "binaryFile" not in files._jdf.queryExecution().executedPlan().toString()
+    assert settings == {name: spark.conf.get(name) for name in settings}
+    for empty in ("nowhere", "nothing", "nothing/in it"):
+        assert src.stage_result_files(spark, f"{tmp_path}/{empty}").count() == 0
+
+
+def test_collect_query_scans_no_listing_of_all_files(spark, monkeypatch):
+    """The collect's plan reads a written table: the driver holds no listing of all result files."""
+    from workloads import q_runs
+    from workloads.catalog import QUERIES, runner
+
+    plans = []
+
+    def seen(files, *args):
+        plans.append(files._jdf.queryExecution().executedPlan().toString())
+        raise InterruptedError
+
+    monkeypatch.setattr(q_runs, "collect_run", seen)
+    try:
+        runner(QUERIES["collect_run"].build)(spark, "/root/testdata/sf0.001")
+    except InterruptedError:
+        pass
+    assert len(plans) == 1 and "binaryFile" not in plans[0]
+
+
 def test_listing_opens_no_content(spark, tmp_path):
     put(f"{tmp_path}/m/l/d/results_1.json", "{}")
     plan = src.scan_result_files(spark, str(tmp_path)).select("path", "mtime")._jdf.queryExecution().executedPlan().toString()
