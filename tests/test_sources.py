@@ -73,6 +73,27 @@ def test_collect_query_scans_no_listing_of_all_files(spark, monkeypatch):
     assert len(plans) == 1 and "binaryFile" not in plans[0]
 
 
+def test_streams_list_with_few_tasks(spark, tmp_path):
+    """A batch lists its files by some tasks for each core, where each file had one."""
+    for i in range(60):
+        put(f"{tmp_path}/m{i}/main/b/results_1.json", '{"results": {}}')
+    tracker, tasks = spark.sparkContext.statusTracker(), []
+    stream = src.stream_result_files(spark, str(tmp_path), max_files=60)
+
+    def counted(rows, batch):
+        assert rows.count() == 60
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+
+    before = {j for j in tracker.getJobIdsForGroup(None)}
+    query = stream.writeStream.foreachBatch(counted).trigger(availableNow=True).start()
+    query.awaitTermination()
+    for job in {*tracker.getJobIdsForGroup(None), *tracker.getJobIdsForGroup(str(query.runId))} - before:
+        for stage in tracker.getJobInfo(job).stageIds:
+            if info := tracker.getStageInfo(stage):
+                tasks.append(info.numTasks)
+    assert tasks and max(tasks) <= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_listing_opens_no_content(spark, tmp_path):
     put(f"{tmp_path}/m/l/d/results_1.json", "{}")
     plan = src.scan_result_files(spark, str(tmp_path)).select("path", "mtime")._jdf.queryExecution().executedPlan().toString()
